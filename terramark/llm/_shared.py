@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch: texts can be long, so batches stay short.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._shared import short_batches
 
-DOCS_PER_LANGUAGE, DOC_CHARS, SAMPLE_SYMBOLS, MAX_LANGUAGES = 64, 4096, 48_000, 256
+DOCS_PER_LANGUAGE, DOC_CHARS, SAMPLE_SYMBOLS, MAX_LANGUAGES = 64, 4096, 24_000, 256
 SEGMENT = 512
 NEW_PHRASE = 1 << 30
 
@@ -82,18 +82,18 @@ def step_table(text: bytes, symbol: np.ndarray, width: int) -> np.ndarray:
     """One step of parsing for each state and symbol: the next row's offset, with NEW_PHRASE
     where the phrase can't be extended and the next one starts at this symbol."""
     go = suffix_automaton(text)
-    table = np.full((len(go) + 1, width), -1, np.int64)  # in the last row no phrase is open
+    table = np.full((len(go) + 1, width), -1, np.int32)  # in the last row no phrase is open
     for s, edges in enumerate(go):
         for c, t in edges.items():
             table[s, symbol[c]] = t * width
     start = np.where(table[0] < 0, len(go) * width, table[0]) + NEW_PHRASE
-    return np.where(table < 0, start, table).astype(np.int32).ravel()
+    return np.where(table < 0, start.astype(np.int32), table).ravel()
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _parsers(samples: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, list[np.ndarray], int]:
     used = sorted(set(b"".join(s for _, s in samples)))
-    symbol = np.full(256, len(used), np.int64)  # the last symbol occurs in no sample
+    symbol = np.full(256, len(used), np.uint8)  # the last symbol occurs in no sample
     symbol[used] = np.arange(len(used))
     width = len(used) + 1
     return symbol, [step_table(s, symbol, width) for _, s in samples], width
@@ -112,14 +112,14 @@ def phrase_counts(samples: tuple[tuple[str, bytes], ...], texts: list[str]) -> t
     seg_owner = np.repeat(np.arange(len(texts)), per_text)
     nth = np.arange(len(seg_owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
     seg_len = np.minimum(SEGMENT, size[seg_owner] - nth * SEGMENT)
-    grid = np.zeros((len(seg_owner), SEGMENT), np.int64)
+    grid = np.zeros((len(seg_owner), SEGMENT), np.uint8)
     grid[np.arange(SEGMENT) < seg_len[:, None]] = flat
     order = np.argsort(-seg_len, kind="stable")
     grid, seg_len, seg_owner = np.ascontiguousarray(grid[order].T), seg_len[order], seg_owner[order]
     active = np.searchsorted(-seg_len, -np.arange(SEGMENT), side="left")  # segments longer than t
     out = np.zeros((len(texts), len(tables)), np.int64)
     for k, table in enumerate(tables):
-        state, count = np.full(len(seg_len), len(table) - width, np.int64), np.zeros(len(seg_len), np.int64)
+        state, count = np.full(len(seg_len), len(table) - width, np.int32), np.zeros(len(seg_len), np.int32)
         for t in range(SEGMENT):
             a = active[t]
             if not a:

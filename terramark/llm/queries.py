@@ -10,11 +10,12 @@ from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language_id import op6_language_id
 from .media import op8_media
 from .mixing import mix_sql, op7_mixing
+from .pii import op10_pii
 from .sentencepiece import op9_sentencepiece
 from .simhash import op5_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_exact_dedup, op5_simhash, op6_language_id, op7_mixing, op8_media, op9_sentencepiece)
+        op1_exact_dedup, op5_simhash, op6_language_id, op7_mixing, op8_media, op9_sentencepiece, op10_pii)
 }
 SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op7_mixing": mix_sql()}

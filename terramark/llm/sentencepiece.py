@@ -15,6 +15,7 @@ can't occur in Spark's strings. Repeated rows give equal rows; other columns pas
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterable
 
@@ -28,8 +29,10 @@ from ._shared import short_batches
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 400_000
-CACHED_LENGTH = 48
+#: Words of up to so many bytes are segmented side by side, longer ones one by one.
+SIDE_BY_SIDE = (12, 20, 36, 64)
+#: A worker forgets the words it has segmented when there are more than so many.
+KNOWN_WORDS = 300_000
 
 
 def double_array(keys: list[tuple[bytes, int]]) -> tuple[list[int], list[int], list[int]]:
@@ -95,7 +98,13 @@ class Vocabulary:
                 self.raw[i] = p.replace(MARK, " ").encode()
         if min(self.byte_ids) < 0:
             raise ValueError("byte fallback needs a piece for each byte")
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.arrays = tuple(np.array(x + [-1] * 300, np.int32) for x in (self.base, self.check, self.value))
+        self.score_array = np.array(scores)
+        self.byte_array = np.array(self.byte_ids, np.int32)
+        raw = [r or b"" for r in self.raw]
+        self.raw_flat = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_at = np.cumsum([0, *map(len, raw)])
+        self.forget()
 
     @classmethod
     @functools.cache
@@ -107,9 +116,6 @@ class Vocabulary:
         kinds = ["byte" if m.is_byte(i) else "other" if m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else "normal" for i in ids]
         return cls([m.id_to_piece(i) for i in ids], [m.get_score(i) for i in ids], kinds)
 
-    def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
-
     def best_path(self, word: str) -> tuple[int, ...]:
         """Viterbi: the pieces of the highest sum of scores; earlier starts win ties."""
         data = word.encode()
@@ -149,44 +155,124 @@ class Vocabulary:
             n = back[n]
         return tuple(reversed(out))
 
+    def forget(self) -> None:
+        """No word is known but the empty one, which stands for a marker of the text itself."""
+        self.known, self.flat, self.at = {"": 0}, np.array([self.byte_ids[c] for c in MARK.encode()], np.int32), np.array([0, 3])
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {"": 0}, "flat": self.flat[:3], "at": self.at[:2]}
+
+    def _side_by_side(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """best_path of each word, all words advancing together: flat ids and their words' numbers."""
+        base, check, value = self.arrays
+        n = np.array([len(w) for w in words])
+        data = np.zeros((len(words), n.max()), np.uint8)
+        data[np.arange(n.max()) < n[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
+        best = np.full((len(words), n.max() + 1), -np.inf)
+        back, piece = np.zeros(best.shape, np.int16), np.full(best.shape, -1, np.int32)
+        best[:, 0] = 0.0
+
+        def offer(rows: np.ndarray, to: np.ndarray, score: np.ndarray, start: int, number: np.ndarray) -> None:
+            higher = score > best[rows, to]
+            rows, to = rows[higher], to[higher]
+            best[rows, to], back[rows, to], piece[rows, to] = score[higher], start, number[higher]
+
+        for i in range(n.max()):
+            rows = np.flatnonzero((i < n) & ((data[:, i] & 0xC0) != 0x80))
+            single = np.zeros(len(words), bool)
+            live, s = rows, np.zeros(len(rows), np.int32)
+            for j in range(i, n.max()):
+                inside = j < n[live]
+                live, s = live[inside], s[inside]
+                t = base[s] + data[live, j] + 1
+                ok = check[t] == s
+                live, s = live[ok], t[ok]
+                if not len(live):
+                    break
+                v = value[s]
+                hit = v >= 0
+                r = live[hit]
+                offer(r, np.full(len(r), j + 1), best[r, i] + self.score_array[v[hit]], i, v[hit])
+                single[r[i + width[r, i] == j + 1]] = True
+            r = rows[~single[rows]]
+            offer(r, i + width[r, i], best[r, i] + self.unknown, i, np.full(len(r), -1, np.int32))
+        parts, rows, at = [], np.arange(len(words)), n.copy()
+        while len(rows):
+            start = back[rows, at].astype(np.int64)
+            parts.append((rows, at, start, piece[rows, at]))
+            rows, at = rows[start > 0], start[start > 0]
+        row, end, start, number = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((end, row))
+        row, end, start, number = row[order], end[order], start[order], number[order]
+        times = np.where(number >= 0, 1, end - start)
+        nth = _ragged(start, times)
+        number, row = np.repeat(number, times), np.repeat(row, times)
+        raw = number < 0
+        number[raw] = self.byte_array[data[row[raw], nth[raw]]]
+        return number, row
+
+    def best_paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the words one after the other, and where each word's begin."""
+        coded = [w.encode() for w in words]
+        size = np.array([len(w) for w in coded])
+        ids, owners, low = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        for high in SIDE_BY_SIDE:
+            at = np.flatnonzero((size > low) & (size <= high))
+            if len(at):
+                number, row = self._side_by_side([coded[i] for i in at])
+                ids.append(number)
+                owners.append(at[row])
+            low = high
+        for i in np.flatnonzero(size > low):
+            ids.append(np.array(self.best_path(words[i]), np.int32))
+            owners.append(np.full(len(ids[-1]), i))
+        flat, owner = np.concatenate(ids), np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return flat[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; each word is segmented once while it is known."""
+        if len(self.known) > KNOWN_WORDS:
+            self.forget()
+        number, had = self.known, len(self.known)
+        found, sizes = [], []
+        for text in texts:
+            words = []
+            for k, part in enumerate(text.split(MARK)):
+                if k:
+                    words += [""]
+                part = part.replace(" ", MARK)
+                words += _WORDS.findall(MARK + part if not k and text else part)
+            found += [number.setdefault(w, len(number)) for w in words]
+            sizes.append(len(words))
+        if len(number) > had:
+            flat, at = self.best_paths(list(itertools.islice(number, had, None)))
+            self.flat, self.at = np.concatenate([self.flat, flat]), np.concatenate([self.at, self.at[-1] + at[1:]])
+        flat, at = self.flat, self.at
+        word = np.array(found, np.int64)
+        length = at[word + 1] - at[word]
+        ids = flat[_ragged(at[word], length)]
+        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(sizes)] if sizes else []
+        return np.split(ids, ends)[:len(texts)]
+
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        cache = self.cache
-        for k, part in enumerate(text.split(MARK)):
-            if k:
-                ids += [self.byte_ids[c] for c in MARK.encode()]
-            marked = part.replace(" ", MARK)
-            for word in _WORDS.findall(MARK + marked if not k and text else marked):
-                found = cache.get(word)
-                if found is None:
-                    found = self.best_path(word)
-                    if len(word) <= CACHED_LENGTH:
-                        if len(cache) >= CACHE_WORDS:
-                            cache.clear()
-                        cache[word] = found
-                ids += found
-        return ids
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
-        raw = self.raw
-        data = b"".join([raw[i] or b"" for i in ids]).decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int64)
+        start = self.raw_at[ids]
+        data = self.raw_flat[_ragged(start, self.raw_at[ids + 1] - start)].tobytes().decode("utf-8", "replace")
         return data[1:] if data[:1] == " " else data
 
 
-_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-
+def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each pair, one after the other."""
+    before = np.cumsum(length) - length
+    return np.repeat(start - before, length) + np.arange(length.sum())
 
-def encoded(docs: DataFrame, path: str = MODEL_PATH, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """`docs` with the ids of its texts (array of int)."""
-    short_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        v = shared.value
-        return pd.Series([None if t is None else np.array(v.encode(t), np.int32) for t in texts], dtype=object)
-
-    return docs.withColumn(ids_col, encode(docs[text_col].cast("string")))
+_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def tokenised(docs: DataFrame, path: str = MODEL_PATH, text_col: str = "text") -> DataFrame:
@@ -198,14 +284,13 @@ def tokenised(docs: DataFrame, path: str = MODEL_PATH, text_col: str = "text") -
     def both(texts: pd.Series) -> pd.DataFrame:
         v = shared.value
         low, high = min(v.byte_ids), max(v.byte_ids)
-        rows = []
+        rows, ids = [], iter(v.encode_all([t for t in texts if t is not None]))
         for t in texts:
             if t is None:
                 rows.append((None, None, None, None))
                 continue
-            ids = v.encode(t)
-            x = np.array(ids, np.int32)
-            rows.append((x, len(x), int(((x >= low) & (x <= high)).sum()), v.decode(ids) == t))
+            x = next(ids)
+            rows.append((x, len(x), int(((x >= low) & (x <= high)).sum()), v.decode(x) == t))
         return pd.DataFrame(rows, columns=["token_ids", "n_tokens", "n_byte_tokens", "round_trip"]).astype(
             {"n_tokens": "Int32", "n_byte_tokens": "Int32", "round_trip": "boolean"})
 
