@@ -13,9 +13,10 @@ from .mixing import mix_sql, op7_mixing
 from .pii import op10_pii
 from .sentencepiece import op9_sentencepiece
 from .simhash import op5_simhash
+from .substring_dedup import OP2_SQL, op2_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_exact_dedup, op5_simhash, op6_language_id, op7_mixing, op8_media, op9_sentencepiece, op10_pii)
+        op1_exact_dedup, op2_substring_dedup, op5_simhash, op6_language_id, op7_mixing, op8_media, op9_sentencepiece, op10_pii)
 }
-SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op7_mixing": mix_sql()}
+SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op7_mixing": mix_sql()}
