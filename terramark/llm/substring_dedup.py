@@ -26,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ._shared import id_text, short_batches
 
 WORDS, MAX_CELLS, SLICE = 13, 1 << 28, 1 << 22
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 NULL_ID = 2**63 - 1
 
 
@@ -68,60 +68,82 @@ def _cells(a: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (a >> np.uint64(64 - bits)).astype(np.int64), (a & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def _slices(cells: np.ndarray, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(slice, seen, seen twice) of sorted cells, as compressed bitmaps."""
-    size = min(SLICE, 1 << bits)
-    again = np.concatenate([[False], cells[1:] == cells[:-1]])
-    cut = np.searchsorted(cells, np.arange(0, (1 << bits) + 1, size))
-    for k in np.flatnonzero(cut[1:] > cut[:-1]):
-        part = slice(cut[k], cut[k + 1])
-        seen, twice = np.zeros(size, bool), np.zeros(size, bool)
-        seen[cells[part] - k * size] = True
-        twice[cells[part][again[part]] - k * size] = True
-        yield int(k), zlib.compress(np.packbits(seen), 1), zlib.compress(np.packbits(twice), 1)
+def _gaps(cells: np.ndarray) -> bytes:
+    """Sorted cells as steps of a byte; 255 goes on, a step of 0 is the same cell again."""
+    steps = np.diff(cells, prepend=0)
+    more = steps // 255
+    out = np.full(len(cells) + int(more.sum()), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = steps % 255
+    return out.tobytes()
+
+
+def _from_gaps(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps < 255]
 
 
-def sketch(texts: DataFrame, bits: int, words: int = WORDS) -> list[np.ndarray]:
-    """The merged rows' bitmaps of cells seen at least twice."""
-    salt = max(1, math.isqrt(texts.rdd.getNumPartitions()))
-    schema = "row int, slice int, salt int, seen binary, twice binary"
+def sketch(texts: DataFrame, bits: int, hashes: Callable[[list[str]], np.ndarray]) -> list[np.ndarray]:
+    """The merged rows' bitmaps of cells seen at least twice, for the hashes of all `texts`."""
+    size = min(SLICE, 1 << bits)
+    parts = texts.rdd.getNumPartitions()
+    salts = math.isqrt(parts) if parts > 256 else 1  # many sketches are merged in two steps
+    names = ["row", "slice", "salt", "cells", "seen", "twice"]
+    schema = "row int, slice int, salt int, cells binary, seen binary, twice binary"
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        me, held, n = TaskContext.get().partitionId() % salt, [], 0
+        me, held, n = TaskContext.get().partitionId() % salts, [], 0
 
         def flush() -> Iterator[pd.DataFrame]:
             a = np.concatenate(held)
             for row, cells in enumerate(_cells(a, bits)):
-                for k, seen, twice in _slices(np.sort(cells), bits):
-                    yield pd.DataFrame([(row, k, me, seen, twice)], columns=["row", "slice", "salt", "seen", "twice"])
+                cells = np.sort(cells)
+                cut = np.searchsorted(cells, np.arange(0, (1 << bits) + 1, size))
+                for k in np.flatnonzero(cut[1:] > cut[:-1]):
+                    yield pd.DataFrame([(row, k, me, _gaps(cells[cut[k]:cut[k + 1]] - k * size), None, None)], columns=names)
 
         for b in batches:
-            held.append(window_hashes(list(b["text"]), words)[0])
+            held.append(hashes(list(b["text"])))
             n += len(held[-1])
-            if n > 4 * FLUSH:
+            if n > 3 * FLUSH:
                 yield from flush()
                 held, n = [], 0
         if n:
             yield from flush()
 
     def merge(b: pd.DataFrame) -> pd.DataFrame:
-        seen = twice = np.uint8(0)
-        for s, t in zip(b["seen"], b["twice"]):
-            s, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (s, t))
-            twice = twice | t | (seen & s)
-            seen = seen | s
-        return pd.DataFrame([(b["row"].iloc[0], b["slice"].iloc[0], b["salt"].iloc[0], zlib.compress(seen, 1), zlib.compress(twice, 1))],
-                            columns=["row", "slice", "salt", "seen", "twice"])
-
-    partial = texts.select("text").mapInPandas(count, schema)
-    merged = partial.groupBy("row", "slice", "salt").applyInPandas(merge, schema).groupBy("row", "slice").applyInPandas(merge, schema)
+        seen, twice = np.zeros(size, bool), np.zeros(size, bool)
+        for c, s, t in zip(b["cells"], b["seen"], b["twice"]):
+            if c is not None:
+                cells = _from_gaps(c)
+                again = np.concatenate([[False], cells[1:] == cells[:-1]])
+                twice[cells[again]] = True
+                cells = cells[~again]
+                twice[cells[seen[cells]]] = True
+                seen[cells] = True
+            else:
+                s, t = (np.unpackbits(np.frombuffer(zlib.decompress(x), np.uint8)).astype(bool) for x in (s, t))
+                twice |= t | (seen & s)
+                seen |= s
+        s, t = (zlib.compress(np.packbits(x), 1) for x in (seen, twice))
+        return pd.DataFrame([(b["row"].iloc[0], b["slice"].iloc[0], b["salt"].iloc[0], None, s, t)], columns=names)
+
+    merged = texts.select("text").mapInPandas(count, schema).groupBy("row", "slice", "salt").applyInPandas(merge, schema)
+    if salts > 1:
+        merged = merged.groupBy("row", "slice").applyInPandas(merge, schema)
     rows = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
-    step = min(SLICE, 1 << bits) // 8
     for r in merged.select("row", "slice", "twice").toLocalIterator():
-        rows[r["row"]][r["slice"] * step:(r["slice"] + 1) * step] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
+        rows[r["row"]][r["slice"] * size // 8:(r["slice"] + 1) * size // 8] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
     return rows
 
 
+def seen_twice(rows: list[np.ndarray], a: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes the sketch estimates as repeated."""
+    twice = np.ones(len(a), bool)
+    for bitmap, cell in zip(rows, _cells(a, bits)):
+        twice &= (bitmap[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)
+    return twice
+
+
 def _groups(*keys: np.ndarray) -> np.ndarray:
     """The group number of each element of arrays sorted by `keys`."""
     new = np.zeros(len(keys[0]), bool)
@@ -161,9 +183,7 @@ def _send(shared, bits: int, buckets: int, words: int):
         held, n, chunk = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             a, b, owner, place = window_hashes(list(batch["text"]), words)
-            twice = np.ones(len(a), bool)
-            for bitmap, cell in zip(rows, _cells(a, bits)):
-                twice &= (bitmap[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)
+            twice = seen_twice(rows, a, bits)
             owner = owner[twice]
             held.append((a[twice], b[twice], batch["doc_id"].to_numpy(np.int64)[owner], batch["mark"].to_numpy(np.int64)[owner], place[twice]))
             n += len(owner)
@@ -222,7 +242,7 @@ def removed_runs(texts: DataFrame, words: int = WORDS) -> DataFrame:
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = min(int(math.log2(MAX_CELLS)), max(16, math.ceil(math.log2(max(4, size) / 4))))
     buckets = max(48, size >> 23)
-    shared = spark.sparkContext.broadcast(sketch(texts, bits, words))
+    shared = spark.sparkContext.broadcast(sketch(texts, bits, lambda t: window_hashes(t, words)[0]))
     sent = texts.mapInPandas(_send(shared, bits, buckets, words), _SENT)
     decided = sent.groupBy("bucket").applyInPandas(_decide, "chunk long, doc binary, mark binary, place binary")
     runs = decided.groupBy("chunk").applyInPandas(_runs_of(words), "doc_id long, mark long, starts array<int>, ends array<int>")
