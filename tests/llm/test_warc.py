@@ -1,0 +1,29 @@
+from terramark.llm import warc
+
+SCHEMA = "record_id string, url string, captured long, kind string, payload_digest string, header_block string, block string, near int"
+
+
+def test_revisit_cases(spark):
+    full = 'ETag: "a"\r\nContent-Type: text/html\r\nVary: x\r\nServer: s'
+    rows = [
+        ("r1", "http://www.A.org:80/x/?utm_source=q&b=1#t", 100, "response", "d1", full),
+        ("r2", "https://a.org/x?b=1", 200, "response", "d2", full.replace('"a"', '"b"')),
+        ("r3", "https://a.org/x?b=1", 200, "response", "d3", full),
+        ("v1", "https://a.org/x/?b=1", 100, "revisit", None, 'ETag: "a"'),
+        ("v2", "https://a.org/x/?b=1", 150, "revisit", None, 'ETag: "a"\nServer: new\nvary: y\nVary: z'),
+        ("v3", "https://a.org/x/?b=1", 200_000, "revisit", None, 'ETag: "a"'),
+        ("v4", "https://a.org/x/?b=1", 201, "revisit", None, 'ETag: "b"'),
+        ("v5", "https://a.org/x/?b=1", 201, "revisit", None, "Date: 1"),
+        ("v6", None, 5, "revisit", None, "Date: 1"), ("v7", "https://a.org/x?b=1", None, "revisit", None, "Date: 1"),
+        ("v8", "https://a.org/x?b=1", 900, "revisit", None, None), ("v9", "https://b.org", 900, "revisit", None, ""),
+        ("v2", "https://a.org/x/?b=1", 150, "revisit", None, 'ETag: "a"\nServer: new\nvary: y\nVary: z'),
+    ]
+    frame = spark.createDataFrame([(*r, "b", 1) for r in rows], SCHEMA)
+    got = sorted((r.record_id, r.status, r.refers_to or "", r.headers or "") for r in warc.resolve_revisits(frame).collect())
+    merged = 'content-type: text/html\netag: "a"\nserver: s\nvary: z'
+    assert got == [
+        ("v1", "no_response", "", ""), ("v2", "resolved", "r1", merged), ("v2", "resolved", "r1", merged),
+        ("v3", "resolved", "r3", merged.replace("z", "x")), ("v4", "validator_mismatch", "", ""), ("v5", "no_validator", "", ""),
+        ("v6", "no_response", "", ""), ("v7", "no_response", "", ""), ("v8", "no_response", "", ""), ("v9", "no_response", "", ""),
+    ]
+    assert warc.resolve_revisits(frame.limit(0)).count() == 0
