@@ -163,10 +163,6 @@ def repeated_strings(collection: list[bytes], strings: np.ndarray, offset: np.nd
         row[active] = row_of
         bwt, common, suffix = grown, fresh, names
         active = active[more]
-        if len(active):  # rows of documents that don't grow move too, but are never asked for
-            places = np.flatnonzero(suffix >= 0)
-            newest = places[np.isin(suffix[places], active * width + left[active] + 1, assume_unique=True)]
-            row[suffix[newest] // width] = newest
     enough = common >= length // block
     hit = enough.copy()
     hit[:-1] |= enough[1:]
