@@ -41,6 +41,8 @@ PATTERNS = {
 #: Only texts with such a place are searched at all.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 MIN_SUPPORT, DISCLOSURE, TERM_LENGTH = 3, 0.8, (6, 40)
+#: Terms are broadcast up to this number (of at most 40 characters); beyond it they are joined.
+BROADCAST_TERMS = 200_000
 TERM_SPLIT = r"[\x20\x09-\x0D]+"
 TERM = r"^\p{L}[\p{L}\p{M}'-]*$"
 
@@ -116,9 +118,11 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, found: DataFrame, min_su
     held = spans.join(holders, "doc_id").select("entity", F.explode(_terms(F.col("text"))).alias("term"))
     pairs = held.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support)
     pairs = written(pairs.join(recurring, "entity"), "pairs")
-    wanted = pairs.select("term").distinct()
-    counts = (docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-              .join(wanted, "term", "left_semi"))
+    wanted = written(pairs.select("term").distinct(), "terms")
+    every = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
+    if wanted.count() <= BROADCAST_TERMS:  # few enough to sort out all other terms before the shuffle
+        every = every.join(F.broadcast(wanted), "term", "left_semi")
+    counts = every.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
     information = F.log(F.col("n_both") * float(n_docs) / (F.col("n_term") * F.col("n_entity")))
     share = information / F.greatest(-F.log(F.col("n_entity") / float(n_docs)), F.lit(1e-12))
     return pairs.join(counts, "term").withColumn("disclosure", share).filter(
