@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from ._shared import short_batches
 from .substring_dedup import NULL_ID, marked_texts, seen_twice, sketch
 
-LENGTH, GRAM, BLOCK = 400, 32, 80
+LENGTH, GRAM, BLOCK = 400, 32, 200
 MAX_CELLS = 1 << 28
 #: Bytes of pieces that a chunk gathers before it is sent.
 CHUNK_BYTES = 24 << 20
