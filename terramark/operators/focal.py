@@ -44,12 +44,15 @@ def same_class_support(cells: DataFrame, column: str, size: int = 5) -> DataFram
     return found.select(*cells.columns, F.when(F.col(column).between(1, 9), own).otherwise(0.0).alias("support"))
 
 
-def gradient(cells: DataFrame, column: str) -> DataFrame:
+def gradient(cells: DataFrame, column: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """`cells` with the gradient's magnitude: central differences, one-sided at the edges."""
-    def along(line: str, axis: str) -> F.Column:
-        w = Window.partitionBy(line).orderBy(axis)
+    def along(axis: str, *line: str) -> F.Column:
+        w = Window.partitionBy(*line).orderBy(axis)
         before, after = F.lag(column).over(w), F.lead(column).over(w)
         return F.when(before.isNull(), after - F.col(column)).when(after.isNull(), F.col(column) - before).otherwise((after - before) / 2)
 
-    return cells.withColumn("__dr", along("c", "r")).withColumn("__dc", along("r", "c")).withColumn(
-        "gradient", F.sqrt(F.col("__dr") * F.col("__dr") + F.col("__dc") * F.col("__dc"))).drop("__dr", "__dc")
+    rows = cells.withColumn("__dc", along("c", "r"))
+    spread = rows.withColumn("__home", F.floor(F.col("r") / block_rows)).withColumn(
+        "__block", F.explode(F.array_distinct(F.array(*[F.floor((F.col("r") + d) / block_rows) for d in (-1, 0, 1)]))))
+    out = spread.withColumn("__dr", along("r", "c", "__block")).filter("__block = __home")
+    return out.withColumn("gradient", F.sqrt(F.col("__dr") * F.col("__dr") + F.col("__dc") * F.col("__dc"))).drop("__dr", "__dc", "__home", "__block")

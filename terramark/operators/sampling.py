@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import draw, valid
 
+#: Slots of equal width into which draws fall.
+SLOTS = 4096
+
 
 def stratified(cells: DataFrame, before: str, after: str, change_cap: int = 8000, stay_cap: int = 8000, seed: int = 42) -> DataFrame:
     """At most so many cells of each pair of classes, by smallest draw, then cell_id.
@@ -52,15 +55,40 @@ def split(sample: DataFrame, label: str, held_out: float = 0.25, seed: int = 42)
     return sample.withColumn("validation", F.row_number().over(w) > F.round(n * (1 - held_out)))
 
 
+def cut_ends(cells: DataFrame, base: str, flows: DataFrame, seed: int) -> DataFrame:
+    """(from_code, to_code, first, last): the draws, with cell_id, that a class's flows lie between.
+
+    Cells are counted by slot of the draw; only in the slots in which a flow ends are they ranked,
+    so no task ever sorts a class. At most 81 rows.
+    """
+    d = draw(F.col("cell_id"), seed)
+    thin = cells.select(F.col(base).alias("from_code"), F.floor(d * SLOTS).alias("slot"), F.struct(d.alias("draw"), "cell_id").alias("at"))
+    seen = thin.groupBy("from_code", "slot").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("from_code")
+    seen = seen.withColumn("upto", F.sum("n").over(own.orderBy("slot"))).withColumn("total", F.sum("n").over(own))
+    high = F.sum("flow").over(own.orderBy("to_code"))
+    cuts = flows.filter("flow > 0").withColumn("high", high).select("from_code", "to_code", "high", (F.col("high") - F.col("flow")).alias("low"))
+    end = F.least("high", "total")
+    ending = seen.join(F.broadcast(cuts), "from_code").filter((F.col("low") < F.col("total")) & (end > F.col("upto") - F.col("n")) & (end <= F.col("upto")))
+    ending = ending.groupBy("from_code", "slot").agg(F.collect_list(F.struct((end - F.col("upto") + F.col("n")).alias("nth"), "to_code")).alias("ends"))
+    rank = F.row_number().over(Window.partitionBy("from_code", "slot").orderBy("at"))
+    ranked = thin.join(F.broadcast(ending), ["from_code", "slot"]).withColumn("rank", rank)
+    found = ranked.select("from_code", "rank", F.col("at").alias("last"), F.explode("ends").alias("e")).filter("rank = e.nth")
+    first = F.lag("last").over(own.orderBy("last"))
+    return found.select("from_code", F.col("e.to_code").alias("to_code"), "last", first.alias("first"))
+
+
 def allocate_random(cells: DataFrame, base: str, flows: DataFrame, seed: int = 42) -> DataFrame:
-    """`cells` with `allocated`: within each class the cells by draw, cut at the cumulative flows."""
-    bound = F.sum("flow").over(Window.partitionBy("from_code").orderBy("to_code"))
-    cuts = flows.filter("flow > 0").withColumn("high", bound).withColumn("low", F.col("high") - F.col("flow"))
-    cuts = F.broadcast(cuts.select(F.col("from_code").alias(base), "to_code", "low", "high"))  # at most 81 rows
-    w = Window.partitionBy(base).orderBy(draw(F.col("cell_id"), seed), "cell_id")
-    ranked = cells.withColumn("__nth", F.row_number().over(w))
-    hit = ranked.alias("a").join(cuts.alias("b"), (F.col(f"a.{base}") == F.col(f"b.{base}")) & (F.col("__nth") > F.col("low")) & (F.col("__nth") <= F.col("high")), "left")
-    return hit.select("a.*", F.coalesce("to_code", F.lit(0)).cast("int").alias("allocated")).drop("__nth")
+    """`cells` with `allocated`: within each class the cells by draw, cut at the cumulative flows.
+
+    The cells themselves are compared with the cuts where they are, without a shuffle. Cells
+    beyond all flows, or of no class, get 0.
+    """
+    ends = F.broadcast(cut_ends(cells, base, flows, seed))
+    at = F.struct(draw(F.col("a.cell_id"), seed).alias("draw"), F.col("a.cell_id"))
+    here = (F.col(f"a.{base}") == F.col("b.from_code")) & (at <= F.col("b.last")) & (F.col("b.first").isNull() | (at > F.col("b.first")))
+    hit = cells.alias("a").join(ends.alias("b"), here, "left")
+    return hit.select("a.*", F.coalesce("b.to_code", F.lit(0)).cast("int").alias("allocated"))
 
 
 def top_per_source(cells: DataFrame, source: str, score: str, quotas: DataFrame) -> DataFrame:

@@ -54,6 +54,28 @@ def test_neighbours_across_blocks(spark, small):
         focal.box_sums(grid(spark, small), sums, 4)
 
 
+def test_gradient_across_blocks(spark, small):
+    got = focal.gradient(grid(spark, small), "v", block_rows=4).collect()
+    by_row, by_column = np.gradient(small.astype(float))
+    assert len(got) == small.size
+    for r in got:
+        assert abs(r.gradient - np.hypot(by_row[r.r, r.c], by_column[r.r, r.c])) < 1e-12
+
+
+def test_random_allocation_equals_sorting(spark, small):
+    flows = [(1, 1, 90), (1, 2, 7), (1, 5, 0), (1, 8, 500), (2, 8, 3), (2, 2, 1), (5, 5, 10_000), (7, 1, 4)]
+    cells = grid(spark, small).withColumn("from_code", F.lit("x"))
+    drawn = {r.cell_id: r.d for r in cells.select("cell_id", E.draw(F.col("cell_id"), 42).alias("d")).collect()}
+    want = dict.fromkeys(drawn, 0)
+    for k in (1, 2, 5, 8):
+        order = sorted((i for i in drawn if small.flat[i] == k), key=lambda i: (drawn[i], i))
+        targets = [t for f, t, n in sorted(flows) if f == k for _ in range(n)]
+        want |= dict(zip(order, targets))
+    got = sampling.allocate_random(cells, "v", spark.createDataFrame(flows, "from_code int, to_code int, flow long")).collect()
+    assert {r.cell_id: r.allocated for r in got} == want and len(got) == small.size
+    assert sampling.allocate_random(cells.limit(0), "v", spark.createDataFrame(flows, "from_code int, to_code int, flow long")).count() == 0
+
+
 def test_distance_is_exact(spark, small):
     got = factors.distance(grid(spark, small), F.col("v") == 5, 1.0).collect()
     where = np.argwhere(small == 5)
