@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import valid
 from ..sources.grid import PROFILE, classes
 
 
 def class_counts(cells: DataFrame, column: str, name: str = "n") -> DataFrame:
     """(class_code, class_name, n) of all nine classes, absent ones with 0."""
-    found = cells.filter(valid(column)).groupBy(F.col(column).cast("int").alias("class_code")).agg(F.count("*").alias(name))
+    # Other codes drop out in the join: a filter would compute the class twice for derived grids.
+    found = cells.groupBy(F.col(column).cast("int").alias("class_code")).agg(F.count("*").alias(name))
     return classes(cells.sparkSession).join(found, "class_code", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
@@ -26,7 +26,7 @@ def class_summary(cells: DataFrame, years: dict[int, str], km2: float = 0.0009)
 def crosstab(cells: DataFrame, rows: str, cols: str, weight: str | None = None) -> DataFrame:
     """(from_code, to_code, n): all 81 pairs of classes valid in both layers, absent ones with 0."""
     n = F.sum(weight) if weight else F.count("*")
-    found = cells.filter(valid(rows, cols)).groupBy(F.col(rows).cast("int").alias("from_code"), F.col(cols).cast("int").alias("to_code")).agg(n.alias("n"))
+    found = cells.groupBy(F.col(rows).cast("int").alias("from_code"), F.col(cols).cast("int").alias("to_code")).agg(n.alias("n"))
     dim = classes(cells.sparkSession)
     pairs = dim.select(F.col("class_code").alias("from_code")).crossJoin(dim.select(F.col("class_code").alias("to_code")))
     return pairs.join(found, ["from_code", "to_code"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast(found.schema["n"].dataType)))

@@ -41,15 +41,16 @@ class Profile:
 #: 30 m cells, as a plain north-up grid.
 PROFILE = Profile(WIDTH, 0, "EPSG:32651", (30.0, 0.0, 0.0, 0.0, -30.0, 0.0))
 
+COLUMNS_SQL = f"(VALUES {', '.join(f'({i})' for i in range(WIDTH))}) AS w(c)"
 #: A grid over `orders`, in SQL that Spark and DuckDB read alike: a row of WIDTH cells per order,
-#: three epochs and five factors by integer arithmetic. No sort and no shuffle is needed.
+#: three epochs and five factors by integer and double arithmetic, since decimals are slow in Spark.
 GRID_SQL = f"""
 SELECT cell_id, r, c, v_fit, v_base,
   CASE WHEN v_base = 0 THEN 0 WHEN u2 < 40 AND v_base IN (1, 4, 7) THEN 8 WHEN u2 BETWEEN 40 AND 59 AND v_base IN (2, 5) THEN 1
        WHEN u2 BETWEEN 60 AND 69 AND v_base = 1 THEN 5 ELSE v_base END AS v_target,
-  CASE WHEN (r * 13 + c) % 997 = 0 THEN NULL ELSE ((r * 37 + c * 11) % 101) / 100.0 END AS road,
-  ((r * 53 + c * 29) % 101) / 100.0 AS water, ((r * 17 + c * 71 + k) % 101) / 100.0 AS night,
-  ((r * 7 + c * 43) % 500) * 1.0 AS elevation, ((r * 3 + c * 97) % 101) / 100.0 AS slope
+  CASE WHEN (r * 13 + c) % 997 = 0 THEN NULL ELSE ((r * 37 + c * 11) % 101) / CAST(100 AS DOUBLE) END AS road,
+  ((r * 53 + c * 29) % 101) / CAST(100 AS DOUBLE) AS water, ((r * 17 + c * 71 + k) % 101) / CAST(100 AS DOUBLE) AS night,
+  CAST((r * 7 + c * 43) % 500 AS DOUBLE) AS elevation, ((r * 3 + c * 97) % 101) / CAST(100 AS DOUBLE) AS slope
 FROM (
   SELECT *, CASE WHEN v_fit = 0 THEN 0 WHEN u1 < 50 AND v_fit IN (1, 4) THEN 8 WHEN u1 BETWEEN 50 AND 79 AND v_fit IN (2, 5) THEN 1
             WHEN u1 BETWEEN 80 AND 89 AND v_fit = 1 THEN 2 ELSE v_fit END AS v_base
@@ -57,10 +58,10 @@ FROM (
     SELECT *, CASE WHEN s < 50 THEN 1 WHEN s < 62 THEN 2 WHEN s < 64 THEN 4 WHEN s < 72 THEN 5 WHEN s < 73 THEN 7 WHEN s < 98 THEN 8 ELSE 0 END AS v_fit
     FROM (
       SELECT o_orderkey * {WIDTH} + c AS cell_id, o_orderkey AS r, CAST(c AS BIGINT) AS c, o_custkey AS k,
-        CAST((floor(o_orderkey / 6.0) * 131 + floor(c / 6.0) * 17) AS BIGINT) % 100 AS s,
+        CAST((o_orderkey - o_orderkey % 6) / 6 * 131 + (c - c % 6) / 6 * 17 AS BIGINT) % 100 AS s,
         (o_orderkey * 7919 + c * 104729 + o_custkey * 31) % 1000 AS u1,
         (o_orderkey * 15485863 + c * 32452843 + o_custkey * 17 + 7) % 1000 AS u2
-      FROM orders CROSS JOIN (VALUES {', '.join(f'({i})' for i in range(WIDTH))}) AS w(c)
+      FROM orders CROSS JOIN {COLUMNS_SQL}
     ) a
   ) b
 ) d
@@ -68,9 +69,17 @@ FROM (
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid over the orders of a test data folder."""
-    sql = GRID_SQL.replace("FROM orders", "FROM {orders}")
-    return spark.sql(sql, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    """The grid over the orders of a test data folder.
+
+    Orders of fewer partitions than cores are dealt out by row before they become cells; windows
+    along rows need no further shuffle then. Larger ones are used as they are read. Cells come from
+    a generator rather than a cross join, whose condition would take in every later filter.
+    """
+    sql = GRID_SQL.replace(f"FROM orders CROSS JOIN {COLUMNS_SQL}", f"FROM {{orders}} LATERAL VIEW explode(sequence(0, {WIDTH - 1})) w AS c")
+    orders, cores = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"), spark.sparkContext.defaultParallelism
+    if orders.rdd.getNumPartitions() < cores:
+        orders = orders.repartition(cores, "o_orderkey")
+    return spark.sql(sql, orders=orders)
 
 
 def classes(spark: SparkSession) -> DataFrame:
