@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ..functions import expressions as E
 from ..operators import allocate, crosstab, demand, factors, focal, models, sampling
 from ..sources import tables
 from ..sources.grid import CLASS_SQL, GRID_SQL, WIDTH, cells
+from . import scenario
 
 KM2 = 0.0009
 
@@ -151,6 +153,52 @@ def score_step(s, d):
     return sampling.top_per_source(g, "v_base", "score", quotas).select("cell_id", "v_base", F.round("score", 6).alias("score"))
 
 
+def score_plain_step(s, d):
+    """The best 200 cropland and 100 forest cells for class 8, by neighbours alone."""
+    g = focal.neighbour_fractions(cells(s, d), "v_base", [8])
+    g = g.withColumn("score", F.round(E.score_plain(F.col("frac_8"), E.draw(F.col("cell_id"), 42, 1)), 9))
+    quotas = s.sql("SELECT * FROM (VALUES (1, 200), (2, 100)) AS q(class_code, take)")
+    return sampling.top_per_source(g, "v_base", "score", quotas).select("cell_id", "v_base", F.round("score", 6).alias("score"))
+
+
+def neighbour_all(s, d):
+    """The shares of all nine classes."""
+    g = focal.neighbour_fractions(cells(s, d), "v_base", list(range(1, 10)))
+    return g.select("cell_id", *[F.round(f"frac_{k}", 6).alias(f"frac_{k}") for k in range(1, 10)])
+
+
+def weighted_metrics(s, d):
+    """Persistence judged with weights of cells."""
+    g = cells(s, d).withColumn("w", F.col("cell_id") % 3 + 1)
+    out = crosstab.accuracy(crosstab.crosstab(g, "v_target", "v_base", "w"))
+    return out.select(F.col("total").cast("long").alias("total"), *[F.round(c, 6).alias(c) for c in ("overall_accuracy", "kappa", "macro_f1", "weighted_f1")])
+
+
+def rolling_validation(s, d):
+    """The non-spatial model over each three epochs, drawn with a seed of its target year."""
+    g, epochs, out = cells(s, d), {2015: "v_fit", 2020: "v_base", 2025: "v_target"}, []
+    for fit, base, target in scenario.windows(list(epochs)):
+        p = crosstab.transition_probabilities(crosstab.crosstab(g, epochs[fit], epochs[base]))
+        flows = demand.rounded_flows(p, crosstab.class_counts(g, epochs[base]))
+        found = crosstab.accuracy(crosstab.crosstab(sampling.allocate_random(g, epochs[base], flows, 42 + target), epochs[target], "allocated"))
+        out.append(found.select(*[F.lit(y).alias(n) for n, y in (("fit_year", fit), ("base_year", base), ("target_year", target))],
+                                F.round("overall_accuracy", 6).alias("overall_accuracy"), F.round("kappa", 6).alias("kappa")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def training_weights(s, d):
+    """The stratified sample with its weights and the same scaled to a mean of one."""
+    g = cells(s, d)
+    rows = sampling.stratified(g, "v_fit", "v_base", 300, 500)
+    found = sampling.with_weights(rows, sampling.transition_weights(g, rows, "v_fit", "v_base"), "v_fit", "v_base")
+    return found.select("cell_id", F.round("weight", 6).alias("weight"), F.round("train_weight", 6).alias("train_weight"))
+
+
+def clipped(s, d):
+    """The base epoch within a polygon."""
+    return factors.clip(cells(s, d), [(2.0, 40.0), (18.0, 40.0), (18.0, 900.0), (2.0, 900.0)], "v_base").select("cell_id", "v_base")
+
+
 def model_comparison(s, d):
     g = _predicted(cells(s, d))
     rows = [crosstab.accuracy(crosstab.crosstab(g, "v_target", c)).select(F.lit(name).alias("model"), "overall_accuracy", "kappa") for name, c in (("persistence", "v_base"), ("markov", "allocated"))]
@@ -185,6 +233,17 @@ def pooled_simulation(s, d):
     return _simulated(s, d, True)
 
 
+def suitability_simulation(s, d):
+    """Neighbours and rule suitability, without repair."""
+    g = cells(s, d)
+    table = {(r.from_code, r.to_code): r.p for r in _transition(g).collect()}
+    goal = {r.class_code: r.demand for r in _demand(g)[1].collect()}
+    suit = E.suitability(E.valid("v_base"), "slope", "road", "water", "night")
+    thin = g.select("cell_id", "r", "c", "v_base", "slope", "road", "water", "night")
+    _, log = allocate.simulate(thin, "v_base", goal, table, lambda near, target, jitter: E.score_mixed(near, suit[target], jitter), repair=False)
+    return s.createDataFrame([tuple(x.values()) for x in log], "iteration int, changed_pixels long, class_code int, predicted_pixels long, demand_pixels long, difference_pixels long")
+
+
 def _model_sample(s: SparkSession, d: str) -> DataFrame:
     g = focal.neighbour_fractions(cells(s, d), "v_fit", list(range(1, 10)))
     g = g.withColumn("support", F.element_at(F.array(*[f"frac_{k}" for k in range(1, 10)]), F.greatest(F.col("v_fit"), F.lit(1))))
@@ -206,7 +265,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     class_counts, class_summary, transition_counts, transition_probabilities, transition_series, rounded_flows, markov_demand,
     nonspatial_allocation, confusion, accuracy, per_class_accuracy, row_percent, area_projection, max_demand_error, change_maps,
     neighbour_fraction, same_class_support, gradient_slope, percentile_normalised, factor_summary, suitability_maps,
-    distance_to_barren, preview, stratified_sample, class_balanced_sample, transition_weights, score_step, model_comparison,
+    distance_to_barren, preview, stratified_sample, class_balanced_sample, transition_weights, score_step,
+    score_plain_step, neighbour_all, weighted_metrics, rolling_validation, training_weights, clipped, suitability_simulation, model_comparison,
     history_union, ca_markov_simulation, pooled_simulation, logistic_coefficients, forest_importance)}
 
 _CTES = {
@@ -279,5 +339,13 @@ SQL: dict[str, str] = {k: _sql(v) for k, v in {
     "transition_weights": "SELECT v_fit AS from_code, v_base AS to_code, available, sampled, round(available / sampled, 6) AS weight FROM (SELECT v_fit, v_base, count(*) AS available FROM g WHERE v_fit > 0 AND v_base > 0 GROUP BY ALL) JOIN (SELECT v_fit, v_base, count(*) AS sampled FROM st GROUP BY ALL) USING (v_fit, v_base)",
     "score_step": f"SELECT cell_id, v_base, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY v_base ORDER BY score DESC, cell_id) AS nth FROM (SELECT nb.cell_id, nb.v_base, round((0.9::DOUBLE * CASE WHEN n_valid > 0 THEN n8 / n_valid ELSE 0 END + 0.1::DOUBLE * s8::DOUBLE) / (0.9::DOUBLE + 0.1::DOUBLE) + 0.03::DOUBLE * ({E.draw_sql('nb.cell_id', 42, 1)}), 9) AS score FROM nb JOIN su USING (cell_id) WHERE nb.v_base IN (1, 2))) WHERE nth <= CASE v_base WHEN 1 THEN 200 ELSE 100 END",
     "model_comparison": "SELECT model, round(oa, 6) AS overall_accuracy, round(k, 6) AS kappa, round(oa - first_value(oa) OVER (ORDER BY nr), 6) AS delta_oa, round(k - first_value(k) OVER (ORDER BY nr), 6) AS delta_kappa FROM (SELECT 1 AS nr, 'persistence' AS model, oa, (oa - e) / (1 - e) AS k FROM ps, pe UNION ALL SELECT 2, 'markov', oa, kappa FROM ac)",
+    "score_plain_step": f"SELECT cell_id, v_base, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY v_base ORDER BY score DESC, cell_id) AS nth FROM (SELECT cell_id, v_base, round(CASE WHEN n_valid > 0 THEN n8 / n_valid ELSE 0 END + 0.03::DOUBLE * ({E.draw_sql('cell_id', 42, 1)}), 9) AS score FROM nb WHERE v_base IN (1, 2))) WHERE nth <= CASE v_base WHEN 1 THEN 200 ELSE 100 END",
+    "neighbour_all": "SELECT a.cell_id, " + ", ".join(f"round(CASE WHEN count(*) FILTER (b.v_base > 0) > 0 THEN count(*) FILTER (b.v_base = {k}) / count(*) FILTER (b.v_base > 0) ELSE 0 END, 6) AS frac_{k}" for k in range(1, 10)) + " FROM g a JOIN (VALUES (-2), (-1), (0), (1), (2)) i(dr) ON true JOIN (VALUES (-2), (-1), (0), (1), (2)) j(dc) ON dr <> 0 OR dc <> 0 LEFT JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc GROUP BY 1",
+    "training_weights": "SELECT cell_id, round(w, 6) AS weight, round(w / avg(w) OVER (), 6) AS train_weight FROM (SELECT st.cell_id, available / count(*) OVER (PARTITION BY st.v_fit, st.v_base) AS w FROM st JOIN (SELECT v_fit, v_base, count(*) AS available FROM g GROUP BY ALL) USING (v_fit, v_base))",
+    "clipped": "SELECT cell_id, CASE WHEN r BETWEEN 40 AND 899 AND c BETWEEN 2 AND 17 THEN v_base ELSE 0 END AS v_base FROM g",
     "history_union": " UNION ALL ".join("SELECT *, 'observed' AS source FROM (" + _SUMMARY.format(y=y, c=c) + ")" for y, c in ((2015, "v_fit"), (2020, "v_base"))) + " UNION ALL SELECT 2030, class_code, class_name, (SELECT count(*) FROM al WHERE allocated = class_code), round((SELECT count(*) FROM al WHERE allocated = class_code) * 0.0009, 6), 'projected' FROM dim",
 }.items()}
+
+_ACCURACY = SQL["accuracy"]
+SQL["weighted_metrics"] = _ACCURACY.replace(_CTES["cm"], _CTES["cm"].replace("allocated", "v_base").replace("count(*)", "sum(cell_id % 3 + 1)").replace("FROM al", "FROM g"))
+SQL["rolling_validation"] = _sql("SELECT 2015 AS fit_year, 2020 AS base_year, 2025 AS target_year, round(oa, 6) AS overall_accuracy, round(kappa, 6) AS kappa FROM ac").replace(E.draw_sql("cell_id", 42), E.draw_sql("cell_id", 42 + 2025))

@@ -131,6 +131,29 @@ def test_scenario():
     assert PROFILE.aligned(moved) and not PROFILE.aligned(moved, exact=True) and abs(PROFILE.pixel_area_km2() - 0.0009) < 1e-12
 
 
+def test_source_discovery(spark, tmp_path):
+    profile = Profile(4, 3, "EPSG:32651", (30.0, 0.0, 1.0, 0.0, -30.0, 2.0))
+    tables.write_profile(spark, profile, str(tmp_path / "night_2020.json"))
+    assert tables.read_profile(spark, str(tmp_path / "night_2020.json")) == profile
+    tables.write_profile(spark, profile, str(tmp_path / "night_2020_b.json"))
+    assert tables.find_one(spark, f"{tmp_path}/*2019*", f"{tmp_path}/*2020.json").endswith("night_2020.json")
+    assert tables.find_one(spark, f"{tmp_path}/*2020*", first=True).endswith("night_2020.json")
+    with pytest.raises(ValueError, match="2 files"):
+        tables.find_one(spark, f"{tmp_path}/*2020*")
+    with pytest.raises(FileNotFoundError):
+        tables.find_one(spark, f"{tmp_path}/*2019*")
+    features = spark.createDataFrame([("Alpha", None, "1"), (None, "ALPHA", None), ("Beta", "b", "7"), (None, None, None)], "a string, b string, code string")
+    assert tables.boundary(features, "alpha", ("a", "b")).count() == 2
+    assert tables.boundary(features, "alpha", ("a", "b"), "7").count() == 3
+
+
+def test_matrices_leave_out_other_codes(spark):
+    cells = spark.createDataFrame([(1, 1), (1, 0), (0, 2), (2, 17), (None, 1), (1, None), (9, 9)], "a int, b int")
+    got = {(r.from_code, r.to_code): r.n for r in crosstab.crosstab(cells, "a", "b").collect()}
+    assert len(got) == 81 and {k: n for k, n in got.items() if n} == {(1, 1): 1, (9, 9): 1}
+    assert {r.class_code: r.n for r in crosstab.class_counts(cells, "b").collect() if r.n} == {1: 2, 2: 1, 9: 1}
+
+
 def test_tables(spark, small, tmp_path):
     g = grid(spark, small)
     tables.write_cells(g, f"{tmp_path}/g", block_rows=4)
@@ -145,6 +168,6 @@ def test_tables(spark, small, tmp_path):
     assert [r.x for r in odd.collect()] == [0.0, 0.0, 0.0, 1.0, 0.4]
 
 
-@pytest.mark.parametrize("name", ["distance_to_barren", "pooled_simulation", "logistic_coefficients", "forest_importance"])
+@pytest.mark.parametrize("name", ["distance_to_barren", "pooled_simulation", "suitability_simulation", "logistic_coefficients", "forest_importance"])
 def test_other_queries_run(spark, name):
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
