@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terramark.llm import exact_dedup, language_id, mixing, sentencepiece, simhash
+from terramark.llm import exact_dedup, language_id, mixing, near_copies, sentencepiece
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +17,8 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs)
+    """One row of each group of five-word Jaccard similarity 0.8; op5 has its own, stricter rule."""
+    return near_copies.deduplicated(docs)
 
 
 def keep_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """`df` written with a key of its own for each row, __row."""
+    return written(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` behind a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

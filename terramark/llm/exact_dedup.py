@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import checkpointed, id_text, without_space, written
+from ._shared import checkpointed, id_text, keyed, without_space, written
 
 BUCKET_BYTES = 64 << 20
 MAX_DEPTH = 16
@@ -79,9 +79,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The rows of `docs` that stay, one of each group, with all their columns.
+
+    A row is told by its own key, since ids may repeat over different texts or be null.
+    """
+    rows = keyed(docs)
+    kept = exact_dedup(rows, id_col, text_col).filter("kept").select(
+        F.col("doc_id").alias("__kept_id"), F.unhex("text_sha256").alias("sha")).distinct()
+    ids = rows.select("__row", rows[id_col].cast("long").alias("__id"), F.coalesce(rows[text_col].cast("string"), F.lit("")).alias("__text")).select(
+        "__row", "__id", F.char_length("__text").alias("cps"), F.unhex(F.sha2(without_space(F.col("__text")), 256)).alias("sha"))
+    best = ids.join(kept, ids["__id"].eqNullSafe(F.col("__kept_id")) & (ids["sha"] == kept["sha"])).groupBy(kept["sha"]).agg(
+        F.min(F.struct((-F.col("cps")).alias("c"), "__row")).alias("best"))
+    return rows.join(best.select(F.col("best.__row").alias("__row")), "__row", "left_semi").drop("__row")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
