@@ -127,7 +127,10 @@ def distance_to_barren(s, d):
 
 
 def preview(s, d):
-    return tables.preview(cells(s, d).filter("r < 1500"), 1500, WIDTH, 500).select("pr", "pc", "cell_id", "v_base")
+    """The whole grid with at most 500 cells on its longer side."""
+    g = cells(s, d)
+    last = g.agg(F.max("r")).first()[0]
+    return tables.preview(g, 1 if last is None else last + 1, WIDTH, 500).select("pr", "pc", "cell_id", "v_base")
 
 
 def stratified_sample(s, d):
