@@ -41,10 +41,13 @@ PATTERNS = {
 #: Only texts with such a place are searched at all.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 MIN_SUPPORT, DISCLOSURE, TERM_LENGTH = 3, 0.8, (6, 40)
-#: Terms are broadcast up to this number (of at most 40 characters); beyond it they are joined.
-BROADCAST_TERMS = 200_000
+#: Terms are broadcast up to this number of bytes; beyond it they are joined.
+BROADCAST_BYTES = 8 << 20
 TERM_SPLIT = r"[\x20\x09-\x0D]+"
 TERM = r"^\p{L}[\p{L}\p{M}'-]*$"
+#: Without bounds of length, words of letters and digits.
+ANY_TERM = r"^[\p{L}\p{N}][\p{L}\p{M}\p{N}'-]*$"
+Bounds = tuple[int, int] | None
 
 
 def _digits(value: Column) -> Column:
@@ -99,14 +102,21 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.concat(*[kind_spans(k, F.col("text")) for k in KINDS]).alias("base"))
 
 
-def _terms(text: Column) -> Column:
-    low, high = TERM_LENGTH
-    words = F.transform(F.split(text, TERM_SPLIT), lambda w: F.lower(F.regexp_replace(w, r"^\P{L}++|\P{L}++$", "")))
-    return F.array_distinct(F.filter(words, lambda w: F.length(w).between(low, high) & w.rlike(TERM)))
+def _edges(bounds: Bounds) -> tuple[str, str]:
+    """The character classes of a term's first character, and of all that is stripped around it."""
+    return (r"\p{L}", r"\P{L}") if bounds else (r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]")
+
+
+def _terms(text: Column, bounds: Bounds = TERM_LENGTH) -> Column:
+    around = _edges(bounds)[1]
+    words = F.transform(F.split(text, TERM_SPLIT), lambda w: F.lower(F.regexp_replace(w, f"^{around}++|{around}++$", "")))
+    if bounds is None:
+        return F.array_distinct(F.filter(words, lambda w: w.rlike(ANY_TERM)))
+    return F.array_distinct(F.filter(words, lambda w: F.length(w).between(*bounds) & w.rlike(TERM)))
 
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT,
-                     disclosure: float = DISCLOSURE) -> DataFrame:
+                     disclosure: float = DISCLOSURE, bounds: Bounds = TERM_LENGTH) -> DataFrame:
     """(entity, term, disclosure) of all quasi identifiers.
 
     docs: doc_id and text of all documents; spans: the same of those that hold an entity; found:
@@ -115,12 +125,12 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, found: DataFrame, min_su
     n_docs = docs.count()
     recurring = written(found.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= min_support), "entities")
     holders = found.join(recurring, "entity").select("doc_id", "entity")
-    held = spans.join(holders, "doc_id").select("entity", F.explode(_terms(F.col("text"))).alias("term"))
+    held = spans.join(holders, "doc_id").select("entity", F.explode(_terms(F.col("text"), bounds)).alias("term"))
     pairs = held.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support)
     pairs = written(pairs.join(recurring, "entity"), "pairs")
     wanted = written(pairs.select("term").distinct(), "terms")
-    every = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
-    if wanted.count() <= BROADCAST_TERMS:  # few enough to sort out all other terms before the shuffle
+    every = docs.select(F.explode(_terms(F.col("text"), bounds)).alias("term"))
+    if (wanted.agg(F.sum(F.octet_length("term"))).first()[0] or 0) <= BROADCAST_BYTES:  # few enough to sort out all other terms before the shuffle
         every = every.join(F.broadcast(wanted), "term", "left_semi")
     counts = every.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
     information = F.log(F.col("n_both") * float(n_docs) / (F.col("n_term") * F.col("n_entity")))
@@ -130,34 +140,38 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, found: DataFrame, min_su
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT,
-             disclosure: float = DISCLOSURE) -> DataFrame:
+             disclosure: float = DISCLOSURE, bounds: Bounds = TERM_LENGTH) -> DataFrame:
     """One row per document: doc_id, text, base and terms (arrays of spans; a term's `value` is the
-    action, `remove` or `generalise`)."""
+    action, `remove` or `generalise`). With bounds None no length is a bound, and terms may hold digits."""
     texts = id_text(docs, id_col, text_col)
     found = base_spans(texts)
     spans = written(found.filter(F.size("base") > 0).select("doc_id", "text", "base"), "spans")
     owned = spans.filter("doc_id is not null").select("doc_id", F.explode("base").alias("s")).select("doc_id", F.col("s.value").alias("entity")).distinct()
-    quasi = written(disclosing_terms(texts, spans, owned, min_support, disclosure), "quasi")
+    quasi = written(disclosing_terms(texts, spans, owned, min_support, disclosure, bounds), "quasi")
     # The terms of a document are those of its entities.
     own = (owned.join(quasi, "entity").groupBy("doc_id", "term").agg(F.countDistinct("entity").alias("n"))
            .groupBy("doc_id").agg(F.collect_list(F.struct("term", F.when(F.col("n") > 1, "generalise").otherwise("remove").alias("action"))).alias("own")))
     with_own = spans.join(own, "doc_id", "left").withColumn(
         "terms", F.when(F.col("own").isNull(), F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)"))
-        .otherwise(term_spans(F.col("text"), F.map_from_entries(F.col("own")))))
+        .otherwise(term_spans(F.col("text"), F.map_from_entries(F.col("own")), bounds)))
+    # A part of a base span is no term of its own.
+    with_own = with_own.withColumn("terms", F.filter("terms", lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"]))))
     bare = texts.select("doc_id", "text", F.concat(*[kind_spans(k, F.col("text")) for k in KINDS]).alias("base")).filter(F.size("base") == 0)
     empty = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)")
     return with_own.select("doc_id", "text", "base", "terms").unionByName(bare.withColumn("terms", empty))
 
 
-def term_spans(text: Column, actions: Column) -> Column:
+def term_spans(text: Column, actions: Column, bounds: Bounds = TERM_LENGTH) -> Column:
     """Spans of the words whose stripped, lower-cased form is a key of `actions`."""
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)")
-    words = F.regexp_extract_all(text, F.lit(r"\p{L}[^\x20\x09-\x0D]*+"), F.lit(0))
-    pairs = F.arrays_zip(F.split(text, r"\p{L}[^\x20\x09-\x0D]*+", -1).alias("gap"), words.alias("word"))
+    first, around = _edges(bounds)
+    pattern = first + r"[^\x20\x09-\x0D]*+"
+    words = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), words.alias("word"))
 
     def add(state: Column, pair: Column) -> Column:
         begin = state["at"] + F.length(pair["gap"])
-        bare = F.regexp_replace(pair["word"], r"\P{L}++$", "")
+        bare = F.regexp_replace(pair["word"], f"{around}++$", "")
         action = actions[F.lower(bare)]
         span = F.struct(F.lit("term").alias("kind"), begin.alias("start"), (begin + F.length(bare)).alias("end"), action.alias("value"))
         return F.struct((begin + F.length(pair["word"])).alias("at"), F.when(action.isNull(), state["spans"]).otherwise(F.concat(state["spans"], F.array(span))).alias("spans"))
@@ -190,4 +204,4 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return digest(find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"), bounds=None))
