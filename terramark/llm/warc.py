@@ -28,14 +28,16 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "la
 
 def canonical_url(url: Column) -> Column:
     """Lower-cased host without www. and default port, no scheme, fragment, tracking parameters or
-    closing slash."""
+    closing slash. A URL of another scheme, or of none, is only trimmed."""
+    whole = F.trim(url)
     url = F.regexp_replace(F.trim(url), "#.*$", "")
     host = F.lower(F.regexp_extract(url, r"^(?i:https?)://([^/?]*)", 1))
     host = F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), ":(80|443)$", "")
     path = F.regexp_replace(F.regexp_extract(url, r"^(?i:https?)://[^/?]*([^?]*)", 1), "/+$", "")
     query = F.regexp_replace(F.concat(F.lit("&"), F.regexp_extract(url, r"\?(.*)$", 1)), r"&(utm_[^=&]*|ref|fbclid|gclid)(=[^&]*)?(?=&|$)", "")
     query = F.regexp_replace(query, "^&+", "")
-    return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    key = F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(whole.rlike("^(?i:https?)://"), key).otherwise(whole)
 
 
 def header_map(block: Column) -> Column:
