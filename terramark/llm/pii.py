@@ -15,13 +15,16 @@ identifier; in documents that hold the entity it becomes a span. `sanitised` gen
 that is known with several entities to the name of its kind, and removes one that gives away a
 single entity.
 
-Entities below the support can't have such terms, so only documents with a recurring entity are
-taken apart for the pairs; each term's own count then takes in all documents.
+The search cuts exactly. Disclosure of at least t is the same as n_term <= n_both * (n_docs /
+n_entity) ** (1 - t), and a term's count within the documents that hold entities is a lower bound
+of n_term: pairs that fail already with it never reach the scan of all documents. Entities of the
+same documents have the same counts with every term, so they are one class, and a list of thousands
+of addresses that is copied isn't paired with its words address by address.
 
 Defined cases: a null text counts as empty; documents without spans return empty strings and the
-digest of the empty string; a null id can't be told from another, so such rows have base spans
-alone; rows that repeat an id are counted one by one among
-a term's documents; extra columns are ignored.
+digest of the empty string; rows with a null id have base spans alone, but count among a term's
+documents; rows that repeat an id are documents of their own; very long texts are searched whole;
+extra columns are ignored, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -115,54 +118,90 @@ def _terms(text: Column, bounds: Bounds = TERM_LENGTH) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w).between(*bounds) & w.rlike(TERM)))
 
 
-def disclosing_terms(docs: DataFrame, spans: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT,
-                     disclosure: float = DISCLOSURE, bounds: Bounds = TERM_LENGTH) -> DataFrame:
-    """(entity, term, disclosure) of all quasi identifiers.
+def _bounded(df: DataFrame, column: str) -> DataFrame:
+    """`df` broadcast if its `column` is small enough, else as it is."""
+    small = (df.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
+    return F.broadcast(df) if small else df
 
-    docs: doc_id and text of all documents; spans: the same of those that hold an entity; found:
-    doc_id and entity, each pair once.
+
+def entity_classes(held: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """(__row, entity, n_entity, n_same): the recurring entities of each document.
+
+    Entities of the same documents (their number and 128 bits of their keys' hashes agree) are one
+    row, named by the smallest of them; n_same says how many they are.
+    """
+    owned = held.select("__row", F.explode("base").alias("s")).select("__row", F.col("s.value").alias("entity")).distinct()
+    known = owned.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("__row")).alias("x"), F.bit_xor(F.xxhash64("__row", F.lit(1))).alias("y"))
+    classes = written(known.filter(F.col("n_entity") >= min_support).groupBy("n_entity", "x", "y")
+                      .agg(F.min("entity").alias("entity"), F.count("*").alias("n_same")).drop("x", "y"), "classes")
+    return owned.join(_bounded(classes, "entity"), "entity")
+
+
+def disclosing_terms(docs: DataFrame, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE, bounds: Bounds = TERM_LENGTH) -> DataFrame:
+    """(__row, term, n): the quasi identifiers of each document and of how many of its entities.
+
+    docs: __row, doc_id, text and base (the spans) of all documents.
     """
     n_docs = docs.count()
-    recurring = written(found.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= min_support), "entities")
-    holders = found.join(recurring, "entity").select("doc_id", "entity")
-    held = spans.join(holders, "doc_id").select("entity", F.explode(_terms(F.col("text"), bounds)).alias("term"))
-    pairs = held.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support)
-    pairs = written(pairs.join(recurring, "entity"), "pairs")
+    held = docs.filter((F.size("base") > 0) & F.col("doc_id").isNotNull())
+    owners = written(entity_classes(held, min_support), "owners")
+    most = lambda n_both: n_both * F.pow(float(n_docs) / F.col("n_entity"), 1.0 - disclosure) * (1 + 1e-9)
+    limit = owners.agg(F.max(most(F.col("n_entity")))).first()[0] or 0.0
+    terms = held.join(owners.select("__row").distinct(), "__row", "left_semi").select("__row", F.explode(_terms(F.col("text"), bounds)).alias("term"))
+    rare = written(terms.groupBy("term").agg(F.count("*").alias("n_held")).filter(F.col("n_held").between(min_support, limit)), "rare")
+    own = written(terms.join(_bounded(rare, "term"), "term"), "own")
+    pairs = own.join(owners, "__row").filter(F.col("n_held") <= most(F.col("n_entity"))).groupBy("entity", "term").agg(
+        F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_held").alias("n_held"))
+    pairs = written(pairs.filter((F.col("n_both") >= min_support) & (F.col("n_held") <= most(F.col("n_both")))), "pairs")
     wanted = written(pairs.select("term").distinct(), "terms")
     every = docs.select(F.explode(_terms(F.col("text"), bounds)).alias("term"))
-    if (wanted.agg(F.sum(F.octet_length("term"))).first()[0] or 0) <= BROADCAST_BYTES:  # few enough to sort out all other terms before the shuffle
-        every = every.join(F.broadcast(wanted), "term", "left_semi")
+    small = _bounded(wanted, "term")
+    if small is not wanted:  # few enough to sort out all other terms before the shuffle
+        every = every.join(small, "term", "left_semi")
     counts = every.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
     information = F.log(F.col("n_both") * float(n_docs) / (F.col("n_term") * F.col("n_entity")))
     share = information / F.greatest(-F.log(F.col("n_entity") / float(n_docs)), F.lit(1e-12))
-    return pairs.join(counts, "term").withColumn("disclosure", share).filter(
-        (F.col("disclosure") >= disclosure) & (F.col("n_entity") < n_docs)).select("entity", "term", "disclosure")
+    quasi = written(pairs.join(counts, "term").filter((share >= disclosure) & (F.col("n_entity") < n_docs)).select("entity", "term"), "quasi")
+    return own.join(owners, "__row").join(quasi, ["entity", "term"]).groupBy("__row", "term").agg(F.sum("n_same").alias("n"))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT,
              disclosure: float = DISCLOSURE, bounds: Bounds = TERM_LENGTH) -> DataFrame:
     """One row per document: doc_id, text, base and terms (arrays of spans; a term's `value` is the
     action, `remove` or `generalise`). With bounds None no length is a bound, and terms may hold digits."""
-    texts = id_text(docs, id_col, text_col)
-    found = base_spans(texts)
-    spans = written(found.filter(F.size("base") > 0).select("doc_id", "text", "base"), "spans")
-    owned = spans.filter("doc_id is not null").select("doc_id", F.explode("base").alias("s")).select("doc_id", F.col("s.value").alias("entity")).distinct()
-    quasi = written(disclosing_terms(texts, spans, owned, min_support, disclosure, bounds), "quasi")
-    # The terms of a document are those of its entities.
-    own = (owned.join(quasi, "entity").groupBy("doc_id", "term").agg(F.countDistinct("entity").alias("n"))
-           .groupBy("doc_id").agg(F.collect_list(F.struct("term", F.when(F.col("n") > 1, "generalise").otherwise("remove").alias("action"))).alias("own")))
-    with_own = spans.join(own, "doc_id", "left").withColumn(
-        "terms", F.when(F.col("own").isNull(), F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)"))
-        .otherwise(term_spans(F.col("text"), F.map_from_entries(F.col("own")), bounds)))
-    # A part of a base span is no term of its own.
-    with_own = with_own.withColumn("terms", F.filter("terms", lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"]))))
-    bare = texts.select("doc_id", "text", F.concat(*[kind_spans(k, F.col("text")) for k in KINDS]).alias("base")).filter(F.size("base") == 0)
-    empty = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)")
-    return with_own.select("doc_id", "text", "base", "terms").unionByName(bare.withColumn("terms", empty))
+    found = written(base_spans(id_text(docs, id_col, text_col)).withColumn("__row", F.monotonically_increasing_id()), "spans")
+    own = disclosing_terms(found, min_support, disclosure, bounds).groupBy("__row").agg(
+        F.collect_list(F.struct("term", F.when(F.col("n") > 1, "generalise").otherwise("remove").alias("action"))).alias("own"))
+    none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)")
+    owning = written(found.filter(F.size("base") > 0).join(own, "__row", "left").withColumn("own", F.map_from_entries("own")), "owning")
+    spans = owning.withColumn("terms", F.when(F.col("own").isNull(), none).otherwise(term_spans(F.col("text"), F.col("own"), bounds)))
+    # Written, since the digest reads the arrays several times and Spark would find the spans anew each time.
+    spans = written(spans.withColumn("terms", apart("base", "terms")).select("doc_id", "text", "base", "terms"), "found")
+    bare = found.filter(F.size("base") == 0).withColumn("terms", none)
+    return spans.unionByName(bare.select("doc_id", "text", "base", "terms"))
+
+
+def apart(base: str, terms: str) -> Column:
+    """The spans of `terms` that overlap none of `base`, in two passes over both in order."""
+    def marked(name: str | Column, own: bool) -> Column:
+        return F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s.alias("span")))
+
+    def swept(events: Column, edge: int, clear, moved) -> Column:
+        start = F.struct(F.lit(edge).alias("edge"), F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)").alias("kept"))
+        return F.aggregate(events, start, lambda acc, e: F.struct(
+            F.when(e["own"], acc["edge"]).otherwise(moved(acc["edge"], e)).alias("edge"),
+            F.when(e["own"] & clear(acc["edge"], e), F.concat(acc["kept"], F.array(e["span"]))).otherwise(acc["kept"]).alias("kept")), lambda acc: acc["kept"])
+
+    ahead = swept(F.array_sort(F.concat(marked(base, False), marked(terms, True))), 0,
+                  lambda edge, e: e["start"] >= edge, lambda edge, e: F.greatest(edge, e["end"]))
+    back = swept(F.reverse(F.array_sort(F.concat(marked(base, False), marked(ahead, True)))), 2**31 - 1,
+                 lambda edge, e: e["end"] <= edge, lambda edge, e: F.least(edge, e["start"]))
+    return F.reverse(back)
 
 
 def term_spans(text: Column, actions: Column, bounds: Bounds = TERM_LENGTH) -> Column:
-    """Spans of the words whose stripped, lower-cased form is a key of `actions`."""
+    """Spans of the words whose stripped, lower-cased form is a key of `actions`, a column of its own
+    (an expression would be built again for each word)."""
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)")
     first, around = _edges(bounds)
     pattern = first + r"[^\x20\x09-\x0D]*+"
@@ -176,31 +215,59 @@ def term_spans(text: Column, actions: Column, bounds: Bounds = TERM_LENGTH) -> C
         span = F.struct(F.lit("term").alias("kind"), begin.alias("start"), (begin + F.length(bare)).alias("end"), action.alias("value"))
         return F.struct((begin + F.length(pair["word"])).alias("at"), F.when(action.isNull(), state["spans"]).otherwise(F.concat(state["spans"], F.array(span))).alias("spans"))
 
-    return F.aggregate(F.filter(pairs, lambda p: p["word"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda s: s["spans"])
+    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    return F.aggregate(F.filter(pairs, lambda p: p["word"].isNotNull()), start, add, lambda s: s["spans"])
 
 
-def sanitised(found: DataFrame) -> DataFrame:
-    """(doc_id, clean) of find_pii's rows: base spans become [kind], terms [term] or nothing."""
+def kind_name(value: Column) -> Column:
+    """What a term is generalised to: the kind of word it is."""
+    return (F.when(value.rlike(r"^[\p{N}'-]+$"), "[number]").when(value.rlike(r"\p{N}"), "[code]")
+            .when(value.rlike(r"^\p{Lu}"), "[name]").otherwise("[word]"))
+
+
+def with_clean_text(found: DataFrame, block: int = 256) -> DataFrame:
+    """find_pii's rows with `clean`: base spans as [kind], terms generalised or removed.
+
+    A text is taken apart into blocks of code points once: a piece is then found among a few
+    blocks, not by counting from the start of the text.
+    """
     every = F.array_sort(F.concat(
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), s["kind"], F.lit("]")).alias("put"))),
-        F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["value"] == "remove", "").otherwise("[term]").alias("put")))))
+        F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["value"] == "remove", "").alias("put")))))
+    # Where no later span reaches back: each span goes on from the largest end before it.
+    ends = F.aggregate("__every", F.expr("cast(array(0) as array<int>)"), lambda acc, s: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), s["end"]))))
+
+    def piece(start: Column, end: Column) -> Column:
+        first = F.floor(start / block).cast("int")
+        some = F.array_join(F.slice("__blocks", first + 1, F.floor((F.greatest(end, start + 1) - 1) / block).cast("int") - first + 1), "")
+        return F.substring(some, start % block + 1, end - start)
+
+    def put(s: Column, i: Column) -> Column:
+        at = F.get("__ends", i)
+        return F.when(s["start"] >= at, F.concat(piece(at, s["start"]), F.coalesce(s["put"], kind_name(piece(s["start"], s["end"]))))).otherwise("")
 
-    def add(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        return F.struct(F.when(fresh, s["end"]).otherwise(F.greatest(state["at"], s["end"])).alias("at"),
-                        F.when(fresh, F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]), s["put"])).otherwise(state["out"]).alias("out"))
+    rows = found.withColumn("__every", every).withColumn("__blocks", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))
+    rows = rows.withColumn("__ends", ends)
+    rest = F.substring(F.col("text"), F.element_at("__ends", -1) + 1, F.length("text"))
+    clean = F.concat(F.array_join(F.transform("__every", put), ""), rest)
+    return rows.withColumn("clean", F.when(F.size("base") == 0, F.col("text")).otherwise(clean)).drop("__every", "__blocks", "__ends")
 
-    end = lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
-    return found.select("doc_id", F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, end).alias("clean"))
+
+def sanitised(found: DataFrame) -> DataFrame:
+    """(doc_id, clean) of find_pii's rows."""
+    return with_clean_text(found).select("doc_id", "clean")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of find_pii's rows."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of find_pii's rows, then the number
+    of terms removed and generalised and the digest of the sanitised text."""
     write = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    done = lambda action: F.size(F.filter("terms", lambda s: s["value"] == action)).cast("long")
     counts = [count(k).alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(write(F.col("base")), 256).alias("base_sha256"),
-                        write(F.concat("base", "terms")).alias("spans"))
+    return with_clean_text(found).select("doc_id", *counts, F.sha2(write(F.col("base")), 256).alias("base_sha256"),
+                        write(F.concat("base", "terms")).alias("spans"), done("remove").alias("terms_removed"),
+                        done("generalise").alias("terms_generalised"), F.sha2("clean", 256).alias("clean_sha256"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
