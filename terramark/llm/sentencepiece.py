@@ -1,7 +1,10 @@
 r"""SentencePiece encoding and decoding: unigram Viterbi over a double-array trie.
 
-The vocabulary (pieces with scores) is read once on the driver from a model file whose path is a
-parameter; the trie's arrays are broadcast, bounded by the vocabulary. Blanks become the marker
+The vocabulary is read once on the driver from a model file whose path is a parameter; the trie's
+arrays are broadcast, bounded by the vocabulary. A unigram model's scores are used as they are. A
+model of merges has ranks in their place, whose sums mean nothing: its pieces get the logarithm of
+their probability under Zipf's law for their rank, so that the best path is the likeliest
+segmentation under that law. Nothing is trained. Blanks become the marker
 U+2581 and a marker is put in front; since no piece has a marker behind another character, each
 run of markers with the characters up to the next marker can be segmented by itself, and the best
 segmentation of the whole text is the chain of theirs. Characters that no piece covers cost the
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 import re
 from collections.abc import Iterable
 
@@ -32,7 +36,7 @@ UNKNOWN_PENALTY = 10.0
 #: Words of up to so many bytes are segmented side by side, longer ones one by one.
 SIDE_BY_SIDE = (12, 20, 36, 64)
 #: A worker forgets the words it has segmented when there are more than so many.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
 
 
 def double_array(keys: list[tuple[bytes, int]]) -> tuple[list[int], list[int], list[int]]:
@@ -77,16 +81,25 @@ def double_array(keys: list[tuple[bytes, int]]) -> tuple[list[int], list[int], l
     return base, check, value
 
 
+def zipf_scores(ranks: list[float], kinds: list[str]) -> list[float]:
+    """log(1 / (k * sum of all 1 / i)) for the k-th normal piece by descending score; others 0."""
+    order = sorted((i for i, k in enumerate(kinds) if k == "normal"), key=lambda i: (-ranks[i], i))
+    total = math.log(sum(1 / (k + 1) for k in range(len(order)))) if order else 0.0
+    scores = [0.0] * len(ranks)
+    for k, i in enumerate(order):
+        scores[i] = -math.log(k + 1) - total
+    return scores
+
+
 class Vocabulary:
-    """Pieces, scores and the trie, as plain lists."""
+    """Pieces, scores and the trie."""
 
     def __init__(self, pieces: list[str], scores: list[float], kinds: list[str]):
         """kinds: normal, byte or other (control, unknown and unused pieces)."""
         if any(MARK in p.lstrip(MARK) for p, k in zip(pieces, kinds) if k == "normal"):
             raise ValueError("a piece has a marker behind another character")
         normal = [(p.encode(), i) for i, (p, k) in enumerate(zip(pieces, kinds)) if k == "normal" and p]
-        self.scores = scores
-        self.base, self.check, self.value = double_array(normal)
+        self.scores = list(scores)
         self.unknown = min((scores[i] for _, i in normal), default=0.0) - UNKNOWN_PENALTY
         self.byte_ids = [-1] * 256
         self.raw: list[bytes | None] = [None] * len(pieces)
@@ -98,7 +111,7 @@ class Vocabulary:
                 self.raw[i] = p.replace(MARK, " ").encode()
         if min(self.byte_ids) < 0:
             raise ValueError("byte fallback needs a piece for each byte")
-        self.arrays = tuple(np.array(x + [-1] * 300, np.int32) for x in (self.base, self.check, self.value))
+        self.arrays = tuple(np.array(x + [-1] * 300, np.int32) for x in double_array(normal))
         self.score_array = np.array(scores)
         self.byte_array = np.array(self.byte_ids, np.int32)
         raw = [r or b"" for r in self.raw]
@@ -114,16 +127,20 @@ class Vocabulary:
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(m.get_piece_size())
         kinds = ["byte" if m.is_byte(i) else "other" if m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else "normal" for i in ids]
-        return cls([m.id_to_piece(i) for i in ids], [m.get_score(i) for i in ids], kinds)
+        scores = [m.get_score(i) for i in ids]
+        # Log probabilities add up to one over the normal pieces; ranks are whole numbers down to minus thousands.
+        if sum(math.exp(x) for x, k in zip(scores, kinds) if k == "normal") > 1.5 or all(x == int(x) for x in scores):
+            scores = zipf_scores(scores, kinds)
+        return cls([m.id_to_piece(i) for i in ids], scores, kinds)
 
     def best_path(self, word: str) -> tuple[int, ...]:
         """Viterbi: the pieces of the highest sum of scores; earlier starts win ties."""
         data = word.encode()
-        n, base, check, value, scores = len(data), self.base, self.check, self.value, self.scores
+        n, scores = len(data), self.scores
+        base, check, value = (memoryview(x) for x in self.arrays)
         best: list[float | None] = [None] * (n + 1)
         back, piece = [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
-        end_of_table = len(check)
         i = 0
         while i < n:
             first = data[i]
@@ -131,7 +148,7 @@ class Vocabulary:
             here, s, single = best[i], 0, False
             for j in range(i, n):
                 t = base[s] + data[j] + 1
-                if t >= end_of_table or check[t] != s:
+                if check[t] != s:
                     break
                 s = t
                 v = value[s]
