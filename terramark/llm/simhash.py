@@ -4,14 +4,15 @@ Fingerprints: A-Z lower-cased, words `[^\x20\x09-\x0D]+`, 3-word shingles with r
 one space (fewer words: the whole sequence; none: fingerprint zero), XXH64 with seed 42; a bit of
 the fingerprint is 1 if it is set in over half of the hashes.
 
-Links: the anchors are the words of a product of repetition codes: 64 bits fall into `blocks`
-blocks, and a fingerprint's home anchor takes each block's majority bit, which is the nearest
-code word, within the covering radius. A fingerprint also visits every anchor that a fingerprint
-at most `distance` bits away can have as its home (within covering radius plus threshold), so a
-pair always meets at the home of one of them. Only distinct fingerprints are replicated; inside
-an anchor a breadth-first search joins linked fingerprints and gives a star, never all pairs.
-The number of blocks follows the number of distinct fingerprints, so an anchor is home to about
-`home_size` of them at every size.
+Links: the anchors are the words of the binary Golay code, a perfect code of 23 bits and covering
+radius 3: each block of 23 bits has one nearest word, its home. A fingerprint also visits every
+anchor that a fingerprint at most `distance` bits away can have as its home, that is those within
+covering radius plus threshold, so a pair always meets at the home of one of them. The first block
+alone makes 4096 anchors; an anchor that is home to more than `home_size` fingerprints is split by
+the words of the second block, and then of the third (the last 18 bits), with what is left of the
+threshold. A fingerprint thus has the same number of visits at any size until anchors are overfull.
+Only distinct fingerprints are replicated; inside an anchor a breadth-first search joins linked
+fingerprints by as many links as there are fingerprints, never all pairs.
 
 Defined cases: a null text has no words; repeated rows and equal fingerprints belong together;
 null ids take part, but the component's name is the smallest id that isn't null; other columns
@@ -20,8 +21,8 @@ are ignored, whatever their names; an empty table gives none.
 
 from __future__ import annotations
 
+import functools
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,11 @@ from pyspark.sql import types as T
 from ._shared import components, id_text, short_batches, written
 
 DISTANCE = 3
-HOME_SIZE = 64
+HOME_SIZE = 4096
+#: Length and covering radius of the code, and its generator polynomial.
+BITS, RADIUS, GENERATOR = 23, 3, 0b101011100011
+#: First bit of each block of the fingerprint.
+BLOCKS = (0, 23, 46)
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -62,75 +67,113 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series([_signed(fingerprint(t)) for t in texts], dtype="int64")
 
 
-def block_widths(blocks: int) -> list[int]:
-    return [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
+def _remainder(x: np.ndarray) -> np.ndarray:
+    """The syndrome: what is left of words divided by the generator."""
+    x = x.astype(np.int64)
+    for k in range(BITS - 1, 10, -1):
+        x = np.where(x >> k & 1, x ^ (GENERATOR << (k - 11)), x)
+    return x
 
 
-def visits(fps: np.ndarray, blocks: int, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor, is home) of each visit of each fingerprint, to anchors up to its own home.
+@functools.lru_cache(maxsize=4)
+def _patterns(distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each syndrome, where its patterns begin; the patterns of up to RADIUS + distance bits,
+    and how many bits of the threshold each costs. The first pattern of a syndrome costs none."""
+    words = [0]
+    for n in range(1, RADIUS + distance + 1):
+        words += [sum(1 << k for k in some) for some in itertools.combinations(range(BITS), n)]
+    word = np.array(words, np.int64)
+    syndrome = _remainder(word)
+    order = np.argsort(syndrome, kind="stable")
+    cost = np.maximum(0, np.bitwise_count(word).astype(np.int64) - RADIUS)
+    return np.searchsorted(syndrome[order], np.arange(2049)), word[order], cost[order]
 
-    Flipping a block's majority costs a known number of bits; sets of blocks whose costs add
-    up to at most `distance` give the anchors. Of two fingerprints the one with the larger home
-    visits the other's home, so visits to anchors beyond the own home aren't needed.
+
+def home_anchors(fps: np.ndarray, level: int, distance: int = DISTANCE) -> np.ndarray:
+    """The message bits of the nearest code word of a block."""
+    start, word, _ = _patterns(distance)
+    block = (fps >> np.uint64(BLOCKS[level]) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    return (block ^ word[start[_remainder(block)]]) >> 11
+
+
+def visits(fps: np.ndarray, anchor: np.ndarray, left: np.ndarray, home: np.ndarray, level: int,
+           distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, left of the threshold, is home) of each visit, one level further down.
+
+    Of two fingerprints at home in one anchor so far, the one with the larger home visits the
+    other's, so such visits go to anchors below the own home only; guests visit all in reach.
     """
-    cost, home, at = [], np.zeros(len(fps), np.int64), 0
-    for k, width in enumerate(block_widths(blocks)):
-        ones = np.bitwise_count((fps >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
-        major = ones > width // 2
-        cost.append(np.where(major, ones - width // 2, width // 2 + 1 - ones))
-        home |= major.astype(np.int64) << k
-        at += width
-    rows, anchors = [np.arange(len(fps))], [home]
-    for size in range(1, distance + 1):
-        for some in itertools.combinations(range(blocks), size):
-            row = np.flatnonzero(sum(cost[k] for k in some) <= distance)
-            anchor = home[row] ^ sum(1 << k for k in some)
-            low = anchor < home[row]
-            rows.append(row[low])
-            anchors.append(anchor[low])
-    row, anchor = np.concatenate(rows), np.concatenate(anchors)
-    return row, anchor, np.arange(len(row)) < len(fps)
+    start, word, cost = _patterns(distance)
+    block = (fps >> np.uint64(BLOCKS[level]) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    syndrome = _remainder(block)
+    times = start[syndrome + 1] - start[syndrome]
+    row = np.repeat(np.arange(len(fps)), times)
+    at = np.repeat(start[syndrome] - np.cumsum(times) + times, times) + np.arange(len(row))
+    own = (block ^ word[start[syndrome]]) >> 11
+    code = (block[row] ^ word[at]) >> 11
+    rest = left[row] - cost[at]
+    is_home = home[row] & (code == own[row])
+    fits = (rest >= 0) & (is_home | ~home[row] | (code < own[row]))
+    row, code, rest, is_home = row[fits], code[fits], rest[fits], is_home[fits]
+    return row, anchor[row] | code + 1 << 13 * level, rest, is_home
 
 
 def stars(fps: np.ndarray, home: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """(member, root) for each component of the links between a home fingerprint and any other."""
+    """Links (from, to) that join all linked fingerprints, each of a home fingerprint and any other."""
     edges: list[tuple[int, int]] = []
     guests, homes = fps[~home], fps[home]
     while len(homes):
-        root, queue, homes = homes[0], [(homes[0], True)], homes[1:]
+        queue, homes = [(homes[0], True)], homes[1:]
         while queue:
             x, at_home = queue.pop()
             near = np.bitwise_count(homes ^ x) <= distance
             if near.any():
                 queue += [(y, True) for y in homes[near]]
-                edges += [(y, root) for y in homes[near]]
+                edges += [(y, x) for y in homes[near]]
                 homes = homes[~near]
             if at_home:
                 near = np.bitwise_count(guests ^ x) <= distance
                 if near.any():
                     queue += [(y, False) for y in guests[near]]
-                    edges += [(y, root) for y in guests[near]]
+                    edges += [(y, x) for y in guests[near]]
                     guests = guests[~near]
     return edges
 
 
 def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, home_size: int = HOME_SIZE) -> DataFrame:
-    """Stars (src, dst) that join all linked fingerprints; `fps` holds distinct ones as `fp`."""
-    n = fps.count()
-    blocks = min(30, max(4, round(math.log2(max(1, n / home_size)))))
-
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            own = b["fp"].to_numpy(np.int64)
-            row, anchor, at_home = visits(own.view(np.uint64), blocks, distance)
-            yield pd.DataFrame({"anchor": anchor, "fp": own[row], "home": at_home})
+    """Links (src, dst) that join all linked fingerprints; `fps` holds distinct ones as `fp`."""
+    schema = "anchor long, fp long, left_bits long, home boolean"
+
+    def sent(level: int):
+        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                own, n = b["fp"].to_numpy(np.int64), len(b)
+                before = (b["anchor"].to_numpy(np.int64), b["left_bits"].to_numpy(np.int64), b["home"].to_numpy(bool)) if level else (
+                    np.zeros(n, np.int64), np.full(n, distance), np.ones(n, bool))
+                row, anchor, left, home = visits(own.view(np.uint64), *before, level, distance)
+                yield pd.DataFrame({"anchor": anchor, "fp": own[row], "left_bits": left, "home": home})
+        return send
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
         found = stars(b["fp"].to_numpy(np.int64).view(np.uint64), b["home"].to_numpy(bool), distance)
         return pd.DataFrame(np.array(found, np.uint64).reshape(-1, 2).view(np.int64), columns=["src", "dst"])
 
-    sent = fps.mapInPandas(send, "anchor long, fp long, home boolean")
-    return sent.groupBy("anchor").applyInPandas(compare, "src long, dst long")
+    @F.pandas_udf("long")
+    def first_home(fp: pd.Series) -> pd.Series:
+        return pd.Series(home_anchors(fp.to_numpy(np.int64).view(np.uint64), 0, distance) + 1)
+
+    now = fps.select("fp").mapInPandas(sent(0), schema)
+    homes = fps.select(first_home("fp").alias("anchor"))
+    done = []
+    for level in range(1, len(BLOCKS)):
+        full = written(homes.groupBy("anchor").count().filter(F.col("count") > home_size).select("anchor"), "overfull")
+        if full.isEmpty():
+            break
+        done.append(now.join(full, "anchor", "left_anti"))
+        now = written(now.join(full, "anchor", "left_semi").mapInPandas(sent(level), schema), "visits")
+        homes = now.filter("home").select("anchor")
+    every = functools.reduce(DataFrame.unionByName, [*done, now])
+    return every.select("anchor", "fp", "home").groupBy("anchor").applyInPandas(compare, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -17,7 +17,7 @@ def rows(spark, texts, schema=SCHEMA):
 
 def test_exact_dedup_cases(spark):
     texts = [(1, "a b"), (2, "ab"), (3, " a\tb "), (4, None), (5, ""), (6, " \x0b"), (7, "abc"), (8, "a b"),
-             (9, "x" * 200_000), (10, "x " * 200_000), (None, "abc"), (11, "a b"), (-5, "neg"), (-6, "neg")] + [(100 + i, "hot copy") for i in range(60)]
+             (9, "x" * 200_000), (10, "x " * 200_000), (None, "abc"), (11, "a b"), (-5, "neg"), (-6, "neg"), (2**63 - 1, "top"), (None, "top"), (-2**63, "low"), (3**20, "low")] + [(100 + i, "hot copy") for i in range(60)]
     got = {(r.doc_id, r.text_sha256): r for r in exact_dedup.exact_dedup(rows(spark, texts), bucket_bytes=8).collect()}
     assert len(got) == len(texts)
     groups = {}
@@ -76,7 +76,7 @@ def test_simhash_matches_brute_force(spark):
         texts.append(" ".join(words[:-1] + ["neu"]))
     texts += [None, "", " \t", "a", "A", "a b", "a\nb", "Ä b c d"] + ["same text here now"] * 9
     docs = list(enumerate(texts))
-    got = {r.doc_id: r for r in simhash.near_duplicates(rows(spark, docs), home_size=4).collect()}
+    got = {r.doc_id: r for r in simhash.near_duplicates(rows(spark, docs), home_size=2).collect()}
     prints = {i: brute_print(t) for i, t in docs}
     comp = brute_components(prints)
     assert {i: r.fingerprint for i, r in got.items()} == {i: f"{p:016x}" for i, p in prints.items()}
@@ -96,8 +96,13 @@ def test_anchors_lose_no_link(spark):
                 x ^= 1 << int(k)
             fps.append(x)
     fps = np.array(sorted(set(fps)), np.uint64)
-    for blocks in (4, 9, 14):
-        row, anchor, home = simhash.visits(fps, blocks, 3)
+    n = len(fps)
+    for levels in (1, 2, 3):
+        row, anchor, left, home = np.arange(n), np.zeros(n, np.int64), np.full(n, 3), np.ones(n, bool)
+        for level in range(levels):
+            at, anchor, left, home = simhash.visits(fps[row], anchor, left, home, level)
+            row = row[at]
+        assert home.sum() == n
         root = {int(f): int(f) for f in fps}
 
         def top(x):
@@ -105,8 +110,10 @@ def test_anchors_lose_no_link(spark):
                 x = root[x]
             return x
 
-        for a in np.unique(anchor):
-            at = anchor == a
+        order = np.argsort(anchor, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(anchor[order])) + 1):
+            if len(at) == 1:
+                continue
             for m, r in simhash.stars(fps[row[at]], home[at], 3):
                 root[top(int(m))] = top(int(r))
         far = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
@@ -120,3 +127,10 @@ def test_anchors_lose_no_link(spark):
                 b = want[b]
             want[a] = b
         assert len({top(int(f)) for f in fps}) == sum(want[k] == k for k in want)
+
+
+def test_each_word_has_one_home():
+    """The code is perfect: every pattern of up to three bits has a syndrome of its own."""
+    start, word, cost = simhash._patterns(3)
+    assert (np.add.reduceat(cost == 0, start[:-1]) == 1).all() and (cost[start[:-1]] == 0).all()
+    assert (np.bitwise_count(word[start[:-1]]) <= simhash.RADIUS).all()
