@@ -10,6 +10,8 @@ Texts are equal when identical after deleting every character of [\x20\x09-\x0D]
    are compared and different texts of one hash stay apart. Spark combines copies before the
    shuffle, so a text that fills a third of the table is one row per task.
 4. *Owners*: tasks own ranges of buckets and chain the entries of one hash.
+5. *Lookup*: each document finds its slot in the directory, by it the bucket, and there the entry of
+   its chain.
 
 Defined cases: a null text counts as empty; empty texts are equal to each other and to texts of
 white space alone. Of equal texts the one with the most code points in the original, then the
@@ -52,7 +54,7 @@ def directory(postings: DataFrame, bucket_bytes: int = BUCKET_BYTES, max_depth:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 bucket_bytes: int = BUCKET_BYTES, max_depth: int = MAX_DEPTH) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain_no."""
-    last, base = F.lit(2**63 - 1), F.lit(str(2**64)).cast("decimal(20,0)")
+    last, base = F.lit(str(2**63)).cast("decimal(20,0)"), F.lit(str(2**65)).cast("decimal(20,0)")
     texts = id_text(docs, id_col, text_col).select(
         "doc_id", F.char_length("text").alias("cps"), without_space(F.col("text")).alias("bytes"),
     ).withColumn("h", F.xxhash64("bytes"))
@@ -63,17 +65,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Most code points first, then the smallest id, as one number: it can be aggregated in place.
     order = (F.col("cps").cast("decimal(10,0)") * base
-             + (last.cast("decimal(20,0)") - F.coalesce("doc_id", last))).cast("decimal(38,0)")
+             + F.coalesce(last - F.col("doc_id"), F.lit(0))).cast("decimal(38,0)")
     entries = written(
         texts.withColumn("slot", _slot(max_depth)).join(F.broadcast(slots), "slot")
         .groupBy("bucket", "h", "bytes").agg(F.count("*").alias("group_size"), F.max(order).alias("best"))
         .select("bucket", "h", F.unhex(F.sha2("bytes", 256)).alias("sha"), "group_size",
-                (last.cast("decimal(20,0)") - F.col("best") % base).cast("long").alias("keep_id")),
+                F.when(F.col("best") % base > 0, last - F.col("best") % base).cast("long").alias("keep_id")),
         "entries")
     chain = Window.partitionBy("bucket", "h").orderBy("sha")
     owned = entries.repartitionByRange("bucket").withColumn("chain_no", F.row_number().over(chain))
-    owned = owned.withColumn("keep_id", F.when(F.col("keep_id") != last, F.col("keep_id")))
-    return postings.join(owned, ["h", "sha"]).select(
+    asked = postings.withColumn("slot", _slot(max_depth)).join(F.broadcast(slots.select("slot", "bucket")), "slot")
+    return asked.join(owned, ["bucket", "h", "sha"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "chain_no")
 
