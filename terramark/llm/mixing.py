@@ -1,9 +1,11 @@
 r"""Mixing sources to target weights by iterative proportional fitting. [native]
 
-Token counts are added up for each cell (source, language, topic). The marginals' targets are the
-token shares raised to a power below one and scaled to one again, so that rare sources, languages
-and topics count for more. Raking scales the cells to the three marginals in turn; the ratio of a
-cell's raked to its counted tokens, times a common factor, is the probability with which its
+Token counts are added up for each cell (source, language, topic). The marginals' targets are given
+as tables of values and shares; where none is given they are the token shares raised to a power
+below one and scaled to one again, so that rare sources, languages and topics count for more.
+Raking scales the cells to the three marginals in turn until the largest difference of a share from
+its target is at most `tolerance`, or for `rounds` rounds (`residual` tells what is left: targets
+that the cells in use can't meet together leave some). The ratio of a cell's raked to its counted tokens, times a common factor, is the probability with which its
 documents are sampled. The factor is set so that `keep_share` of all tokens are expected, with
 probabilities held to one. A document is kept if a uniform number from the MD5 of its id lies
 below its probability, so the sample doesn't depend on partitioning.
@@ -52,38 +54,66 @@ def described(docs: DataFrame) -> DataFrame:
         "doc_id", "source", "lang", F.expr(TOPICS).alias("topic"), "n_tokens")
 
 
-def raked(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS,
-          keep_share: float = KEEP_SHARE) -> DataFrame:
-    """(source, lang, topic, tokens, weight, probability): one row per cell.
+def _targets(spark: SparkSession, cells: DataFrame, k: str, power: float, given: dict[str, float] | DataFrame | None) -> DataFrame:
+    """(k, t): shares of the values in use, which add up to one."""
+    used = cells.groupBy(k).agg(F.sum("tokens").cast("double").alias("__n"))
+    if given is None:
+        every = used.agg(F.sum("__n").alias("__all"))
+        found = used.crossJoin(F.broadcast(every)).withColumn("t", F.pow(F.col("__n") / F.col("__all"), F.lit(power)))
+    else:
+        shares = given if isinstance(given, DataFrame) else spark.createDataFrame([(v, float(x)) for v, x in given.items()], f"{k} string, t double")
+        found = used.join(shares.groupBy(k).agg(F.sum("t").alias("t")), k, "left").withColumn("t", F.coalesce("t", F.lit(0.0)))
+    whole = found.agg(F.sum("t").alias("__sum"))
+    return found.crossJoin(F.broadcast(whole)).select(k, F.when(F.col("__sum") > 0, F.col("t") / F.col("__sum")).otherwise(0.0).alias(f"t_{k}"))
 
-    There are as many rows as combinations in use, not as documents: they sit in one partition,
-    where the windows of all rounds need no shuffle.
+
+def residual(now: DataFrame, keys: list[str]) -> float:
+    """The largest difference of a value's share of the weight from its target."""
+    total = now.agg(F.sum("weight")).first()[0] or 0.0
+    if not total:
+        return 0.0
+    parts = [now.groupBy(k).agg((F.sum("weight") / total).alias("w"), F.first(f"t_{k}").alias("t")).agg(F.max(F.abs(F.col("w") - F.col("t")))).first()[0] for k in keys]
+    return max(parts)
+
+
+def raked(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, keep_share: float = KEEP_SHARE,
+          targets: dict[str, dict[str, float] | DataFrame] | None = None, tolerance: float = 0.0) -> DataFrame:
+    """(source, lang, topic, tokens, weight, probability): one row per cell with tokens.
+
+    Up to BROADCAST_CELLS cells sit in one partition, where the sums of all rounds need no shuffle.
+    More are spread: sums are combined in each task before their shuffle, and joined back.
     """
-    every, now = Window.partitionBy(), cells
-    for k, power in powers.items():
-        share = F.sum("tokens").over(Window.partitionBy(k)) / F.sum("tokens").over(every)
-        now = now.withColumn(f"t_{k}", F.pow(share, F.lit(power)))
-    for k in powers:  # each value of k once: by its share of the rows of its value
-        once = F.col(f"t_{k}") / F.count("*").over(Window.partitionBy(k))
-        now = now.withColumn(f"n_{k}", F.sum(once).over(every))
-        now = now.withColumn(f"t_{k}", F.col(f"t_{k}") / F.col(f"n_{k}")).drop(f"n_{k}")
-    total = F.sum("tokens").over(every)
-    now = now.withColumn("total", total.cast("double")).withColumn("weight", F.col("tokens").cast("double"))
-    now = checkpointed(now.filter("tokens > 0").coalesce(1))
+    spark, keys = cells.sparkSession, list(powers)
+    few = cells.count() <= BROADCAST_CELLS
+    gathered = (lambda d: d.coalesce(1)) if few else (lambda d: d)
+
+    def summed(now: DataFrame, k: str) -> DataFrame:
+        if few:
+            return now.withColumn("__held", F.sum("weight").over(Window.partitionBy(k)))
+        return now.join(now.groupBy(k).agg(F.sum("weight").alias("__held")), k)
+
+    now = cells.filter("tokens > 0")
+    for k in keys:
+        now = now.join(_targets(spark, cells.filter("tokens > 0"), k, powers[k], (targets or {}).get(k)), k)
+    now = checkpointed(gathered(now.withColumn("weight", F.col("tokens").cast("double"))))
+    total = float(now.agg(F.sum("tokens")).first()[0] or 0)
     for i in range(rounds):
-        now = now.coalesce(1)
-        for k in powers:
-            held = F.sum("weight").over(Window.partitionBy(k))
-            now = now.withColumn("weight", F.col("weight") * F.col(f"t_{k}") * F.col("total") / held)
-        if i % 4 == 3 or i == rounds - 1:
+        now = gathered(now)
+        for k in keys:
+            held = F.col("__held")
+            now = summed(now, k).withColumn("weight", F.when(held > 0, F.col("weight") * F.col(f"t_{k}") * total / held).otherwise(0.0)).drop("__held")
+        if not few or i % 4 == 3 or i == rounds - 1:
             now = checkpointed(now)
-    now = now.coalesce(1).withColumn("f", F.lit(keep_share))
+            if tolerance > 0 and residual(now, keys) <= tolerance:
+                break
+    factor = keep_share
     for _ in range(CAP_ROUNDS):
-        full = F.col("f") * F.col("weight") >= F.col("tokens")
-        taken = F.sum(F.when(full, F.col("tokens")).otherwise(0)).over(every)
-        rest = F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).over(every)
-        now = now.withColumn("f", F.when(rest > 0, (keep_share * F.col("total") - taken) / rest).otherwise(F.col("f")))
-    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("f") * F.col("weight") / F.col("tokens")))
+        full = factor * F.col("weight") >= F.col("tokens")
+        taken, rest = now.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        if not rest or not rest > 0:
+            break
+        factor = (keep_share * total - taken) / rest
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), factor * F.col("weight") / F.col("tokens")))
     return checkpointed(now.select("source", "lang", "topic", "tokens", "weight", p.alias("probability")))
 
 
@@ -99,20 +129,23 @@ def with_cells(docs: DataFrame, cells: DataFrame, seed: int = SEED) -> DataFrame
     return found.withColumn("probability", p).withColumn("kept", _draw(F.col("doc_id"), seed) < F.col("probability"))
 
 
-def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS,
-        keep_share: float = KEEP_SHARE, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, source, lang, topic, n_tokens, weight, probability, kept."""
+def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, keep_share: float = KEEP_SHARE, seed: int = SEED,
+        targets: dict[str, dict[str, float] | DataFrame] | None = None, tolerance: float = 0.0) -> DataFrame:
+    """One row per document: doc_id, source, lang, topic, n_tokens, weight, probability, kept.
+
+    targets: for source, lang or topic the wanted shares, as {value: share} or a table of the value and t.
+    """
     rows = written(described(docs), "described")
-    cells = checkpointed(rows.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")).coalesce(1))
-    return with_cells(rows, raked(cells, powers, rounds, keep_share), seed).select(
+    cells = checkpointed(rows.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")))
+    return with_cells(rows, raked(cells, powers, rounds, keep_share, targets, tolerance), seed).select(
         "doc_id", "source", "lang", "topic", "n_tokens",
         F.round(F.coalesce("weight", F.lit(0.0)) / F.greatest("tokens", F.lit(1)), 6).alias("weight"),
         F.round("probability", 6).alias("probability"), "kept")
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """The sampled rows of `docs`, with all their columns."""
-    kept = mix(docs).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The sampled rows of `docs`, with all their columns; options as in `mix`."""
+    kept = mix(docs, **options).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
 
 

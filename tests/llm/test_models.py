@@ -62,6 +62,22 @@ def test_mixing_meets_its_marginals(spark):
     assert abs((rows.n_tokens * rows.kept).sum() / rows.n_tokens.sum() - mixing.KEEP_SHARE) < 0.06
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_mixing_meets_given_targets(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", few)
+    shares = {"source": {"a": 0.7, "b": 0.2, "c": 0.1}, "lang": {"x": 0.4, "y": 0.6}, "topic": {"p": 0.5, "q": 0.5}}
+    rng = np.random.default_rng(9)
+    cells = [(s, l, t, int(rng.integers(1, 500))) for s in "abc" for l in "xy" for t in "pq"] + [("z", "x", "p", 80), ("a", "x", "p0", 0)]
+    frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    given = shares | {"lang": spark.createDataFrame(list(shares["lang"].items()), "lang string, t double")}
+    got = mixing.raked(frame, rounds=200 if few else 8, targets=given, tolerance=1e-9 if few else 1e-3).toPandas()
+    assert len(got) == 13 and got.probability.between(0, 1).all()
+    for k, want in shares.items():
+        held = got.groupby(k).weight.sum() / got.weight.sum()
+        assert all(abs(held.get(v, 0) - x) < (1e-6 if few else 0.02) for v, x in want.items())
+    assert got[got.source == "z"].weight.sum() == 0 and abs((got.probability * got.tokens).sum() / got.tokens.sum() - 0.5) < 0.01
+
+
 def test_mixing_cases(spark):
     odd = [(1, None, None, None, 0), (2, "", "en", "s", 0), (3, "a b", None, "s", 3), (3, "a b", None, "s", 3), (None, "x", "en", None, 1)]
     got = mixing.mix(spark.createDataFrame(odd, SCHEMA)).collect()
