@@ -1,19 +1,27 @@
 r"""The pipeline's near-dedup: five-word shingles, exact Jaccard similarity of at least 0.8.
 
-Five-word SimHash fingerprints of such pairs differ by some ten bits of 64, too many for a
-covering code to tell them from strangers; so candidates come from min-hashes, and every candidate
-pair is checked on its shingles. Words and case as in simhash.py.
-
-1. *Signatures*: BANDS hashes of RUN min-hashes each. A pair of similarity s shares one with
-   probability 1 - (1 - s**RUN)**BANDS: over 0.9999 at 0.8, and more above.
+SimHash fingerprints of such pairs differ by some ten bits of 64, too many for a covering code to
+tell them from strangers; at three bits the anchors of simhash.py find the closest copies, and
+min-hashes add the others. Every candidate pair is checked on its shingles. Words and case as in
+simhash.py.
+
+1. *Signatures*: a fingerprint, BANDS hashes of RUN min-hashes each, and a byte of the first SKETCH
+   min-hashes. A pair of similarity s shares a band with probability 1 - (1 - s**RUN)**BANDS: over
+   0.9998 at 0.8, and more above; strangers with half their shingles in common do so in one case of eight.
 2. *Classes*: rows of equal shingle sets (by 64 bits and number) are one node.
-3. *First round*: each node against the first of its band. Nodes near that one are done.
+3. *First round*: links of the anchors, and each node against the first and the last of its band.
+   Nodes near those are done.
 4. *Second round*: a node that isn't linked with the first of its band against all others of the
    band whose sizes allow the similarity and that aren't linked with it yet. No pair is left out.
 5. *Rows*: of each component the row with the smallest id stays (nulls last), told by a row key, so
    that repeated or null ids are no hindrance.
 
-Shingles are compared by 64 bits of hash. Texts without words are one class.
+Before its shingles are compared, a pair must agree in LEAST bytes of the sketch: at similarity 0.8
+that is over four standard deviations below the mean. Shingles are compared by 64 bits of hash.
+
+Defined cases: null texts and texts without words are one class; texts of fewer than five words are
+one shingle; repeated rows are one class; very long texts are taken whole; an empty table stays
+empty; other columns pass through, whatever their names, but for `__row`, the row's key.
 """
 
 from __future__ import annotations
@@ -28,13 +36,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import components, keyed, short_batches, written
+from .simhash import fingerprint_links
 
-WORDS, BANDS, RUN = 5, 32, 6
+WORDS, BANDS, RUN, SKETCH, LEAST = 5, 64, 9, 192, 130
 #: Similarity 4/5: 9 * common >= 4 * (n_a + n_b).
 SAME = "9 * common >= 4 * (a_n + b_n)"
 SIZES = "5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)"
 _FACTORS = np.random.default_rng(42).integers(1, 1 << 63, (BANDS * RUN, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+_SIGNATURE = T.StructType([T.StructField("digest", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()),
+                           T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The distinct hashes of a text's shingles, in order (fewer words: the whole sequence)."""
@@ -47,22 +59,43 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([h(joined[a:b - 1], 42) for a, b in zip([0, *ends], ends[words - 1:] or ends[-1:])], np.uint64))
 
 
-def bands(found: np.ndarray) -> list[int]:
-    """The hashes of the bands of a shingle set."""
+def min_hashes(found: np.ndarray) -> np.ndarray:
     low = np.full(BANDS * RUN, np.iinfo(np.uint64).max)
-    for at in range(0, len(found), 512):
-        low = np.minimum(low, (found[at:at + 512] * _FACTORS).min(axis=1))
-    low = low.reshape(BANDS, RUN)
-    return [xxhash.xxh64_intdigest(low[k].tobytes(), k) for k in range(BANDS)] if len(found) else []
+    for at in range(0, len(found), 256):
+        low = np.minimum(low, (found[at:at + 256] * _FACTORS).min(axis=1))
+    return low
+
+
+def bands(low: np.ndarray) -> list[int]:
+    """The hashes of the bands of min-hashes."""
+    return [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, RUN))]
+
 
+def fingerprint_of(found: np.ndarray) -> np.int64:
+    """The SimHash of a set of shingles."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), 1 << 16):
+        ones += np.unpackbits(found[at:at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(found)).view(">i8")[0].astype(np.int64)
 
-@F.pandas_udf(T.StructType([T.StructField("digest", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+
+@F.pandas_udf(_SIGNATURE)
 def _signatures(texts: pd.Series) -> pd.DataFrame:
     out = []
     for t in texts:
         found = shingles(t)
-        out.append((np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64), len(found), np.array(bands(found), np.uint64).view(np.int64)))
-    return pd.DataFrame(out, columns=["digest", "n", "bands"])
+        low = min_hashes(found)
+        own = np.array(bands(low) if len(found) else [], np.uint64).view(np.int64)
+        sketch = (low[:SKETCH] >> np.uint64(40)).astype(np.uint8).tobytes()
+        out.append((np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64), len(found), fingerprint_of(found), own, sketch))
+    return pd.DataFrame(out, columns=["digest", "n", "fp", "bands", "sketch"])
+
+
+@F.pandas_udf(T.IntegerType())
+def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How many bytes of two sketches agree."""
+    flat = lambda x: np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1)
+    return pd.Series((flat(a) == flat(b)).sum(axis=1).astype(np.int32) if len(a) else np.zeros(0, np.int32))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -70,12 +103,14 @@ def _shingle_sets(texts: pd.Series) -> pd.Series:
     return pd.Series([shingles(t).view(np.int64) for t in texts], dtype=object)
 
 
-def similar(pairs: DataFrame, rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """Those (a, b) of `pairs` whose shingle sets have the similarity; each is a row's key."""
-    pairs = written(pairs, "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("__row")).distinct()
+def similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """Those (a, b) of `pairs` whose shingle sets have the similarity; each is a node's key."""
+    of = lambda k: nodes.select(F.col("node").alias(k), F.col("sketch").alias(f"{k}_sketch"))
+    likely = pairs.distinct().join(of("a"), "a").join(of("b"), "b").filter(_agreeing("a_sketch", "b_sketch") >= LEAST)
+    likely = written(likely.select("a", "b"), "pairs")
+    asked = likely.select(F.explode(F.array("a", "b")).alias("__row")).distinct()
     sets = written(rows.join(asked, "__row", "left_semi").select("__row", _shingle_sets(F.col(text_col).cast("string")).alias("s")), "sets")
-    both = (pairs.join(sets.select(F.col("__row").alias("b"), F.col("s").alias("t")), "b")
+    both = (likely.join(sets.select(F.col("__row").alias("b"), F.col("s").alias("t")), "b")
             .join(sets.select(F.col("__row").alias("a"), "s"), "a"))
     sized = both.select("a", "b", F.size("s").alias("a_n"), F.size("t").alias("b_n"), F.size(F.array_intersect("s", "t")).alias("common"))
     return written(sized.filter(SAME).select(F.col("a").alias("src"), F.col("b").alias("dst")), "similar")
@@ -85,25 +120,34 @@ def groups(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(__row, id, component) for each of `rows`, which have a key __row."""
     prints = written(rows.select("__row", rows[id_col].cast("long").alias("id"), _signatures(F.col(text_col).cast("string")).alias("p"))
                      .select("__row", "id", "p.*"), "signatures")
-    nodes = written(prints.groupBy("digest", "n").agg(F.min("__row").alias("node"), F.first("bands").alias("bands")), "nodes")
-    entries = nodes.select("node", "n", F.explode("bands").alias("h"))
-    firsts = entries.groupBy("h").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("members")).filter("members > 1")
-    hits = written(entries.join(firsts, "h").select("h", "node", "n", F.col("first.node").alias("first"), F.col("first.n").alias("first_n")), "hits")
-    near = similar(hits.filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("first_n").alias("a_n"), F.col("n").alias("b_n"))
-                   .filter(SIZES).select("a", "b").distinct(), rows, text_col)
+    first = prints.groupBy("digest", "n").agg(F.min("__row").alias("__row"))
+    nodes = written(prints.join(first.select("__row"), "__row", "left_semi").withColumnRenamed("__row", "node").drop("id"), "nodes")
+
+    fps = written(nodes.filter("n > 0").groupBy("fp").agg(F.min(F.struct("node", "n")).alias("low")), "fps")
+    low = lambda k: fps.select(F.col("fp").alias(k), F.col("low").alias(f"{k}_low"))
+    close = fingerprint_links(fps.select("fp")).join(low("src"), "src").join(low("dst"), "dst").select(
+        F.col("src_low.node").alias("a"), F.col("dst_low.node").alias("b"), F.col("src_low.n").alias("a_n"), F.col("dst_low.n").alias("b_n"))
+    same = nodes.join(fps, "fp").filter("node != low.node").select(F.col("low.node").alias("a"), F.col("node").alias("b"), F.col("low.n").alias("a_n"), F.col("n").alias("b_n"))
 
-    linked = components(near)
-    named = hits.join(linked, "node", "left").select("h", "node", "n", "first", F.coalesce("component", "node").alias("own"))
+    entries = nodes.select("node", "n", F.explode("bands").alias("h"))
+    ends = entries.groupBy("h").agg(F.min(F.struct("node", "n")).alias("first"), F.max(F.struct("node", "n")).alias("last"), F.count("*").alias("members"))
+    hits = written(entries.join(ends.filter("members > 1"), "h"), "hits")
+    with_end = lambda k: hits.filter(f"node != {k}.node").select(F.col(f"{k}.node").alias("a"), F.col("node").alias("b"), F.col(f"{k}.n").alias("a_n"), F.col("n").alias("b_n"))
+    asked = close.unionByName(same).unionByName(with_end("first")).unionByName(with_end("last")).filter(SIZES)
+    near = similar(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), nodes, rows, text_col)
+
+    linked = written(components(near), "linked")
+    named = hits.select("h", "node", "n", F.col("first.node").alias("first")).join(linked, "node", "left").select(
+        "h", "node", "n", "first", F.coalesce("component", "node").alias("own"))
     tops = named.filter("node = first").select("h", F.col("own").alias("top"))
-    named = written(named.join(tops, "h"), "named")
-    left = named.filter("own != top").select("h", F.col("node").alias("x"), F.col("n").alias("a_n"), F.col("own").alias("x_own"))
+    left = written(named.join(tops, "h").filter("own != top").select("h", F.col("node").alias("x"), F.col("n").alias("a_n"), F.col("own").alias("x_own")), "left")
     right = named.filter("node != first").select("h", F.col("node").alias("y"), F.col("n").alias("b_n"), F.col("own").alias("y_own"))
     more = similar(left.join(right, "h").filter("x != y and x_own != y_own").filter(SIZES)
-                   .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), rows, text_col)
+                   .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), nodes, rows, text_col)
 
     found = components(near.unionByName(more))
     whole = nodes.join(found, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component"))
-    return prints.join(whole, ["digest", "n"]).select("__row", "id", "component")
+    return prints.select("__row", "id", "digest", "n").join(whole, ["digest", "n"]).select("__row", "id", "component")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
