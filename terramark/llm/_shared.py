@@ -15,10 +15,13 @@ BATCH_ROWS = 500
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is missing (as in tests) an own folder is made and set.
+    Only where that setting is missing on a local master (as in tests) an own folder is made and
+    set; on a cluster its absence is an error, since executors can't read the driver's disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="terramark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext.getCheckpointDir():

@@ -170,7 +170,7 @@ def _send(shared, bits: int, buckets: int, words: int):
         low = doc[np.searchsorted(group, np.arange(group[-1] + 1))]
         gone = doc > low[group]
         none = np.zeros(0, np.uint8)
-        rows = [_row(chunk % buckets, chunk, True, none, none, doc[gone], mark[gone], place[gone])] if gone.any() else []
+        rows = [_row(((chunk >> 32) * 7919 + (chunk & 0xFFFFFFFF)) % buckets, chunk, True, none, none, doc[gone], mark[gone], place[gone])] if gone.any() else []
         a, b, doc, mark, place = (x[~gone] for x in (a, b, doc, mark, place))
         to = (a >> np.uint64(20)).astype(np.int64) % buckets
         for k in np.unique(to):

@@ -3,29 +3,35 @@ r"""Suffix-array dedup: a multi-document BWT with common prefixes, built column
 Texts are UTF-8 bytes; a byte goes if some 400-byte string over it also starts anywhere else.
 
 1. *Pieces*: in each 400-byte string the 32-byte gram of smallest hash (the leftmost of equal
-   ones) is its anchor; it depends on the string alone. The strings of one anchor place lie in one
-   piece of the text, at most 768 bytes, and equal strings lie in pieces of equal anchors. Pieces
-   whose anchor a count-min sketch of all anchors estimates as single can't hold a repeat.
-2. *Collections*: the other pieces go to buckets by their anchor's hash, equal pieces of a chunk
-   once with the number of copies. A bucket's pieces are a collection of documents.
+   ones) is its anchor; it depends on the string alone. The strings of one anchor place with a part
+   of the possible lefts (bytes before the anchor) lie in one piece of the text and have the bytes
+   of its key in common: 216 or more around the anchor. Equal strings lie in pieces of equal keys.
+   Pieces whose key a count-min sketch of all keys estimates as single can't hold a repeat.
+2. *Collections*: the other pieces go to buckets by their key's hash, equal pieces of a chunk once
+   with the number of copies. Pieces of a bucket of more than BUCKET_BYTES are cut in half by their
+   lefts, with longer keys, as often as it takes: a passage in a million contexts thus ends as
+   pieces that either differ in their keys, and spread, or are equal, and are one in each chunk.
+   A bucket's pieces are a collection of documents.
 3. *Construction*: each round inserts one symbol for each document, from its end on: the rows of
    the transform (the symbol before each suffix) move by the last-to-first mapping, and a row's
    common prefix with the one above is one more than the least between the two rows it comes
-   from. A symbol is a block of BLOCK bytes, on a grid fixed by the anchor, one document for each
-   phase of the grid; so 400 / BLOCK symbols in common are 400 bytes in common.
+   from. A symbol is BLOCK bytes themselves (no hash), on a grid fixed by the anchor, one document
+   for each phase of the grid; so 400 / BLOCK symbols in common are 400 equal bytes.
 4. *Removal*: strings with such a neighbour, or of a piece with copies, go back to the chunk, and
    become runs of bytes for each document, joined to the texts.
 
-A collection is bounded by its bucket (a few MB), so a round hands its transform and prefixes to
-the next in memory, not in files. Blocks are told apart by 64 bits of hash.
+A collection is a few MB, so a round hands its transform and prefixes to the next in memory, not in
+external files. Hashes choose candidates and buckets alone; what is removed is compared by bytes.
 
-Defined cases: a null text counts as empty; texts under 400 bytes lose only nothing; equal texts
-of 400 bytes or more lose everything, repeated rows too; null ids are allowed; other columns are
+Defined cases: a null text counts as empty; texts under 400 bytes lose nothing; equal texts
+of 400 bytes or more lose everything, repeated rows too; very long texts are taken whole; of ties
+none stays, since every copy of a string goes; null ids are allowed; other columns are
 ignored. Cuts may fall inside a character, so what remains is given as bytes.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -36,10 +42,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import short_batches
+from ._shared import short_batches, written
 from .substring_dedup import NULL_ID, marked_texts, seen_twice, sketch
 
-LENGTH, GRAM, BLOCK = 400, 32, 200
+LENGTH, GRAM, BLOCK = 400, 32, 16
+#: Bytes of pieces in a bucket beyond which they are cut.
+BUCKET_BYTES = 4 << 20
 MAX_CELLS = 1 << 28
 #: Bytes of pieces that a chunk gathers before it is sent.
 CHUNK_BYTES = 24 << 20
@@ -81,14 +89,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(texts: list[str], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(all bytes, anchor hash, start, strings, anchor's offset, text number, text start) of the
-    pieces: `strings` places from `start` on share the anchor."""
+    """(all bytes, key's hash, start, strings, anchor's offset, text number, text start, least left, most
+    left) of the pieces: `strings` places from `start` on share the anchor, with lefts in that range."""
     coded = [t.encode() for t in texts]
     sizes = np.array([len(c) for c in coded], np.int64)
     data = np.frombuffer(b"".join(coded), np.uint8)
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return data, np.zeros(0, np.uint64), none, none, none, none, none
+        return data, np.zeros(0, np.uint64), none, none, none, none, none, none, none
     h = rolling(data, gram)
     low = np.uint64((1 << 26) - 1)
     best = sliding_min((h & ~low) | (np.arange(len(h), dtype=np.uint64) & low), length - gram + 1)
@@ -102,7 +110,32 @@ def pieces(texts: list[str], length: int = LENGTH, gram: int = GRAM) -> tuple[np
     new[1:] &= ~inside[:-1] | (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
     start = np.flatnonzero(new)
     count = np.diff(np.append(np.flatnonzero(new[inside]), inside.sum()))
-    return data, h[anchor[start]], start, count, anchor[start] - start, owner[start], (ends - sizes)[owner[start]]
+    offset, middle = anchor[start] - start, (length - gram) // 2
+    cut = np.clip(offset - middle, 0, count)  # the strings before it have more than `middle` bytes before the anchor
+    hashes = {0: rolling(data, length - middle), 1: rolling(data, length - (length - gram) + middle + 1)}
+    parts = []
+    for side, low, high, first, n in ((0, 0, middle, cut, count - cut), (1, middle + 1, length - gram, np.zeros_like(cut), cut)):
+        at = np.flatnonzero(n > 0)
+        key = hashes[side][anchor[start[at]] - low] ^ np.uint64(side)
+        o = owner[start[at]]
+        parts.append((key, (start + first)[at], n[at], (offset - first)[at], o, (ends - sizes)[o], np.full(len(at), low), np.full(len(at), high)))
+    return data, *(np.concatenate(x) for x in zip(*parts))
+
+
+def block_ranks(data: np.ndarray, block: int) -> np.ndarray:
+    """The rank of the block of bytes at each place among all blocks, by its bytes."""
+    n = len(data) - block + 1
+    eight = np.zeros(len(data) - 7, np.uint64)
+    for k in range(8):
+        eight = eight << np.uint64(8) | data[k:len(data) - 7 + k].astype(np.uint64)
+    words = [eight[k:k + n] for k in range(0, block, 8)]
+    order = np.lexsort(words[::-1])
+    new = np.zeros(n, bool)
+    for w in words:
+        new[1:] |= w[order[1:]] != w[order[:-1]]
+    out = np.empty(n, np.int32)
+    out[order] = np.cumsum(new)
+    return out
 
 
 def repeated_strings(collection: list[bytes], strings: np.ndarray, offset: np.ndarray,
@@ -116,7 +149,7 @@ def repeated_strings(collection: list[bytes], strings: np.ndarray, offset: np.nd
         return [np.zeros(0, np.int64) for _ in collection]
     sizes = np.array([len(c) for c in collection])
     begin = np.cumsum(sizes) - sizes
-    _, symbol = np.unique(rolling(data, block), return_inverse=True)
+    symbol = block_ranks(data, block)
     # One document for each piece and phase; it ends with the piece's last whole block.
     piece = np.repeat(np.arange(len(sizes)), block)
     first = (offset[piece] + np.tile(np.arange(block), len(sizes))) % block
@@ -135,8 +168,9 @@ def repeated_strings(collection: list[bytes], strings: np.ndarray, offset: np.nd
     row = np.arange(docs)
     active = np.arange(docs)
     while len(active):
-        order = np.argsort(bwt, kind="stable")
-        order = order[np.searchsorted(bwt[order], 0):]
+        order = np.flatnonzero(bwt >= 0)
+        for shift in (0, 16):  # numpy sorts 16 bits by radix
+            order = order[np.argsort((bwt[order] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
         mapped = np.zeros(len(bwt), np.int64)
         mapped[order] = docs + np.arange(len(order))
         # Least common prefix between the rows that two neighbours come from, by a sparse table.
@@ -176,59 +210,88 @@ def repeated_strings(collection: list[bytes], strings: np.ndarray, offset: np.nd
     return np.split(where[order], np.searchsorted(owner[order], np.arange(1, len(collection))))
 
 
-_SENT = "bucket int, chunk long, bytes binary, facts binary, owners binary"
+_SENT = "bucket long, chunk long, size long, bytes binary, facts binary, owners binary"
 
 
-def _send(shared, bits: int, buckets: int):
-    def flush(held: dict, chunk: int) -> pd.DataFrame:
-        rows: dict[int, tuple[list, list, list]] = {}
-        for (h, piece, strings, offset), owners in held.items():
-            b, f, o = rows.setdefault(h % buckets, ([], [], []))
-            b.append(piece)
-            f.append((len(piece), strings, offset, len(owners)))
-            o += owners
-        return pd.DataFrame([(k, chunk, b"".join(b), np.array(f, np.int32).tobytes(), np.array(o, np.int64).tobytes()) for k, (b, f, o) in rows.items()],
-                            columns=[c.split()[0] for c in _SENT.split(", ")])
+def _rows(held: dict, chunk: int, buckets: int, level: int) -> pd.DataFrame:
+    """The pieces of a chunk by bucket; held: the owners of each (key's hash, bytes, strings, offset, low, high)."""
+    rows: dict[int, tuple[list, list, list]] = {}
+    for (h, piece, strings, offset, low, high), owners in held.items():
+        b, f, o = rows.setdefault(h % buckets + level * buckets, ([], [], []))
+        b.append(piece)
+        f.append((len(piece), strings, offset, len(owners), low, high))
+        o += owners
+    return pd.DataFrame([(k, chunk, sum(map(len, b)), b"".join(b), np.array(f, np.int32).tobytes(), np.array(o, np.int64).tobytes()) for k, (b, f, o) in rows.items()],
+                        columns=[c.split()[0] for c in _SENT.split(", ")])
+
 
+def _send(shared, bits: int, buckets: int):
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, list] = {}
         size, chunk = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            data, h, start, count, offset, owner, text_start = pieces(list(batch["text"]))
+            data, h, *facts = pieces(list(batch["text"]))
             doc, mark = batch["doc_id"].to_numpy(np.int64), batch["mark"].to_numpy(np.int64)
             raw = data.tobytes()
             at = np.flatnonzero(seen_twice(shared.value, h, bits))
-            for x, s, c, o, t, b in zip(h[at].tolist(), start[at].tolist(), count[at].tolist(), offset[at].tolist(), owner[at].tolist(), text_start[at].tolist()):
+            for x, s, c, o, t, b, low, high in zip(h[at].tolist(), *(f[at].tolist() for f in facts)):
                 piece = raw[s:s + c + LENGTH - 1]
-                owners = held.setdefault((x, piece, c, o), [])
+                owners = held.setdefault((x, piece, c, o, low, high), [])
                 owners.append((doc[t], mark[t], s - b))
                 size += len(piece) if len(owners) == 1 else 24
             if size > CHUNK_BYTES:
-                yield flush(held, chunk)
+                yield _rows(held, chunk, buckets, 0)
                 held, size, chunk = {}, 0, chunk + 1
         if held:
-            yield flush(held, chunk)
+            yield _rows(held, chunk, buckets, 0)
 
     return send
 
 
+def _read(r) -> Iterator[tuple[bytes, int, int, np.ndarray, int, int]]:
+    """(bytes, strings, offset, owners, low, high) of each piece of a row."""
+    at = done = 0
+    owners = np.frombuffer(r.owners, np.int64).reshape(-1, 3)
+    for n, strings, offset, k, low, high in np.frombuffer(r.facts, np.int32).reshape(-1, 6).tolist():
+        yield r.bytes[at:at + n], strings, offset, owners[done:done + k], low, high
+        at, done = at + n, done + k
+
+
+def _halves(buckets: int, level: int):
+    """Each piece as two, of the strings with the smaller and those with the larger lefts."""
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                held: dict[tuple, list] = {}
+                for piece, strings, offset, owners, low, high in _read(r):
+                    middle = (low + high) // 2
+                    at = min(max(offset - middle, 0), strings)  # strings before it have larger lefts
+                    for first, n, a, z in ((at, strings - at, low, middle), (0, at, middle + 1, high)):
+                        if n > 0:
+                            part, o = piece[first:first + n + LENGTH - 1], offset - first
+                            key = hashlib.blake2b(part[o - a:o + LENGTH - z], digest_size=8, key=z.to_bytes(2, "big")).digest()
+                            held.setdefault((int.from_bytes(key, "big"), part, n, o, a, z), []).extend(owners + np.array([0, 0, first]))
+                if held:
+                    yield _rows(held, r.chunk, buckets, level)
+
+    return cut
+
+
 def _decide(b: pd.DataFrame) -> pd.DataFrame:
     """In a bucket: the repeated strings' runs, for the chunk of each owner."""
     number: dict[tuple, int] = {}
     copies: list[int] = []
     asked = []
     for r in b.itertuples():
-        facts = np.frombuffer(r.facts, np.int32).reshape(-1, 4)
-        at = 0
-        mine = []
-        for n, strings, offset, owners in facts.tolist():
-            k = number.setdefault((r.bytes[at:at + n], strings, offset), len(number))
+        mine, times = [], []
+        for piece, strings, offset, owners, _, _ in _read(r):
+            k = number.setdefault((piece, strings, offset), len(number))
             if k == len(copies):
                 copies.append(0)
-            copies[k] += owners
+            copies[k] += len(owners)
             mine.append(k)
-            at += n
-        asked.append((r.chunk, np.repeat(mine, facts[:, 3]), np.frombuffer(r.owners, np.int64).reshape(-1, 3)))
+            times.append(len(owners))
+        asked.append((r.chunk, np.repeat(mine, times), np.frombuffer(r.owners, np.int64).reshape(-1, 3)))
     strings = np.array([k[1] for k in number])
     found = repeated_strings([k[0] for k in number], strings, np.array([k[2] for k in number]))
     runs = []
@@ -254,28 +317,36 @@ def _spans(b: pd.DataFrame) -> pd.DataFrame:
     doc, mark, start, end = doc[order], mark[order], start[order], end[order]
     head = np.ones(len(doc), bool)
     head[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])
-    # Runs come from pieces in order, each reaching further than the last, so ends rise too.
+    # Strings are of one length, so runs in order of their starts that lie within another end before it.
+    reach = np.maximum.accumulate(end + np.cumsum(head) * (1 << 40)) - np.cumsum(head) * (1 << 40)
     new = head.copy()
-    new[1:] |= start[1:] > end[:-1]
+    new[1:] |= start[1:] > reach[:-1]
     first = np.flatnonzero(new)
-    rows = pd.DataFrame({"doc_id": doc[first], "mark": mark[first], "starts": start[first], "ends": end[np.append(first[1:], len(doc)) - 1]})
+    rows = pd.DataFrame({"doc_id": doc[first], "mark": mark[first], "starts": start[first], "ends": reach[np.append(first[1:], len(doc)) - 1]})
     return rows.groupby(["doc_id", "mark"], sort=False).agg(list).reset_index()
 
 
-def removed_spans(texts: DataFrame) -> DataFrame:
+def removed_spans(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, mark, starts, ends): the removed bytes of documents that lose some."""
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bits = min(int(math.log2(MAX_CELLS)), max(16, math.ceil(math.log2(max(16, size) / 16))))
+    bits = min(int(math.log2(MAX_CELLS)), max(16, math.ceil(math.log2(max(8, size) / 8))))
     buckets = max(48, size >> 22)
     shared = spark.sparkContext.broadcast(sketch(texts, bits, lambda t: pieces(t)[1]))
-    sent = texts.mapInPandas(_send(shared, bits, buckets), _SENT)
+    now, decided = written(texts.mapInPandas(_send(shared, bits, buckets), _SENT), "pieces"), []
+    for level in range(1, 10):
+        full = written(now.groupBy("bucket").agg(F.sum("size").alias("held")).filter(F.col("held") > bucket_bytes).select("bucket"), "full")
+        if full.isEmpty():
+            break
+        decided.append(now.join(full, "bucket", "left_anti"))
+        now = written(now.join(full, "bucket", "left_semi").mapInPandas(_halves(buckets, level), _SENT), "pieces")
+    sent = functools.reduce(DataFrame.unionByName, [*decided, now])
     decided = sent.groupBy("bucket").applyInPandas(_decide, "chunk long, runs binary")
     spans = decided.groupBy("chunk").applyInPandas(_spans, "doc_id long, mark long, starts array<long>, ends array<long>")
     return spans.groupBy("doc_id", "mark").agg(F.max("starts").alias("starts"), F.max("ends").alias("ends"))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per document: doc_id, kept (bytes), n_bytes, n_removed, n_spans, kept_sha256."""
     short_batches(docs.sparkSession)
     texts = marked_texts(docs, id_col, text_col)
@@ -293,7 +364,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows.append((left, len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest()))
         return pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = texts.join(removed_spans(texts), ["doc_id", "mark"], "left").withColumn("c", cut("text", "starts", "ends"))
+    joined = texts.join(removed_spans(texts, bucket_bytes), ["doc_id", "mark"], "left").withColumn("c", cut("text", "starts", "ends"))
     return joined.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "c.*")
 
 

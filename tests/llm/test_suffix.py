@@ -22,9 +22,9 @@ def brute(docs):
     return sorted(out, key=str)
 
 
-def run(spark, docs):
+def run(spark, docs, **more):
     frame = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], SCHEMA).repartition(4)
-    return sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.suffix_dedup(frame).collect()], key=str)
+    return sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.suffix_dedup(frame, **more).collect()], key=str)
 
 
 def test_matches_brute_force(spark):
@@ -51,3 +51,12 @@ def test_transform_finds_common_blocks():
     two = shared[20:490]
     got = S.repeated_strings([one, two], np.array([len(one) - 399, len(two) - 399]), np.array([200, 80]))
     assert [list(g) for g in got] == [list(range(120, 151)), list(range(0, 31))]
+
+
+def test_full_buckets_are_cut(spark):
+    """One passage in many contexts: its pieces are cut until buckets hold, with the same result."""
+    rng = np.random.default_rng(6)
+    text = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passage = text(600)
+    docs = [(i, text(300) + passage + text(300)) for i in range(60)] + [(90, text(100) + passage[:430]), (91, passage[170:] + text(90))]
+    assert run(spark, docs, bucket_bytes=4000) == brute(docs)
