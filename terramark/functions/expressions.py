@@ -39,12 +39,13 @@ def change(before: str, after: str) -> Column:
 
 def draw(cell_id: Column, seed: int, step: int = 0) -> Column:
     """A number in [0, 1) that depends on cell, seed and step alone."""
-    mixed = (cell_id * 1103515245 + 12345 + seed * 7919 + step * 104729) % 2147483648
+    # The id is reduced first: the product of a large one would leave the range of a long.
+    mixed = (cell_id % 2147483648 * 1103515245 + 12345 + seed * 7919 + step * 104729) % 2147483648
     return ((mixed * 48271 + step) % 2147483647) / 2147483647.0
 
 
 def draw_sql(cell_id: str, seed: int, step: int = 0) -> str:
-    return f"(((({cell_id} * 1103515245 + {12345 + seed * 7919 + step * 104729}) % 2147483648) * 48271 + {step}) % 2147483647) / 2147483647.0"
+    return f"(((({cell_id} % 2147483648 * 1103515245 + {12345 + seed * 7919 + step * 104729}) % 2147483648) * 48271 + {step}) % 2147483647) / 2147483647.0"
 
 
 def one_hot(column: str) -> list[Column]:
@@ -87,6 +88,26 @@ def score_mixed(neighbour: Column, other: Column, jitter: Column, nw: float = 0.
     return (nw * neighbour + ow * other) / (nw + ow) + weight * jitter
 
 
+def score_forest(probability: Column, neighbour: Column, jitter: Column, rw: float = 0.7, nw: float = 0.3) -> Column:
+    """A forest's probability, of 1e-6 at least, and the neighbourhood."""
+    return score_mixed(neighbour, F.greatest(probability, F.lit(1e-6)), jitter, nw, rw, 0.02)
+
+
 def score_logistic(probability: Column, neighbour: Column, transition: Column, jitter: Column) -> Column:
     """Not scaled by its weights."""
     return 0.65 * probability + 0.30 * neighbour + 0.05 * transition + 0.02 * jitter
+
+
+def position(cell_id: Column, width: int, height: int) -> dict[str, Column]:
+    """Row and column of a cell's number, and both scaled to [0, 1]."""
+    r, c = F.floor(cell_id / width), cell_id % width
+    return {"r": r, "c": c, "r_scaled": r / float(max(height - 1, 1)), "c_scaled": c / float(max(width - 1, 1))}
+
+
+def first_known(*columns: str) -> Column:
+    """The first of the columns that holds a number."""
+    return F.coalesce(*[F.expr(f"try_cast({c} AS double)") for c in columns])
+
+
+def hex_colour(red: Column, green: Column, blue: Column) -> Column:
+    return F.concat(F.lit("#"), *[F.lower(F.lpad(F.hex(x.cast("long")), 2, "0")) for x in (red, green, blue)])

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..sources.grid import PROFILE, classes
 
 
-def class_counts(cells: DataFrame, column: str, name: str = "n") -> DataFrame:
+def class_counts(cells: DataFrame, column: str, name: str = "n", weight: str | None = None) -> DataFrame:
     """(class_code, class_name, n) of all nine classes, absent ones with 0."""
     # Other codes drop out in the join: a filter would compute the class twice for derived grids.
-    found = cells.groupBy(F.col(column).cast("int").alias("class_code")).agg(F.count("*").alias(name))
+    found = cells.groupBy(F.col(column).cast("int").alias("class_code")).agg((F.sum(weight) if weight else F.count("*")).alias(name))
     return classes(cells.sparkSession).join(found, "class_code", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
@@ -67,17 +67,50 @@ def accuracy(confusion: DataFrame) -> DataFrame:
                     "macro_f1", F.when(F.col("total") > 0, F.col("af") / F.col("total")).otherwise(0.0).alias("weighted_f1"))
 
 
-def area_projection(cells: DataFrame, base: str, predicted: str, demand: DataFrame, actual: str | None = None, km2: float | None = None) -> DataFrame:
-    """Pixels and areas of each class: base, demand, predicted and, if there is one, actual."""
+def area_projection(predicted: DataFrame, base: DataFrame, demand: DataFrame, actual: DataFrame | None = None, km2: float | None = None) -> DataFrame:
+    """Pixels and areas of each class: base, demand, predicted and, if there is one, actual.
+
+    predicted, base, actual: class_counts, which can come of one pass over the cells.
+    """
     km2 = PROFILE.pixel_area_km2() if km2 is None else km2
-    out = class_counts(cells, base, "base_pixels").join(demand.select("class_code", F.col("demand").alias("demand_pixels")), "class_code", "left")
-    out = out.join(class_counts(cells, predicted, "predicted_pixels").drop("class_name"), "class_code")
-    out = out.join(class_counts(cells, actual, "actual_pixels").drop("class_name"), "class_code") if actual else out.withColumn("actual_pixels", F.lit(None).cast("long"))
+    named = lambda df, name: df.select("class_code", F.col("n").alias(name))
+    out = base.select("class_code", "class_name", F.col("n").alias("base_pixels")).join(demand.select("class_code", F.col("demand").alias("demand_pixels")), "class_code", "left")
+    out = out.join(named(predicted, "predicted_pixels"), "class_code")
+    out = out.join(named(actual, "actual_pixels"), "class_code") if actual is not None else out.withColumn("actual_pixels", F.lit(None).cast("long"))
     return out.withColumn("predicted_area_km2", F.round(F.col("predicted_pixels") * km2, 6)).withColumn(
         "area_difference_km2", F.round((F.col("predicted_pixels") - F.col("actual_pixels")) * km2, 6)).withColumn(
         "demand_error", F.col("predicted_pixels") - F.coalesce("demand_pixels", F.lit(0)))
 
 
+def weighted_report(sample: DataFrame, actual: str, predicted: str, weight: str) -> DataFrame:
+    """Support, precision, recall and F1 of each class of a held-out sample, plain and weighted, in one pass."""
+    pairs = sample.groupBy(F.col(actual).cast("int").alias("from_code"), F.col(predicted).cast("int").alias("to_code")).agg(F.count("*").alias("n"), F.sum(F.col(weight).cast("double")).alias("w"))
+    dim = classes(sample.sparkSession)
+    sides = pairs.select(F.explode(F.array(
+        F.struct(F.col("from_code").alias("class_code"), F.lit(1).alias("a"), F.lit(0).alias("p"), (F.col("from_code") == F.col("to_code")).cast("int").alias("k"), "n", "w"),
+        F.struct(F.col("to_code").alias("class_code"), F.lit(0).alias("a"), F.lit(1).alias("p"), F.lit(0).alias("k"), "n", "w"))).alias("x")).select("x.*")
+    sums = sides.groupBy("class_code").agg(*[F.sum(F.col(f) * F.col(v)).alias(f"{v}_{f}") for v in "nw" for f in "apk"])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    out = dim.join(sums, "class_code", "left").select("class_code", "class_name", zero("n_a").cast("long").alias("support_samples"), zero("w_a").cast("double").alias("estimated_support_pixels"),
+                                                       *[share(zero(f"{v}_k"), zero(f"{v}_{f}")).alias(name) for v, f, name in (
+                                                           ("n", "p", "precision"), ("n", "a", "recall"), ("w", "p", "weighted_precision"), ("w", "a", "weighted_recall"))])
+    f1 = lambda p, r: share(2 * F.col(p) * F.col(r), F.col(p) + F.col(r))
+    return out.withColumn("f1_score", f1("precision", "recall")).withColumn("weighted_f1_score", f1("weighted_precision", "weighted_recall"))
+
+
+def changes(projection: DataFrame, first: int | None = None) -> DataFrame:
+    """Classes in use by the size of their change, then class; the first few if asked for."""
+    used = projection.filter((F.col("base_pixels") > 0) | (F.col("predicted_pixels") > 0)).withColumn("change_pixels", F.col("predicted_pixels") - F.col("base_pixels"))
+    used = used.orderBy(F.desc(F.abs("change_pixels")), "class_code")
+    return used.limit(first) if first else used
+
+
+def first_seen(rows: DataFrame, column: str, order: str) -> DataFrame:
+    """The distinct values of a column by their first place."""
+    return rows.groupBy(column).agg(F.min(order).alias("first_place")).orderBy("first_place")
+
+
 def max_demand_error(projection: DataFrame) -> DataFrame:
     return projection.agg(F.max(F.abs("demand_error")).alias("max_abs_demand_error_pixels"))
 

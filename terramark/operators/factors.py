@@ -12,13 +12,54 @@ from pyspark.sql import functions as F
 from .focal import gradient
 
 
+SLOTS = 1 << 14
+
+
+def percentiles(cells: DataFrame, column: str, shares: list[float]) -> list[float] | None:
+    """Exact percentiles with linear interpolation; None without a value.
+
+    Values are counted in slots between the least and the largest; only in the slots that hold an
+    asked rank are distinct values counted, so no task merges all values of a column.
+    """
+    x = F.col(column).cast("double")
+    known = cells.select(x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    n, low, high = known.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return None
+    if low == high:
+        return [low] * len(shares)
+    slot = F.least(F.floor((F.col("x") - low) / (high - low) * SLOTS), F.lit(SLOTS - 1))
+    counts = sorted((r.slot, r.n) for r in known.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).collect())
+    ranks = sorted({k for q in shares for k in (int(q * (n - 1)), min(n - 1, int(q * (n - 1)) + 1))})
+    before, where, upto = {}, {}, 0
+    for at, m in counts:
+        for k in ranks:
+            if upto <= k < upto + m:
+                before[at], where[k] = upto, at
+        upto += m
+    own = Window.partitionBy("slot").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    some = known.withColumn("slot", slot).filter(F.col("slot").isin(list(before))).groupBy("slot", "x").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(own))
+    hit = F.lit(False)
+    for k, at in where.items():
+        hit = hit | ((F.col("slot") == at) & (F.col("upto") > k - before[at]) & (F.col("upto") - F.col("n") <= k - before[at]))
+    found = some.filter(hit).collect()
+    value = {k: next(r.x for r in found if r.slot == at and r.upto - r.n <= k - before[at] < r.upto) for k, at in where.items()}
+    out = []
+    for q in shares:
+        at = q * (n - 1)
+        a, b = value[int(at)], value[min(n - 1, int(at) + 1)]
+        out.append(a + (b - a) * (at - int(at)))
+    return out
+
+
 def percentile_normalise(cells: DataFrame, column: str, name: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """`column` scaled to [0, 1] between two exact percentiles; missing values 0, no range: all 0."""
-    bounds = cells.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("__b"))
-    joined = cells.crossJoin(F.broadcast(bounds))  # one row
-    lo, hi = F.col("__b")[0], F.col("__b")[1]
-    x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(column) - lo) / (hi - lo)))
-    return joined.withColumn(name, F.when(F.col(column).isNull() | (hi <= lo), 0.0).otherwise(x)).drop("__b")
+    found = percentiles(cells, column, [low, high])
+    if found is None or found[1] <= found[0]:
+        return cells.withColumn(name, F.lit(0.0))
+    x = F.col(column).cast("double")
+    scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - found[0]) / (found[1] - found[0])))
+    return cells.withColumn(name, F.when(x.isNull() | F.isnan(x), 0.0).otherwise(scaled))
 
 
 def low_slope(cells: DataFrame, elevation: str) -> DataFrame:
@@ -70,6 +111,47 @@ def closeness(distance_column: str, decay: float) -> F.Column:
     return F.exp(-F.col(distance_column) / decay)
 
 
+def nearer(*columns: str) -> F.Column:
+    """The larger of several closenesses, such as those to water areas and to rivers; missing ones don't count."""
+    return F.greatest(*[F.coalesce(F.col(c), F.lit(0.0)) for c in columns])
+
+
+def within(features: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Features (coords: array of [x, y]) with a point, whose own box meets (x0, y0, x1, y1)."""
+    some = features.filter(F.col("coords").isNotNull() & (F.size("coords") > 0))
+    low = lambda i: F.array_min(F.transform("coords", lambda p: p[i]))
+    high = lambda i: F.array_max(F.transform("coords", lambda p: p[i]))
+    return some.filter((low(0) <= box[2]) & (high(0) >= box[0]) & (low(1) <= box[3]) & (high(1) >= box[1]))
+
+
+def inside_polygons(cells: DataFrame, edges: DataFrame, band_rows: int = 64) -> DataFrame:
+    """The cell_id of cells whose centre lies in polygons, by the even-odd rule over all their rings.
+
+    edges: x0, y0, x1, y1 in cell units, of outer rings and holes alike. Edges meet cells by bands of
+    rows, so a boundary may have any number of vertices.
+    """
+    rows = edges.filter("y0 != y1").withColumn("lo", F.least("y0", "y1")).withColumn("hi", F.greatest("y0", "y1"))
+    spread = rows.withColumn("band", F.explode(F.sequence(F.floor(F.col("lo") / band_rows), F.floor(F.col("hi") / band_rows))))
+    own = cells.select("cell_id", (F.col("c") + 0.5).alias("x"), (F.col("r") + 0.5).alias("y"), F.floor((F.col("r") + 0.5) / band_rows).alias("band"))
+    crossed = own.join(spread, "band").filter("y >= lo AND y < hi AND x < x0 + (y - y0) * (x1 - x0) / (y1 - y0)")
+    return crossed.groupBy("cell_id").agg(F.count("*").alias("n")).filter("n % 2 = 1").select("cell_id")
+
+
+def ring_edges(rings: DataFrame) -> DataFrame:
+    """The edges of closed rings (coords: array of [x, y])."""
+    pairs = F.expr("transform(sequence(0, size(coords) - 1), i -> struct(coords[i] AS a, coords[(i + 1) % size(coords)] AS b))")
+    e = rings.filter("size(coords) > 2").select(F.explode(pairs).alias("e"))
+    return e.select(F.col("e.a")[0].alias("x0"), F.col("e.a")[1].alias("y0"), F.col("e.b")[0].alias("x1"), F.col("e.b")[1].alias("y1"))
+
+
+def crop(cells: DataFrame, inside: DataFrame, column: str) -> DataFrame:
+    """`column` with 0 outside, cut to the rows and columns that `inside` (cell_id) reaches."""
+    marked = cells.join(inside.withColumn("__in", F.lit(True)), "cell_id", "left")
+    box = marked.filter("__in").agg(*[f(c).alias(f"__{n}_{c}") for c in "rc" for n, f in (("lo", F.min), ("hi", F.max))])
+    cut = marked.crossJoin(F.broadcast(box)).filter("r BETWEEN __lo_r AND __hi_r AND c BETWEEN __lo_c AND __hi_c")  # one row
+    return cut.withColumn(column, F.when(F.col("__in"), F.col(column)).otherwise(0)).select(*cells.columns)
+
+
 def resample(cells: DataFrame, source: DataFrame, scale: float, column: str) -> DataFrame:
     """Bilinear values of a coarser grid (r, c, column) at the centres of `cells`; missing corners are left out."""
     y, x = (F.col("r") + 0.5) / scale - 0.5, (F.col("c") + 0.5) / scale - 0.5

@@ -11,23 +11,36 @@ from ..functions.expressions import draw, valid
 SLOTS = 4096
 
 
-def stratified(cells: DataFrame, before: str, after: str, change_cap: int = 8000, stay_cap: int = 8000, seed: int = 42) -> DataFrame:
-    """At most so many cells of each pair of classes, by smallest draw, then cell_id.
+def first_drawn(cells: DataFrame, keys: list[str], cap: F.Column, seed: int, slots: int = SLOTS) -> DataFrame:
+    """At most `cap` rows (an expression over the keys) of each group, by smallest draw, then cell_id.
 
-    Spark limits the ranks within each task before the shuffle, so a stratum that holds most of
-    the grid sends its cap per task.
+    Rows are counted by slot of the draw; only the slot in which a group's share ends is ranked, so
+    no task sorts a group. Groups must be few (pairs of classes): their cuts are broadcast.
     """
-    w = Window.partitionBy(before, after).orderBy(draw(F.col("cell_id"), seed), "cell_id")
+    d = draw(F.col("cell_id"), seed)
+    own = Window.partitionBy(*keys)
+    seen = cells.groupBy(*keys, F.floor(d * slots).alias("__slot")).agg(F.count("*").alias("__n"))
+    seen = seen.withColumn("__upto", F.sum("__n").over(own.orderBy("__slot"))).withColumn("__cap", cap)
+    ending = (F.col("__upto") >= F.col("__cap")) & (F.col("__upto") - F.col("__n") < F.col("__cap"))
+    cuts = seen.groupBy(*keys).agg(F.max(F.when(ending, F.col("__slot"))).alias("__end"), F.max(F.when(ending, F.col("__cap") - F.col("__upto") + F.col("__n"))).alias("__rest"))
+    at = cells.withColumn("__slot", F.floor(d * slots)).join(F.broadcast(cuts), keys)
+    whole = at.filter(F.col("__end").isNull() | (F.col("__slot") < F.col("__end")))
+    rank = F.row_number().over(own.orderBy(d, "cell_id"))
+    part = at.filter("__slot = __end").withColumn("__nth", rank).filter("__nth <= __rest")
+    return whole.select(*cells.columns).unionByName(part.select(*cells.columns))
+
+
+def stratified(cells: DataFrame, before: str, after: str, change_cap: int = 8000, stay_cap: int = 8000, seed: int = 42) -> DataFrame:
+    """At most so many cells of each pair of classes, by smallest draw, then cell_id."""
     cap = F.when(F.col(before) == F.col(after), stay_cap).otherwise(change_cap)
-    ranked = cells.filter(valid(before, after)).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= max(change_cap, stay_cap))
-    return ranked.filter(F.col("nth") <= cap).drop("nth")
+    return first_drawn(cells.filter(valid(before, after)), [before, after], cap, seed)
 
 
 def class_balanced(cells: DataFrame, before: str, after: str, per_class: int = 40_000, changed: int = 100_000, seed: int = 42) -> DataFrame:
     """Cells balanced by target class, together with changed cells; each cell once."""
-    ok = cells.filter(valid(before, after)).withColumn("__d", draw(F.col("cell_id"), seed))
-    by_class = ok.withColumn("nth", F.row_number().over(Window.partitionBy(after).orderBy("__d", "cell_id"))).filter(F.col("nth") <= per_class)
-    moved = ok.filter(F.col(before) != F.col(after)).orderBy("__d", "cell_id").limit(changed)
+    ok = cells.filter(valid(before, after))
+    by_class = first_drawn(ok, [after], F.lit(per_class), seed)
+    moved = first_drawn(ok.filter(F.col(before) != F.col(after)).withColumn("__all", F.lit(0)), ["__all"], F.lit(changed), seed).drop("__all")
     ids = by_class.select("cell_id").union(moved.select("cell_id")).distinct()
     return cells.join(ids, "cell_id", "left_semi")
 
@@ -55,15 +68,26 @@ def split(sample: DataFrame, label: str, held_out: float = 0.25, seed: int = 42)
     return sample.withColumn("validation", F.row_number().over(w) > F.round(n * (1 - held_out)))
 
 
-def cut_ends(cells: DataFrame, base: str, flows: DataFrame, seed: int) -> DataFrame:
+def drawn_counts(cells: DataFrame, base: str, seed: int, *others: str) -> DataFrame:
+    """(slot, base, others, n): cells by the slot of their draw and by classes, in one pass.
+
+    It has a few combinations of classes for each of SLOTS slots, whatever the size of the grid, so
+    transitions, class counts and cuts can all be read from it.
+    """
+    slot = F.floor(draw(F.col("cell_id"), seed) * SLOTS).alias("slot")
+    return cells.groupBy(slot, base, *others).agg(F.count("*").alias("n"))
+
+
+def cut_ends(cells: DataFrame, base: str, flows: DataFrame, seed: int, counts: DataFrame | None = None) -> DataFrame:
     """(from_code, to_code, first, last): the draws, with cell_id, that a class's flows lie between.
 
-    Cells are counted by slot of the draw; only in the slots in which a flow ends are they ranked,
-    so no task ever sorts a class. At most 81 rows.
+    Cells are counted by slot of the draw (`counts`, or one more pass); only in the slots in which a
+    flow ends are they ranked, so no task ever sorts a class. At most 81 rows.
     """
     d = draw(F.col("cell_id"), seed)
     thin = cells.select(F.col(base).alias("from_code"), F.floor(d * SLOTS).alias("slot"), F.struct(d.alias("draw"), "cell_id").alias("at"))
-    seen = thin.groupBy("from_code", "slot").agg(F.count("*").alias("n"))
+    counts = drawn_counts(cells, base, seed) if counts is None else counts
+    seen = counts.groupBy(F.col(base).alias("from_code"), "slot").agg(F.sum("n").alias("n"))
     own = Window.partitionBy("from_code")
     seen = seen.withColumn("upto", F.sum("n").over(own.orderBy("slot"))).withColumn("total", F.sum("n").over(own))
     high = F.sum("flow").over(own.orderBy("to_code"))
@@ -78,13 +102,13 @@ def cut_ends(cells: DataFrame, base: str, flows: DataFrame, seed: int) -> DataFr
     return found.select("from_code", F.col("e.to_code").alias("to_code"), "last", first.alias("first"))
 
 
-def allocate_random(cells: DataFrame, base: str, flows: DataFrame, seed: int = 42) -> DataFrame:
+def allocate_random(cells: DataFrame, base: str, flows: DataFrame, seed: int = 42, counts: DataFrame | None = None) -> DataFrame:
     """`cells` with `allocated`: within each class the cells by draw, cut at the cumulative flows.
 
     The cells themselves are compared with the cuts where they are, without a shuffle. Cells
     beyond all flows, or of no class, get 0.
     """
-    ends = F.broadcast(cut_ends(cells, base, flows, seed))
+    ends = F.broadcast(cut_ends(cells, base, flows, seed, counts))
     at = F.struct(draw(F.col("a.cell_id"), seed).alias("draw"), F.col("a.cell_id"))
     here = (F.col(f"a.{base}") == F.col("b.from_code")) & (at <= F.col("b.last")) & (F.col("b.first").isNull() | (at > F.col("b.first")))
     hit = cells.alias("a").join(ends.alias("b"), here, "left")

@@ -15,19 +15,36 @@ from ..sources.grid import CLASS_SQL, GRID_SQL, WIDTH, cells
 from . import scenario
 
 KM2 = 0.0009
+#: Caps of the samples: changed and unchanged pairs; cells of a class, changed cells.
+CHANGE_CAP, STAY_CAP, PER_CLASS, CHANGED = 8000, 8000, 40_000, 100_000
+
+
+def _local(df: DataFrame) -> DataFrame:
+    """A frame of classes (a thousand rows at most) as a local relation, so that it is computed once."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def _census(g: DataFrame) -> DataFrame:
+    """(v_fit, v_base, v_target, n): every count of classes that the reports need, in one pass."""
+    return _local(g.groupBy("v_fit", "v_base", "v_target").agg(F.count("*").alias("n")))
 
 
 def _transition(g: DataFrame) -> DataFrame:
     return crosstab.transition_probabilities(crosstab.crosstab(g, "v_fit", "v_base"))
 
 
+def _flows(census: DataFrame) -> DataFrame:
+    p = crosstab.transition_probabilities(crosstab.crosstab(census, "v_fit", "v_base", "n"))
+    return demand.rounded_flows(p, crosstab.class_counts(census, "v_base", weight="n"))
+
+
 def _demand(g: DataFrame) -> tuple[DataFrame, DataFrame]:
-    flows = demand.rounded_flows(_transition(g), crosstab.class_counts(g, "v_base"))
+    flows = _flows(_census(g))
     return flows, demand.markov_demand(flows)
 
 
-def _predicted(g: DataFrame) -> DataFrame:
-    return sampling.allocate_random(g, "v_base", _demand(g)[0])
+def _predicted(g: DataFrame, census: DataFrame | None = None) -> DataFrame:
+    return sampling.allocate_random(g, "v_base", _local(_flows(_census(g) if census is None else census)))
 
 
 def class_counts(s, d):
@@ -84,7 +101,11 @@ def row_percent(s, d):
 
 def area_projection(s, d):
     g = cells(s, d)
-    return crosstab.area_projection(_predicted(g), "v_base", "allocated", _demand(g)[1], "v_target", KM2)
+    census = _census(g)
+    flows = _local(_flows(census))
+    predicted = crosstab.class_counts(sampling.allocate_random(g, "v_base", flows), "allocated")
+    known = {c: crosstab.class_counts(census, c, weight="n") for c in ("v_base", "v_target")}
+    return crosstab.area_projection(predicted, known["v_base"], demand.markov_demand(flows), known["v_target"], KM2)
 
 
 def max_demand_error(s, d):
@@ -134,16 +155,16 @@ def preview(s, d):
 
 
 def stratified_sample(s, d):
-    return sampling.stratified(cells(s, d), "v_fit", "v_base", 300, 500).select("cell_id", "v_fit", "v_base")
+    return sampling.stratified(cells(s, d), "v_fit", "v_base", CHANGE_CAP, STAY_CAP).select("cell_id", "v_fit", "v_base")
 
 
 def class_balanced_sample(s, d):
-    return sampling.class_balanced(cells(s, d), "v_fit", "v_base", 400, 1000).select("cell_id", "v_base")
+    return sampling.class_balanced(cells(s, d), "v_fit", "v_base", PER_CLASS, CHANGED).select("cell_id", "v_base")
 
 
 def transition_weights(s, d):
     g = cells(s, d)
-    out = sampling.transition_weights(g, sampling.stratified(g, "v_fit", "v_base", 300, 500), "v_fit", "v_base")
+    out = sampling.transition_weights(g, sampling.stratified(g, "v_fit", "v_base", CHANGE_CAP, STAY_CAP), "v_fit", "v_base")
     return out.withColumn("weight", F.round("weight", 6))
 
 
@@ -192,7 +213,7 @@ def rolling_validation(s, d):
 def training_weights(s, d):
     """The stratified sample with its weights and the same scaled to a mean of one."""
     g = cells(s, d)
-    rows = sampling.stratified(g, "v_fit", "v_base", 300, 500)
+    rows = sampling.stratified(g, "v_fit", "v_base", CHANGE_CAP, STAY_CAP)
     found = sampling.with_weights(rows, sampling.transition_weights(g, rows, "v_fit", "v_base"), "v_fit", "v_base")
     return found.select("cell_id", F.round("weight", 6).alias("weight"), F.round("train_weight", 6).alias("train_weight"))
 
@@ -211,7 +232,10 @@ def model_comparison(s, d):
 
 def history_union(s, d):
     g = cells(s, d)
-    projected = crosstab.area_projection(_predicted(g), "v_base", "allocated", _demand(g)[1], None, KM2)
+    census = _census(g)
+    flows = _local(_flows(census))
+    predicted = crosstab.class_counts(sampling.allocate_random(g, "v_base", flows), "allocated")
+    projected = crosstab.area_projection(predicted, crosstab.class_counts(census, "v_base", weight="n"), demand.markov_demand(flows), None, KM2)
     return crosstab.history(crosstab.class_summary(g, {2015: "v_fit", 2020: "v_base"}), projected, 2030)
 
 
@@ -222,7 +246,7 @@ def _simulated(s: SparkSession, d: str, pooled: bool) -> DataFrame:
     goal = {r.class_code: r.demand for r in wanted.collect()}
     thin = g.select("cell_id", "r", "c", "v_base")
     if pooled:
-        _, log = allocate.simulate_pooled(thin, "v_base", goal, lambda near, _, jitter: E.score_plain(near, jitter, 0.02), iterations=2)
+        _, log = allocate.simulate_pooled(thin, "v_base", goal, lambda near, _, jitter: E.score_plain(near, jitter, 0.02))
         return s.createDataFrame([tuple(x.values()) for x in log], "iteration int, max_abs_demand_error_pixels long, changed_pixels long")
     _, log = allocate.simulate(thin, "v_base", goal, table)
     return s.createDataFrame([tuple(x.values()) for x in log], "iteration int, changed_pixels long, class_code int, predicted_pixels long, demand_pixels long, difference_pixels long")
@@ -247,16 +271,144 @@ def suitability_simulation(s, d):
     return s.createDataFrame([tuple(x.values()) for x in log], "iteration int, changed_pixels long, class_code int, predicted_pixels long, demand_pixels long, difference_pixels long")
 
 
+def _with_support(g: DataFrame, column: str) -> DataFrame:
+    """The shares of all classes around each cell, and the one of its own class."""
+    found = focal.neighbour_fractions(g, column, list(range(1, 10))).drop("n_valid")
+    own = F.element_at(F.array(*[f"frac_{k}" for k in range(1, 10)]), F.greatest(F.col(column).cast("int"), F.lit(1)))
+    return found.withColumn("support", F.when(F.col(column) > 0, own).otherwise(0.0))
+
+
+def _with_factors(g: DataFrame) -> DataFrame:
+    """The five factors of the models; a missing one is 0, as on reading a factor."""
+    g = g.withColumn("elevation_norm", F.col("elevation") / 500).withColumn("low_slope", F.col("slope"))
+    return g.withColumns({c: tables.clean_factor(c) for c in models.FACTORS})
+
+
 def _model_sample(s: SparkSession, d: str) -> DataFrame:
-    g = focal.neighbour_fractions(cells(s, d), "v_fit", list(range(1, 10)))
-    g = g.withColumn("support", F.element_at(F.array(*[f"frac_{k}" for k in range(1, 10)]), F.greatest(F.col("v_fit"), F.lit(1))))
-    g = g.withColumn("elevation_norm", F.col("elevation") / 500).withColumn("low_slope", F.col("slope")).withColumn("label", F.col("v_base").cast("double"))
-    return sampling.stratified(g.filter(E.valid_drivers(*models.FACTORS)), "v_fit", "v_base", 300, 500)
+    g = cells(s, d)
+    g = _with_support(g.withColumn("elevation_norm", F.col("elevation") / 500).withColumn("low_slope", F.col("slope")), "v_fit")
+    rows = g.withColumn("label", F.col("v_base").cast("double")).filter(E.valid_drivers(*models.FACTORS))
+    return sampling.stratified(rows, "v_fit", "v_base", CHANGE_CAP, STAY_CAP)
+
+
+def _goal(g: DataFrame) -> tuple[dict[int, int], dict[tuple[int, int], float]]:
+    """Demand and transition probabilities, on the driver: nine and 81 numbers."""
+    census = _census(g)
+    table = {(r.from_code, r.to_code): r.p for r in crosstab.transition_probabilities(crosstab.crosstab(census, "v_fit", "v_base", "n")).collect()}
+    return {r.class_code: r.demand for r in demand.markov_demand(_flows(census)).collect()}, table
+
+
+def forest_simulation(s, d, trees: int = 30, depth: int = 8):
+    """The forest's automaton from sample to map: weights of transitions, probabilities of the nine
+    classes by blocks of the base epoch, quotas, repair. One row per cell."""
+    g = cells(s, d)
+    rows = _model_sample(s, d)
+    sample, names = models.forest_features(sampling.with_weights(rows, sampling.transition_weights(g, rows, "v_fit", "v_base"), "v_fit", "v_base"), "v_fit")
+    model = models.train_forest(sample, names, "label", trees=trees, depth=depth, weight="train_weight")
+    state, _ = models.forest_features(_with_support(_with_factors(g), "v_base"), "v_base")
+    rated = models.with_probabilities(state.drop("support"), model, 1e-6, E.valid("v_base")).select("cell_id", "r", "c", "v_base", *[f"p_{k}" for k in range(1, 10)])
+    goal, table = _goal(g)
+    end, _ = allocate.simulate(rated, "v_base", goal, table, lambda near, target, jitter: E.score_forest(F.col(f"p_{target}"), near, jitter))
+    return end.select("cell_id", "v_base", F.col("current").alias("predicted"))
+
+
+def logistic_simulation(s, d):
+    """The logistic automaton from sample to map: probabilities of the live state with its support
+    frozen at the start of an iteration, a pool of candidates, a last pass of repair. One row per cell."""
+    g = _with_factors(cells(s, d))
+    rows = sampling.class_balanced(_with_support(g, "v_fit"), "v_fit", "v_base", PER_CLASS, CHANGED).withColumn("label", F.col("v_base").cast("double"))
+    sample, names = models.logistic_features(rows, "v_fit")
+    model = models.train_logistic(sample, names, "label")
+    goal, table = _goal(g)
+
+    def frozen(now: DataFrame) -> DataFrame:
+        return _with_support(now, "current").drop(*[f"frac_{k}" for k in range(1, 10)])
+
+    def rate(now: DataFrame, target: int) -> DataFrame:
+        state, _ = models.logistic_features(now, "current")
+        found = models.with_probabilities(state, model, mask=E.valid("current")).select(*now.columns, f"p_{target}").withColumnRenamed(f"p_{target}", "p")
+        move = F.coalesce(*[F.when(F.col("source") == k, F.lit(float(table[k, target]))) for k in range(1, 10)], F.lit(0.0))
+        return found.withColumn("move", move)
+
+    thin = g.select("cell_id", "r", "c", "v_base", *models.FACTORS)
+    end, _ = allocate.simulate_pooled(thin, "v_base", goal, lambda near, _, jitter: E.score_logistic(F.col("p"), near, F.col("move"), jitter),
+                                      frozen=frozen, rate=rate, repair=F.col("p"))
+    return end.select("cell_id", "v_base", F.col("current").alias("predicted"))
+
+
+def one_vs_rest(s, d):
+    """Probabilities of the nine classes for the base epoch, by a logistic model for each class."""
+    g = _with_factors(cells(s, d))
+    sample, names = models.logistic_features(_model_sample(s, d), "v_fit")
+    trained = models.train_one_vs_rest(sample, names, "label")
+    state, _ = models.logistic_features(_with_support(g, "v_base"), "v_base")
+    return models.one_vs_rest_probabilities(state, trained).select("cell_id", *[F.when(E.valid("v_base"), F.col(f"p_{k}")).otherwise(0.0).alias(f"p_{k}") for k in range(1, 10)])
+
+
+def _rated_step(s, d, score) -> DataFrame:
+    """The best 200 cropland and 100 forest cells for class 8; suitability stands for the probability."""
+    g = focal.neighbour_fractions(cells(s, d), "v_base", [8])
+    p = E.suitability(E.valid("v_base"), "slope", "road", "water", "night")[8]
+    g = score(g.withColumn("p", p)).withColumn("score", F.round("score", 9))
+    quotas = s.sql("SELECT * FROM (VALUES (1, 200), (2, 100)) AS q(class_code, take)")
+    return sampling.top_per_source(g, "v_base", "score", quotas).select("cell_id", "v_base", F.round("score", 6).alias("score"))
+
+
+def score_forest_step(s, d):
+    return _rated_step(s, d, lambda g: g.withColumn("score", E.score_forest(F.col("p"), F.col("frac_8"), E.draw(F.col("cell_id"), 42, 1))))
+
+
+def score_logistic_step(s, d):
+    """With the transition probability looked up by a join on the source class."""
+    def score(g: DataFrame) -> DataFrame:
+        move = _transition(cells(s, d)).filter("to_code = 8").select(F.col("from_code").alias("v_base"), F.col("p").alias("move"))
+        found = g.join(F.broadcast(move), "v_base")  # nine rows
+        return found.withColumn("score", E.score_logistic(F.col("p"), F.col("frac_8"), F.col("move"), E.draw(F.col("cell_id"), 42, 1)))
+
+    return _rated_step(s, d, score)
+
+
+def weighted_per_class(s, d):
+    """Persistence judged class by class, plain and with weights of cells."""
+    g = cells(s, d).filter(E.valid("v_target", "v_base")).withColumn("w", F.col("cell_id") % 3 + 1)
+    out = crosstab.weighted_report(g, "v_target", "v_base", "w")
+    return out.select("class_code", "support_samples", *[F.round(c, 6).alias(c) for c in (
+        "estimated_support_pixels", "precision", "recall", "f1_score", "weighted_precision", "weighted_recall", "weighted_f1_score")])
+
+
+def positions(s, d):
+    """Row and column decoded from the number of a cell, and both scaled."""
+    g = cells(s, d)
+    last = g.agg(F.max("r")).first()[0]
+    at = E.position(F.col("cell_id"), WIDTH, 1 if last is None else last + 1)
+    return g.select("cell_id", at["r"].cast("long").alias("r"), at["c"].cast("long").alias("c"), F.round(at["r_scaled"], 6).alias("r_scaled"), F.round(at["c_scaled"], 6).alias("c_scaled"))
+
+
+def largest_changes(s, d):
+    """Classes in use by the size of their projected change."""
+    return crosstab.changes(area_projection(s, d)).select("class_code", "base_pixels", "predicted_pixels", "change_pixels")
+
+
+def classes_first_seen(s, d):
+    return crosstab.first_seen(cells(s, d).select(F.col("v_base").alias("class_code"), "cell_id"), "class_code", "cell_id")
+
+
+def factor_average(s, d):
+    """Roads and night lights by weight, and the nearer of two waters."""
+    return cells(s, d).select("cell_id", F.round(E.weighted([(F.col("road"), 0.6), (F.col("night"), 0.4)]), 6).alias("attraction"), F.round(factors.nearer("road", "water"), 6).alias("nearer"))
+
+
+def cropped(s, d):
+    """The base epoch within a polygon with a hole, cut to its rows and columns."""
+    g = cells(s, d)
+    rings = s.sql("""SELECT array(array(2D, 40D), array(18D, 40D), array(18D, 900D), array(2D, 900D)) AS coords
+                     UNION ALL SELECT array(array(5D, 100D), array(9D, 100D), array(9D, 300D), array(5D, 300D))""")
+    return factors.crop(g, factors.inside_polygons(g, factors.ring_edges(rings)), "v_base").select("cell_id", "v_base")
 
 
 def logistic_coefficients(s, d):
     rows, names = models.logistic_features(_model_sample(s, d), "v_fit")
-    return s.createDataFrame(models.coefficients(models.train_logistic(rows, names, "label", iterations=50), names), "class_code int, feature string, coefficient double")
+    return s.createDataFrame(models.coefficients(models.train_logistic(rows, names, "label"), names), "class_code int, feature string, coefficient double")
 
 
 def forest_importance(s, d):
@@ -270,7 +422,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     neighbour_fraction, same_class_support, gradient_slope, percentile_normalised, factor_summary, suitability_maps,
     distance_to_barren, preview, stratified_sample, class_balanced_sample, transition_weights, score_step,
     score_plain_step, neighbour_all, weighted_metrics, rolling_validation, training_weights, clipped, suitability_simulation, model_comparison,
-    history_union, ca_markov_simulation, pooled_simulation, logistic_coefficients, forest_importance)}
+    history_union, score_forest_step, score_logistic_step, weighted_per_class, positions, largest_changes, classes_first_seen, factor_average, cropped,
+    one_vs_rest, forest_simulation, logistic_simulation, ca_markov_simulation, pooled_simulation, logistic_coefficients, forest_importance)}
 
 _CTES = {
     "g": GRID_SQL,
@@ -292,7 +445,7 @@ _CTES = {
     "ps": "SELECT sum(n) FILTER (a = b) / sum(n) AS oa, 0 AS z FROM (SELECT v_target AS a, v_base AS b, count(*) AS n FROM g WHERE v_target > 0 AND v_base > 0 GROUP BY ALL)",
     "pe": "SELECT sum(x.n::DOUBLE * y.n) / (SELECT count(*)::DOUBLE * count(*) FROM g WHERE v_target > 0 AND v_base > 0) AS e FROM (SELECT v_target AS k, count(*) AS n FROM g WHERE v_target > 0 AND v_base > 0 GROUP BY 1) x JOIN (SELECT v_base AS k, count(*) AS n FROM g WHERE v_target > 0 AND v_base > 0 GROUP BY 1) y USING (k)",
     "nb": "SELECT a.cell_id, a.v_base, count(*) FILTER (b.v_base BETWEEN 1 AND 9) AS n_valid, count(*) FILTER (b.v_base = 8) AS n8, count(*) FILTER (b.v_base = a.v_base) AS own FROM g a JOIN (VALUES (-2), (-1), (0), (1), (2)) i(dr) ON true JOIN (VALUES (-2), (-1), (0), (1), (2)) j(dc) ON dr <> 0 OR dc <> 0 LEFT JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc GROUP BY 1, 2",
-    "st": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v_fit, v_base ORDER BY {E.draw_sql('cell_id', 42)}, cell_id) AS nth FROM g WHERE v_fit > 0 AND v_base > 0) WHERE nth <= CASE WHEN v_fit = v_base THEN 500 ELSE 300 END",
+    "st": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v_fit, v_base ORDER BY {E.draw_sql('cell_id', 42)}, cell_id) AS nth FROM g WHERE v_fit > 0 AND v_base > 0) WHERE nth <= CASE WHEN v_fit = v_base THEN {STAY_CAP} ELSE {CHANGE_CAP} END",
     "sh": "SELECT cell_id, v_base, coalesce(slope, 0.5) AS l, coalesce(road, 0.5) AS rd, coalesce(water, 0.5) AS w, coalesce(night, 0.5) AS nt FROM g",
     "su": "SELECT cell_id, v_base, 0.40 * l + 0.45 * dev + 0.15 * (1 - w) AS s1, 0.70 * dev + 0.30 * (1 - rd) AS s2, 0.5 AS s3, 0.55 * dev + 0.45 * l AS s4, 0.80 * w + 0.20 * l AS s5, 0.5 AS s6, 0.55 * (1 - w) + 0.45 * dev AS s7, 0.35 * rd + 0.45 * nt + 0.20 * l AS s8, 0.75 * w + 0.25 * dev AS s9 FROM (SELECT *, 1 - greatest(nt, 0.7 * rd) AS dev FROM sh)",
 }
@@ -332,16 +485,25 @@ SQL: dict[str, str] = {k: _sql(v) for k, v in {
     "change_maps": "SELECT cell_id, CASE WHEN v_target = 0 OR allocated = 0 THEN 0 WHEN v_target = allocated THEN 1 ELSE 2 END AS agreement, CASE WHEN v_target = 0 OR allocated = 0 OR v_base = 0 THEN 0 WHEN v_base = v_target AND allocated = v_target THEN 1 WHEN v_base = v_target THEN 2 WHEN allocated = v_target THEN 3 ELSE 4 END AS two_models, CASE WHEN v_base = 0 OR allocated = 0 THEN 0 WHEN v_base = allocated THEN 1 ELSE 2 END AS change FROM al",
     "neighbour_fraction": "SELECT cell_id, n_valid, round(CASE WHEN n_valid > 0 THEN n8 / n_valid ELSE 0 END, 6) AS frac_8 FROM nb",
     "same_class_support": "SELECT cell_id, round(CASE WHEN v_base > 0 AND n_valid > 0 THEN own / n_valid ELSE 0 END, 6) AS support FROM nb",
-    "gradient_slope": "SELECT cell_id, round(sqrt(dr * dr + dc * dc), 6) AS gradient FROM (SELECT a.cell_id, CASE WHEN u.elevation IS NULL THEN n.elevation - a.elevation WHEN n.elevation IS NULL THEN a.elevation - u.elevation ELSE (n.elevation - u.elevation) / 2 END AS dr, CASE WHEN w.elevation IS NULL THEN e.elevation - a.elevation WHEN e.elevation IS NULL THEN a.elevation - w.elevation ELSE (e.elevation - w.elevation) / 2 END AS dc FROM g a LEFT JOIN g u ON u.r = a.r - 1 AND u.c = a.c LEFT JOIN g n ON n.r = a.r + 1 AND n.c = a.c LEFT JOIN g w ON w.r = a.r AND w.c = a.c - 1 LEFT JOIN g e ON e.r = a.r AND e.c = a.c + 1)",
+    "gradient_slope": "SELECT cell_id, round(sqrt(dr * dr + dc * dc), 6) AS gradient FROM (SELECT cell_id, CASE WHEN u IS NULL THEN n - e WHEN n IS NULL THEN e - u ELSE (n - u) / 2 END AS dr, CASE WHEN w IS NULL THEN x - e WHEN x IS NULL THEN e - w ELSE (x - w) / 2 END AS dc FROM (SELECT cell_id, elevation AS e, lag(elevation) OVER (PARTITION BY c ORDER BY r) AS u, lead(elevation) OVER (PARTITION BY c ORDER BY r) AS n, lag(elevation) OVER (PARTITION BY r ORDER BY c) AS w, lead(elevation) OVER (PARTITION BY r ORDER BY c) AS x FROM g))",
     "percentile_normalised": "SELECT cell_id, round(CASE WHEN hi <= lo THEN 0 ELSE greatest(0, least(1, (elevation - lo) / (hi - lo))) END, 6) AS elevation_norm FROM g, (SELECT quantile_cont(elevation::DOUBLE, 0.02) AS lo, quantile_cont(elevation::DOUBLE, 0.98) AS hi FROM g)",
     "factor_summary": " UNION ALL ".join(f"SELECT '{f}' AS factor, round(min({f})::DOUBLE, 6) AS min, round(max({f})::DOUBLE, 6) AS max, round(avg({f}), 6) AS mean FROM g" for f in ("road", "water", "night")),
     "suitability_maps": "SELECT cell_id, " + ", ".join(f"round(CASE WHEN v_base > 0 THEN greatest(0, least(1, s{k}::DOUBLE)) ELSE 0 END, 6) AS suit_{k}" for k in range(1, 10)) + " FROM su",
-    "preview": f"SELECT pr, pc, cell_id, v_base FROM (SELECT *, CAST(floor(r * 500 / 1500) AS BIGINT) AS pr, CAST(floor(c * 6 / {WIDTH}) AS BIGINT) AS pc FROM g WHERE r < 1500) WHERE r = floor((2 * pr + 1) * 1500 / 1000) AND c = floor((2 * pc + 1) * {WIDTH} / 12)",
+    "preview": f"SELECT CAST(pr AS BIGINT) AS pr, CAST(pc AS BIGINT) AS pc, cell_id, v_base FROM (SELECT g.*, h, nr, nc, floor(r * nr / h) AS pr, floor(c * nc / {WIDTH}) AS pc FROM g, (SELECT h, greatest(1, floor(h / scale)) AS nr, greatest(1, floor({WIDTH} / scale)) AS nc FROM (SELECT h, greatest(1::DOUBLE, greatest(h, {WIDTH})::DOUBLE / 500) AS scale FROM (SELECT max(r) + 1 AS h FROM g)))) WHERE r = floor((2 * pr + 1) * h / (2 * nr)) AND c = floor((2 * pc + 1) * {WIDTH} / (2 * nc))",
     "stratified_sample": "SELECT cell_id, v_fit, v_base FROM st",
-    "class_balanced_sample": f"SELECT cell_id, v_base FROM g WHERE cell_id IN (SELECT cell_id FROM (SELECT cell_id, row_number() OVER (PARTITION BY v_base ORDER BY {E.draw_sql('cell_id', 42)}, cell_id) AS nth FROM g WHERE v_fit > 0 AND v_base > 0) WHERE nth <= 400) OR cell_id IN (SELECT cell_id FROM g WHERE v_fit > 0 AND v_base > 0 AND v_fit <> v_base ORDER BY {E.draw_sql('cell_id', 42)}, cell_id LIMIT 1000)",
+    "class_balanced_sample": f"SELECT cell_id, v_base FROM (SELECT cell_id, v_base, row_number() OVER (PARTITION BY v_base ORDER BY {E.draw_sql('cell_id', 42)}, cell_id) AS nth FROM g WHERE v_fit > 0 AND v_base > 0) WHERE nth <= {PER_CLASS} UNION SELECT cell_id, v_base FROM (SELECT cell_id, v_base, row_number() OVER (ORDER BY {E.draw_sql('cell_id', 42)}, cell_id) AS nth FROM g WHERE v_fit > 0 AND v_base > 0 AND v_fit <> v_base) WHERE nth <= {CHANGED}",
     "transition_weights": "SELECT v_fit AS from_code, v_base AS to_code, available, sampled, round(available / sampled, 6) AS weight FROM (SELECT v_fit, v_base, count(*) AS available FROM g WHERE v_fit > 0 AND v_base > 0 GROUP BY ALL) JOIN (SELECT v_fit, v_base, count(*) AS sampled FROM st GROUP BY ALL) USING (v_fit, v_base)",
     "score_step": f"SELECT cell_id, v_base, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY v_base ORDER BY score DESC, cell_id) AS nth FROM (SELECT nb.cell_id, nb.v_base, round((0.9::DOUBLE * CASE WHEN n_valid > 0 THEN n8 / n_valid ELSE 0 END + 0.1::DOUBLE * s8::DOUBLE) / (0.9::DOUBLE + 0.1::DOUBLE) + 0.03::DOUBLE * ({E.draw_sql('nb.cell_id', 42, 1)}), 9) AS score FROM nb JOIN su USING (cell_id) WHERE nb.v_base IN (1, 2))) WHERE nth <= CASE v_base WHEN 1 THEN 200 ELSE 100 END",
     "model_comparison": "SELECT model, round(oa, 6) AS overall_accuracy, round(k, 6) AS kappa, round(oa - first_value(oa) OVER (ORDER BY nr), 6) AS delta_oa, round(k - first_value(k) OVER (ORDER BY nr), 6) AS delta_kappa FROM (SELECT 1 AS nr, 'persistence' AS model, oa, (oa - e) / (1 - e) AS k FROM ps, pe UNION ALL SELECT 2, 'markov', oa, kappa FROM ac)",
+    "score_forest_step": f"SELECT cell_id, v_base, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY v_base ORDER BY score DESC, cell_id) AS nth FROM (SELECT nb.cell_id, nb.v_base, round((0.3::DOUBLE * CASE WHEN n_valid > 0 THEN n8 / n_valid ELSE 0 END + 0.7::DOUBLE * greatest(s8::DOUBLE, 1e-6::DOUBLE)) / (0.3::DOUBLE + 0.7::DOUBLE) + 0.02::DOUBLE * ({E.draw_sql('nb.cell_id', 42, 1)}), 9) AS score FROM nb JOIN su USING (cell_id) WHERE nb.v_base IN (1, 2))) WHERE nth <= CASE v_base WHEN 1 THEN 200 ELSE 100 END",
+    "score_logistic_step": f"SELECT cell_id, v_base, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY v_base ORDER BY score DESC, cell_id) AS nth FROM (SELECT nb.cell_id, nb.v_base, round(0.65::DOUBLE * s8::DOUBLE + 0.3::DOUBLE * CASE WHEN n_valid > 0 THEN n8 / n_valid ELSE 0 END + 0.05::DOUBLE * p + 0.02::DOUBLE * ({E.draw_sql('nb.cell_id', 42, 1)}), 9) AS score FROM nb JOIN su USING (cell_id) JOIN tp ON from_code = nb.v_base AND to_code = 8 WHERE nb.v_base IN (1, 2))) WHERE nth <= CASE v_base WHEN 1 THEN 200 ELSE 100 END",
+    "weighted_per_class": "SELECT class_code, support_samples, round(sw, 6) AS estimated_support_pixels, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6) AS f1_score, round(wp, 6) AS weighted_precision, round(wq, 6) AS weighted_recall, round(CASE WHEN wp + wq > 0 THEN 2 * wp * wq / (wp + wq) ELSE 0 END, 6) AS weighted_f1_score FROM (SELECT class_code, count(*) FILTER (v_target = class_code) AS support_samples, coalesce(sum(w) FILTER (v_target = class_code), 0)::DOUBLE AS sw, coalesce(count(*) FILTER (v_target = class_code AND v_base = class_code) / nullif(count(*) FILTER (v_base = class_code), 0), 0) AS p, coalesce(count(*) FILTER (v_target = class_code AND v_base = class_code) / nullif(count(*) FILTER (v_target = class_code), 0), 0) AS q, coalesce(sum(w) FILTER (v_target = class_code AND v_base = class_code) / nullif(sum(w) FILTER (v_base = class_code), 0), 0)::DOUBLE AS wp, coalesce(sum(w) FILTER (v_target = class_code AND v_base = class_code) / nullif(sum(w) FILTER (v_target = class_code), 0), 0)::DOUBLE AS wq FROM dim LEFT JOIN (SELECT v_target, v_base, cell_id % 3 + 1 AS w FROM g WHERE v_target > 0 AND v_base > 0) ON true GROUP BY class_code)",
+    "positions": f"SELECT cell_id, r, c, round(r / greatest(h - 1, 1), 6) AS r_scaled, round(c / {WIDTH - 1}, 6) AS c_scaled FROM g, (SELECT max(r) + 1 AS h FROM g)",
+    "largest_changes": f"SELECT class_code, base_pixels, predicted_pixels, predicted_pixels - base_pixels AS change_pixels FROM ({_AREA}) WHERE base_pixels > 0 OR predicted_pixels > 0",
+    "classes_first_seen": "SELECT v_base AS class_code, min(cell_id) AS first_place FROM g GROUP BY 1",
+    "factor_average": "SELECT cell_id, round(CASE WHEN road IS NULL THEN night ELSE 0.6::DOUBLE * road + 0.4::DOUBLE * night END, 6) AS attraction, round(greatest(coalesce(road, 0), water), 6) AS nearer FROM g",
+    "cropped": "SELECT cell_id, CASE WHEN c BETWEEN 5 AND 8 AND r BETWEEN 100 AND 299 THEN 0 ELSE v_base END AS v_base FROM g WHERE r BETWEEN 40 AND 899 AND c BETWEEN 2 AND 17",
+    "distance_to_barren": "SELECT cell_id, round(d, 4) AS distance, round(exp(-d / 1000), 6) AS closeness FROM (SELECT a.cell_id, 30 * sqrt(min((a.c - b.c) * (a.c - b.c) + b.gap * b.gap)) AS d FROM g a LEFT JOIN (SELECT r, c, least(r - max(CASE WHEN v_base = 7 THEN r END) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), min(CASE WHEN v_base = 7 THEN r END) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - r) AS gap FROM g) b ON a.r = b.r GROUP BY 1)",
     "score_plain_step": f"SELECT cell_id, v_base, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY v_base ORDER BY score DESC, cell_id) AS nth FROM (SELECT cell_id, v_base, round(CASE WHEN n_valid > 0 THEN n8 / n_valid ELSE 0 END + 0.03::DOUBLE * ({E.draw_sql('cell_id', 42, 1)}), 9) AS score FROM nb WHERE v_base IN (1, 2))) WHERE nth <= CASE v_base WHEN 1 THEN 200 ELSE 100 END",
     "neighbour_all": "SELECT a.cell_id, " + ", ".join(f"round(CASE WHEN count(*) FILTER (b.v_base > 0) > 0 THEN count(*) FILTER (b.v_base = {k}) / count(*) FILTER (b.v_base > 0) ELSE 0 END, 6) AS frac_{k}" for k in range(1, 10)) + " FROM g a JOIN (VALUES (-2), (-1), (0), (1), (2)) i(dr) ON true JOIN (VALUES (-2), (-1), (0), (1), (2)) j(dc) ON dr <> 0 OR dc <> 0 LEFT JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc GROUP BY 1",
     "training_weights": "SELECT cell_id, round(w, 6) AS weight, round(w / avg(w) OVER (), 6) AS train_weight FROM (SELECT st.cell_id, available / count(*) OVER (PARTITION BY st.v_fit, st.v_base) AS w FROM st JOIN (SELECT v_fit, v_base, count(*) AS available FROM g GROUP BY ALL) USING (v_fit, v_base))",
