@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terramark.functions import expressions as E
-from terramark.operators import allocate, crosstab, demand, factors, focal, sampling
+from terramark.operators import allocate, crosstab, demand, factors, focal, models, sampling
 from terramark.plans import catalog
 from terramark.plans.scenario import Scenario, driver_year, weight_code, windows
 from terramark.sources import tables
@@ -110,6 +110,79 @@ def test_simulation_meets_demand_and_keeps_nodata(spark, small):
     assert end.count() == small.size and log[-1]["max_abs_demand_error_pixels"] <= 20
 
 
+def test_draws_of_any_cell_number(spark):
+    ids = [0, 7, 2**31 - 1, 2**31, 9_000_000_000, 2**62]
+    got = [r.d for r in spark.createDataFrame([(i,) for i in ids], "cell_id long").select(E.draw(F.col("cell_id"), 42, 3).alias("d")).collect()]
+    want = [((i * 1103515245 + 12345 + 42 * 7919 + 3 * 104729) % 2**31 * 48271 + 3) % (2**31 - 1) / (2**31 - 1) for i in ids]
+    assert got == want
+
+
+def test_best_rows_by_slot(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.integers(1, 4)), float(rng.choice([0.1, 0.25, 0.5, rng.random()]))) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "cell_id long, current int, __score double").repartition(5)
+    take = {1: 100, 2: 5000, 3: 0}
+    got = {r.cell_id for r in frame.filter(allocate.best(frame, F.col("current"), take)).collect()}
+    want = {i for k, n in take.items() for i, _, _ in sorted((r for r in rows if r[1] == k), key=lambda r: (-r[2], r[0]))[:n]}
+    assert got == want
+
+
+def test_pool_falls_back_when_no_unchanged_surplus_cell_is_left(spark):
+    """One cell above demand is used up for class 2; class 3 then takes from any other class."""
+    g = grid(spark, np.array([[1, 4, 4, 4]]))
+    goal = {1: 0, 2: 1, 3: 1, 4: 2}
+    end, log = allocate.simulate_pooled(g, "v", goal, lambda near, _, jitter: near + jitter, iterations=1, size=3)
+    got = sorted(r.current for r in end.collect())
+    assert got == [2, 3, 4, 4] and end.columns == ["cell_id", "r", "c", "v", "current"]
+    goal = {1: 0, 2: 1, 3: 1, 4: 3}
+    end, log = allocate.simulate_pooled(g, "v", goal, lambda near, _, jitter: near + jitter, iterations=1, size=3)
+    assert sorted(r.current for r in end.collect()) == [2, 3, 4, 4] and log[0]["max_abs_demand_error_pixels"] == 1
+
+
+def test_samples_by_slot(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(0, 4)), int(rng.integers(1, 3))) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "cell_id long, a int, b int").repartition(3)
+    drawn = {r.cell_id: r.d for r in frame.select("cell_id", E.draw(F.col("cell_id"), 42).alias("d")).collect()}
+    got = {r.cell_id for r in sampling.stratified(frame, "a", "b", 40, 300).collect()}
+    want = set()
+    for a in (1, 2, 3):
+        for b in (1, 2):
+            want |= set(sorted((i for i, x, y in rows if (x, y) == (a, b)), key=lambda i: (drawn[i], i))[:300 if a == b else 40])
+    assert got == want
+    assert sampling.stratified(frame.limit(0), "a", "b").count() == 0
+
+
+def test_percentiles_equal_sorting(spark):
+    rng = np.random.default_rng(8)
+    for x in (rng.normal(size=501), np.array([3.0]), rng.integers(0, 3, 90).astype(float), np.append(rng.random(200), 1e9)):
+        frame = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double").repartition(3)
+        assert np.allclose(factors.percentiles(frame, "x", [0.02, 0.5, 0.98, 1.0]), np.quantile(x, [0.02, 0.5, 0.98, 1.0]), rtol=1e-12)
+    assert factors.percentiles(frame.limit(0), "x", [0.5]) is None
+
+
+def test_polygons_and_boxes(spark):
+    g = grid(spark, np.ones((12, 9), int))
+    rings = spark.createDataFrame([([[1.0, 1.0], [8.0, 1.0], [8.0, 11.0], [1.0, 11.0]],), ([[3.0, 3.0], [6.0, 3.0], [6.0, 7.0], [3.0, 7.0]],)], "coords array<array<double>>")
+    inside = factors.inside_polygons(g, factors.ring_edges(rings), band_rows=4)
+    want = {r * 9 + c for r in range(1, 11) for c in range(1, 8) if not (3 <= r < 7 and 3 <= c < 6)}
+    assert {r.cell_id for r in inside.collect()} == want
+    cut = factors.crop(g, inside, "v").collect()
+    assert len(cut) == 70 and sum(r.v for r in cut) == len(want)
+    features = spark.createDataFrame([(1, [[0.0, 0.0], [2.0, 2.0]]), (2, [[9.0, 9.0]]), (3, []), (4, None)], "feature_id long, coords array<array<double>>")
+    assert [r.feature_id for r in factors.within(features, (1.0, 1.0, 3.0, 3.0)).collect()] == [1]
+
+
+def test_one_vs_rest_adds_up_to_one(spark):
+    rng = np.random.default_rng(2)
+    rows = [(float(x), float(y), float(1 + (x > 0) + 3 * (y > 1))) for x, y in rng.normal(size=(200, 2))]
+    frame = spark.createDataFrame(rows, "x double, y double, label double")
+    trained = models.train_one_vs_rest(frame, ["x", "y"], "label")
+    got = models.one_vs_rest_probabilities(frame, trained).toPandas()
+    p = got[[f"p_{k}" for k in range(1, 10)]].to_numpy()
+    assert np.allclose(p.sum(axis=1), 1) and (p[:, 5:] == 0).all() and (p.argmax(axis=1) + 1 == got.label).mean() > 0.8
+
+
 def test_split_and_weights(spark):
     rows = spark.createDataFrame([(i, i % 2, 1, i % 4 + 1) for i in range(80)], "cell_id long, label int, a int, b int")
     got = sampling.split(rows, "label").groupBy("label", "validation").count().collect()
@@ -168,6 +241,19 @@ def test_tables(spark, small, tmp_path):
     assert [r.x for r in odd.collect()] == [0.0, 0.0, 0.0, 1.0, 0.4]
 
 
-@pytest.mark.parametrize("name", ["distance_to_barren", "pooled_simulation", "suitability_simulation", "logistic_coefficients", "forest_importance"])
+@pytest.mark.parametrize("name", ["distance_to_barren", "pooled_simulation", "suitability_simulation", "logistic_coefficients", "forest_importance", "one_vs_rest"])
 def test_other_queries_run(spark, name):
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("name", ["forest_simulation", "logistic_simulation"])
+def test_simulated_maps(spark, name):
+    """Cells stay what and how many they are, NoData stays, and the forest's run meets its demand."""
+    rows = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
+    g = catalog.cells(spark, "/root/testdata/sf0.001")
+    assert len(rows) == g.count() and rows.cell_id.is_unique
+    assert ((rows.v_base == 0) == (rows.predicted == 0)).all() and rows.predicted.between(0, 9).all()
+    goal, _ = catalog._goal(g)
+    counts = rows.predicted.value_counts()
+    off = max(abs(counts.get(k, 0) - n) for k, n in goal.items())
+    assert off == 0 if name == "forest_simulation" else off < 0.01 * len(rows)
