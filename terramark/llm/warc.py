@@ -6,9 +6,10 @@ where both have one, else the dates of last modification. The merged headers are
 with those fields replaced that a 304 may update (PERMITTED); other fields of the revisit are
 left out.
 
-The join runs in two steps, so that one URL with a third of all records isn't one task: within
-blocks of time by a window, and over the last response of each earlier block, of which there is
-one row for each URL and block, pre-aggregated before the shuffle. Only narrow columns move.
+The join runs in three steps, so that one URL with a third of all records isn't one task: within
+minutes by a window, over the last response of each earlier minute of a block of hours, and over
+that of each earlier block. There is one row for each URL and minute or block, pre-aggregated
+before the shuffle. Only narrow columns move.
 
 Defined cases: records of equal time aren't earlier; of responses at one time the one with the
 largest record id counts; a null URL, time or header block resolves to `no_response` for a
@@ -18,10 +19,15 @@ Repeated rows give repeated results. Extra columns are ignored. An empty table g
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+from datetime import datetime
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK_SECONDS = 6 * 3600
+BLOCK_SECONDS, MINUTE = 6 * 3600, 60
 #: The fields that a 304 response may update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 
@@ -66,19 +72,24 @@ def resolve_revisits(records: DataFrame, block_seconds: int = BLOCK_SECONDS) ->
     """
     rows = records.select("record_id", canonical_url(F.col("url")).alias("url"), F.col("captured").cast("long").alias("captured"),
                           "kind", "payload_digest", header_map(F.col("header_block")).alias("headers"))
-    rows = rows.withColumn("block", F.floor(F.col("captured") / block_seconds)).withColumn("full", F.when(
+    rows = rows.withColumn("block", F.floor(F.col("captured") / block_seconds)).withColumn("minute", F.floor(F.col("captured") / MINUTE)).withColumn("full", F.when(
         (F.col("kind") == "response") & F.col("captured").isNotNull() & F.col("headers").isNotNull(),
         F.struct("captured", "record_id", "payload_digest", header_text(F.col("headers")).alias("fields"))))
     known = rows.filter("url is not null")
-    inside = Window.partitionBy("url", "block").orderBy("captured").rangeBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("url", "block", "minute").orderBy("captured").rangeBetween(Window.unboundedPreceding, -1)
     near = known.filter("kind in ('response', 'revisit') and captured is not null").withColumn("near", F.max("full").over(inside))
-    blocks = known.filter("full is not null").groupBy("url", "block").agg(F.max("full").alias("last"))
-    # The last response of the latest block before each block that has a revisit.
-    asked = known.filter("kind = 'revisit' and captured is not null").select("url", "block").distinct()
-    earlier = Window.partitionBy("url").orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
-    carried = (blocks.join(asked, ["url", "block"], "full").withColumn("far", F.max("last").over(earlier))
-               .select("url", "block", "far"))
-    found = near.filter("kind = 'revisit'").join(carried, ["url", "block"], "left").withColumn("full", F.coalesce("near", "far"))
+    asked = known.filter("kind = 'revisit' and captured is not null").select("url", "block", "minute").distinct()
+
+    def before(last: DataFrame, wanted: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+        """For each wanted time the last response of an earlier one, within the keys."""
+        earlier = Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+        return last.join(wanted, [*keys, order], "full").withColumn(name, F.max("last").over(earlier)).select(*keys, order, name)
+
+    minutes = known.filter("full is not null").groupBy("url", "block", "minute").agg(F.max("full").alias("last"))
+    blocks = minutes.groupBy("url", "block").agg(F.max("last").alias("last"))
+    found = (near.filter("kind = 'revisit'").join(before(minutes, asked, ["url", "block"], "minute", "mid"), ["url", "block", "minute"], "left")
+             .join(before(blocks, asked.select("url", "block").distinct(), ["url"], "block", "far"), ["url", "block"], "left")
+             .withColumn("full", F.coalesce("near", "mid", "far")))
     columns = ["record_id", "url", "captured", "headers", "full"]
     lost = rows.filter("kind = 'revisit' and (url is null or captured is null)").withColumn("full", F.lit(None).cast(found.schema["full"].dataType))
     every = found.select(*columns).unionByName(lost.select(*columns))
@@ -95,6 +106,48 @@ def resolve_revisits(records: DataFrame, block_seconds: int = BLOCK_SECONDS) ->
                        F.when(ok, header_text(merged_headers(old, F.col("headers")))).alias("headers"))
 
 
+def parse_warc(data: bytes) -> list[tuple]:
+    """The responses and revisits of a WARC file, compressed or not, in the columns of resolve_revisits,
+    with what a revisit refers to. Broken records end the file."""
+    if data[:2] == b"\x1f\x8b":
+        parts, rest = [], data
+        while rest[:2] == b"\x1f\x8b":
+            member = zlib.decompressobj(31)
+            parts.append(member.decompress(rest))
+            rest = member.unused_data
+        data = b"".join(parts)
+    out, at = [], 0
+    while (start := data.find(b"WARC/", at)) == at or data[at:start].strip() == b"" and start >= 0:
+        end = data.find(b"\r\n\r\n", start)
+        if end < 0:
+            break
+        head = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in data[start:end].decode("utf-8", "replace").split("\r\n")[1:] if ":" in x)}
+        size = int(head["content-length"]) if head.get("content-length", "").isdigit() else 0
+        block, at = data[end + 4:end + 4 + size], end + 4 + size
+        kind = head.get("warc-type")
+        if kind in ("response", "revisit"):
+            fields = block.split(b"\r\n\r\n", 1)[0].decode("utf-8", "replace").split("\r\n", 1)
+            try:
+                captured = int(datetime.fromisoformat(head.get("warc-date", "").replace("Z", "+00:00")).timestamp())
+            except ValueError:
+                captured = None
+            out.append((head.get("warc-record-id"), head.get("warc-target-uri"), captured, kind, head.get("warc-payload-digest"),
+                        fields[1] if len(fields) > 1 else "", head.get("warc-refers-to")))
+    return out
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The records of WARC files, a file at a time in each task."""
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for content in b["content"]:
+                yield pd.DataFrame(parse_warc(bytes(content)), columns=["record_id", "url", "captured", "kind", "payload_digest", "header_block", "refers_to"]).astype({"captured": "Int64"})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # whole files are rows
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(parse, "record_id string, url string, captured long, kind string, payload_digest string, header_block string, refers_to string")
+
+
 #: The crawl that the pages stand for: each page is fetched in full, then asked for again.
 RECORDS_SQL = """
 SELECT 'r' || page_id AS record_id, url, page_id * 60 AS captured, 'response' AS kind, md5(html) AS payload_digest,

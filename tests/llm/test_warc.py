@@ -1,3 +1,5 @@
+import gzip
+
 from terramark.llm import warc
 
 SCHEMA = "record_id string, url string, captured long, kind string, payload_digest string, header_block string, block string, near int"
@@ -27,3 +29,30 @@ def test_revisit_cases(spark):
         ("v6", "no_response", "", ""), ("v7", "no_response", "", ""), ("v8", "no_response", "", ""), ("v9", "no_response", "", ""),
     ]
     assert warc.resolve_revisits(frame.limit(0)).count() == 0
+
+
+def test_warc_files(spark, tmp_path):
+    def record(kind, number, date, block, more=""):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{number}>\r\nWARC-Target-URI: http://a.org/x\r\nWARC-Date: {date}\r\n{more}Content-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    page = b'HTTP/1.1 200 OK\r\nETag: "q"\r\nServer: s\r\n\r\nWARC/1.0 is text here'
+    parts = [record("warcinfo", 0, "2024-01-01T00:00:00Z", b"software: x"), record("response", 1, "2024-01-01T00:00:01Z", page, "WARC-Payload-Digest: sha1:D\r\n"),
+             record("revisit", 2, "2024-01-02T00:00:01Z", b'HTTP/1.1 304 Not Modified\r\nETag: "q"\r\nDate: now\r\n\r\n', "WARC-Refers-To: <1>\r\n"), record("revisit", 3, "no date", b"")]
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in parts[:2]))
+    (tmp_path / "c.warc").write_bytes(b"WARC/1.0\r\nbroken")
+    records = warc.read_warc(spark, str(tmp_path))
+    assert records.count() == 4 and records.filter("captured is null").count() == 1
+    got = {r.record_id: r for r in warc.resolve_revisits(warc.read_warc(spark, str(tmp_path / "a.warc"))).collect()}
+    assert (got["<2>"].status, got["<2>"].refers_to, got["<2>"].payload_digest) == ("resolved", "<1>", "sha1:D")
+    assert got["<2>"].headers == 'date: now\netag: "q"\nserver: s' and got["<3>"].status == "no_response"
+
+
+def test_many_revisits_of_one_url(spark):
+    """Responses every 50 seconds and revisits between them, over minutes and blocks."""
+    rows = [(f"r{i:05}", "http://a.org", i * 50, "response", f"d{i}", f'ETag: "{i // 3}"') for i in range(0, 1200, 3)]
+    rows += [(f"v{i:05}", "http://a.org", i * 50 + 10, "revisit", None, f'ETag: "{i // 3}"') for i in range(1200)]
+    frame = spark.createDataFrame([(*r, "b", 1) for r in rows], SCHEMA)
+    got = warc.resolve_revisits(frame, block_seconds=3600).collect()
+    assert len(got) == 1200 and all(r.status == "resolved" and int(r.refers_to[1:]) == int(r.record_id[1:]) // 3 * 3 for r in got)
