@@ -1,7 +1,7 @@
 r"""Media columns: Netpbm and BMP images, area-resized by integral images, as NPY tiles.
 
 `encode_*` and `decode` are small codecs between image bytes and numpy arrays: Netpbm P1 to P6
-(bitmap, grey, colour; plain or raw, 8 or 16 bits) and uncompressed BMP of 8, 24 or 32 bits.
+(bitmap, grey, colour; plain or raw, 8 or 16 bits) and uncompressed BMP of 1 to 8, 24 or 32 bits.
 `area_resize` gives each output pixel the exact mean of its area from a summed-area table;
 `dhash` compares neighbours of a 9 x 8 grid; `npy` writes a tile as an NPY file's bytes.
 
@@ -10,8 +10,8 @@ a raw PGM of 64 columns, reads the payload back from the stored bytes and comput
 from the decoded pixels.
 
 Defined cases: a null text counts as empty (one row of zeros); equal texts give equal values;
-repeated rows give equal rows; extra columns are ignored. Images of other forms raise ValueError
-in the codecs; `images_to_tiles` gives null columns for null or unreadable media.
+repeated rows give equal rows; extra columns are ignored. Images of other forms, or without
+pixels, raise ValueError in the codecs; `images_to_tiles` gives null columns for null or unreadable media.
 """
 
 from __future__ import annotations
@@ -59,6 +59,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         top = 1
     else:
         (w, h, top), at = _header(data, 3)
+    if not (h and w and top):
+        raise ValueError("an image without pixels or levels")
     shape = (h, w, 3) if kind in (b"P3", b"P6") else (h, w)
     if kind == b"P1":
         bits = [c for c in data[at - 1:] if c in b"01"]
@@ -84,15 +86,18 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if data[:2] != b"BM":
         raise ValueError("not BMP")
     start, head, w, h, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if packed or bits not in (8, 24, 32):
-        raise ValueError("only uncompressed BMP of 8, 24 or 32 bits")
-    line = (w * bits // 8 + 3) // 4 * 4
+    if packed or bits not in (1, 4, 8, 24, 32) or w <= 0 or not h:
+        raise ValueError("only uncompressed BMP of 1, 4, 8, 24 or 32 bits, with pixels")
+    line = (w * bits + 31) // 32 * 4
     rows = np.frombuffer(data, np.uint8, line * abs(h), start).reshape(abs(h), line)
     rows = rows[::-1] if h > 0 else rows
     if bits > 8:
         return rows[:, :w * bits // 8].reshape(abs(h), w, bits // 8)[:, :, 2::-1]
-    used = struct.unpack_from("<I", data, 46)[0] or 256
+    used = struct.unpack_from("<I", data, 46)[0] or 1 << bits
     colours = np.frombuffer(data, np.uint8, 4 * used, 14 + head).reshape(used, 4)
+    if bits < 8:
+        each = np.unpackbits(rows, axis=1).reshape(abs(h), -1, bits)
+        rows = (each * (1 << np.arange(bits)[::-1]).astype(np.uint8)).sum(axis=2, dtype=np.uint8)
     index = rows[:, :w]
     if (colours[:, 0] == colours[:, 1]).all() and (colours[:, 1] == colours[:, 2]).all():
         return colours[:, 0][index]
@@ -163,7 +168,7 @@ def images_to_tiles(frame: DataFrame, media_col: str = "media", tile: int = TILE
             try:
                 pixels = decode(bytes(m))
                 rows.append((*pixels.shape[:2], tile_of(pixels, tile), dhash(grey_of(pixels))))
-            except (TypeError, ValueError, IndexError, struct.error):
+            except (TypeError, ValueError, IndexError, ZeroDivisionError, OverflowError, struct.error):
                 rows.append((None, None, None, None))
         return pd.DataFrame(rows, columns=["height", "width", "tile", "dhash"]).astype({"height": "Int32", "width": "Int32"})
 

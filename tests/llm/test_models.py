@@ -179,8 +179,15 @@ def test_codecs_and_resize():
     assert media.decode(b"P5 1 1 65535\n\x01\x02").tolist() == [[258]]
     assert np.allclose(media.area_resize(grey, 4, 5), brute_mean(grey, 4, 5))
     assert np.load(io.BytesIO(media.tile_of(grey))).shape == (media.TILE, media.TILE)
-    with pytest.raises(ValueError):
-        media.decode(b"GIF89a")
+    for bits, data in ((1, b"\xa0\0\0\0\x40\0\0\0"), (4, b"\x12\x30\0\0\x01\x20\0\0")):
+        palette = bytes(x for g in range(1 << bits) for x in (g * 15, g * 15, g * 15, 0))
+        head = media.struct.pack("<IiiHHIIiiII", 40, 3, 2, 1, bits, 0, 8, 1, 1, 0, 0)
+        bmp = b"BM" + media.struct.pack("<IHHI", 0, 0, 0, 54 + len(palette)) + head + palette + data
+        want = [[0, 1, 0], [1, 0, 1]] if bits == 1 else [[0, 1, 2], [1, 2, 3]]
+        assert (media.decode(bmp) == np.array(want) * 15).all()
+    for bad in (b"GIF89a", b"P5\n0 0\n255\n", b"P5 1 1 0 x"):
+        with pytest.raises(ValueError):
+            media.decode(bad)
 
 
 def test_media_query_cases(spark):
@@ -198,5 +205,5 @@ def test_media_query_cases(spark):
         if small is not None:
             assert r.feature == np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
     assert rows[2].asDict() | {"doc_id": 0} == rows[6].asDict() | {"doc_id": 0}
-    tiles = media.images_to_tiles(spark.createDataFrame([(bytearray(media.store(b"hello")),), (None,), (bytearray(b"junk"),)], "media binary")).collect()
-    assert [t.height for t in tiles] == [1, None, None]
+    tiles = media.images_to_tiles(spark.createDataFrame([(bytearray(media.store(b"hello")),), (None,), (bytearray(b"junk"),), (bytearray(b"P5\n0 0\n255\n"),)], "media binary")).collect()
+    assert [t.height for t in tiles] == [1, None, None, None]
