@@ -38,8 +38,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    """`df` written with a key of its own for each row, __row."""
-    return written(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    """`df` written with a key of its own for each row, __terramark_row."""
+    return written(df.withColumn("__terramark_row", F.monotonically_increasing_id()), "rows")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -88,11 +88,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = keyed(docs)
     kept = exact_dedup(rows, id_col, text_col).filter("kept").select(
         F.col("doc_id").alias("__kept_id"), F.unhex("text_sha256").alias("sha")).distinct()
-    ids = rows.select("__row", rows[id_col].cast("long").alias("__id"), F.coalesce(rows[text_col].cast("string"), F.lit("")).alias("__text")).select(
-        "__row", "__id", F.char_length("__text").alias("cps"), F.unhex(F.sha2(without_space(F.col("__text")), 256)).alias("sha"))
+    ids = rows.select("__terramark_row", rows[id_col].cast("long").alias("__id"), F.coalesce(rows[text_col].cast("string"), F.lit("")).alias("__text")).select(
+        "__terramark_row", "__id", F.char_length("__text").alias("cps"), F.unhex(F.sha2(without_space(F.col("__text")), 256)).alias("sha"))
     best = ids.join(kept, ids["__id"].eqNullSafe(F.col("__kept_id")) & (ids["sha"] == kept["sha"])).groupBy(kept["sha"]).agg(
-        F.min(F.struct((-F.col("cps")).alias("c"), "__row")).alias("best"))
-    return rows.join(best.select(F.col("best.__row").alias("__row")), "__row", "left_semi").drop("__row")
+        F.min(F.struct((-F.col("cps")).alias("c"), "__terramark_row")).alias("best"))
+    return rows.join(best.select(F.col("best.__terramark_row").alias("__terramark_row")), "__terramark_row", "left_semi").drop("__terramark_row")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

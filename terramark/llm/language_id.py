@@ -188,14 +188,14 @@ def with_language(docs: DataFrame, samples: tuple[tuple[str, bytes], ...],
         lang, score = predict(samples, [None if t is None else str(t) for t in texts])
         return pd.DataFrame({"lang": lang, "score": score})
 
-    found = docs.withColumn("__guess", guess(docs["text"].cast("string")))
-    return found.withColumn(lang_col, F.col("__guess.lang")).withColumn(score_col, F.col("__guess.score")).drop("__guess")
+    found = docs.withColumn("__terramark_guess", guess(docs["text"].cast("string")))
+    return found.withColumn(lang_col, F.col("__terramark_guess.lang")).withColumn(score_col, F.col("__terramark_guess.score")).drop("__terramark_guess")
 
 
 def identified(docs: DataFrame) -> DataFrame:
     """`docs` without those whose language can't be told; `lang` holds the prediction."""
-    found = with_language(docs, fit(docs), "__lang", "__score").filter("__lang != 'und'")
-    return found.withColumn("lang", F.col("__lang")).select(*docs.columns)
+    found = with_language(docs, fit(docs), "__terramark_lang", "__terramark_score").filter("__terramark_lang != 'und'")
+    return found.withColumn("lang", F.col("__terramark_lang")).select(*docs.columns)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,8 +145,8 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The sampled rows of `docs`, with all their columns; options as in `mix`."""
-    kept = mix(docs, **options).filter("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    kept = mix(docs, **options).filter("kept").select(F.col("doc_id").alias("__terramark_kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__terramark_kept_id")), "left_semi")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

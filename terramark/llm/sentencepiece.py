@@ -311,9 +311,9 @@ def tokenised(docs: DataFrame, path: str = MODEL_PATH, text_col: str = "text") -
         return pd.DataFrame(rows, columns=["token_ids", "n_tokens", "n_byte_tokens", "round_trip"]).astype(
             {"n_tokens": "Int32", "n_byte_tokens": "Int32", "round_trip": "boolean"})
 
-    found = docs.withColumn("__tokens", both(docs[text_col].cast("string")))
+    found = docs.withColumn("__terramark_tokens", both(docs[text_col].cast("string")))
     names = ["token_ids", "n_tokens", "n_byte_tokens", "round_trip"]
-    return found.select(*[found[c] for c in docs.columns if c not in names], *[F.col(f"__tokens.{c}") for c in names])
+    return found.select(*[found[c] for c in docs.columns if c not in names], *[F.col(f"__terramark_tokens.{c}") for c in names])
 
 
 def decoded(frame: DataFrame, path: str = MODEL_PATH, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:

@@ -194,8 +194,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay: of each component the smallest doc_id (and null ids alone)."""
     found = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    kept = found.select(F.col("doc_id").alias("__terramark_kept_id")).distinct()
+    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__terramark_kept_id")), "left_semi")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
