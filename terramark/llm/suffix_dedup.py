@@ -34,6 +34,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from ._shared import short_batches, written
 from .substring_dedup import NULL_ID, marked_texts, seen_twice, sketch
 
-LENGTH, GRAM, BLOCK = 400, 32, 16
+LENGTH, GRAM, BLOCK = 400, 32, 50
 #: Bytes of pieces in a bucket beyond which they are cut.
 BUCKET_BYTES = 4 << 20
 MAX_CELLS = 1 << 28
@@ -123,19 +124,22 @@ def pieces(texts: list[str], length: int = LENGTH, gram: int = GRAM) -> tuple[np
 
 
 def block_ranks(data: np.ndarray, block: int) -> np.ndarray:
-    """The rank of the block of bytes at each place among all blocks, by its bytes."""
-    n = len(data) - block + 1
-    eight = np.zeros(len(data) - 7, np.uint64)
+    """The rank of the block of bytes at each place among all blocks, by its bytes: from ranks of
+    eight bytes on, those of twice the length are ranks of pairs, which may overlap in the end."""
+    key, size = np.zeros(len(data) - 7, np.uint64), 8
     for k in range(8):
-        eight = eight << np.uint64(8) | data[k:len(data) - 7 + k].astype(np.uint64)
-    words = [eight[k:k + n] for k in range(0, block, 8)]
-    order = np.lexsort(words[::-1])
-    new = np.zeros(n, bool)
-    for w in words:
-        new[1:] |= w[order[1:]] != w[order[:-1]]
-    out = np.empty(n, np.int32)
-    out[order] = np.cumsum(new)
-    return out
+        key = key << np.uint64(8) | data[k:len(data) - 7 + k].astype(np.uint64)
+    while True:
+        order = np.argsort(key)
+        new = np.zeros(len(key), np.int64)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.cumsum(new)
+        if size == block:
+            return rank.astype(np.int32)
+        step = min(size, block - size)
+        key = (rank[:-step].astype(np.uint64) << np.uint64(32)) | rank[step:].astype(np.uint64)
+        size += step
 
 
 def repeated_strings(collection: list[bytes], strings: np.ndarray, offset: np.ndarray,
@@ -145,7 +149,7 @@ def repeated_strings(collection: list[bytes], strings: np.ndarray, offset: np.nd
     The collection's transform and common prefixes are built by inserting a symbol a round.
     """
     data = np.frombuffer(b"".join(collection), np.uint8)
-    if len(data) < block:
+    if len(data) < length:
         return [np.zeros(0, np.int64) for _ in collection]
     sizes = np.array([len(c) for c in collection])
     begin = np.cumsum(sizes) - sizes
@@ -281,21 +285,27 @@ def _decide(b: pd.DataFrame) -> pd.DataFrame:
     """In a bucket: the repeated strings' runs, for the chunk of each owner."""
     number: dict[tuple, int] = {}
     copies: list[int] = []
+    keys: list[tuple[bytes, int]] = []
     asked = []
     for r in b.itertuples():
         mine, times = [], []
-        for piece, strings, offset, owners, _, _ in _read(r):
+        for piece, strings, offset, owners, low, high in _read(r):
             k = number.setdefault((piece, strings, offset), len(number))
             if k == len(copies):
                 copies.append(0)
+                keys.append((piece[offset - low:offset + LENGTH - high], low))
             copies[k] += len(owners)
             mine.append(k)
             times.append(len(owners))
         asked.append((r.chunk, np.repeat(mine, times), np.frombuffer(r.owners, np.int64).reshape(-1, 3)))
     strings = np.array([k[1] for k in number])
-    found = repeated_strings([k[0] for k in number], strings, np.array([k[2] for k in number]))
+    # A piece alone with its key has no string of another; strings of one piece differ in their lefts.
+    times, every = Counter(keys), list(number)
+    some = [k for k, key in enumerate(keys) if times[key] > 1]
+    found = dict(zip(some, repeated_strings([every[k][0] for k in some], strings[some], np.array([every[k][2] for k in some], np.int64))))
     runs = []
-    for k, where in enumerate(found):
+    for k in range(len(every)):
+        where = found.get(k, np.zeros(0, np.int64))
         if copies[k] > 1:
             runs.append(np.array([[0, strings[k] - 1]]))
         else:
