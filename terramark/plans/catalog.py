@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
-from ..operators import allocate, crosstab, demand, factors, focal, models, sampling
+from ..operators import allocate, crosstab, demand, factors, focal, models, report, sampling
 from ..sources import tables
 from ..sources.grid import CLASS_SQL, GRID_SQL, WIDTH, cells
 from . import scenario
@@ -384,6 +384,20 @@ def positions(s, d):
     return g.select("cell_id", at["r"].cast("long").alias("r"), at["c"].cast("long").alias("c"), F.round(at["r_scaled"], 6).alias("r_scaled"), F.round(at["c_scaled"], 6).alias("c_scaled"))
 
 
+def transition_table(s, d):
+    """Transition probabilities as a wide report with eight decimals."""
+    return report.matrix_table(_transition(cells(s, d)), "p", 8)
+
+
+def area_table(s, d):
+    """The area report in its fixed columns."""
+    return report.area_table(area_projection(s, d), "markov", KM2)
+
+
+def per_class_table(s, d):
+    return report.per_class_table(crosstab.per_class_accuracy(confusion(s, d)), "forest")
+
+
 def largest_changes(s, d):
     """Classes in use by the size of their projected change."""
     return crosstab.changes(area_projection(s, d)).select("class_code", "base_pixels", "predicted_pixels", "change_pixels")
@@ -422,7 +436,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     neighbour_fraction, same_class_support, gradient_slope, percentile_normalised, factor_summary, suitability_maps,
     distance_to_barren, preview, stratified_sample, class_balanced_sample, transition_weights, score_step,
     score_plain_step, neighbour_all, weighted_metrics, rolling_validation, training_weights, clipped, suitability_simulation, model_comparison,
-    history_union, score_forest_step, score_logistic_step, weighted_per_class, positions, largest_changes, classes_first_seen, factor_average, cropped,
+    history_union, score_forest_step, score_logistic_step, weighted_per_class, positions, transition_table, area_table, per_class_table, largest_changes, classes_first_seen, factor_average, cropped,
     one_vs_rest, forest_simulation, logistic_simulation, ca_markov_simulation, pooled_simulation, logistic_coefficients, forest_importance)}
 
 _CTES = {
@@ -499,6 +513,9 @@ SQL: dict[str, str] = {k: _sql(v) for k, v in {
     "score_logistic_step": f"SELECT cell_id, v_base, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY v_base ORDER BY score DESC, cell_id) AS nth FROM (SELECT nb.cell_id, nb.v_base, round(0.65::DOUBLE * s8::DOUBLE + 0.3::DOUBLE * CASE WHEN n_valid > 0 THEN n8 / n_valid ELSE 0 END + 0.05::DOUBLE * p + 0.02::DOUBLE * ({E.draw_sql('nb.cell_id', 42, 1)}), 9) AS score FROM nb JOIN su USING (cell_id) JOIN tp ON from_code = nb.v_base AND to_code = 8 WHERE nb.v_base IN (1, 2))) WHERE nth <= CASE v_base WHEN 1 THEN 200 ELSE 100 END",
     "weighted_per_class": "SELECT class_code, support_samples, round(sw, 6) AS estimated_support_pixels, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6) AS f1_score, round(wp, 6) AS weighted_precision, round(wq, 6) AS weighted_recall, round(CASE WHEN wp + wq > 0 THEN 2 * wp * wq / (wp + wq) ELSE 0 END, 6) AS weighted_f1_score FROM (SELECT class_code, count(*) FILTER (v_target = class_code) AS support_samples, coalesce(sum(w) FILTER (v_target = class_code), 0)::DOUBLE AS sw, coalesce(count(*) FILTER (v_target = class_code AND v_base = class_code) / nullif(count(*) FILTER (v_base = class_code), 0), 0) AS p, coalesce(count(*) FILTER (v_target = class_code AND v_base = class_code) / nullif(count(*) FILTER (v_target = class_code), 0), 0) AS q, coalesce(sum(w) FILTER (v_target = class_code AND v_base = class_code) / nullif(sum(w) FILTER (v_base = class_code), 0), 0)::DOUBLE AS wp, coalesce(sum(w) FILTER (v_target = class_code AND v_base = class_code) / nullif(sum(w) FILTER (v_target = class_code), 0), 0)::DOUBLE AS wq FROM dim LEFT JOIN (SELECT v_target, v_base, cell_id % 3 + 1 AS w FROM g WHERE v_target > 0 AND v_base > 0) ON true GROUP BY class_code)",
     "positions": f"SELECT cell_id, r, c, round(r / greatest(h - 1, 1), 6) AS r_scaled, round(c / {WIDTH - 1}, 6) AS c_scaled FROM g, (SELECT max(r) + 1 AS h FROM g)",
+    "transition_table": "SELECT class_code AS from_code, class_name AS from_name, " + ", ".join(f"(SELECT printf('%.8f', p::DOUBLE) FROM tp WHERE from_code = class_code AND to_code = {k}) AS to_{k}" for k in range(1, 10)) + " FROM dim",
+    "area_table": f"SELECT class_code, class_name, base_pixels, demand_pixels AS markov_projected_pixels, predicted_pixels AS predicted_raster_pixels, actual_pixels, printf('%.6f', demand_pixels * 0.0009::DOUBLE) AS markov_projected_area_km2, printf('%.6f', actual_pixels * 0.0009::DOUBLE) AS actual_area_km2, printf('%.6f', (predicted_pixels - actual_pixels) * 0.0009::DOUBLE) AS area_difference_km2 FROM ({_AREA})",
+    "per_class_table": "SELECT class_code, class_name, actual_pixels, predicted_pixels, correct_pixels, printf('%.6f', ua::DOUBLE) AS precision, printf('%.6f', pa::DOUBLE) AS recall, printf('%.6f', f1::DOUBLE) AS f1_score FROM pf JOIN dim USING (class_code)",
     "largest_changes": f"SELECT class_code, base_pixels, predicted_pixels, predicted_pixels - base_pixels AS change_pixels FROM ({_AREA}) WHERE base_pixels > 0 OR predicted_pixels > 0",
     "classes_first_seen": "SELECT v_base AS class_code, min(cell_id) AS first_place FROM g GROUP BY 1",
     "factor_average": "SELECT cell_id, round(CASE WHEN road IS NULL THEN night ELSE 0.6::DOUBLE * road + 0.4::DOUBLE * night END, 6) AS attraction, round(greatest(coalesce(road, 0), water), 6) AS nearer FROM g",

@@ -36,6 +36,20 @@ class Scenario:
                 f"_nw{weight_code(self.neighbour_weight)}_sw{weight_code(self.other_weight)}")
 
 
+    def plain_stem(self, model: str) -> str:
+        """Of models without weights: Markov runs have neither window nor iterations."""
+        years = f"{model}_fit_{self.fit_year}_{self.base_year}_predict_{self.target_year}"
+        return years if model == "markov" else f"{years}_n{self.size}_i{self.iterations}"
+
+
+def forest_stem(fit_year: int, base_year: int, drivers: int, size: int = 5, sample_seed: int = 42, trees: int = 300, depth: int | None = None,
+                leaf: int = 1, weights: str = "transition", seed: int = 42) -> str:
+    """The name of a forest and of all that is made of it."""
+    deep = "none" if depth is None else depth
+    return (f"rf_fit_{fit_year}_{base_year}_driver{drivers}_n{size}_sampseed{sample_seed}_rf{trees}_depth{deep}_leaf{leaf}"
+            f"_w{weights}_trainseed{seed}")
+
+
 def driver_year(years: set[int], wanted: int, fallback: int) -> tuple[int, str | None]:
     """The year whose factors are used, and a warning if it isn't the wanted one."""
     if wanted in years:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from terramark.functions import expressions as E
 from terramark.operators import allocate, crosstab, demand, factors, focal, models, sampling
 from terramark.plans import catalog
-from terramark.plans.scenario import Scenario, driver_year, weight_code, windows
+from terramark.plans.scenario import Scenario, driver_year, forest_stem, weight_code, windows
 from terramark.sources import tables
 from terramark.sources.grid import PROFILE, Profile
 
@@ -195,6 +195,8 @@ def test_split_and_weights(spark):
 def test_scenario():
     s = Scenario(2015, 2020, 2025, neighbour_weight=0.65, other_weight=0.125)
     assert s.stem("ca") == "ca_fit_2015_2020_predict_2025_n5_i5_nw065_sw12p5" and weight_code(1.0) == "100"
+    assert s.plain_stem("markov") == "markov_fit_2015_2020_predict_2025" and s.plain_stem("logistic_ca") == "logistic_ca_fit_2015_2020_predict_2025_n5_i5"
+    assert forest_stem(2015, 2020, 2020) == "rf_fit_2015_2020_driver2020_n5_sampseed42_rf300_depthnone_leaf1_wtransition_trainseed42"
     assert windows([2010, 2000, 2005, 2015]) == [(2000, 2005, 2010), (2005, 2010, 2015)]
     assert driver_year({2020}, 2025, 2020)[0] == 2020
     for bad in ({"size": 4}, {"iterations": 0}, {"neighbour_weight": 0, "other_weight": 0}):
@@ -235,7 +237,24 @@ def test_tables(spark, small, tmp_path):
         tables.write_cells(g, f"{tmp_path}/g")
     tables.write_report(spark.createDataFrame([(1, 0.5), (2, None)], "k int, x double"), f"{tmp_path}/r")
     assert [(r.k, r.x) for r in tables.read_report(spark, f"{tmp_path}/r").orderBy("k").collect()] == [(1, 0.5), (2, None)]
+    assert tables.read_typed(spark, f"{tmp_path}/r", "k int, x double").orderBy("k").first().x == 0.5
+    tables.write_samples(g.select(F.col("v").alias("from_class"), F.col("v").alias("to_class")), f"{tmp_path}/s")
+    assert tables.read_samples(spark, f"{tmp_path}/s").count() == small.size
+    with pytest.raises(ValueError, match="samples without"):
+        tables.read_samples(spark, f"{tmp_path}/s", ("label",))
+    made = []
+    make = lambda: made.append(1) or g
+    assert [tables.cached(spark, f"{tmp_path}/c", make).count() for _ in range(2)] == [small.size] * 2 and made == [1]
+    assert tables.cached(spark, f"{tmp_path}/none", lambda: None) is None and tables.cached(spark, f"{tmp_path}/c", make, skip=True) is None
+    tables.write_profile(spark, PROFILE, f"{tmp_path}/p")
+    assert tables.read_aligned(spark, f"{tmp_path}/c", f"{tmp_path}/p", PROFILE).count() == small.size
+    with pytest.raises(ValueError, match="another grid"):
+        tables.read_aligned(spark, f"{tmp_path}/c", f"{tmp_path}/p", Profile(1, 1, "x", PROFILE.transform))
     tables.write_metadata(spark, {"a": [1]}, f"{tmp_path}/m")
+    with pytest.raises(Exception, match="(?i)already exists"):
+        tables.write_metadata(spark, {"a": [1]}, f"{tmp_path}/m")
+    with pytest.raises(ValueError, match="metadata without"):
+        tables.read_metadata(spark, f"{tmp_path}/m", ("features",))
     assert tables.read_metadata(spark, f"{tmp_path}/m") == {"a": [1]}
     odd = spark.createDataFrame([(float("nan"),), (-9999.0,), (None,), (2.0,), (0.4,)], "x double").select(tables.clean_factor("x").alias("x"))
     assert [r.x for r in odd.collect()] == [0.0, 0.0, 0.0, 1.0, 0.4]
