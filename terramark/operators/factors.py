@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .focal import gradient
+from .focal import BLOCK_ROWS, gradient
 
 
 SLOTS = 1 << 14
@@ -68,18 +68,26 @@ def low_slope(cells: DataFrame, elevation: str) -> DataFrame:
     return percentile_normalise(found, "gradient", "__g").withColumn("low_slope", 1 - F.col("__g")).drop("__g", "gradient")
 
 
-def distance(cells: DataFrame, burned: F.Column, pixel: float = 30.0) -> DataFrame:
+def distance(cells: DataFrame, burned: F.Column, pixel: float = 30.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """`cells` with the exact distance to the nearest burned cell (null if there is none).
 
-    Along columns the nearest burned row comes from windows; along rows the lower envelope of
-    the parabolas of all columns, one row of the grid at a time.
+    Along columns the nearest burned row comes from windows within blocks of rows; what lies beyond
+    a block is its neighbours' last or first burned row, of which there is one for each column and
+    block. Along rows it is the lower envelope of the parabolas of all columns, one row at a time.
     """
-    up = Window.partitionBy("c").orderBy("r")
-    at = F.when(burned, F.col("r"))
-    above = F.last(at, ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0))
-    below = F.first(at, ignorenulls=True).over(up.rowsBetween(0, Window.unboundedFollowing))
-    gap = F.least(F.col("r") - above, below - F.col("r"))
-    rows = cells.select("r", "c", gap.cast("double").alias("gap"))
+    rows = cells.select("r", "c", F.floor(F.col("r") / block_rows).alias("block"), F.when(burned, F.col("r")).alias("at"))
+    ends = rows.filter("at is not null").groupBy("c", "block").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    column = Window.partitionBy("c").orderBy("block")
+    # Blocks without a burned row need their neighbours' as well.
+    ends = rows.select("c", "block").distinct().join(ends, ["c", "block"], "left")
+    ends = ends.select("c", "block", F.max("high").over(column.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+                       F.min("low").over(column.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    up = Window.partitionBy("c", "block").orderBy("r")
+    above = F.last("at", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0))
+    below = F.first("at", ignorenulls=True).over(up.rowsBetween(0, Window.unboundedFollowing))
+    near = rows.select("r", "c", "block", above.alias("above"), below.alias("below")).join(ends, ["c", "block"])
+    gap = F.least(F.col("r") - F.coalesce("above", "before"), F.coalesce("below", "after") - F.col("r"))
+    rows = near.select("r", "c", gap.cast("double").alias("gap"))
 
     def envelope(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("c")

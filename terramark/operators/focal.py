@@ -22,7 +22,7 @@ def box_sums(cells: DataFrame, columns: dict[str, F.Column], size: int, block_ro
     rows = cells.select("*", *[x.cast("double").alias(f"__x_{n}") for n, x in columns.items()])
     rows = rows.select("*", *[F.sum(f"__x_{n}").over(across).alias(f"__s_{n}") for n in names])
     home = F.floor(F.col("r") / block_rows)
-    blocks = F.array_distinct(F.array(*[F.floor((F.col("r") + d) / block_rows) for d in (-k, 0, k)]))
+    blocks = F.sequence(F.floor((F.col("r") - k) / block_rows), F.floor((F.col("r") + k) / block_rows))
     spread = rows.withColumn("__home", home).withColumn("__block", F.explode(blocks))
     down = Window.partitionBy("c", "__block").orderBy("r").rangeBetween(-k, k)
     out = spread.select("*", *[(F.sum(f"__s_{n}").over(down) - F.col(f"__x_{n}")).alias(n) for n in names]).filter("__block = __home")

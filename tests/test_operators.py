@@ -52,6 +52,10 @@ def test_neighbours_across_blocks(spark, small):
         assert n == (box > 0).sum() - (small[i, j] > 0) and n8 == (box == 8).sum() - (small[i, j] == 8)
     with pytest.raises(ValueError):
         focal.box_sums(grid(spark, small), sums, 4)
+    wide = np.random.default_rng(4).choice([0, 1, 8], (3, 500))
+    for r in focal.box_sums(grid(spark, wide), sums, 7, block_rows=2).collect():
+        box = wide[max(0, r.r - 3):r.r + 4, max(0, r.c - 3):r.c + 4]
+        assert (r.n, r.n8) == ((box > 0).sum() - (wide[r.r, r.c] > 0), (box == 8).sum() - (wide[r.r, r.c] == 8))
 
 
 def test_gradient_across_blocks(spark, small):
@@ -77,7 +81,12 @@ def test_random_allocation_equals_sorting(spark, small):
 
 
 def test_distance_is_exact(spark, small):
-    got = factors.distance(grid(spark, small), F.col("v") == 5, 1.0).collect()
+    got = factors.distance(grid(spark, small), F.col("v") == 5, 1.0, block_rows=4).collect()
+    assert len(got) == small.size
+    wide = np.zeros((9, 400), int)
+    wide[4, [3, 399]] = 5
+    for r in factors.distance(grid(spark, wide), F.col("v") == 5, 2.0, block_rows=2).collect():
+        assert abs(r.distance - 2 * min(np.hypot(r.r - 4, r.c - 3), np.hypot(r.r - 4, r.c - 399))) < 1e-9
     where = np.argwhere(small == 5)
     for r in got:
         assert abs(r.distance - np.sqrt(((where - [r.r, r.c]) ** 2).sum(1).min())) < 1e-9
