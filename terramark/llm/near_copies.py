@@ -7,7 +7,7 @@ simhash.py.
 
 1. *Signatures*: a fingerprint, BANDS hashes of RUN min-hashes each, and a byte of the first SKETCH
    min-hashes. A pair of similarity s shares a band with probability 1 - (1 - s**RUN)**BANDS: over
-   0.9998 at 0.8, and more above; strangers with half their shingles in common do so in one case of eight.
+   0.999 at 0.8, and more above.
 2. *Classes*: rows of equal shingle sets (by 64 bits and number) are one node.
 3. *First round*: links of the anchors, and each node against the first and the last of its band.
    Nodes near those are done.
@@ -21,7 +21,7 @@ that is over four standard deviations below the mean. Shingles are compared by 6
 
 Defined cases: null texts and texts without words are one class; texts of fewer than five words are
 one shingle; repeated rows are one class; very long texts are taken whole; an empty table stays
-empty; other columns pass through, whatever their names, but for `__row`, the row's key.
+empty; other columns pass through, whatever their names, but for `__terramark_row`, the row's key.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from ._shared import components, keyed, short_batches, written
 from .simhash import fingerprint_links
 
-WORDS, BANDS, RUN, SKETCH, LEAST = 5, 64, 9, 192, 130
+WORDS, BANDS, RUN, SKETCH, LEAST = 5, 24, 6, 144, 94
 #: Similarity 4/5: 9 * common >= 4 * (n_a + n_b).
 SAME = "9 * common >= 4 * (a_n + b_n)"
 SIZES = "5 * least(a_n, b_n) >= 4 * greatest(a_n, b_n)"
@@ -108,20 +108,20 @@ def similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str =
     of = lambda k: nodes.select(F.col("node").alias(k), F.col("sketch").alias(f"{k}_sketch"))
     likely = pairs.distinct().join(of("a"), "a").join(of("b"), "b").filter(_agreeing("a_sketch", "b_sketch") >= LEAST)
     likely = written(likely.select("a", "b"), "pairs")
-    asked = likely.select(F.explode(F.array("a", "b")).alias("__row")).distinct()
-    sets = written(rows.join(asked, "__row", "left_semi").select("__row", _shingle_sets(F.col(text_col).cast("string")).alias("s")), "sets")
-    both = (likely.join(sets.select(F.col("__row").alias("b"), F.col("s").alias("t")), "b")
-            .join(sets.select(F.col("__row").alias("a"), "s"), "a"))
+    asked = likely.select(F.explode(F.array("a", "b")).alias("__terramark_row")).distinct()
+    sets = written(rows.join(asked, "__terramark_row", "left_semi").select("__terramark_row", _shingle_sets(F.col(text_col).cast("string")).alias("s")), "sets")
+    both = (likely.join(sets.select(F.col("__terramark_row").alias("b"), F.col("s").alias("t")), "b")
+            .join(sets.select(F.col("__terramark_row").alias("a"), "s"), "a"))
     sized = both.select("a", "b", F.size("s").alias("a_n"), F.size("t").alias("b_n"), F.size(F.array_intersect("s", "t")).alias("common"))
     return written(sized.filter(SAME).select(F.col("a").alias("src"), F.col("b").alias("dst")), "similar")
 
 
 def groups(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__row, id, component) for each of `rows`, which have a key __row."""
-    prints = written(rows.select("__row", rows[id_col].cast("long").alias("id"), _signatures(F.col(text_col).cast("string")).alias("p"))
-                     .select("__row", "id", "p.*"), "signatures")
-    first = prints.groupBy("digest", "n").agg(F.min("__row").alias("__row"))
-    nodes = written(prints.join(first.select("__row"), "__row", "left_semi").withColumnRenamed("__row", "node").drop("id"), "nodes")
+    """(__terramark_row, id, component) for each of `rows`, which have a key __terramark_row."""
+    prints = written(rows.select("__terramark_row", rows[id_col].cast("long").alias("id"), _signatures(F.col(text_col).cast("string")).alias("p"))
+                     .select("__terramark_row", "id", "p.*"), "signatures")
+    first = prints.groupBy("digest", "n").agg(F.min("__terramark_row").alias("__terramark_row"))
+    nodes = written(prints.join(first.select("__terramark_row"), "__terramark_row", "left_semi").withColumnRenamed("__terramark_row", "node").drop("id"), "nodes")
 
     fps = written(nodes.filter("n > 0").groupBy("fp").agg(F.min(F.struct("node", "n")).alias("low")), "fps")
     low = lambda k: fps.select(F.col("fp").alias(k), F.col("low").alias(f"{k}_low"))
@@ -137,8 +137,8 @@ def groups(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     near = similar(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), nodes, rows, text_col)
 
     linked = written(components(near), "linked")
-    named = hits.select("h", "node", "n", F.col("first.node").alias("first")).join(linked, "node", "left").select(
-        "h", "node", "n", "first", F.coalesce("component", "node").alias("own"))
+    named = written(hits.select("h", "node", "n", F.col("first.node").alias("first")).join(linked, "node", "left").select(
+        "h", "node", "n", "first", F.coalesce("component", "node").alias("own")), "named")
     tops = named.filter("node = first").select("h", F.col("own").alias("top"))
     left = written(named.join(tops, "h").filter("own != top").select("h", F.col("node").alias("x"), F.col("n").alias("a_n"), F.col("own").alias("x_own")), "left")
     right = named.filter("node != first").select("h", F.col("node").alias("y"), F.col("n").alias("b_n"), F.col("own").alias("y_own"))
@@ -147,7 +147,7 @@ def groups(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     found = components(near.unionByName(more))
     whole = nodes.join(found, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component"))
-    return prints.select("__row", "id", "digest", "n").join(whole, ["digest", "n"]).select("__row", "id", "component")
+    return prints.select("__terramark_row", "id", "digest", "n").join(whole, ["digest", "n"]).select("__terramark_row", "id", "component")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,5 +155,5 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     short_batches(docs.sparkSession)
     rows = keyed(docs)
     found = written(groups(rows, id_col, text_col), "groups")
-    kept = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("best")).select(F.col("best.__row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").drop("__row")
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "__terramark_row")).alias("best")).select(F.col("best.__terramark_row").alias("__terramark_row"))
+    return rows.join(kept, "__terramark_row", "left_semi").drop("__terramark_row")

@@ -105,14 +105,19 @@ def cut_ends(cells: DataFrame, base: str, flows: DataFrame, seed: int, counts: D
 def allocate_random(cells: DataFrame, base: str, flows: DataFrame, seed: int = 42, counts: DataFrame | None = None) -> DataFrame:
     """`cells` with `allocated`: within each class the cells by draw, cut at the cumulative flows.
 
-    The cells themselves are compared with the cuts where they are, without a shuffle. Cells
-    beyond all flows, or of no class, get 0.
+    The cells themselves are compared with the cuts (at most 81) where they are, without a shuffle
+    or a join. Cells beyond all flows, or of no class, get 0.
     """
-    ends = F.broadcast(cut_ends(cells, base, flows, seed, counts))
-    at = F.struct(draw(F.col("a.cell_id"), seed).alias("draw"), F.col("a.cell_id"))
-    here = (F.col(f"a.{base}") == F.col("b.from_code")) & (at <= F.col("b.last")) & (F.col("b.first").isNull() | (at > F.col("b.first")))
-    hit = cells.alias("a").join(ends.alias("b"), here, "left")
-    return hit.select("a.*", F.coalesce("b.to_code", F.lit(0)).cast("int").alias("allocated"))
+    cuts: dict[int, list] = {}
+    for r in cut_ends(cells, base, flows, seed, counts).select("from_code", "to_code", "last.draw", "last.cell_id").collect():
+        cuts.setdefault(r.from_code, []).append((r.draw, r.cell_id, r.to_code))
+    d, out = F.col("__d"), F.lit(0)
+    for k, ends in cuts.items():
+        inner = F.lit(0)
+        for x, cell, to in sorted(ends, reverse=True):
+            inner = F.when((d < x) | ((d == x) & (F.col("cell_id") <= cell)), to).otherwise(inner)
+        out = F.when(F.col(base) == k, inner).otherwise(out)
+    return cells.withColumn("__d", draw(F.col("cell_id"), seed)).select(*cells.columns, out.cast("int").alias("allocated"))
 
 
 def top_per_source(cells: DataFrame, source: str, score: str, quotas: DataFrame) -> DataFrame:
