@@ -192,6 +192,16 @@ def test_one_vs_rest_adds_up_to_one(spark):
     assert np.allclose(p.sum(axis=1), 1) and (p[:, 5:] == 0).all() and (p.argmax(axis=1) + 1 == got.label).mean() > 0.8
 
 
+def test_forest_weights(spark):
+    rows = [(float(i % 7), 1.0 if i % 10 else 2.0, 1.0 + i % 3) for i in range(300)]
+    frame = spark.createDataFrame(rows, "x double, label double, w double")
+    share = {k: models.with_probabilities(frame.limit(1), models.train_forest(frame, ["x"], "label", trees=5, depth=1, weight="w", class_weight=k)).first().p_2 for k in (None, "balanced")}
+    assert share["balanced"] > 0.3 > share[None]
+    for bad in ({"class_weight": "none"}, {"depth": 31}, {"leaf": 0}):
+        with pytest.raises(ValueError):
+            models.train_forest(frame, ["x"], "label", **bad)
+
+
 def test_split_and_weights(spark):
     rows = spark.createDataFrame([(i, i % 2, 1, i % 4 + 1) for i in range(80)], "cell_id long, label int, a int, b int")
     got = sampling.split(rows, "label").groupBy("label", "validation").count().collect()
