@@ -531,3 +531,50 @@ SQL: dict[str, str] = {k: _sql(v) for k, v in {
 _ACCURACY = SQL["accuracy"]
 SQL["weighted_metrics"] = _ACCURACY.replace(_CTES["cm"], _CTES["cm"].replace("allocated", "v_base").replace("count(*)", "sum(cell_id % 3 + 1)").replace("FROM al", "FROM g"))
 SQL["rolling_validation"] = _sql("SELECT 2015 AS fit_year, 2020 AS base_year, 2025 AS target_year, round(oa, 6) AS overall_accuracy, round(kappa, 6) AS kappa FROM ac").replace(E.draw_sql("cell_id", 42), E.draw_sql("cell_id", 42 + 2025))
+
+
+def _log_sql(repair: bool) -> str:
+    """The log of a quota automaton, which follows from nine counts: a step of the recursion is one
+    round of an apportionment, or the choice of the next target or iteration."""
+    last = 6 if repair else 5
+    steps = f"""
+pm AS (SELECT list(ps ORDER BY to_code) AS pr FROM (SELECT to_code, list(p ORDER BY from_code) AS ps FROM tp GROUP BY to_code)),
+sim AS (
+  SELECT 1 AS it, 1 AS rep, 'start' AS ph, (SELECT list(n ORDER BY class_code) FROM bc) AS cn, (SELECT list(demand ORDER BY class_code) FROM dm) AS want, (SELECT pr FROM pm) AS pr,
+    CAST([] AS BIGINT[]) AS todo, CAST([] AS BIGINT[]) AS need, 0::BIGINT AS tgt, CAST([] AS BIGINT[]) AS caps, CAST([] AS DOUBLE[]) AS w, CAST([] AS BIGINT[]) AS given, 0::BIGINT AS rest, 0::BIGINT AS moved
+  UNION ALL
+  SELECT CASE WHEN ph = 'end' THEN CASE WHEN it < 5 AND moved > 0 THEN it + 1 ELSE 6 END ELSE it END,
+    CASE WHEN ph = 'end' AND it = 6 THEN rep + 1 ELSE rep END,
+    CASE ph WHEN 'start' THEN 'pick' WHEN 'pick' THEN CASE WHEN len(todo) = 0 THEN 'end' ELSE 'round' END WHEN 'round' THEN CASE WHEN rest = 0 THEN 'pick' ELSE 'round' END
+      ELSE CASE WHEN it < 5 AND moved > 0 THEN 'start' WHEN {last} = 6 AND it < 6 THEN 'start' WHEN it = 6 AND moved > 0 AND rep < 9 THEN 'start' ELSE 'done' END END,
+    CASE WHEN ph = 'round' AND rest = 0 THEN list_transform(range(1, 10), lambda k: cn[k] - given[k] + CASE WHEN k = tgt THEN list_sum(given)::BIGINT ELSE 0 END) ELSE cn END,
+    want, pr,
+    CASE WHEN ph = 'start' THEN list_transform(list_sort(list_transform(list_filter(range(1, 10), lambda k: need1[k] > 0), lambda k: {{'n': -need1[k], 'k': k}})), lambda x: x.k) WHEN ph = 'pick' THEN todo[2:] ELSE todo END,
+    CASE WHEN ph = 'start' THEN need1 ELSE need END,
+    CASE WHEN ph = 'pick' AND len(todo) > 0 THEN todo[1] ELSE tgt END,
+    CASE WHEN ph = 'pick' THEN caps1 ELSE caps END,
+    CASE WHEN ph = 'pick' THEN CASE WHEN list_sum(w1) > 0 THEN w1 ELSE CAST(caps1 AS DOUBLE[]) END ELSE w END,
+    CASE WHEN ph = 'pick' THEN list_transform(range(1, 10), lambda k: 0::BIGINT) WHEN ph = 'round' AND rest > 0 THEN list_transform(range(1, 10), lambda k: given[k] + part[k]) ELSE given END,
+    CASE WHEN ph = 'pick' THEN greatest(0, least(need[next], want[next] - cn[next], list_sum(caps1)::BIGINT)) WHEN ph = 'round' AND rest > 0 THEN rest - list_sum(part)::BIGINT ELSE rest END,
+    CASE WHEN ph = 'start' THEN 0 WHEN ph = 'round' AND rest = 0 THEN moved + list_sum(given)::BIGINT ELSE moved END
+  FROM (
+    SELECT *, CASE WHEN list_sum(fl) > 0 THEN fl ELSE list_transform(range(1, 10), lambda k: CASE WHEN list_contains(best, k) THEN 1::BIGINT ELSE 0 END) END AS part
+    FROM (
+      SELECT *, list_transform(range(1, 10), lambda k: CASE WHEN sc[k] > 0 THEN least(caps[k] - given[k], CAST(floor(rest * sc[k] / list_sum(sc)) AS BIGINT)) ELSE 0 END) AS fl,
+        list_transform(list_sort(list_transform(list_filter(range(1, 10), lambda k: caps[k] > given[k]), lambda k: {{'s': -sc[k], 'k': k}}))[1:rest], lambda x: x.k) AS best
+      FROM (
+        SELECT *, list_transform(range(1, 10), lambda k: caps1[k] * pr[next][k]) AS w1,
+          CASE WHEN list_sum(sc0) > 0 THEN sc0 ELSE list_transform(range(1, 10), lambda k: (caps[k] - given[k])::DOUBLE) END AS sc
+        FROM (
+          SELECT *, coalesce(todo[1], 1) AS next,
+            list_transform(range(1, 10), lambda k: CASE WHEN k <> coalesce(todo[1], 0) AND cn[k] > want[k] THEN cn[k] - want[k] ELSE 0 END) AS caps1,
+            list_transform(range(1, 10), lambda k: CASE WHEN len(caps) > 0 AND caps[k] > given[k] THEN w[k] ELSE 0::DOUBLE END) AS sc0,
+            list_transform(range(1, 10), lambda k: CASE WHEN want[k] <= cn[k] THEN 0 WHEN it <= 5 THEN CAST(ceil((want[k] - cn[k]) / (6 - it)) AS BIGINT) ELSE want[k] - cn[k] END) AS need1
+          FROM sim WHERE ph <> 'done')))))"""
+    rows = "SELECT it AS iteration, moved AS changed_pixels, CAST(k AS INTEGER) AS class_code, cn[k] AS predicted_pixels, want[k] AS demand_pixels, cn[k] - want[k] AS difference_pixels FROM sim, range(1, 10) AS t(k) WHERE ph = 'end' AND moved > 0"
+    used = _needs("tp bc dm")
+    return "WITH RECURSIVE " + ",\n".join(f"{k} AS ({v})" for k, v in _CTES.items() if k in used) + "," + steps + "\n" + rows
+
+
+SQL["ca_markov_simulation"] = _log_sql(True)
+SQL["suitability_simulation"] = _log_sql(False)
