@@ -13,6 +13,8 @@ from .focal import BLOCK_ROWS, gradient
 
 
 SLOTS = 1 << 14
+#: Rows of the grid that one group of a distance's second pass holds.
+ROWS_AT_ONCE = 16
 
 
 def percentiles(cells: DataFrame, column: str, shares: list[float]) -> list[float] | None:
@@ -73,7 +75,8 @@ def distance(cells: DataFrame, burned: F.Column, pixel: float = 30.0, block_rows
 
     Along columns the nearest burned row comes from windows within blocks of rows; what lies beyond
     a block is its neighbours' last or first burned row, of which there is one for each column and
-    block. Along rows it is the lower envelope of the parabolas of all columns, one row at a time.
+    block. Along rows it is the lower envelope of the parabolas of all columns, a
+    few rows in a group.
     """
     rows = cells.select("r", "c", F.floor(F.col("r") / block_rows).alias("block"), F.when(burned, F.col("r")).alias("at"))
     ends = rows.filter("at is not null").groupBy("c", "block").agg(F.min("at").alias("low"), F.max("at").alias("high"))
@@ -89,11 +92,9 @@ def distance(cells: DataFrame, burned: F.Column, pixel: float = 30.0, block_rows
     gap = F.least(F.col("r") - F.coalesce("above", "before"), F.coalesce("below", "after") - F.col("r"))
     rows = near.select("r", "c", gap.cast("double").alias("gap"))
 
-    def envelope(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("c")
-        x, f = b["c"].to_numpy(float), b["gap"].to_numpy(float) ** 2
+    def envelope(x: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        f, out = gap ** 2, np.full(len(x), np.nan)
         known = np.flatnonzero(~np.isnan(f))
-        out = np.full(len(x), np.nan)
         if len(known):
             hull, edge = [known[0]], [-np.inf]
             for q in known[1:]:
@@ -108,9 +109,15 @@ def distance(cells: DataFrame, burned: F.Column, pixel: float = 30.0, block_rows
                 edge.append(s)
             own = np.array(hull)[np.searchsorted(np.array(edge), x, side="right") - 1]
             out = np.sqrt((x - x[own]) ** 2 + f[own])
-        return pd.DataFrame({"r": b["r"], "c": b["c"], "distance": out * pixel})
+        return out * pixel
 
-    found = rows.groupBy("r").applyInPandas(envelope, "r long, c long, distance double")
+    def some_rows(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["r", "c"])
+        r, x, gap = b["r"].to_numpy(), b["c"].to_numpy(float), b["gap"].to_numpy(float)
+        parts = np.split(np.arange(len(b)), np.flatnonzero(np.diff(r)) + 1)
+        return pd.DataFrame({"r": r, "c": b["c"].to_numpy(), "distance": np.concatenate([envelope(x[i], gap[i]) for i in parts])})
+
+    found = rows.groupBy(F.floor(F.col("r") / ROWS_AT_ONCE)).applyInPandas(some_rows, "r long, c long, distance double")
     return cells.join(found.withColumn("distance", F.nanvl("distance", F.lit(None).cast("double"))), ["r", "c"])
 
 
