@@ -11,9 +11,11 @@ simhash.py.
 2. *Classes*: rows of equal shingle sets (by 64 bits and number) are one node.
 3. *First round*: links of the anchors, and each node against the first and the last of its band.
    Nodes near those are done.
-4. *Second round*: a node that isn't linked with the first of its band against all others of the
-   band whose sizes allow the similarity and that aren't linked with it yet. No pair is left out.
-5. *Rows*: of each component the row with the smallest id stays (nulls last), told by a row key, so
+4. *Second round*: a node that isn't linked with the first of its band against the one of most links
+   so far in the band, such as the text that all copies were made of.
+5. *Third round*: what still isn't linked with the first against all others of the band whose sizes
+   allow the similarity and that aren't linked with it yet. No pair is left out.
+6. *Rows*: of each component the row with the smallest id stays (nulls last), told by a row key, so
    that repeated or null ids are no hindrance.
 
 Before its shingles are compared, a pair must agree in LEAST bytes of the sketch: at similarity 0.8
@@ -136,14 +138,25 @@ def groups(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     asked = close.unionByName(same).unionByName(with_end("first")).unionByName(with_end("last")).filter(SIZES)
     near = similar(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), nodes, rows, text_col)
 
-    linked = written(components(near), "linked")
-    named = written(hits.select("h", "node", "n", F.col("first.node").alias("first")).join(linked, "node", "left").select(
-        "h", "node", "n", "first", F.coalesce("component", "node").alias("own")), "named")
-    tops = named.filter("node = first").select("h", F.col("own").alias("top"))
-    left = written(named.join(tops, "h").filter("own != top").select("h", F.col("node").alias("x"), F.col("n").alias("a_n"), F.col("own").alias("x_own")), "left")
-    right = named.filter("node != first").select("h", F.col("node").alias("y"), F.col("n").alias("b_n"), F.col("own").alias("y_own"))
-    more = similar(left.join(right, "h").filter("x != y and x_own != y_own").filter(SIZES)
-                   .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), nodes, rows, text_col)
+    bands = hits.select("h", "node", "n", F.col("first.node").alias("first"))
+
+    def unlinked(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The members of bands that aren't linked with the first, and all other members of such bands."""
+        linked = written(components(near), "linked")
+        named = bands.join(linked, "node", "left").select("h", "node", "n", "first", F.coalesce("component", "node").alias("own"))
+        tops = named.filter("node = first").select("h", F.col("own").alias("top"))
+        left = written(named.join(tops, "h").filter("own != top").select("h", F.col("node").alias("x"), F.col("n").alias("a_n"), F.col("own").alias("x_own")), "left")
+        right = named.join(left.select("h").distinct(), "h", "left_semi").select("h", F.col("node").alias("y"), F.col("n").alias("b_n"), F.col("own").alias("y_own"), "first")
+        return left, written(right, "right")
+
+    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    # The member with the most links so far: what all copies were made of is near them all, when they aren't near each other.
+    left, right = unlinked(near)
+    degree = near.select(F.explode(F.array("src", "dst")).alias("y")).groupBy("y").agg(F.count("*").alias("links"))
+    hubs = right.join(degree, "y").groupBy("h").agg(F.max(F.struct("links", "y", "b_n", "y_own")).alias("hub")).select("h", "hub.*")
+    near = written(near.unionByName(similar(left.join(hubs, "h").filter("x_own != y_own").filter(SIZES).select(*pair), nodes, rows, text_col)), "near")
+    left, right = unlinked(near)
+    more = similar(left.join(right.filter("y != first"), "h").filter("x != y and x_own != y_own").filter(SIZES).select(*pair), nodes, rows, text_col)
 
     found = components(near.unionByName(more))
     whole = nodes.join(found, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component"))
