@@ -13,15 +13,16 @@ tokenizer's own words end.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -38,14 +39,10 @@ PAD = 60
 #: Blocks that are packed at once.
 SIDE_BY_SIDE = 256
 MAGIC = b"TMTOK8B1"
-#: Words that a worker remembers, and the longest one of them; characters encoded at once.
-KNOWN, LONGEST, AT_ONCE = 1 << 20, 200, 1 << 20
-#: The tokenizer's words are also cut here: before white space, and between a letter and a mark.
-SPACE = " \t-\r"
-PARTS = re.compile(rf"[{SPACE}]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[{SPACE}.,;:!?])|[^{SPACE}]+)|[{SPACE}]+")
-#: With other white space in a text, it is cut only after what is no white space of any kind.
-_OTHER = "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
-OTHER_SPACE, CUT = re.compile(f"[{_OTHER}]"), re.compile(rf"(?<=[^\s{_OTHER}])(?=[{SPACE}])")
+#: Words that a worker knows, ids of the longest one that stays known, and words that are encoded at once.
+KNOWN, LONGEST, TOGETHER = 1 << 20, 200, 2000
+#: Bytes of texts that are cut at once.
+AT_ONCE = 1 << 22
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
@@ -167,10 +164,11 @@ class TokenFile:
 
 
 class Words:
-    """The ids of texts by a tokenizer of words cut at white space; each distinct word is encoded once.
+    """The ids of texts by a tokenizer; each distinct word is encoded once in a worker, as long as it is known.
 
-    Distinct words go to the tokenizer in one text, with its special token between them, which it
-    never joins with anything. Words that hold that token, and long ones, are encoded alone.
+    Byte-level BPE encodes words apart, and its words end before white space and between a letter and
+    a mark. Texts are cut there, as far as bytes tell it for sure; a cut left out changes nothing.
+    New words go to the tokenizer many at a time. Other kinds of tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -178,75 +176,129 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        plain = [(k, x.content) for k, x in self.tokenizer.get_added_tokens_decoder().items() if x.special and not (x.lstrip or x.rstrip or x.normalized or x.single_word)]
-        self.mark, self.between = plain[0] if plain else (None, "")
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        kind = json.loads(self.tokenizer.to_str())
+        before = kind.get("pre_tokenizer") or {}
+        self.cuts = (kind["model"]["type"] == "BPE" and kind.get("normalizer") is None and before.get("type") == "ByteLevel"
+                     and before.get("use_regex", True) and not before.get("add_prefix_space", True))
+        line = self._alone("\n")
+        self.line = int(line[0]) if len(line) == 1 else None
+        self._keep(np.zeros(0, np.int64))
 
     def _alone(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _learn(self, words: list[str]) -> None:
-        short = [w for w in words if self.between and self.between not in w]
-        other = [w for w in words if not self.between or self.between in w]
-        found = []
-        for k in range(0, len(short), 2000):
-            some = short[k:k + 2000]
-            ids = self._alone(self.between + self.between.join(some))
-            cut = np.flatnonzero(ids == self.mark)
-            found.append((ids[ids != self.mark], np.diff(np.append(cut, len(ids))) - 1))
-        for w in other:
-            ids = self._alone(w)
-            found.append((ids, np.array([len(ids)])))
-        self.known.update(zip(short + other, range(len(self.known), len(self.known) + len(words))))
-        self.flat = [np.concatenate([*self.flat, *(a for a, _ in found)])]
-        lengths = np.concatenate([n for _, n in found])
-        self.ends = [np.concatenate([*self.ends, self.ends[-1][-1] + np.cumsum(lengths)])]
-
-    def _pieces(self, text: str) -> Iterator[str]:
-        """The text in pieces of some AT_ONCE characters, cut where words are."""
-        at = 0
-        while len(text) - at > AT_ONCE:
-            cut = CUT.search(text, at + AT_ONCE)
-            if cut is None:
-                break
-            yield text[at:cut.start()]
-            at = cut.start()
-        yield text[at:] if at else text
-
-    def _ids(self, parts: list[str]) -> np.ndarray:
-        places = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-        ends, flat = self.ends[0], self.flat[0]
-        lengths = ends[places + 1] - ends[places]
-        upto = np.cumsum(lengths)
-        return flat[np.repeat(ends[places] - upto + lengths, lengths) + np.arange(upto[-1] if len(upto) else 0)]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KNOWN:
-            self._forget()
-        cut = [[p for piece in self._pieces(t) for p in (CUT.split(piece) if OTHER_SPACE.search(piece) else PARTS.findall(piece))] for t in texts]
-        long = [any(map(LONGEST.__lt__, map(len, c))) for c in cut]
-        new = [w for w in set(chain.from_iterable(c for c, x in zip(cut, long) if not x)).difference(self.known)]
-        new += [w for w in {w for c, x in zip(cut, long) if x for w in c if len(w) <= LONGEST}.difference(self.known, new)]
-        if new:
-            self._learn(new)
-        out = []
-        for parts, x in zip(cut, long):
-            if not x:
-                out.append(self._ids(parts))
-                continue
-            found, run = [], []
-            for p in parts:
-                if len(p) <= LONGEST:
-                    run.append(p)
-                else:
-                    found += [self._ids(run), self._alone(p)]
-                    run = []
-            out.append(np.concatenate([*found, self._ids(run)]))
-        return out
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _keep(self, places: np.ndarray) -> None:
+        """Only the words at these places stay known."""
+        if len(places):
+            words = list(self.known)
+            some = [self.flat[self.ends[k]:self.ends[k + 1]] for k in places]
+            self.known = {words[k]: n for n, k in enumerate(places)}
+            self.flat, self.ends, self.uses = np.concatenate(some), np.concatenate([[0], np.cumsum([len(x) for x in some])]), self.uses[places]
+        else:
+            self.known: dict[bytes, int] = {}  # in order of their places
+            self.flat, self.ends, self.uses = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order of the words, their ids in that order, how many each has).
+
+        Words of one space and no other one go together, in lines: the end of a line before such a
+        word is always a word of its own.
+        """
+        texts = [w.decode() for w in words]
+        plain = np.array([self.line is not None and t[:1] == " " and not t[1:2].isspace() and "\n" not in t for t in texts], bool)
+        lined, other = [t for t, x in zip(texts, plain) if x], [t for t, x in zip(texts, plain) if not x]
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(lined), TOGETHER):
+            some = self._alone("\n" + "\n".join(lined[k:k + TOGETHER]))
+            ends = some == self.line
+            ids.append(some[~ends])
+            sizes.append(np.diff(np.append(np.flatnonzero(ends), len(some))) - 1)
+        for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False):
+            ids.append(np.array(e.ids, np.uint32))
+            sizes.append(np.array([len(e.ids)]))
+        return np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]), np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """The places of new words, which are known from now on."""
+        order, ids, sizes = self._encoded(words)
+        places = np.zeros(len(words), np.int64)
+        first = len(self.known)
+        places[order] = first + np.arange(len(words))
+        self.known.update((words[k], first + n) for n, k in enumerate(order.tolist()))
+        self.flat, self.ends = np.concatenate([self.flat, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
+        return places
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > KNOWN or len(self.flat) > 16 * KNOWN:  # what came up again stays, if it is not too much
+            often = max(2, int(np.sort(self.uses)[-(KNOWN // 2):][0]) + 1)
+            self._keep(np.flatnonzero((self.uses >= often) & (np.diff(self.ends) <= LONGEST)))
+        places = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            places[new] = self._learn([words[k] for k in new])
+        self.uses[places] += 1
+        return places
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text (a string array without nulls)."""
+        if not self.cuts:
+            for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False):
+                yield np.array(e.ids, np.uint32)
+            return
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+        offsets = offsets - offsets[0]
+        starts = np.zeros(len(data) + 1, bool)
+        starts[word_cuts(data)] = starts[offsets] = True
+        cuts = np.flatnonzero(starts)
+        parts = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        used = self._places(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
+        sizes = np.diff(self.ends)[used]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.repeat(self.ends[used] - upto[:-1], sizes) + np.arange(upto[-1])]
+        at = upto[np.searchsorted(cuts, offsets)]
+        for a, b in zip(at[:-1], at[1:]):
+            yield ids[a:b]
+
+
+def _bytes_of(chars: str) -> np.ndarray:
+    found = np.zeros(256, bool)
+    found[list(chars.encode("latin-1"))] = True
+    return found
+
+
+#: White space, marks before which a word ends, letters, and bytes that end no word for sure: controls that some count as white space.
+SPACES, MARKS, LETTERS, UNSURE = _bytes_of(" \t\n\x0b\x0c\r"), _bytes_of(".,;:!?"), _bytes_of("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), _bytes_of("\x1c\x1d\x1e\x1f")
+
+
+def word_cuts(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 text before which a word starts for sure.
+
+    That is white space after a character that is none, and a mark after a letter. Of characters
+    beyond ASCII only those count whose first byte shows that they aren't white space.
+    """
+    out = []
+    for k in range(0, len(data), AT_ONCE):
+        b = data[max(0, k - 4):k + AT_ONCE]
+        two, three = np.zeros(len(b), bool), np.zeros(len(b), bool)
+        latin = np.zeros(len(b), bool)
+        high = b >= 0x80
+        if high.any():
+            # The last byte of a character of two bytes from U+00C0 on, of three of U+0800 to U+0FFF or from U+4000 on, or of four.
+            two[1:] = (b[:-1] >= 0xC3) & (b[:-1] <= 0xDF)
+            lead = (b == 0xE0) | ((b >= 0xE4) & (b <= 0xED))
+            three[2:] = lead[:-2]
+            three[3:] |= b[:-3] >= 0xF0
+            latin[1:] = (b[:-1] == 0xC3) & (b[1:] != 0x97) & (b[1:] != 0xB7)
+        space = SPACES[b]
+        solid = np.where(high, two | three, ~(space | UNSURE[b]))
+        letter = LETTERS[b] | latin
+        cut = np.zeros(len(b), bool)
+        cut[1:] = (space[1:] & solid[:-1]) | (MARKS[b][1:] & letter[:-1])
+        found = np.flatnonzero(cut) + max(0, k - 4)
+        out.append(found[found >= k])
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 #: Of this worker: what it has learnt serves its later tasks too.
@@ -283,14 +335,18 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             return row
 
         for b in batches:
-            own, texts = b.column("doc_id"), b.column("text")
-            for k in range(0, len(own), 500):
-                for name, ids in zip(own[k:k + 500].to_pylist(), words(texts[k:k + 500].to_pylist())):
+            own, texts = b.column("doc_id"), b.column("text").cast(pa.string())
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < len(own):
+                n = max(1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + AT_ONCE, side="right")) - first)
+                for name, ids in zip(own[first:first + n].to_pylist(), words(texts[first:first + n])):
                     if names and state["ids"] + len(ids) + 1 > file_ids:
                         yield flush()
                     names.append(name)
                     held.append(np.append(ids, np.uint32(end_id)))
                     state["ids"] += len(ids) + 1
+                first += n
         if names:
             yield flush()
 

@@ -2,8 +2,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from terramark.llm import token_ids as T
@@ -59,23 +60,35 @@ def test_files_are_read_in_part_and_checked():
         T.TokenFile(b"something else" * 20)
 
 
-ALPHABET = [*"abéßÑ.,;:!?'\" \t\n\r\x0b\x0c\x1c\x85\xa0 0129-_#s字", chr(0x180E), chr(0x200B), chr(0x2003), chr(0x3000), "<|endoftext|>", "'ll", "  ", " the", "tre"]
+ALPHABET = [*"abéßÑ×÷ÿа字.,;:!?'\" \t\n\r\x0b\x0c\x1c\x85\xa0 0129-_#s", *map(chr, (0x180E, 0x1680, 0x200B, 0x2003, 0x2060, 0x3000, 0xFEFF, 0xE01, 0x1D4B3)), "<|endoftext|>", "'ll", "  ", " the", "tre", "\n the"]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(ALPHABET), max_size=50).map("".join), max_size=8))
-def test_texts_cut_into_words_have_the_ids_of_the_whole(texts):
-    words = test_texts_cut_into_words_have_the_ids_of_the_whole.words = getattr(test_texts_cut_into_words_have_the_ids_of_the_whole, "words", None) or T.Words(PATH)
-    assert [list(x) for x in words(texts)] == [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+def ids_of(words, texts):
+    return [list(x) for x in words(pa.array(texts, pa.string()))]
 
 
-def test_long_texts_in_pieces(words, monkeypatch):
-    texts = ["one two, three\n" * 400, "x" * 5000 + " y", "no.space" * 700, "", " " * 999]
+@settings(max_examples=400, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts=st.lists(st.lists(st.sampled_from(ALPHABET), max_size=50).map("".join), max_size=8))
+def test_texts_cut_into_words_have_the_ids_of_the_whole(words, texts):
+    assert ids_of(words, texts) == [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_texts_in_pieces_and_words_forgotten(monkeypatch):
+    words = T.Words(PATH)
+    texts = ["one two, three é字 x\n" * 400, "x" * 5000 + " y", "no.space" * 700, "", " " * 999, "é字" * 3000]
     want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    monkeypatch.setattr(T, "AT_ONCE", 300)
-    monkeypatch.setattr(T, "KNOWN", 2)  # what was learnt is forgotten
-    for _ in range(2):
-        assert [list(x) for x in words(texts)] == want
+    monkeypatch.setattr(T, "AT_ONCE", 13)
+    monkeypatch.setattr(T, "KNOWN", 4)
+    for _ in range(4):
+        assert ids_of(words, texts) == want
+        assert ids_of(words, ["new words each time two, three"]) == [words.tokenizer.encode("new words each time two, three", add_special_tokens=False).ids]
+    assert b" two" in words.known
+
+
+def test_other_tokenizers_get_whole_texts():
+    other = T.Words(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Upper Case,  and\nspace ", "", "ends."]
+    assert not other.cuts and ids_of(other, texts) == [other.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_query_equals_the_tokenizer(spark, words):
