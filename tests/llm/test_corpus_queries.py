@@ -4,7 +4,7 @@ import pytest
 from terramark.llm.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages")
+TABLES = ("documents", "pages", "embeddings", "conversations")
 
 
 def plain(rows):

@@ -1,0 +1,110 @@
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from terramark.llm import prefix_trie as T
+
+SCHEMA = "conv_id long, turn int, role string, text string, node long, depth int, parent string, digest int"
+
+
+def digest(role, text):
+    return hashlib.sha256(f"{len(role or '')}:{role or ''}{text or ''}".encode()).hexdigest()
+
+
+def conversations(rows):
+    out = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            out.setdefault(c, []).append((turn is not None, turn or 0, digest(role, text), role or "", text or ""))
+    return {c: [t[3:] for t in sorted(ts)] for c, ts in out.items()}
+
+
+def brute(convs):
+    """Every prefix of every conversation with its members."""
+    members = {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    kids = {}
+    for p in members:
+        if p:
+            kids.setdefault(p[:-1], []).append(p)
+    leaves, saved = {}, {}
+    for p in sorted(members, key=len, reverse=True):
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) if p else 0
+        saved[p] = (len(members[p]) - 1) * words + sum(saved[k] for k in kids.get(p, []))
+        leaves[p] = sum(leaves[k] for k in kids[p]) if p in kids else 1
+    out = []
+    for p, cs in members.items():
+        ends = ",".join(str(c) for c in sorted(cs) if len(convs[c]) == len(p))
+        out.append((min(cs), len(p), min(members[p[:-1]]) if p else None, len(cs), len(kids.get(p, [])), leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def again(convs):
+    out = {}
+    for c, turns in convs.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        base = c - (abs(c) % 20 if c >= 0 else -(abs(c) % 20))
+        out[c] = convs.get(base, [])[:h] + turns[h:]
+    return out
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, 1, 2, "x", 3) for r in rows], SCHEMA)
+
+
+def run(spark, rows, rebuild=False):
+    turns = T.ordered_turns(frame(spark, rows))
+    c = F.col("conv_id")
+    got = T.conversation_trie(*(T.rebuilt(turns, c - c % 20, F.crc32(c.cast("string")) % 4, 3) if rebuild else T.whole(turns)))
+    assert got.columns == ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    return sorted(map(tuple, got.collect()), key=str)
+
+
+def some(seed, n, long=7):
+    r = random.Random(seed)
+    return [(r.randrange(-30, 90), r.choice([None, *range(long)]), r.choice([None, "user", "assistant"]), r.choice([None, "", "a", "a b", "a  b\nc", "é" * 50])) for _ in range(n)]
+
+
+@pytest.mark.parametrize("rebuild", [False, True])
+def test_random_conversations_equal_brute_force(spark, rebuild):
+    """Null turns, roles and texts, equal turns, repeated rows, bases that are absent or short."""
+    rows = some(4, 400) + some(4, 60)
+    convs = conversations(rows)
+    assert run(spark, rows, rebuild) == brute(again(convs) if rebuild else convs)
+
+
+def test_steps_and_ranges(spark, monkeypatch):
+    """Copies that share more turns than a row carries, ends over several ranges of ids, one long conversation."""
+    monkeypatch.setattr(T, "RANGE", 3)
+    rows = [(c, t, "user", f"turn {t}" if t < 5 or c % 2 else f"other {t} {c}") for c in range(-4, 10) for t in range(19)]
+    rows += [(50, t, "user", "one word more " * (t % 3)) for t in range(90)] + [(51, 0, None, None)]
+    assert run(spark, rows) == brute(conversations(rows))
+
+
+def test_few_conversations_and_none(spark):
+    assert run(spark, []) == []
+    assert run(spark, [(None, 1, "user", "x")]) == []
+    for rows in ([(5, 0, "user", "a b")], [(5, 0, "user", "a b"), (7, 0, "user", "a b")], [(21, 0, "user", "turnless when rebuilt"), (23, 0, "a", "b")]):
+        for rebuild in (False, True):
+            convs = conversations(rows)
+            assert run(spark, rows, rebuild) == brute(again(convs) if rebuild else convs)
+    long = "w " * 300_000
+    rows = [(1, 0, "user", long), (2, 0, "user", long), (2, 1, "user", "x")]
+    assert run(spark, rows) == brute(conversations(rows))
+
+
+def test_turns_are_numbered_over_ranges(spark):
+    """A conversation with most of the rows lies in several ranges."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [(1, t, "user", str(t)) for t in range(500)] + [(2, 3, "user", "x"), (0, None, "user", "y"), (0, 0, "user", "z")]
+        got = T.ordered_turns(frame(spark, rows)).select("conv_id", "nth", F.hex("digest").alias("d")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted((r.conv_id, r.nth, r.d.lower()) for r in got) == sorted([(1, t, digest("user", str(t))) for t in range(500)] + [(2, 0, digest("user", "x")), (0, 0, digest("user", "y")), (0, 1, digest("user", "z"))])
