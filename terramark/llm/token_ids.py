@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,10 @@ PAD = 60
 #: Blocks that are packed at once.
 SIDE_BY_SIDE = 256
 MAGIC = b"TMTOK8B1"
-#: Words that a worker knows, ids of the longest one that stays known, and words that are encoded at once.
-KNOWN, LONGEST, TOGETHER = 1 << 20, 200, 2000
+#: Words that a worker knows, and ids of the longest one that stays known.
+KNOWN, LONGEST = 1 << 20, 200
+#: A word of letters (the letters from U+00C0 to U+00FF in UTF-8), with a space or none before it.
+WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: Bytes of texts that are cut at once.
 AT_ONCE = 1 << 22
 
@@ -168,7 +171,7 @@ class Words:
 
     Byte-level BPE encodes words apart, and its words end before white space and between a letter and
     a mark. Texts are cut there, as far as bytes tell it for sure; a cut left out changes nothing.
-    New words go to the tokenizer many at a time. Other kinds of tokenizers get whole texts.
+    Other kinds of tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -180,13 +183,11 @@ class Words:
         before = kind.get("pre_tokenizer") or {}
         self.cuts = (kind["model"]["type"] == "BPE" and kind.get("normalizer") is None and before.get("type") == "ByteLevel"
                      and before.get("use_regex", True) and not before.get("add_prefix_space", True))
-        line = self._alone("\n")
-        self.line = int(line[0]) if len(line) == 1 else None
+        # Byte-level models show each byte as a character: printable ones as they are, others from U+0100 on.
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.shown = {b: 0x100 + n for n, b in enumerate(b for b in range(256) if b not in plain)}
         self._keep(np.zeros(0, np.int64))
 
-    def _alone(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-
     def _keep(self, places: np.ndarray) -> None:
         """Only the words at these places stay known."""
         if len(places):
@@ -198,36 +199,29 @@ class Words:
             self.known: dict[bytes, int] = {}  # in order of their places
             self.flat, self.ends, self.uses = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
-    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(order of the words, their ids in that order, how many each has).
-
-        Words of one space and no other one go together, in lines: the end of a line before such a
-        word is always a word of its own.
-        """
-        texts = [w.decode() for w in words]
-        plain = np.array([self.line is not None and t[:1] == " " and not t[1:2].isspace() and "\n" not in t for t in texts], bool)
-        lined, other = [t for t, x in zip(texts, plain) if x], [t for t, x in zip(texts, plain) if not x]
-        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for k in range(0, len(lined), TOGETHER):
-            some = self._alone("\n" + "\n".join(lined[k:k + TOGETHER]))
-            ends = some == self.line
-            ids.append(some[~ends])
-            sizes.append(np.diff(np.append(np.flatnonzero(ends), len(some))) - 1)
-        for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False):
-            ids.append(np.array(e.ids, np.uint32))
-            sizes.append(np.array([len(e.ids)]))
-        return np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]), np.concatenate(ids), np.concatenate(sizes)
+    def _encoded(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        """(the ids of the words in turn, how many each has): words of letters alone by the tokenizer's model, others by all its steps."""
+        ids, other = [], []
+        tokenize, space = self.tokenizer.model.tokenize, chr(self.shown[0x20])
+        for k, w in enumerate(words):
+            if WORD.fullmatch(w):
+                text = w.decode("latin-1")
+                ids.append([x.id for x in tokenize(text.replace(" ", space) if w.isascii() else text.translate(self.shown))])
+            else:
+                ids.append([])
+                other.append(k)
+        for k, e in zip(other, self.tokenizer.encode_batch_fast([words[k].decode() for k in other], add_special_tokens=False)):
+            ids[k] = e.ids
+        return list(chain.from_iterable(ids)), list(map(len, ids))
 
     def _learn(self, words: list[bytes]) -> np.ndarray:
         """The places of new words, which are known from now on."""
-        order, ids, sizes = self._encoded(words)
-        places = np.zeros(len(words), np.int64)
+        ids, sizes = self._encoded(words)
         first = len(self.known)
-        places[order] = first + np.arange(len(words))
-        self.known.update((words[k], first + n) for n, k in enumerate(order.tolist()))
-        self.flat, self.ends = np.concatenate([self.flat, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.known.update(zip(words, range(first, first + len(words))))
+        self.flat, self.ends = np.concatenate([self.flat, np.array(ids, np.uint32)]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
-        return places
+        return first + np.arange(len(words))
 
     def _places(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > KNOWN or len(self.flat) > 16 * KNOWN:  # what came up again stays, if it is not too much
