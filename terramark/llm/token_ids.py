@@ -38,17 +38,23 @@ COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([60, *(60 // COUNTS[1:])])
 PAD = 60
 #: Blocks that are packed at once.
-SIDE_BY_SIDE = 256
+SIDE_BY_SIDE = 1024
 MAGIC = b"TMTOK8B1"
 #: Words that a worker knows, and ids of the longest one that stays known.
 KNOWN, LONGEST = 1 << 20, 200
 #: A word of letters (the letters from U+00C0 to U+00FF in UTF-8), with a space or none before it.
 WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: Bytes of texts that are cut at once.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 23
+
+
+#: Bits of numbers below 2^16.
+_SHORT = np.concatenate([[0], np.repeat(np.arange(1, 17), 1 << np.arange(16))]).astype(np.uint8)
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
+    if ids.max(initial=0) < len(_SHORT):
+        return _SHORT[ids]
     bits = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
     large = ids >= np.uint64(1 << 53)  # where a double may round up
     if large.any():
@@ -102,8 +108,10 @@ def _pack_some(ids: np.ndarray, escaped: int) -> tuple[np.ndarray, np.ndarray, n
     for selector in np.unique(selectors):
         own = np.flatnonzero(selectors == selector)
         if selector:
-            for j in range(COUNTS[selector]):
-                words[own] |= values[starts[own] + j] << np.uint64(j * WIDTHS[selector])
+            first, payload = starts[own], values[starts[own]]
+            for j in range(1, COUNTS[selector]):
+                payload |= values[first + j] << np.uint64(j * WIDTHS[selector])
+            words[own] |= payload
         else:
             words[own] |= (np.searchsorted(escapes, starts[own]) + escaped).astype(np.uint64)
     return words, np.searchsorted(starts, np.arange(n_blocks + 1) * row).astype(np.uint64), values[escapes]
@@ -247,11 +255,12 @@ class Words:
         starts[word_cuts(data)] = starts[offsets] = True
         cuts = np.flatnonzero(starts)
         parts = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
-        used = self._places(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
-        sizes = np.diff(self.ends)[used]
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.ends[used] - upto[:-1], sizes) + np.arange(upto[-1])]
-        at = upto[np.searchsorted(cuts, offsets)]
+        places, of = self._places(parts.dictionary.to_pylist()), parts.indices.to_numpy()
+        # A slice and what is known have fewer ids than an int has values.
+        starts, sizes = self.ends[places].astype(np.int32)[of], np.diff(self.ends)[places].astype(np.int32)[of]
+        upto = np.cumsum(sizes, dtype=np.int32)
+        ids = self.flat[np.repeat(starts - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)]
+        at = np.concatenate([[0], upto])[np.searchsorted(cuts, offsets)]
         for a, b in zip(at[:-1], at[1:]):
             yield ids[a:b]
 
