@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,43 +10,77 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from .focal import BLOCK_ROWS, gradient
 
 
-SLOTS = 1 << 14
-#: Rows of the grid that one group of a distance's second pass holds.
-ROWS_AT_ONCE = 16
+#: Slots into which a range of values is cut, and values that one task may order.
+SLOTS, SMALL = 1 << 12, 1 << 16
+#: Columns of a tile in which cells meet spans.
+TILE = 64
+#: Columns of a block of a distance's second pass at least (or the root of the width), and cells of a group.
+BLOCK_COLUMNS, CELLS_AT_ONCE = 1024, 1 << 14
 
 
 def percentiles(cells: DataFrame, column: str, shares: list[float]) -> list[float] | None:
     """Exact percentiles with linear interpolation; None without a value.
 
-    Values are counted in slots between the least and the largest; only in the slots that hold an
-    asked rank are distinct values counted, so no task merges all values of a column.
+    One pass counts values by sign and logarithm, which also gives their number. The slots that hold
+    an asked rank are then cut into equal slots between their own least and largest value, again and
+    again, until they are small or hold one value. So neither outliers nor clusters of values put
+    much of a column into one slot, and no task orders more than SMALL values.
     """
     x = F.col(column).cast("double")
     known = cells.select(x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    n, low, high = known.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    power = F.floor(F.greatest(F.lit(-1000.0), F.least(F.lit(1100.0), F.log2(F.abs("x")))) * 16) + 20000
+    slot = F.when(F.col("x") == 0, 0).when(F.col("x") > 0, power).otherwise(-power)
+
+    def counted(df: DataFrame, slot: F.Column) -> list[tuple]:
+        """(slot, least value, largest value, number), in order of the values."""
+        found = df.groupBy(slot.alias("slot")).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).collect()
+        return sorted((r.low, r.high, r.n) for r in found)
+
+    slots = counted(known, slot)
+    n = sum(m for *_, m in slots)
     if not n:
         return None
-    if low == high:
-        return [low] * len(shares)
-    slot = F.least(F.floor((F.col("x") - low) / (high - low) * SLOTS), F.lit(SLOTS - 1))
-    counts = sorted((r.slot, r.n) for r in known.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).collect())
     ranks = sorted({k for q in shares for k in (int(q * (n - 1)), min(n - 1, int(q * (n - 1)) + 1))})
-    before, where, upto = {}, {}, 0
-    for at, m in counts:
-        for k in ranks:
-            if upto <= k < upto + m:
-                before[at], where[k] = upto, at
-        upto += m
-    own = Window.partitionBy("slot").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    some = known.withColumn("slot", slot).filter(F.col("slot").isin(list(before))).groupBy("slot", "x").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(own))
-    hit = F.lit(False)
-    for k, at in where.items():
-        hit = hit | ((F.col("slot") == at) & (F.col("upto") > k - before[at]) & (F.col("upto") - F.col("n") <= k - before[at]))
-    found = some.filter(hit).collect()
-    value = {k: next(r.x for r in found if r.slot == at and r.upto - r.n <= k - before[at] < r.upto) for k, at in where.items()}
+    value: dict[int, float] = {}
+
+    def place(slots: list[tuple], first: int, asked: list[int]) -> Iterator[tuple]:
+        """(least, largest, number, rank of the least, asked ranks) of slots that hold an asked rank."""
+        for low, high, m in slots:
+            inner = [k for k in asked if first <= k < first + m]
+            if low == high:
+                value.update(dict.fromkeys(inner, low))
+            elif inner:
+                yield low, high, m, first, inner
+            first += m
+
+    todo = list(place(slots, 0, ranks))
+    while large := [t for t in todo if t[2] > SMALL]:
+        part = F.lit(None).cast("long")
+        for k, (low, high, *_) in enumerate(large):
+            # Halves keep the range of a slot finite.
+            within = F.least(F.floor((F.col("x") / 2 - low / 2) / (high / 2 - low / 2) * SLOTS), F.lit(SLOTS - 1))
+            part = F.when(F.col("x").between(low, high), within + k * SLOTS).otherwise(part)
+        found = counted(known.withColumn("part", part).filter("part is not null"), F.col("part"))
+        finer = [t for low, high, m, first, inner in large for t in place([s for s in found if low <= s[0] <= high], first, inner)]
+        todo = [t for t in todo if t[2] <= SMALL] + finer
+    if todo:
+        hit, of = F.lit(False), F.lit(0)
+        for k, (low, high, *_) in enumerate(todo):
+            of = F.when(F.col("x").between(low, high), k).otherwise(of)
+            hit = hit | F.col("x").between(low, high)
+        own = Window.partitionBy("of").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+        some = known.filter(hit).groupBy(of.alias("of"), "x").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(own))
+        asked = F.lit(False)
+        for k, (_, _, _, first, inner) in enumerate(todo):
+            for rank in inner:
+                asked = asked | ((F.col("of") == k) & (F.col("upto") > rank - first) & (F.col("upto") - F.col("n") <= rank - first))
+        for r in some.filter(asked).collect():
+            first, inner = todo[r.of][3:]
+            value.update({rank: r.x for rank in inner if r.upto - r.n <= rank - first < r.upto})
     out = []
     for q in shares:
         at = q * (n - 1)
@@ -70,13 +105,30 @@ def low_slope(cells: DataFrame, elevation: str) -> DataFrame:
     return percentile_normalise(found, "gradient", "__g").withColumn("low_slope", 1 - F.col("__g")).drop("__g", "gradient")
 
 
-def distance(cells: DataFrame, burned: F.Column, pixel: float = 30.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _envelope(x: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which parabolas (at - x)^2 + f are lowest somewhere, in order of x; where each begins to be)."""
+    hull, edge = [0], [-np.inf]
+    for q in range(1, len(x)):
+        while True:
+            p = hull[-1]
+            s = (f[q] + x[q] ** 2 - f[p] - x[p] ** 2) / (2 * (x[q] - x[p]))
+            if s > edge[-1]:
+                break
+            hull.pop()
+            edge.pop()
+        hull.append(q)
+        edge.append(s)
+    return np.array(hull), np.array(edge)
+
+
+def distance(cells: DataFrame, burned: F.Column, pixel: float = 30.0, block_rows: int = BLOCK_ROWS, block_columns: int | None = None) -> DataFrame:
     """`cells` with the exact distance to the nearest burned cell (null if there is none).
 
     Along columns the nearest burned row comes from windows within blocks of rows; what lies beyond
     a block is its neighbours' last or first burned row, of which there is one for each column and
-    block. Along rows it is the lower envelope of the parabolas of all columns, a
-    few rows in a group.
+    block. Along rows it is the lower envelope of the parabolas of all columns. Rows are cut into
+    blocks of columns: a block sends to each other block the parabolas of its own envelope that are
+    lowest somewhere in it, so a group holds a few rows of one block and what was sent to it.
     """
     rows = cells.select("r", "c", F.floor(F.col("r") / block_rows).alias("block"), F.when(burned, F.col("r")).alias("at"))
     ends = rows.filter("at is not null").groupBy("c", "block").agg(F.min("at").alias("low"), F.max("at").alias("high"))
@@ -90,34 +142,53 @@ def distance(cells: DataFrame, burned: F.Column, pixel: float = 30.0, block_rows
     below = F.first("at", ignorenulls=True).over(up.rowsBetween(0, Window.unboundedFollowing))
     near = rows.select("r", "c", "block", above.alias("above"), below.alias("below")).join(ends, ["c", "block"])
     gap = F.least(F.col("r") - F.coalesce("above", "before"), F.coalesce("below", "after") - F.col("r"))
-    rows = near.select("r", "c", gap.cast("double").alias("gap"))
-
-    def envelope(x: np.ndarray, gap: np.ndarray) -> np.ndarray:
-        f, out = gap ** 2, np.full(len(x), np.nan)
-        known = np.flatnonzero(~np.isnan(f))
-        if len(known):
-            hull, edge = [known[0]], [-np.inf]
-            for q in known[1:]:
-                while True:
-                    p = hull[-1]
-                    s = (f[q] + x[q] ** 2 - f[p] - x[p] ** 2) / (2 * (x[q] - x[p]))
-                    if s > edge[-1]:
-                        break
-                    hull.pop()
-                    edge.pop()
-                hull.append(q)
-                edge.append(s)
-            own = np.array(hull)[np.searchsorted(np.array(edge), x, side="right") - 1]
-            out = np.sqrt((x - x[own]) ** 2 + f[own])
-        return out * pixel
-
-    def some_rows(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["r", "c"])
+    width = (cells.agg(F.max("c")).first()[0] or 0) + 1
+    wide = block_columns or max(BLOCK_COLUMNS, math.isqrt(width))
+    rows_at_once = max(1, CELLS_AT_ONCE // min(wide, width))
+    keys = ["rows", "part"]
+    rows = near.select(F.floor(F.col("r") / rows_at_once).alias("rows"), F.floor(F.col("c") / wide).alias("part"), "r", "c", gap.cast("double").alias("gap"), F.lit(True).alias("own"))
+
+    def by_row(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         r, x, gap = b["r"].to_numpy(), b["c"].to_numpy(float), b["gap"].to_numpy(float)
-        parts = np.split(np.arange(len(b)), np.flatnonzero(np.diff(r)) + 1)
-        return pd.DataFrame({"r": r, "c": b["c"].to_numpy(), "distance": np.concatenate([envelope(x[i], gap[i]) for i in parts])})
+        for at in np.split(np.arange(len(b)), np.flatnonzero(np.diff(r)) + 1):
+            known = at[~np.isnan(gap[at])]
+            yield at, x[known], gap[known] ** 2
 
-    found = rows.groupBy(F.floor(F.col("r") / ROWS_AT_ONCE)).applyInPandas(some_rows, "r long, c long, distance double")
+    def send(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["r", "c"])
+        home, out = int(b["part"].iloc[0]), []
+        for at, x, f in by_row(b):
+            if len(x):
+                hull, edge = _envelope(x, f)
+                low = np.maximum(np.ceil(edge), 0)
+                high = np.minimum(np.append(np.ceil(edge[1:]) - 1, np.inf), width - 1)
+                some = low <= high
+                first, last = (low[some] // wide).astype(int), (high[some] // wide).astype(int)
+                n = last - first + 1
+                which = np.repeat(hull[some], n)
+                part = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                away = part != home
+                out.append(pd.DataFrame({"part": part[away], "r": b["r"].iloc[at[0]], "c": x[which[away]].astype(np.int64), "gap": np.sqrt(f[which[away]])}))
+        sent = pd.concat(out) if out else pd.DataFrame({"part": [], "r": [], "c": [], "gap": []})
+        return sent.assign(rows=b["rows"].iloc[0], own=False)[["rows", "part", "r", "c", "gap", "own"]]
+
+    def meet(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["r", "c"])
+        c, own, out = b["c"].to_numpy(float), b["own"].to_numpy(bool), np.full(len(b), np.nan)
+        for at, x, f in by_row(b):
+            if len(x):
+                hull, edge = _envelope(x, f)
+                mine = at[own[at]]
+                best = hull[np.searchsorted(edge, c[mine], side="right") - 1]
+                out[mine] = np.sqrt((c[mine] - x[best]) ** 2 + f[best]) * pixel
+        return pd.DataFrame({"r": b["r"], "c": b["c"], "distance": out})[own]
+
+    if width > wide:
+        rows = scratch.written(rows, scratch.folder(cells.sparkSession, "gaps"))  # read twice
+        # Whole numbers are sent exactly: the squares of gaps are rounded back.
+        sent = rows.groupBy(*keys).applyInPandas(send, "rows long, part long, r long, c long, gap double, own boolean")
+        rows = rows.unionByName(sent.withColumn("gap", F.round("gap")))
+    found = rows.groupBy(*keys).applyInPandas(meet, "r long, c long, distance double")
     return cells.join(found.withColumn("distance", F.nanvl("distance", F.lit(None).cast("double"))), ["r", "c"])
 
 
@@ -139,24 +210,51 @@ def within(features: DataFrame, box: tuple[float, float, float, float]) -> DataF
     return some.filter((low(0) <= box[2]) & (high(0) >= box[0]) & (low(1) <= box[3]) & (high(1) >= box[1]))
 
 
-def inside_polygons(cells: DataFrame, edges: DataFrame, band_rows: int = 64) -> DataFrame:
-    """The cell_id of cells whose centre lies in polygons, by the even-odd rule over all their rings.
+def row_spans(edges: DataFrame, *keys: str) -> DataFrame:
+    """(keys, r, first, last): the columns whose cells' centres lie inside, by the even-odd rule over all edges of a key.
 
-    edges: x0, y0, x1, y1 in cell units, of outer rings and holes alike. Edges meet cells by bands of
-    rows, so a boundary may have any number of vertices.
+    edges: x0, y0, x1, y1 in cell units, of outer rings and holes alike. Each edge gives the place at
+    which it crosses the middle of each row; a row's places in order are the starts and ends of its
+    spans. The work grows with the rows that edges cross, not with the cells or with pairs of edges.
     """
-    rows = edges.filter("y0 != y1").withColumn("lo", F.least("y0", "y1")).withColumn("hi", F.greatest("y0", "y1"))
-    spread = rows.withColumn("band", F.explode(F.sequence(F.floor(F.col("lo") / band_rows), F.floor(F.col("hi") / band_rows))))
-    own = cells.select("cell_id", (F.col("c") + 0.5).alias("x"), (F.col("r") + 0.5).alias("y"), F.floor((F.col("r") + 0.5) / band_rows).alias("band"))
-    crossed = own.join(spread, "band").filter("y >= lo AND y < hi AND x < x0 + (y - y0) * (x1 - x0) / (y1 - y0)")
-    return crossed.groupBy("cell_id").agg(F.count("*").alias("n")).filter("n % 2 = 1").select("cell_id")
+    rows = edges.withColumn("lo", F.least("y0", "y1")).withColumn("hi", F.greatest("y0", "y1"))
+    rows = rows.withColumn("top", F.ceil(F.col("lo") - 0.5)).withColumn("bottom", F.ceil(F.col("hi") - 0.5) - 1).filter("top <= bottom")
+    crossed = rows.select(*keys, "x0", "y0", "x1", "y1", F.explode(F.sequence("top", "bottom")).alias("r"))
+    at = F.col("x0") + (F.col("r") + 0.5 - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
+    order = Window.partitionBy(*keys, "r").orderBy("x")
+    spans = crossed.select(*keys, "r", at.alias("x")).withColumn("end", F.lead("x").over(order)).withColumn("nth", F.row_number().over(order))
+    return spans.filter("nth % 2 = 1").select(*keys, "r", F.ceil(F.col("x") - 0.5).alias("first"), (F.ceil(F.col("end") - 0.5) - 1).alias("last")).filter("first <= last")
+
 
+def filled(cells: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+    """`cells` with whether they lie in spans (r, first, last) that don't overlap.
 
-def ring_edges(rings: DataFrame) -> DataFrame:
-    """The edges of closed rings (coords: array of [x, y])."""
+    Cells and spans meet by row and tile of columns, where a cell has fewer spans to look at than the
+    tile has columns.
+    """
+    parts = spans.select("r", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / TILE), F.floor(F.col("last") / TILE))).alias("__tile"))
+    parts = parts.select(F.col("r").alias("__r"), "__tile", F.col("first").alias("__first"), F.col("last").alias("__last"))
+    here = cells.withColumn("__tile", F.floor(F.col("c") / TILE))
+    met = (here["r"] == parts["__r"]) & (here["__tile"] == parts["__tile"]) & (here["c"] >= parts["__first"]) & (here["c"] <= parts["__last"])
+    return here.join(parts, met, "left").select(*[here[c] for c in cells.columns], parts["__r"].isNotNull().alias(name))
+
+
+def inside_polygons(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """The cell_id of cells whose centre lies in polygons, by the even-odd rule over all their rings."""
+    return filled(cells.select("cell_id", "r", "c"), row_spans(edges), "__in").filter("__in").select("cell_id")
+
+
+def burn_polygons(rings: DataFrame) -> DataFrame:
+    """(r, c) of the cells whose centre lies in any polygon (feature_id, coords: a ring; a polygon's holes are rings of its own id)."""
+    spans = row_spans(ring_edges(rings, "feature_id"), "feature_id")
+    return spans.select("r", F.explode(F.sequence("first", "last")).alias("c")).distinct()
+
+
+def ring_edges(rings: DataFrame, *keys: str) -> DataFrame:
+    """The edges of closed rings (coords: array of [x, y]), with the rings' keys."""
     pairs = F.expr("transform(sequence(0, size(coords) - 1), i -> struct(coords[i] AS a, coords[(i + 1) % size(coords)] AS b))")
-    e = rings.filter("size(coords) > 2").select(F.explode(pairs).alias("e"))
-    return e.select(F.col("e.a")[0].alias("x0"), F.col("e.a")[1].alias("y0"), F.col("e.b")[0].alias("x1"), F.col("e.b")[1].alias("y1"))
+    e = rings.filter("size(coords) > 2").select(*keys, F.explode(pairs).alias("e"))
+    return e.select(*keys, F.col("e.a")[0].alias("x0"), F.col("e.a")[1].alias("y0"), F.col("e.b")[0].alias("x1"), F.col("e.b")[1].alias("y1"))
 
 
 def crop(cells: DataFrame, inside: DataFrame, column: str) -> DataFrame:
@@ -178,28 +276,41 @@ def resample(cells: DataFrame, source: DataFrame, scale: float, column: str) ->
     return cells.join(found, "cell_id", "left")
 
 
-def burn_lines(lines: DataFrame, step: float = 0.5) -> DataFrame:
-    """(r, c) of the cells that lines (feature_id, coords: array of [x, y] in cell units) pass through."""
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = []
-            for coords in b["coords"]:
-                points = np.array([list(p) for p in coords], float)
-                for a, z in zip(points[:-1], points[1:]):
-                    n = max(1, int(np.ceil(np.abs(z - a).max() / step)))
-                    found.append(np.floor(a + (z - a) * np.linspace(0, 1, n + 1)[:, None]))
-            xy = np.unique(np.concatenate(found), axis=0).astype(np.int64) if found else np.zeros((0, 2), np.int64)
-            yield pd.DataFrame({"r": xy[:, 1], "c": xy[:, 0]})
+def burn_lines(lines: DataFrame) -> DataFrame:
+    """(r, c) of the cells that lines (coords: array of [x, y] in cell units) pass through.
 
-    return lines.select("coords").mapInPandas(walk, "r long, c long").distinct()
+    A segment is followed from cell border to cell border: it lies in the cells of the points in which
+    it crosses a border, of the middles between these, and of its ends. A cell has its upper and left
+    borders; a line of one point is that point.
+    """
+    pairs = F.expr("transform(sequence(0, greatest(size(coords) - 2, 0)), i -> struct(coords[i] AS a, coords[least(i + 1, size(coords) - 1)] AS b))")
+    e = lines.filter("size(coords) > 0").select(F.explode(pairs).alias("e"))
+    e = e.select(F.col("e.a")[0].alias("x0"), F.col("e.a")[1].alias("y0"), (F.col("e.b")[0] - F.col("e.a")[0]).alias("dx"), (F.col("e.b")[1] - F.col("e.a")[1]).alias("dy"))
+
+    def borders(at: str, way: str) -> F.Column:
+        """The border lines that a segment crosses along an axis, as the shares of its length at which it does."""
+        low, high = F.least(F.col(at), F.col(at) + F.col(way)), F.greatest(F.col(at), F.col(at) + F.col(way))
+        first, last = F.ceil(low), F.floor(high)
+        lines_ = F.when((F.col(way) != 0) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(lines_, lambda k: F.struct(((k - F.col(at)) / F.col(way)).alias("t"), k.alias("k")))
+
+    point = lambda r, c: F.struct(F.floor(r).alias("r"), F.floor(c).alias("c"))
+    down, across = borders("y0", "dy"), borders("x0", "dx")
+    e = e.withColumn("down", down).withColumn("across", across)
+    shares = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.transform("down", lambda b: b["t"]), F.transform("across", lambda b: b["t"])))
+    e = e.withColumn("ts", shares)
+    # On a border its own number is used, so that rounding can't put the point on the other side.
+    on = F.concat(F.transform("down", lambda b: point(b["k"], F.col("x0") + F.col("dx") * (b["k"] - F.col("y0")) / F.col("dy"))),
+                  F.transform("across", lambda b: point(F.col("y0") + F.col("dy") * (b["k"] - F.col("x0")) / F.col("dx"), b["k"])),
+                  F.array(point(F.col("y0"), F.col("x0")), point(F.col("y0") + F.col("dy"), F.col("x0") + F.col("dx"))))
+    # Two borders that are met in one corner have no middle between them.
+    apart = F.filter(F.transform(F.slice("ts", F.lit(2), F.size("ts") - 1), lambda t, i: F.struct(F.col("ts")[i].alias("a"), t.alias("b"))), lambda p: p["b"] - p["a"] > 1e-12)
+    middles = F.transform(apart, lambda p: point(F.col("y0") + F.col("dy") * (p["a"] + p["b"]) / 2, F.col("x0") + F.col("dx") * (p["a"] + p["b"]) / 2))
+    return e.select(F.explode(F.concat(on, middles)).alias("p")).select("p.r", "p.c").distinct()
 
 
 def clip(cells: DataFrame, ring: list[tuple[float, float]], column: str) -> DataFrame:
     """`column` with 0 outside a polygon ring, by the even-odd rule at cell centres."""
-    x, y = F.col("c") + 0.5, F.col("r") + 0.5
-    inside = F.lit(0)
-    for (x0, y0), (x1, y1) in zip(ring, [*ring[1:], ring[0]]):
-        if y0 != y1:
-            crosses = (y >= min(y0, y1)) & (y < max(y0, y1)) & (x < x0 + (y - y0) * (x1 - x0) / (y1 - y0))
-            inside = inside + crosses.cast("int")
-    return cells.withColumn(column, F.when(inside % 2 == 1, F.col(column)).otherwise(0))
+    rings = cells.sparkSession.createDataFrame([([[float(x), float(y)] for x, y in ring],)], "coords array<array<double>>")
+    found = filled(cells, row_spans(ring_edges(rings)), "__in")
+    return found.withColumn(column, F.when(F.col("__in"), F.col(column)).otherwise(0)).drop("__in")

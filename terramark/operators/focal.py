@@ -37,6 +37,28 @@ def neighbour_fractions(cells: DataFrame, column: str, targets: list[int], size:
     return found.select(*cells.columns, F.col("n_valid").cast("long").alias("n_valid"), *share)
 
 
+def sampled_fractions(cells: DataFrame, sample: DataFrame, column: str, targets: list[int], size: int = 5) -> DataFrame:
+    """`sample`, some of the `cells`, with n_valid and frac_<class> as `neighbour_fractions` has them.
+
+    The cells around the sample are asked for by their places, and all classes are counted at once.
+    Tiles of the grid that hold none of them are left out before rows are shuffled, so the work grows
+    with the sample; `cells` is otherwise only scanned.
+    """
+    if size % 2 == 0 or size < 3:
+        raise ValueError("the window must be odd and at least 3")
+    k = size // 2
+    tile = lambda c: F.floor(c / BLOCK_ROWS)
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-k, k + 1) for j in range(-k, k + 1) if i or j])
+    halo = sample.select(F.col("r").alias("__r"), F.col("c").alias("__c")).distinct().select("__r", "__c", F.explode(around).alias("at"))
+    halo = halo.select("__r", "__c", (F.col("__r") + F.col("at.i")).alias("r"), (F.col("__c") + F.col("at.j")).alias("c"))
+    needed = halo.select(tile(F.col("r")).alias("__tr"), tile(F.col("c")).alias("__tc")).distinct()
+    thin = cells.select("r", "c", F.col(column).alias("__class"), tile(F.col("r")).alias("__tr"), tile(F.col("c")).alias("__tc")).join(needed, ["__tr", "__tc"], "left_semi").drop("__tr", "__tc")
+    counts = halo.join(thin, ["r", "c"]).groupBy("__r", "__c").agg(F.count_if(F.col("__class").between(1, 9)).alias("n_valid"), *[F.count_if(F.col("__class") == t).alias(f"__n_{t}") for t in targets])
+    met = sample.join(counts, (sample["r"] == counts["__r"]) & (sample["c"] == counts["__c"]), "left")
+    share = [F.when(F.col("n_valid") > 0, F.col(f"__n_{t}") / F.col("n_valid")).otherwise(0.0).alias(f"frac_{t}") for t in targets]
+    return met.select(*[sample[c] for c in sample.columns], F.coalesce("n_valid", F.lit(0)).cast("long").alias("n_valid"), *share)
+
+
 def same_class_support(cells: DataFrame, column: str, size: int = 5) -> DataFrame:
     """`cells` with the share of neighbours that have the cell's own class."""
     found = neighbour_fractions(cells, column, list(range(1, 10)), size)

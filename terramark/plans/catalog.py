@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
@@ -17,6 +17,8 @@ from . import scenario
 KM2 = 0.0009
 #: Caps of the samples: changed and unchanged pairs; cells of a class, changed cells.
 CHANGE_CAP, STAY_CAP, PER_CLASS, CHANGED = 8000, 8000, 40_000, 100_000
+#: The same of the models of one class against all others.
+OWN_PER_CLASS, OWN_CHANGED = 20_000, 60_000
 
 
 def _local(df: DataFrame) -> DataFrame:
@@ -239,43 +241,62 @@ def history_union(s, d):
     return crosstab.history(crosstab.class_summary(g, {2015: "v_fit", 2020: "v_base"}), projected, 2030)
 
 
-def _simulated(s: SparkSession, d: str, pooled: bool) -> DataFrame:
+def _log(s: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    return s.createDataFrame([tuple(x.values()) for x in rows], schema)
+
+
+_QUOTA_LOG = "iteration int, changed_pixels long, class_code int, predicted_pixels long, demand_pixels long, difference_pixels long"
+
+
+def _quota_run(s: SparkSession, d: str, suitable: bool) -> tuple[DataFrame, list[dict]]:
+    """Map and log of the automaton: neighbours alone with repair, or with rule suitability and without."""
+    g = cells(s, d)
+    goal, table = _goal(g)
+    if not suitable:
+        return allocate.simulate(g.select("cell_id", "r", "c", "v_base"), "v_base", goal, table)
+    suit = E.suitability(E.valid("v_base"), "slope", "road", "water", "night")
+    thin = g.select("cell_id", "r", "c", "v_base", "slope", "road", "water", "night")
+    return allocate.simulate(thin, "v_base", goal, table, lambda near, target, jitter: E.score_mixed(near, suit[target], jitter), repair=False)
+
+
+def _pooled_run(s: SparkSession, d: str) -> tuple[DataFrame, list[dict]]:
     g = cells(s, d)
-    p, wanted = _transition(g), _demand(g)[1]
-    table = {(r.from_code, r.to_code): r.p for r in p.collect()}
-    goal = {r.class_code: r.demand for r in wanted.collect()}
-    thin = g.select("cell_id", "r", "c", "v_base")
-    if pooled:
-        _, log = allocate.simulate_pooled(thin, "v_base", goal, lambda near, _, jitter: E.score_plain(near, jitter, 0.02))
-        return s.createDataFrame([tuple(x.values()) for x in log], "iteration int, max_abs_demand_error_pixels long, changed_pixels long")
-    _, log = allocate.simulate(thin, "v_base", goal, table)
-    return s.createDataFrame([tuple(x.values()) for x in log], "iteration int, changed_pixels long, class_code int, predicted_pixels long, demand_pixels long, difference_pixels long")
+    return allocate.simulate_pooled(g.select("cell_id", "r", "c", "v_base"), "v_base", _goal(g)[0], lambda near, _, jitter: E.score_plain(near, jitter, 0.02))
+
+
+def _map(end: DataFrame) -> DataFrame:
+    return end.select("cell_id", "v_base", F.col("current").alias("predicted"))
 
 
 def ca_markov_simulation(s, d):
-    return _simulated(s, d, False)
+    return _log(s, _quota_run(s, d, False)[1], _QUOTA_LOG)
+
+
+def ca_markov_map(s, d):
+    """One row per cell."""
+    return _map(_quota_run(s, d, False)[0])
 
 
 def pooled_simulation(s, d):
-    return _simulated(s, d, True)
+    return _log(s, _pooled_run(s, d)[1], "iteration int, max_abs_demand_error_pixels long, changed_pixels long")
+
+
+def pooled_map(s, d):
+    return _map(_pooled_run(s, d)[0])
 
 
 def suitability_simulation(s, d):
     """Neighbours and rule suitability, without repair."""
-    g = cells(s, d)
-    table = {(r.from_code, r.to_code): r.p for r in _transition(g).collect()}
-    goal = {r.class_code: r.demand for r in _demand(g)[1].collect()}
-    suit = E.suitability(E.valid("v_base"), "slope", "road", "water", "night")
-    thin = g.select("cell_id", "r", "c", "v_base", "slope", "road", "water", "night")
-    _, log = allocate.simulate(thin, "v_base", goal, table, lambda near, target, jitter: E.score_mixed(near, suit[target], jitter), repair=False)
-    return s.createDataFrame([tuple(x.values()) for x in log], "iteration int, changed_pixels long, class_code int, predicted_pixels long, demand_pixels long, difference_pixels long")
+    return _log(s, _quota_run(s, d, True)[1], _QUOTA_LOG)
+
+
+def suitability_map(s, d):
+    return _map(_quota_run(s, d, True)[0])
 
 
 def _with_support(g: DataFrame, column: str) -> DataFrame:
     """The shares of all classes around each cell, and the one of its own class."""
-    found = focal.neighbour_fractions(g, column, list(range(1, 10))).drop("n_valid")
-    own = F.element_at(F.array(*[f"frac_{k}" for k in range(1, 10)]), F.greatest(F.col(column).cast("int"), F.lit(1)))
-    return found.withColumn("support", F.when(F.col(column) > 0, own).otherwise(0.0))
+    return _own_share(focal.neighbour_fractions(g, column, list(range(1, 10))).drop("n_valid"), column)
 
 
 def _with_factors(g: DataFrame) -> DataFrame:
@@ -284,11 +305,26 @@ def _with_factors(g: DataFrame) -> DataFrame:
     return g.withColumns({c: tables.clean_factor(c) for c in models.FACTORS})
 
 
+def _drivers(s: SparkSession, d: str) -> DataFrame:
+    """The grid with the five factors as they are; cells without one of them fail `_known`."""
+    return cells(s, d).withColumn("elevation_norm", F.col("elevation") / 500).withColumn("low_slope", F.col("slope"))
+
+
+def _known() -> Column:
+    return E.valid_drivers(*models.FACTORS)
+
+
+def _own_share(g: DataFrame, column: str) -> DataFrame:
+    """The share of its own class around each cell."""
+    own = F.element_at(F.array(*[f"frac_{k}" for k in range(1, 10)]), F.greatest(F.col(column).cast("int"), F.lit(1)))
+    return g.withColumn("support", F.when(F.col(column) > 0, own).otherwise(0.0))
+
+
 def _model_sample(s: SparkSession, d: str) -> DataFrame:
-    g = cells(s, d)
-    g = _with_support(g.withColumn("elevation_norm", F.col("elevation") / 500).withColumn("low_slope", F.col("slope")), "v_fit")
-    rows = g.withColumn("label", F.col("v_base").cast("double")).filter(E.valid_drivers(*models.FACTORS))
-    return sampling.stratified(rows, "v_fit", "v_base", CHANGE_CAP, STAY_CAP)
+    """The stratified sample of cells with all factors; only around sampled cells neighbours are counted."""
+    g = _drivers(s, d)
+    rows = sampling.stratified(g.filter(_known()), "v_fit", "v_base", CHANGE_CAP, STAY_CAP).withColumn("label", F.col("v_base").cast("double"))
+    return _own_share(focal.sampled_fractions(g, rows, "v_fit", list(range(1, 10))).drop("n_valid"), "v_fit")
 
 
 def _goal(g: DataFrame) -> tuple[dict[int, int], dict[tuple[int, int], float]]:
@@ -300,29 +336,37 @@ def _goal(g: DataFrame) -> tuple[dict[int, int], dict[tuple[int, int], float]]:
 
 def forest_simulation(s, d, trees: int = 30, depth: int = 8):
     """The forest's automaton from sample to map: weights of transitions, probabilities of the nine
-    classes by blocks of the base epoch, quotas, repair. One row per cell."""
-    g = cells(s, d)
+    classes by blocks of the base epoch, quotas, repair. One row per cell.
+
+    Weights count the cells that could be sampled, those with all factors; cells without get
+    probability 0, and so the least score.
+    """
+    g = _drivers(s, d)
     rows = _model_sample(s, d)
-    sample, names = models.forest_features(sampling.with_weights(rows, sampling.transition_weights(g, rows, "v_fit", "v_base"), "v_fit", "v_base"), "v_fit")
+    weights = sampling.transition_weights(g.filter(_known()), rows, "v_fit", "v_base")
+    sample, names = models.forest_features(sampling.with_weights(rows, weights, "v_fit", "v_base"), "v_fit")
     model = models.train_forest(sample, names, "label", trees=trees, depth=depth, weight="train_weight")
-    state, _ = models.forest_features(_with_support(_with_factors(g), "v_base"), "v_base")
-    rated = models.with_probabilities(state.drop("support"), model, 1e-6, E.valid("v_base")).select("cell_id", "r", "c", "v_base", *[f"p_{k}" for k in range(1, 10)])
+    known = g.withColumn("known", _known()).withColumns({c: tables.clean_factor(c) for c in models.FACTORS})
+    state, _ = models.forest_features(_with_support(known, "v_base"), "v_base")
+    rated = models.with_probabilities(state.drop("support"), model, 1e-6, E.valid("v_base") & F.col("known")).select("cell_id", "r", "c", "v_base", *[f"p_{k}" for k in range(1, 10)])
     goal, table = _goal(g)
     end, _ = allocate.simulate(rated, "v_base", goal, table, lambda near, target, jitter: E.score_forest(F.col(f"p_{target}"), near, jitter))
-    return end.select("cell_id", "v_base", F.col("current").alias("predicted"))
+    return _map(end)
 
 
 def logistic_simulation(s, d):
     """The logistic automaton from sample to map: probabilities of the live state with its support
     frozen at the start of an iteration, a pool of candidates, a last pass of repair. One row per cell."""
     g = _with_factors(cells(s, d))
-    rows = sampling.class_balanced(_with_support(g, "v_fit"), "v_fit", "v_base", PER_CLASS, CHANGED).withColumn("label", F.col("v_base").cast("double"))
+    rows = sampling.class_balanced(g, "v_fit", "v_base", PER_CLASS, CHANGED).withColumn("label", F.col("v_base").cast("double"))
+    rows = _own_share(focal.sampled_fractions(g, rows, "v_fit", list(range(1, 10))), "v_fit")
     sample, names = models.logistic_features(rows, "v_fit")
     model = models.train_logistic(sample, names, "label")
     goal, table = _goal(g)
 
-    def frozen(now: DataFrame) -> DataFrame:
-        return _with_support(now, "current").drop(*[f"frac_{k}" for k in range(1, 10)])
+    def frozen(then: DataFrame) -> DataFrame:
+        own = F.element_at(F.array(*[f"near_{k}" for k in range(1, 10)]), F.greatest(F.col("source"), F.lit(1)))
+        return then.withColumn("support", F.when(F.col("source") > 0, own).otherwise(0.0))
 
     def rate(now: DataFrame, target: int) -> DataFrame:
         state, _ = models.logistic_features(now, "current")
@@ -333,13 +377,14 @@ def logistic_simulation(s, d):
     thin = g.select("cell_id", "r", "c", "v_base", *models.FACTORS)
     end, _ = allocate.simulate_pooled(thin, "v_base", goal, lambda near, _, jitter: E.score_logistic(F.col("p"), near, F.col("move"), jitter),
                                       frozen=frozen, rate=rate, repair=F.col("p"))
-    return end.select("cell_id", "v_base", F.col("current").alias("predicted"))
+    return _map(end)
 
 
 def one_vs_rest(s, d):
-    """Probabilities of the nine classes for the base epoch, by a logistic model for each class."""
+    """Probabilities of the nine classes for the base epoch, by a logistic model for each class, from a sample of its own size."""
     g = _with_factors(cells(s, d))
-    sample, names = models.logistic_features(_model_sample(s, d), "v_fit")
+    rows = sampling.class_balanced(g, "v_fit", "v_base", OWN_PER_CLASS, OWN_CHANGED).withColumn("label", F.col("v_base").cast("double"))
+    sample, names = models.logistic_features(_own_share(focal.sampled_fractions(g, rows, "v_fit", list(range(1, 10))), "v_fit"), "v_fit")
     trained = models.train_one_vs_rest(sample, names, "label")
     state, _ = models.logistic_features(_with_support(g, "v_base"), "v_base")
     return models.one_vs_rest_probabilities(state, trained).select("cell_id", *[F.when(E.valid("v_base"), F.col(f"p_{k}")).otherwise(0.0).alias(f"p_{k}") for k in range(1, 10)])
@@ -437,7 +482,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     distance_to_barren, preview, stratified_sample, class_balanced_sample, transition_weights, score_step,
     score_plain_step, neighbour_all, weighted_metrics, rolling_validation, training_weights, clipped, suitability_simulation, model_comparison,
     history_union, score_forest_step, score_logistic_step, weighted_per_class, positions, transition_table, area_table, per_class_table, largest_changes, classes_first_seen, factor_average, cropped,
-    one_vs_rest, forest_simulation, logistic_simulation, ca_markov_simulation, pooled_simulation, logistic_coefficients, forest_importance)}
+    one_vs_rest, forest_simulation, logistic_simulation, ca_markov_simulation, ca_markov_map, suitability_map, pooled_simulation, pooled_map, logistic_coefficients, forest_importance)}
 
 _CTES = {
     "g": GRID_SQL,

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terramark.functions import expressions as E
-from terramark.operators import allocate, crosstab, demand, factors, focal, models, sampling
+from terramark.operators import allocate, crosstab, delta_grid, demand, factors, focal, models, sampling
 from terramark.plans import catalog
 from terramark.plans.scenario import Scenario, driver_year, forest_stem, weight_code, windows
 from terramark.sources import tables
@@ -131,7 +131,7 @@ def test_best_rows_by_slot(spark):
     rows = [(i, int(rng.integers(1, 4)), float(rng.choice([0.1, 0.25, 0.5, rng.random()]))) for i in range(3000)]
     frame = spark.createDataFrame(rows, "cell_id long, current int, __score double").repartition(5)
     take = {1: 100, 2: 5000, 3: 0}
-    got = {r.cell_id for r in frame.filter(allocate.best(frame, F.col("current"), take)).collect()}
+    got = {r.cell_id for r in delta_grid.best(frame, F.col("current"), take).collect()}
     want = {i for k, n in take.items() for i, _, _ in sorted((r for r in rows if r[1] == k), key=lambda r: (-r[2], r[0]))[:n]}
     assert got == want
 
@@ -173,7 +173,7 @@ def test_percentiles_equal_sorting(spark):
 def test_polygons_and_boxes(spark):
     g = grid(spark, np.ones((12, 9), int))
     rings = spark.createDataFrame([([[1.0, 1.0], [8.0, 1.0], [8.0, 11.0], [1.0, 11.0]],), ([[3.0, 3.0], [6.0, 3.0], [6.0, 7.0], [3.0, 7.0]],)], "coords array<array<double>>")
-    inside = factors.inside_polygons(g, factors.ring_edges(rings), band_rows=4)
+    inside = factors.inside_polygons(g, factors.ring_edges(rings))
     want = {r * 9 + c for r in range(1, 11) for c in range(1, 8) if not (3 <= r < 7 and 3 <= c < 6)}
     assert {r.cell_id for r in inside.collect()} == want
     cut = factors.crop(g, inside, "v").collect()
