@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -42,8 +41,8 @@ SIDE_BY_SIDE = 1024
 MAGIC = b"TMTOK8B1"
 #: Words that a worker knows, and ids of the longest one that stays known.
 KNOWN, LONGEST = 1 << 20, 200
-#: A word of letters (the letters from U+00C0 to U+00FF in UTF-8), with a space or none before it.
-WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: A word of letters, of ASCII and from U+00C0 to U+00FF, with a space or none before it.
+WORD = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 #: Bytes of texts that are cut at once.
 AT_ONCE = 1 << 23
 
@@ -125,16 +124,17 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int, escapes: np.ndarray)
     upto = np.cumsum(counts) - counts
     of = np.repeat(np.arange(n_blocks), np.diff(offsets.astype(np.int64)))
     starts = upto - upto[offsets[:-1].astype(np.int64)][of] + of * row if len(words) else upto
-    out = np.zeros(n_blocks * row, np.uint64)
+    small = not len(words) or WIDTHS[selectors].max() <= 32 and (selectors > 0).all()
+    out = np.zeros(n_blocks * row, np.uint32 if small else np.uint64)
     for selector in np.unique(selectors):
         own = np.flatnonzero(selectors == selector)
-        payload = words[own] & np.uint64((1 << 60) - 1)
+        first, payload = starts[own], words[own] & np.uint64((1 << 60) - 1)
         if selector:
             mask = np.uint64((1 << int(WIDTHS[selector])) - 1)
             for j in range(COUNTS[selector]):
-                out[starts[own] + j] = (payload >> np.uint64(j * WIDTHS[selector])) & mask
+                out[first + j] = (payload >> np.uint64(j * WIDTHS[selector])) & mask
         else:
-            out[starts[own]] = escapes[payload.astype(np.int64)]
+            out[first] = escapes[payload.astype(np.int64)]
     return out.reshape(n_blocks, row)[:, :BLOCK].reshape(-1)[:n]
 
 
@@ -207,38 +207,37 @@ class Words:
             self.known: dict[bytes, int] = {}  # in order of their places
             self.flat, self.ends, self.uses = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
-    def _encoded(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+    def _encoded(self, words: pa.Array) -> tuple[list[int], list[int]]:
         """(the ids of the words in turn, how many each has): words of letters alone by the tokenizer's model, others by all its steps."""
+        plain = pc.match_substring_regex(words, WORD)
+        ascii_ = pc.string_is_ascii(words)
+        shown = pc.if_else(pc.and_(plain, ascii_), pc.replace_substring(words, " ", chr(self.shown[0x20])), words).to_pylist()
+        tokenize = self.tokenizer.model.tokenize
         ids, other = [], []
-        tokenize, space = self.tokenizer.model.tokenize, chr(self.shown[0x20])
-        for k, w in enumerate(words):
-            if WORD.fullmatch(w):
-                text = w.decode("latin-1")
-                ids.append([x.id for x in tokenize(text.replace(" ", space) if w.isascii() else text.translate(self.shown))])
+        for k, (w, one, short) in enumerate(zip(shown, plain.to_pylist(), ascii_.to_pylist())):
+            if one:
+                ids.append([x.id for x in tokenize(w if short else w.encode().decode("latin-1").translate(self.shown))])
             else:
                 ids.append([])
                 other.append(k)
-        for k, e in zip(other, self.tokenizer.encode_batch_fast([words[k].decode() for k in other], add_special_tokens=False)):
+        for k, e in zip(other, self.tokenizer.encode_batch_fast([shown[k] for k in other], add_special_tokens=False)):
             ids[k] = e.ids
         return list(chain.from_iterable(ids)), list(map(len, ids))
 
-    def _learn(self, words: list[bytes]) -> np.ndarray:
-        """The places of new words, which are known from now on."""
-        ids, sizes = self._encoded(words)
-        first = len(self.known)
-        self.known.update(zip(words, range(first, first + len(words))))
-        self.flat, self.ends = np.concatenate([self.flat, np.array(ids, np.uint32)]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
-        return first + np.arange(len(words))
-
-    def _places(self, words: list[bytes]) -> np.ndarray:
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the ids of distinct words are; new ones are known from now on."""
         if len(self.known) > KNOWN or len(self.flat) > 16 * KNOWN:  # what came up again stays, if it is not too much
             often = max(2, int(np.sort(self.uses)[-(KNOWN // 2):][0]) + 1)
             self._keep(np.flatnonzero((self.uses >= often) & (np.diff(self.ends) <= LONGEST)))
-        places = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        names = words.to_pylist()
+        places = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(places < 0)
         if len(new):
-            places[new] = self._learn([words[k] for k in new])
+            ids, sizes = self._encoded(words.take(pa.array(new)).cast(pa.string()))
+            places[new] = len(self.known) + np.arange(len(new))
+            self.known.update(zip((names[k] for k in new), places[new].tolist()))
+            self.flat, self.ends = np.concatenate([self.flat, np.array(ids, np.uint32)]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
         self.uses[places] += 1
         return places
 
@@ -255,7 +254,7 @@ class Words:
         starts[word_cuts(data)] = starts[offsets] = True
         cuts = np.flatnonzero(starts)
         parts = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
-        places, of = self._places(parts.dictionary.to_pylist()), parts.indices.to_numpy()
+        places, of = self._places(parts.dictionary), parts.indices.to_numpy()
         # A slice and what is known have fewer ids than an int has values.
         starts, sizes = self.ends[places].astype(np.int32)[of], np.diff(self.ends)[places].astype(np.int32)[of]
         upto = np.cumsum(sizes, dtype=np.int32)
@@ -265,14 +264,19 @@ class Words:
             yield ids[a:b]
 
 
-def _bytes_of(chars: str) -> np.ndarray:
+def _bytes_of(*ranges: tuple[int, int]) -> np.ndarray:
     found = np.zeros(256, bool)
-    found[list(chars.encode("latin-1"))] = True
+    for a, b in ranges:
+        found[a:b + 1] = True
     return found
 
 
-#: White space, marks before which a word ends, letters, and bytes that end no word for sure: controls that some count as white space.
-SPACES, MARKS, LETTERS, UNSURE = _bytes_of(" \t\n\x0b\x0c\r"), _bytes_of(".,;:!?"), _bytes_of("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), _bytes_of("\x1c\x1d\x1e\x1f")
+#: White space, and the marks . , ; : ! ? before which a word ends.
+SPACES, MARKS = _bytes_of((9, 13), (32, 32)), _bytes_of((0x2E, 0x2E), (0x2C, 0x2C), (0x3A, 0x3B), (0x21, 0x21), (0x3F, 0x3F))
+LETTERS = _bytes_of((0x41, 0x5A), (0x61, 0x7A))
+#: ASCII that is no white space for anyone; first bytes of characters of two and of three that are none; four bytes never are.
+SOLID, TWO, THREE = _bytes_of((0, 8), (14, 27), (33, 127)), _bytes_of((0xC3, 0xDF)), _bytes_of((0xE0, 0xE0), (0xE4, 0xED))
+ENDS = SPACES | MARKS
 
 
 def word_cuts(data: np.ndarray) -> np.ndarray:
@@ -281,27 +285,26 @@ def word_cuts(data: np.ndarray) -> np.ndarray:
     That is white space after a character that is none, and a mark after a letter. Of characters
     beyond ASCII only those count whose first byte shows that they aren't white space.
     """
-    out = []
+    out = [np.zeros(0, np.int64)]
     for k in range(0, len(data), AT_ONCE):
-        b = data[max(0, k - 4):k + AT_ONCE]
-        two, three = np.zeros(len(b), bool), np.zeros(len(b), bool)
-        latin = np.zeros(len(b), bool)
-        high = b >= 0x80
+        first = max(0, k - 4)
+        b = data[first:k + AT_ONCE]
+        at = np.flatnonzero(ENDS[b])
+        at = at[at >= max(1, k - first)]
+        one = b[at - 1]
+        high = one >= 0x80
+        space = SPACES[b[at]]
+        good = np.where(space, SOLID[one], LETTERS[one])
         if high.any():
-            # The last byte of a character of two bytes from U+00C0 on, of three of U+0800 to U+0FFF or from U+4000 on, or of four.
-            two[1:] = (b[:-1] >= 0xC3) & (b[:-1] <= 0xDF)
-            lead = (b == 0xE0) | ((b >= 0xE4) & (b <= 0xED))
-            three[2:] = lead[:-2]
-            three[3:] |= b[:-3] >= 0xF0
-            latin[1:] = (b[:-1] == 0xC3) & (b[1:] != 0x97) & (b[1:] != 0xB7)
-        space = SPACES[b]
-        solid = np.where(high, two | three, ~(space | UNSURE[b]))
-        letter = LETTERS[b] | latin
-        cut = np.zeros(len(b), bool)
-        cut[1:] = (space[1:] & solid[:-1]) | (MARKS[b][1:] & letter[:-1])
-        found = np.flatnonzero(cut) + max(0, k - 4)
-        out.append(found[found >= k])
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+            own = np.flatnonzero(high & (at >= 2))
+            last, two = one[own], b[at[own] - 2]
+            three = np.where(at[own] >= 3, b[at[own] - 3], 0)
+            four = np.where(at[own] >= 4, b[at[own] - 4], 0)
+            solid = TWO[two] | ((two >= 0x80) & (two < 0xC0) & (THREE[three] | ((three >= 0x80) & (three < 0xC0) & (four >= 0xF0))))
+            latin = (two == 0xC3) & (last != 0x97) & (last != 0xB7)
+            good[own] = np.where(space[own], solid, latin)
+        out.append(at[good] + first)
+    return np.concatenate(out)
 
 
 #: Of this worker: what it has learnt serves its later tasks too.
@@ -384,7 +387,7 @@ def read_token_files(manifest: DataFrame, folder: str, with_ids: bool = False) -
                 for k in range(0, len(ends), 4096):  # blocks of the file are decoded some documents at a time
                     first = int(starts[k])
                     some = slice(k, k + 4096)
-                    ids = found.ids(first, int(ends[some][-1])).astype("<u4")
+                    ids = found.ids(first, int(ends[some][-1])).astype("<u4", copy=False)
                     own = [ids[s - first:e - first] for s, e in zip(starts[some], ends[some])]
                     columns = [pa.array(found.names[some], pa.int64(), mask=~found.known[some]), pa.array(starts[some] + (before[part] + found.before)),
                                pa.array(found.counts[some]), pa.array([zlib.crc32(x) for x in own], pa.int64())]
