@@ -15,10 +15,12 @@ def class_counts(cells: DataFrame, column: str, name: str = "n", weight: str | N
     return classes(cells.sparkSession).join(found, "class_code", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
-def class_summary(cells: DataFrame, years: dict[int, str], km2: float = 0.0009) -> DataFrame:
+def class_summary(cells: DataFrame, years: dict[int, str], km2: float = 0.0009, weight: str | None = None) -> DataFrame:
     """(year, class_code, class_name, pixel_count, area_km2): present values but NoData; unknown codes stay."""
-    long = cells.select(F.explode(F.array(*[F.struct(F.lit(y).alias("year"), F.col(c).cast("int").alias("class_code")) for y, c in years.items()])).alias("x")).select("x.*")
-    n = long.filter("class_code != 0").groupBy("year", "class_code").agg(F.count("*").alias("pixel_count"))
+    # Cells are counted by all epochs at once, so only these few counts are unfolded into years.
+    counts = cells.groupBy(*years.values()).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+    long = counts.select(F.explode(F.array(*[F.struct(F.lit(y).alias("year"), F.col(c).cast("int").alias("class_code"), "n") for y, c in years.items()])).alias("x")).select("x.*")
+    n = long.filter("class_code != 0").groupBy("year", "class_code").agg(F.sum("n").alias("pixel_count"))
     return n.join(classes(cells.sparkSession), "class_code", "left").select(
         "year", "class_code", F.coalesce("class_name", F.lit("Unknown")).alias("class_name"), "pixel_count", F.round(F.col("pixel_count") * km2, 6).alias("area_km2"))
 

@@ -6,43 +6,82 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import draw, valid
+from ..sources.grid import classes
+from .crosstab import crosstab
+from .delta_grid import best
 
 #: Slots of equal width into which draws fall.
 SLOTS = 4096
 
 
-def first_drawn(cells: DataFrame, keys: list[str], cap: F.Column, seed: int, slots: int = SLOTS) -> DataFrame:
-    """At most `cap` rows (an expression over the keys) of each group, by smallest draw, then cell_id.
+def drawn_cut(cells: DataFrame, keys: list[str], cap: F.Column, seed: int, step: int = 0, slots: int = SLOTS) -> DataFrame:
+    """(keys, __draw, __last): the draw and cell_id of the last of the first `cap` rows of each group, by draw,
+    then cell_id; null where a group has no more than that. `cap` is an expression over the keys and __total, the group's rows.
 
-    Rows are counted by slot of the draw; only the slot in which a group's share ends is ranked, so
-    no task sorts a group. Groups must be few (pairs of classes): their cuts are broadcast.
+    Rows are counted by slot of the draw; only the slot in which a group's share ends is ranked, so no
+    task sorts a group. Groups must be few (pairs of classes): their cuts are broadcast.
     """
-    d = draw(F.col("cell_id"), seed)
+    d = draw(F.col("cell_id"), seed, step)
     own = Window.partitionBy(*keys)
     seen = cells.groupBy(*keys, F.floor(d * slots).alias("__slot")).agg(F.count("*").alias("__n"))
-    seen = seen.withColumn("__upto", F.sum("__n").over(own.orderBy("__slot"))).withColumn("__cap", cap)
-    ending = (F.col("__upto") >= F.col("__cap")) & (F.col("__upto") - F.col("__n") < F.col("__cap"))
-    cuts = seen.groupBy(*keys).agg(F.max(F.when(ending, F.col("__slot"))).alias("__end"), F.max(F.when(ending, F.col("__cap") - F.col("__upto") + F.col("__n"))).alias("__rest"))
-    at = cells.withColumn("__slot", F.floor(d * slots)).join(F.broadcast(cuts), keys)
-    whole = at.filter(F.col("__end").isNull() | (F.col("__slot") < F.col("__end")))
-    rank = F.row_number().over(own.orderBy(d, "cell_id"))
-    part = at.filter("__slot = __end").withColumn("__nth", rank).filter("__nth <= __rest")
-    return whole.select(*cells.columns).unionByName(part.select(*cells.columns))
-
-
-def stratified(cells: DataFrame, before: str, after: str, change_cap: int = 8000, stay_cap: int = 8000, seed: int = 42) -> DataFrame:
-    """At most so many cells of each pair of classes, by smallest draw, then cell_id."""
+    seen = seen.withColumn("__upto", F.sum("__n").over(own.orderBy("__slot"))).withColumn("__total", F.sum("__n").over(own)).withColumn("__cap", cap)
+    before = F.col("__upto") - F.col("__n")
+    # A group of at most its cap has no end; a cap of 0 ends before the first row.
+    ending = (F.col("__total") > F.col("__cap")) & (F.col("__upto") >= F.col("__cap")) & (before < F.greatest(F.col("__cap"), F.lit(1)))
+    ends = seen.groupBy(*keys).agg(F.max(F.when(ending, F.col("__slot"))).alias("__end"), F.max(F.when(ending, F.col("__cap") - before)).alias("__rest"))
+    thin = cells.select(*keys, "cell_id", d.alias("__draw"), F.floor(d * slots).alias("__slot"))
+    nth = F.row_number().over(own.orderBy("__draw", "cell_id"))
+    ranked = thin.join(F.broadcast(ends), [*keys]).filter("__slot = __end").withColumn("__nth", nth)
+    last = ranked.filter("__nth = greatest(__rest, 1)").select(*keys, F.when(F.col("__rest") > 0, F.col("__draw")).otherwise(-1.0).alias("__draw"), F.col("cell_id").alias("__last"))
+    return ends.select(*keys).join(last, keys, "left")
+
+
+def before_cut(seed: int, step: int = 0) -> F.Column:
+    """Whether a row, joined with its group's cut, is among the first of it."""
+    d = draw(F.col("cell_id"), seed, step)
+    return F.col("__draw").isNull() | (d < F.col("__draw")) | ((d == F.col("__draw")) & (F.col("cell_id") <= F.col("__last")))
+
+
+def first_drawn(cells: DataFrame, keys: list[str], cap: F.Column, seed: int, slots: int = SLOTS) -> DataFrame:
+    """At most `cap` rows (an expression over the keys) of each group, by smallest draw, then cell_id.
+
+    The rows are compared with their group's cut (`drawn_cut`) where they are.
+    """
+    cut = drawn_cut(cells, keys, cap, seed, slots=slots)
+    return cells.join(F.broadcast(cut), keys).filter(before_cut(seed)).select(*cells.columns)
+
+
+def stratified(cells: DataFrame, before: str, after: str, change_cap: int = 8000, stay_cap: int = 8000, seed: int = 42, total_cap: int | None = None) -> DataFrame:
+    """At most so many cells of each pair of classes, by smallest draw, then cell_id; of these at most
+    `total_cap` by a second draw, if there is one."""
     cap = F.when(F.col(before) == F.col(after), stay_cap).otherwise(change_cap)
-    return first_drawn(cells.filter(valid(before, after)), [before, after], cap, seed)
+    rows = first_drawn(cells.filter(valid(before, after)), [before, after], cap, seed)
+    if total_cap is None:
+        return rows
+    # The second draw has a seed of its own, so it isn't bound to the first one's order.
+    return first_drawn(rows.withColumn("__all", F.lit(0)), ["__all"], F.lit(total_cap), seed + 1).drop("__all")
+
+
+def sample_report(cells: DataFrame, sample: DataFrame, before: str, after: str) -> DataFrame:
+    """(from_code, from_name, to_code, to_name, is_stay, available_pixels, sampled_pixels) of all 81 pairs."""
+    pairs = lambda df, name: crosstab(df, before, after).select("from_code", "to_code", F.col("n").alias(name))
+    found = pairs(cells, "available_pixels").join(pairs(sample, "sampled_pixels"), ["from_code", "to_code"])
+    named = lambda side: classes(cells.sparkSession).select(F.col("class_code").alias(f"{side}_code"), F.col("class_name").alias(f"{side}_name"))
+    found = found.join(F.broadcast(named("from")), "from_code").join(F.broadcast(named("to")), "to_code")  # nine rows each
+    stay = F.when(F.col("from_code") == F.col("to_code"), "yes").otherwise("no")
+    return found.select("from_code", "from_name", "to_code", "to_name", stay.alias("is_stay"), "available_pixels", "sampled_pixels")
 
 
 def class_balanced(cells: DataFrame, before: str, after: str, per_class: int = 40_000, changed: int = 100_000, seed: int = 42) -> DataFrame:
-    """Cells balanced by target class, together with changed cells; each cell once."""
+    """Cells balanced by target class, together with changed cells; each cell once, from one pass over the cells and their cuts."""
     ok = cells.filter(valid(before, after))
-    by_class = first_drawn(ok, [after], F.lit(per_class), seed)
-    moved = first_drawn(ok.filter(F.col(before) != F.col(after)).withColumn("__all", F.lit(0)), ["__all"], F.lit(changed), seed).drop("__all")
-    ids = by_class.select("cell_id").union(moved.select("cell_id")).distinct()
-    return cells.join(ids, "cell_id", "left_semi")
+    moved = F.col(before) != F.col(after)
+    by_class = drawn_cut(ok, [after], F.lit(per_class), seed)
+    of_moved = drawn_cut(ok.filter(moved).withColumn("__all", F.lit(0)), ["__all"], F.lit(changed), seed).select(F.col("__draw").alias("__draw_m"), F.col("__last").alias("__last_m"), F.lit(True).alias("__any"))
+    both = ok.join(F.broadcast(by_class), after).join(F.broadcast(of_moved), F.lit(True), "left")  # at most one row
+    d = draw(F.col("cell_id"), seed)
+    first = moved & (F.col("__draw_m").isNull() | (d < F.col("__draw_m")) | ((d == F.col("__draw_m")) & (F.col("cell_id") <= F.col("__last_m"))))
+    return both.filter(before_cut(seed) | first).select(*cells.columns)
 
 
 def transition_weights(cells: DataFrame, sample: DataFrame, before: str, after: str) -> DataFrame:
@@ -62,10 +101,9 @@ def with_weights(sample: DataFrame, weights: DataFrame, before: str, after: str)
 def split(sample: DataFrame, label: str, held_out: float = 0.25, seed: int = 42) -> DataFrame:
     """`sample` with `validation`: a share of each label, or of all if a label has one row only."""
     least = sample.groupBy(label).count().agg(F.min("count"), F.count("*")).first()
-    strata = [label] if least[0] and least[0] >= 2 and least[1] > 1 else []
-    w = Window.partitionBy(*strata).orderBy(draw(F.col("cell_id"), seed, 1), "cell_id")
-    n = F.count("*").over(Window.partitionBy(*strata))
-    return sample.withColumn("validation", F.row_number().over(w) > F.round(n * (1 - held_out)))
+    rows = sample.withColumn("__of", F.col(label) if least[0] and least[0] >= 2 and least[1] > 1 else F.lit(0))
+    cut = drawn_cut(rows, ["__of"], F.round(F.col("__total") * (1 - held_out)), seed, 1)
+    return rows.join(F.broadcast(cut), "__of").select(*sample.columns, (~before_cut(seed, 1)).alias("validation"))
 
 
 def drawn_counts(cells: DataFrame, base: str, seed: int, *others: str) -> DataFrame:
@@ -120,8 +158,39 @@ def allocate_random(cells: DataFrame, base: str, flows: DataFrame, seed: int = 4
     return cells.withColumn("__d", draw(F.col("cell_id"), seed)).select(*cells.columns, out.cast("int").alias("allocated"))
 
 
+def allocated_counts(cells: DataFrame, base: str, flows: DataFrame, counts: DataFrame, others: list[str], seed: int = 42) -> DataFrame:
+    """(allocated, base, others, n): what `allocate_random` gives, counted without a pass over all cells.
+
+    counts: `drawn_counts` of base and others. Whole slots go to the flow in which they lie; only the
+    cells of slots in which a flow ends are read again, and ranked.
+    """
+    own = Window.partitionBy(base)
+    by_slot = counts.groupBy(base, "slot").agg(F.sum("n").alias("m")).withColumn("upto", F.sum("m").over(own.orderBy("slot")))
+    cuts = flows.filter("flow > 0").select(F.col("from_code").alias(base), F.col("to_code").alias("allocated"), F.sum("flow").over(Window.partitionBy("from_code").orderBy("to_code")).alias("high"), "flow")
+    cuts = cuts.withColumn("low", F.col("high") - F.col("flow")).drop("flow")
+    met = by_slot.join(F.broadcast(cuts), (by_slot[base] == cuts[base]) & (F.col("upto") - F.col("m") < F.col("high")) & (F.col("upto") > F.col("low")), "left")
+    met = met.select(by_slot[base], "slot", "m", (F.col("upto") - F.col("m")).alias("start"), F.struct("allocated", "low", "high").alias("cut"))
+    met = met.groupBy(base, "slot").agg(F.first("m").alias("m"), F.first("start").alias("start"), F.collect_list("cut").alias("cuts"))
+    # A slot is whole if it has no flow, or lies within one.
+    only = F.col("cuts")[0]
+    whole = (F.size("cuts") == 1) & (only["allocated"].isNull() | ((only["low"] <= F.col("start")) & (only["high"] >= F.col("start") + F.col("m"))))
+    told = counts.join(met.filter(whole).select(base, "slot", only["allocated"].alias("allocated")), [base, "slot"])
+    told = told.select(F.coalesce("allocated", F.lit(0)).alias("allocated"), base, *others, "n")
+    split_slots = met.filter(~whole).select(base, "slot", "start", "cuts")
+    d = draw(F.col("cell_id"), seed)
+    thin = cells.select(base, *others, "cell_id", d.alias("__draw"), F.floor(d * SLOTS).alias("slot"))
+    nth = F.row_number().over(Window.partitionBy(base, "slot").orderBy("__draw", "cell_id")) + F.col("start")
+    ranked = thin.join(F.broadcast(split_slots), [base, "slot"]).withColumn("nth", nth)  # at most one slot for each of 81 flows
+    hit = F.filter("cuts", lambda c: (F.col("nth") > c["low"]) & (F.col("nth") <= c["high"]))
+    cut = ranked.select(F.coalesce(F.get(hit, F.lit(0))["allocated"], F.lit(0)).alias("allocated"), base, *others, F.lit(1).cast("long").alias("n"))
+    return told.unionByName(cut).groupBy("allocated", base, *others).agg(F.sum("n").alias("n"))
+
+
 def top_per_source(cells: DataFrame, source: str, score: str, quotas: DataFrame) -> DataFrame:
-    """The `take` best cells of each source class; ties by cell_id. quotas: class_code, take."""
-    w = Window.partitionBy(source).orderBy(F.desc(score), "cell_id")
-    q = F.broadcast(quotas.select(F.col("class_code").alias(source), "take"))  # at most nine rows
-    return cells.join(q, source).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= F.col("take")).drop("nth", "take")
+    """The `take` best cells of each source class; ties by cell_id. quotas: class_code, take (nine rows at most).
+
+    Scores are counted by slot, and only the slot in which a class's share ends is ranked.
+    """
+    take = {r.class_code: r["take"] for r in quotas.collect()}
+    rated = cells.filter(F.col(source).isin(list(take))).withColumn("__score", F.col(score))
+    return best(rated, F.col(source), take).select(*cells.columns)

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..operators import allocate, crosstab, demand, factors, focal, models, report, sampling
-from ..sources import tables
+from ..sources import scratch, tables
 from ..sources.grid import CLASS_SQL, GRID_SQL, WIDTH, cells
 from . import scenario
 
 KM2 = 0.0009
 #: Caps of the samples: changed and unchanged pairs; cells of a class, changed cells.
 CHANGE_CAP, STAY_CAP, PER_CLASS, CHANGED = 8000, 8000, 40_000, 100_000
+#: Cells of the stratified sample at most, where it is cut to a total; seed of the draws.
+TOTAL_CAP, SEED = 20_000, 42
 #: The same of the models of one class against all others.
 OWN_PER_CLASS, OWN_CHANGED = 20_000, 60_000
 
@@ -35,6 +37,12 @@ def _transition(g: DataFrame) -> DataFrame:
     return crosstab.transition_probabilities(crosstab.crosstab(g, "v_fit", "v_base"))
 
 
+def _slots(g: DataFrame) -> DataFrame:
+    """(slot, v_base, v_fit, v_target, n), written: census, flows and cuts all come from this one pass."""
+    path = scratch.folder(g.sparkSession, "slots")
+    return scratch.written(sampling.drawn_counts(g, "v_base", SEED, "v_fit", "v_target"), path)
+
+
 def _flows(census: DataFrame) -> DataFrame:
     p = crosstab.transition_probabilities(crosstab.crosstab(census, "v_fit", "v_base", "n"))
     return demand.rounded_flows(p, crosstab.class_counts(census, "v_base", weight="n"))
@@ -45,8 +53,22 @@ def _demand(g: DataFrame) -> tuple[DataFrame, DataFrame]:
     return flows, demand.markov_demand(flows)
 
 
-def _predicted(g: DataFrame, census: DataFrame | None = None) -> DataFrame:
-    return sampling.allocate_random(g, "v_base", _local(_flows(_census(g) if census is None else census)))
+def _predicted(g: DataFrame) -> DataFrame:
+    """Every cell with its class by the non-spatial model."""
+    slots = _slots(g)
+    return sampling.allocate_random(g, "v_base", _local(_flows(_summed(slots))), SEED, slots)
+
+
+def _summed(slots: DataFrame) -> DataFrame:
+    return _local(slots.groupBy("v_fit", "v_base", "v_target").agg(F.sum("n").alias("n")))
+
+
+def _predicted_counts(g: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(allocated, v_base, v_target, n), flows and census: the same counted, from one pass and the slots in which flows end."""
+    slots = _slots(g)
+    census = _summed(slots)
+    flows = _local(_flows(census))
+    return _local(sampling.allocated_counts(g, "v_base", flows, slots, ["v_target"], SEED)), flows, census
 
 
 def class_counts(s, d):
@@ -84,7 +106,7 @@ def nonspatial_allocation(s, d):
 
 
 def confusion(s, d):
-    return crosstab.crosstab(_predicted(cells(s, d)), "v_target", "allocated")
+    return crosstab.crosstab(_predicted_counts(cells(s, d))[0], "v_target", "allocated", "n")
 
 
 def accuracy(s, d):
@@ -102,12 +124,9 @@ def row_percent(s, d):
 
 
 def area_projection(s, d):
-    g = cells(s, d)
-    census = _census(g)
-    flows = _local(_flows(census))
-    predicted = crosstab.class_counts(sampling.allocate_random(g, "v_base", flows), "allocated")
+    predicted, flows, census = _predicted_counts(cells(s, d))
     known = {c: crosstab.class_counts(census, c, weight="n") for c in ("v_base", "v_target")}
-    return crosstab.area_projection(predicted, known["v_base"], demand.markov_demand(flows), known["v_target"], KM2)
+    return crosstab.area_projection(crosstab.class_counts(predicted, "allocated", weight="n"), known["v_base"], demand.markov_demand(flows), known["v_target"], KM2)
 
 
 def max_demand_error(s, d):
@@ -164,6 +183,16 @@ def class_balanced_sample(s, d):
     return sampling.class_balanced(cells(s, d), "v_fit", "v_base", PER_CLASS, CHANGED).select("cell_id", "v_base")
 
 
+def sample_report(s, d):
+    """All 81 pairs of classes of the stratified sample, cut to a number of all cells."""
+    g = cells(s, d)
+    return sampling.sample_report(g, sampling.stratified(g, "v_fit", "v_base", CHANGE_CAP, STAY_CAP, total_cap=TOTAL_CAP), "v_fit", "v_base")
+
+
+def capped_sample(s, d):
+    return sampling.stratified(cells(s, d), "v_fit", "v_base", CHANGE_CAP, STAY_CAP, total_cap=TOTAL_CAP).select("cell_id", "v_fit", "v_base")
+
+
 def transition_weights(s, d):
     g = cells(s, d)
     out = sampling.transition_weights(g, sampling.stratified(g, "v_fit", "v_base", CHANGE_CAP, STAY_CAP), "v_fit", "v_base")
@@ -226,19 +255,17 @@ def clipped(s, d):
 
 
 def model_comparison(s, d):
-    g = _predicted(cells(s, d))
-    rows = [crosstab.accuracy(crosstab.crosstab(g, "v_target", c)).select(F.lit(name).alias("model"), "overall_accuracy", "kappa") for name, c in (("persistence", "v_base"), ("markov", "allocated"))]
+    found, _, census = _predicted_counts(cells(s, d))
+    tables_ = {"persistence": crosstab.crosstab(census, "v_target", "v_base", "n"), "markov": crosstab.crosstab(found, "v_target", "allocated", "n")}
+    rows = [crosstab.accuracy(x).select(F.lit(name).alias("model"), "overall_accuracy", "kappa") for name, x in tables_.items()]
     out = crosstab.compare_models(rows[0].unionByName(rows[1]), "persistence")
     return out.select("model", *[F.round(c, 6).alias(c) for c in ("overall_accuracy", "kappa", "delta_oa", "delta_kappa")])
 
 
 def history_union(s, d):
-    g = cells(s, d)
-    census = _census(g)
-    flows = _local(_flows(census))
-    predicted = crosstab.class_counts(sampling.allocate_random(g, "v_base", flows), "allocated")
-    projected = crosstab.area_projection(predicted, crosstab.class_counts(census, "v_base", weight="n"), demand.markov_demand(flows), None, KM2)
-    return crosstab.history(crosstab.class_summary(g, {2015: "v_fit", 2020: "v_base"}), projected, 2030)
+    predicted, flows, census = _predicted_counts(cells(s, d))
+    projected = crosstab.area_projection(crosstab.class_counts(predicted, "allocated", weight="n"), crosstab.class_counts(census, "v_base", weight="n"), demand.markov_demand(flows), None, KM2)
+    return crosstab.history(crosstab.class_summary(census, {2015: "v_fit", 2020: "v_base"}, weight="n"), projected, 2030)
 
 
 def _log(s: SparkSession, rows: list[dict], schema: str) -> DataFrame:
@@ -479,7 +506,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     class_counts, class_summary, transition_counts, transition_probabilities, transition_series, rounded_flows, markov_demand,
     nonspatial_allocation, confusion, accuracy, per_class_accuracy, row_percent, area_projection, max_demand_error, change_maps,
     neighbour_fraction, same_class_support, gradient_slope, percentile_normalised, factor_summary, suitability_maps,
-    distance_to_barren, preview, stratified_sample, class_balanced_sample, transition_weights, score_step,
+    distance_to_barren, preview, stratified_sample, capped_sample, sample_report, class_balanced_sample, transition_weights, score_step,
     score_plain_step, neighbour_all, weighted_metrics, rolling_validation, training_weights, clipped, suitability_simulation, model_comparison,
     history_union, score_forest_step, score_logistic_step, weighted_per_class, positions, transition_table, area_table, per_class_table, largest_changes, classes_first_seen, factor_average, cropped,
     one_vs_rest, forest_simulation, logistic_simulation, ca_markov_simulation, ca_markov_map, suitability_map, pooled_simulation, pooled_map, logistic_coefficients, forest_importance)}
@@ -505,6 +532,7 @@ _CTES = {
     "pe": "SELECT sum(x.n::DOUBLE * y.n) / (SELECT count(*)::DOUBLE * count(*) FROM g WHERE v_target > 0 AND v_base > 0) AS e FROM (SELECT v_target AS k, count(*) AS n FROM g WHERE v_target > 0 AND v_base > 0 GROUP BY 1) x JOIN (SELECT v_base AS k, count(*) AS n FROM g WHERE v_target > 0 AND v_base > 0 GROUP BY 1) y USING (k)",
     "nb": "SELECT a.cell_id, a.v_base, count(*) FILTER (b.v_base BETWEEN 1 AND 9) AS n_valid, count(*) FILTER (b.v_base = 8) AS n8, count(*) FILTER (b.v_base = a.v_base) AS own FROM g a JOIN (VALUES (-2), (-1), (0), (1), (2)) i(dr) ON true JOIN (VALUES (-2), (-1), (0), (1), (2)) j(dc) ON dr <> 0 OR dc <> 0 LEFT JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc GROUP BY 1, 2",
     "st": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY v_fit, v_base ORDER BY {E.draw_sql('cell_id', 42)}, cell_id) AS nth FROM g WHERE v_fit > 0 AND v_base > 0) WHERE nth <= CASE WHEN v_fit = v_base THEN {STAY_CAP} ELSE {CHANGE_CAP} END",
+    "sc": f"SELECT * EXCLUDE (mth) FROM (SELECT *, row_number() OVER (ORDER BY {E.draw_sql('cell_id', 43)}, cell_id) AS mth FROM st) WHERE mth <= {TOTAL_CAP}",
     "sh": "SELECT cell_id, v_base, coalesce(slope, 0.5) AS l, coalesce(road, 0.5) AS rd, coalesce(water, 0.5) AS w, coalesce(night, 0.5) AS nt FROM g",
     "su": "SELECT cell_id, v_base, 0.40 * l + 0.45 * dev + 0.15 * (1 - w) AS s1, 0.70 * dev + 0.30 * (1 - rd) AS s2, 0.5 AS s3, 0.55 * dev + 0.45 * l AS s4, 0.80 * w + 0.20 * l AS s5, 0.5 AS s6, 0.55 * (1 - w) + 0.45 * dev AS s7, 0.35 * rd + 0.45 * nt + 0.20 * l AS s8, 0.75 * w + 0.25 * dev AS s9 FROM (SELECT *, 1 - greatest(nt, 0.7 * rd) AS dev FROM sh)",
 }
@@ -550,6 +578,8 @@ SQL: dict[str, str] = {k: _sql(v) for k, v in {
     "suitability_maps": "SELECT cell_id, " + ", ".join(f"round(CASE WHEN v_base > 0 THEN greatest(0, least(1, s{k}::DOUBLE)) ELSE 0 END, 6) AS suit_{k}" for k in range(1, 10)) + " FROM su",
     "preview": f"SELECT CAST(pr AS BIGINT) AS pr, CAST(pc AS BIGINT) AS pc, cell_id, v_base FROM (SELECT g.*, h, nr, nc, floor(r * nr / h) AS pr, floor(c * nc / {WIDTH}) AS pc FROM g, (SELECT h, greatest(1, floor(h / scale)) AS nr, greatest(1, floor({WIDTH} / scale)) AS nc FROM (SELECT h, greatest(1::DOUBLE, greatest(h, {WIDTH})::DOUBLE / 500) AS scale FROM (SELECT max(r) + 1 AS h FROM g)))) WHERE r = floor((2 * pr + 1) * h / (2 * nr)) AND c = floor((2 * pc + 1) * {WIDTH} / (2 * nc))",
     "stratified_sample": "SELECT cell_id, v_fit, v_base FROM st",
+    "capped_sample": "SELECT cell_id, v_fit, v_base FROM sc",
+    "sample_report": "SELECT from_code, a.class_name AS from_name, to_code, b.class_name AS to_name, CASE WHEN from_code = to_code THEN 'yes' ELSE 'no' END AS is_stay, tc.n AS available_pixels, (SELECT count(*) FROM sc WHERE v_fit = from_code AND v_base = to_code) AS sampled_pixels FROM tc JOIN dim a ON a.class_code = from_code JOIN dim b ON b.class_code = to_code",
     "class_balanced_sample": f"SELECT cell_id, v_base FROM (SELECT cell_id, v_base, row_number() OVER (PARTITION BY v_base ORDER BY {E.draw_sql('cell_id', 42)}, cell_id) AS nth FROM g WHERE v_fit > 0 AND v_base > 0) WHERE nth <= {PER_CLASS} UNION SELECT cell_id, v_base FROM (SELECT cell_id, v_base, row_number() OVER (ORDER BY {E.draw_sql('cell_id', 42)}, cell_id) AS nth FROM g WHERE v_fit > 0 AND v_base > 0 AND v_fit <> v_base) WHERE nth <= {CHANGED}",
     "transition_weights": "SELECT v_fit AS from_code, v_base AS to_code, available, sampled, round(available / sampled, 6) AS weight FROM (SELECT v_fit, v_base, count(*) AS available FROM g WHERE v_fit > 0 AND v_base > 0 GROUP BY ALL) JOIN (SELECT v_fit, v_base, count(*) AS sampled FROM st GROUP BY ALL) USING (v_fit, v_base)",
     "score_step": f"SELECT cell_id, v_base, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY v_base ORDER BY score DESC, cell_id) AS nth FROM (SELECT nb.cell_id, nb.v_base, round((0.9::DOUBLE * CASE WHEN n_valid > 0 THEN n8 / n_valid ELSE 0 END + 0.1::DOUBLE * s8::DOUBLE) / (0.9::DOUBLE + 0.1::DOUBLE) + 0.03::DOUBLE * ({E.draw_sql('nb.cell_id', 42, 1)}), 9) AS score FROM nb JOIN su USING (cell_id) WHERE nb.v_base IN (1, 2))) WHERE nth <= CASE v_base WHEN 1 THEN 200 ELSE 100 END",

@@ -295,3 +295,53 @@ def test_simulated_maps(spark, name):
     counts = rows.predicted.value_counts()
     off = max(abs(counts.get(k, 0) - n) for k, n in goal.items())
     assert off == 0 if name == "forest_simulation" else off < 0.01 * len(rows)
+
+
+def test_allocated_counts_equal_the_map(spark):
+    """Without a pass over the map: slots are whole or read again, classes may have fewer or more cells than their flows."""
+    rng = np.random.default_rng(6)
+    rows = [(i, int(rng.choice([0, 1, 2, 5])), int(rng.integers(0, 4))) for i in range(6000)]
+    cells = spark.createDataFrame(rows, "cell_id long, v int, w int").repartition(3)
+    n = {k: sum(v == k for _, v, _ in rows) for k in (1, 2, 5)}
+    for flows in ([(1, 1, n[1] - 100), (1, 2, 60), (1, 8, 40), (2, 8, n[2])], [(1, 2, 5), (1, 3, 1), (2, 2, n[2] + 50), (5, 1, 1), (5, 4, n[5] - 2), (7, 1, 3)], []):
+        frame = spark.createDataFrame(flows, "from_code int, to_code int, flow long")
+        counts = sampling.drawn_counts(cells, "v", 42, "w")
+        got = {(r.allocated, r.v, r.w): r.n for r in sampling.allocated_counts(cells, "v", frame, counts, ["w"]).collect()}
+        want = {(r.allocated, r.v, r.w): r.n for r in sampling.allocate_random(cells, "v", frame).groupBy("allocated", "v", "w").agg(F.count("*").alias("n")).collect()}
+        assert got == want
+
+
+def test_samples_cut_to_a_total_and_their_report(spark):
+    rows = [(i, 1 + i % 3, 1 + i % 2) for i in range(900)] + [(1000, 0, 1), (1001, 1, 17)]
+    frame = spark.createDataFrame(rows, "cell_id long, a int, b int")
+    draws = {s: {r.cell_id: r.d for r in frame.select("cell_id", E.draw(F.col("cell_id"), s).alias("d")).collect()} for s in (42, 43)}
+    first = [i for a in (1, 2, 3) for b in (1, 2) for i in sorted((i for i, x, y in rows if (x, y) == (a, b)), key=lambda i: (draws[42][i], i))[:90 if a == b else 30]]
+    want = set(sorted(first, key=lambda i: (draws[43][i], i))[:200])
+    sample = sampling.stratified(frame, "a", "b", 30, 90, total_cap=200)
+    assert {r.cell_id for r in sample.collect()} == want
+    report = {(r.from_code, r.to_code): r for r in sampling.sample_report(frame, sample, "a", "b").collect()}
+    assert len(report) == 81 and sum(r.sampled_pixels for r in report.values()) == 200 and report[1, 1].is_stay == "yes" and report[1, 2].is_stay == "no"
+    assert report[1, 1].available_pixels == 150 and report[9, 9].available_pixels == 0 and report[2, 1].from_name == "Forest"
+    assert sampling.stratified(frame, "a", "b", 0, 5).filter("a != b").count() == 0 and sampling.stratified(frame, "a", "b", 0, 5).count() == 10
+
+
+def test_top_cells_by_slot(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, int(rng.integers(1, 4)), float(rng.choice([0.2, 0.2000001, rng.random()]))) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "cell_id long, v int, s double").repartition(4)
+    quotas = spark.createDataFrame([(1, 150), (2, 5000), (4, 3)], "class_code int, take int")
+    got = sampling.top_per_source(frame, "v", "s", quotas)
+    want = {i for k, n in ((1, 150), (2, 5000)) for i, _, _ in sorted((r for r in rows if r[1] == k), key=lambda r: (-r[2], r[0]))[:n]}
+    assert {r.cell_id for r in got.collect()} == want and got.columns == frame.columns
+
+
+def test_split_orders_no_label(spark):
+    """The share of each label by draw, as sorting gives it; a label of one row puts all rows together."""
+    rows = [(i, 1 if i < 600 else 2) for i in range(640)]
+    frame = spark.createDataFrame(rows, "cell_id long, label int").repartition(3)
+    drawn = {r.cell_id: r.d for r in frame.select("cell_id", E.draw(F.col("cell_id"), 42, 1).alias("d")).collect()}
+    for some in (rows, rows[:601]):
+        groups = [[i for i, k in some if k == 1], [i for i, k in some if k == 2]] if len(some) > 601 else [[i for i, _ in some]]
+        train = {i for g in groups for i in sorted(g, key=lambda i: (drawn[i], i))[:round(len(g) * 0.75)]}
+        got = sampling.split(frame.filter(F.col("cell_id") < len(some)), "label").collect()
+        assert {r.cell_id for r in got if not r.validation} == train and len(got) == len(some)
