@@ -111,3 +111,14 @@ def first_known(*columns: str) -> Column:
 
 def hex_colour(red: Column, green: Column, blue: Column) -> Column:
     return F.concat(F.lit("#"), *[F.lower(F.lpad(F.hex(x.cast("long")), 2, "0")) for x in (red, green, blue)])
+
+
+def ramp(value: Column, stops: list[tuple[float, tuple[int, int, int]]]) -> Column:
+    """A colour between the stops (value, colour) around a number; before the first and after the last, theirs; a missing number has none."""
+    def part(i: int) -> Column:
+        out = F.lit(float(stops[-1][1][i]))
+        for (a, low), (b, high) in reversed(list(zip(stops, stops[1:]))):
+            out = F.when(value <= b, low[i] + (high[i] - low[i]) * (value - a) / (b - a)).otherwise(out)
+        return F.round(F.when(value <= stops[0][0], float(stops[0][1][i])).otherwise(out))
+
+    return F.when(value.isNotNull() & ~F.isnan(value), hex_colour(*[part(i) for i in range(3)]))

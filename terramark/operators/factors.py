@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources import scratch
+from ..sources import scratch, tables
 from .focal import BLOCK_ROWS, gradient
 
 
@@ -314,3 +314,31 @@ def clip(cells: DataFrame, ring: list[tuple[float, float]], column: str) -> Data
     rings = cells.sparkSession.createDataFrame([([[float(x), float(y)] for x, y in ring],)], "coords array<array<double>>")
     found = filled(cells, row_spans(ring_edges(rings)), "__in")
     return found.withColumn(column, F.when(F.col("__in"), F.col(column)).otherwise(0)).drop("__in")
+
+
+def vector_closeness(cells: DataFrame, features: DataFrame, decay: float, pixel: float = 30.0, name: str = "closeness") -> DataFrame | None:
+    """(r, c, `name`): closeness to features (feature_id, kind, coords: parts in cell units); None if no cell is burned.
+
+    Polygons are burned by their spans, lines and points by the cells they pass through.
+    """
+    areas, others = features.filter("kind = 'polygon'"), features.filter("kind != 'polygon'")
+    burned = burn_polygons(areas).unionByName(burn_lines(others)).distinct()
+    burned = scratch.written(burned, scratch.folder(cells.sparkSession, "burned"))
+    met = cells.select("r", "c").join(burned.withColumn("__hit", F.lit(True)), ["r", "c"], "left")
+    if met.filter("__hit").isEmpty():
+        return None
+    return distance(met, F.col("__hit"), pixel).select("r", "c", closeness("distance", decay).alias(name))
+
+
+def factor_set(cells: DataFrame, makers: dict[str, Callable[[], DataFrame | None]], folder: str, skip: set[str] | frozenset[str] = frozenset()) -> DataFrame:
+    """`cells` with a column for each factor that isn't skipped and has a source.
+
+    A maker gives (r, c, factor); what it gives is written to the folder once and read from there in
+    later runs.
+    """
+    out = cells
+    for name, make in makers.items():
+        found = tables.cached(cells.sparkSession, f"{folder}/{name}", make, skip=name in skip)
+        if found is not None:
+            out = out.join(found.select("r", "c", name), ["r", "c"], "left")
+    return out.select(*cells.columns, *[c for c in out.columns if c not in cells.columns])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import draw, valid
+from ..sources import scratch
 from ..sources.grid import classes
 from .crosstab import crosstab
 from .delta_grid import best
@@ -29,11 +30,12 @@ def drawn_cut(cells: DataFrame, keys: list[str], cap: F.Column, seed: int, step:
     # A group of at most its cap has no end; a cap of 0 ends before the first row.
     ending = (F.col("__total") > F.col("__cap")) & (F.col("__upto") >= F.col("__cap")) & (before < F.greatest(F.col("__cap"), F.lit(1)))
     ends = seen.groupBy(*keys).agg(F.max(F.when(ending, F.col("__slot"))).alias("__end"), F.max(F.when(ending, F.col("__cap") - before)).alias("__rest"))
+    ends = _small(ends)
     thin = cells.select(*keys, "cell_id", d.alias("__draw"), F.floor(d * slots).alias("__slot"))
     nth = F.row_number().over(own.orderBy("__draw", "cell_id"))
     ranked = thin.join(F.broadcast(ends), [*keys]).filter("__slot = __end").withColumn("__nth", nth)
     last = ranked.filter("__nth = greatest(__rest, 1)").select(*keys, F.when(F.col("__rest") > 0, F.col("__draw")).otherwise(-1.0).alias("__draw"), F.col("cell_id").alias("__last"))
-    return ends.select(*keys).join(last, keys, "left")
+    return ends.select(*keys).join(F.broadcast(_small(last)), keys, "left")
 
 
 def before_cut(seed: int, step: int = 0) -> F.Column:
@@ -116,28 +118,53 @@ def drawn_counts(cells: DataFrame, base: str, seed: int, *others: str) -> DataFr
     return cells.groupBy(slot, base, *others).agg(F.count("*").alias("n"))
 
 
-def cut_ends(cells: DataFrame, base: str, flows: DataFrame, seed: int, counts: DataFrame | None = None) -> DataFrame:
-    """(from_code, to_code, first, last): the draws, with cell_id, that a class's flows lie between.
+def _small(df: DataFrame) -> DataFrame:
+    """A frame of one row for each group as a local relation, so that it is computed once."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def _flow_ends(counts: DataFrame, base: str, flows: DataFrame) -> list[tuple[int, int, int, int, int]]:
+    """(class, to, slot, place in the slot, rows of the slot) of the last cell of each flow, in order.
+
+    From `drawn_counts`, of which the driver sees one number for each class and slot, and from at most 81 flows.
+    """
+    slots: dict[int, list[tuple[int, int]]] = {}
+    for k, slot, n in counts.groupBy(base, "slot").agg(F.sum("n")).collect():
+        slots.setdefault(k, []).append((slot, n))
+    wanted: dict[int, list[tuple[int, int]]] = {}
+    for r in flows.filter("flow > 0").select("from_code", "to_code", "flow").collect():
+        wanted.setdefault(r.from_code, []).append((r.to_code, r.flow))
+    out = []
+    for k in sorted(set(slots) & set(wanted)):
+        here = iter(sorted(slots[k]))
+        slot, n = next(here)
+        upto, high, total = n, 0, sum(m for _, m in slots[k])
+        for to, flow in sorted(wanted[k]):
+            if high >= total:
+                break
+            high = min(total, high + flow)
+            while upto < high:
+                slot, n = next(here)
+                upto += n
+            out.append((k, to, slot, high - upto + n, n))
+    return out
+
+
+def cut_ends(cells: DataFrame, base: str, flows: DataFrame, seed: int, counts: DataFrame | None = None) -> list[tuple[int, int, float, int]]:
+    """(class, to, draw, cell_id) of the last cell of each of a class's flows, in order.
 
     Cells are counted by slot of the draw (`counts`, or one more pass); only in the slots in which a
     flow ends are they ranked, so no task ever sorts a class. At most 81 rows.
     """
+    ends = _flow_ends(drawn_counts(cells, base, seed) if counts is None else counts, base, flows)
+    if not ends:
+        return []
     d = draw(F.col("cell_id"), seed)
-    thin = cells.select(F.col(base).alias("from_code"), F.floor(d * SLOTS).alias("slot"), F.struct(d.alias("draw"), "cell_id").alias("at"))
-    counts = drawn_counts(cells, base, seed) if counts is None else counts
-    seen = counts.groupBy(F.col(base).alias("from_code"), "slot").agg(F.sum("n").alias("n"))
-    own = Window.partitionBy("from_code")
-    seen = seen.withColumn("upto", F.sum("n").over(own.orderBy("slot"))).withColumn("total", F.sum("n").over(own))
-    high = F.sum("flow").over(own.orderBy("to_code"))
-    cuts = flows.filter("flow > 0").withColumn("high", high).select("from_code", "to_code", "high", (F.col("high") - F.col("flow")).alias("low"))
-    end = F.least("high", "total")
-    ending = seen.join(F.broadcast(cuts), "from_code").filter((F.col("low") < F.col("total")) & (end > F.col("upto") - F.col("n")) & (end <= F.col("upto")))
-    ending = ending.groupBy("from_code", "slot").agg(F.collect_list(F.struct((end - F.col("upto") + F.col("n")).alias("nth"), "to_code")).alias("ends"))
-    rank = F.row_number().over(Window.partitionBy("from_code", "slot").orderBy("at"))
-    ranked = thin.join(F.broadcast(ending), ["from_code", "slot"]).withColumn("rank", rank)
-    found = ranked.select("from_code", "rank", F.col("at").alias("last"), F.explode("ends").alias("e")).filter("rank = e.nth")
-    first = F.lag("last").over(own.orderBy("last"))
-    return found.select("from_code", F.col("e.to_code").alias("to_code"), "last", first.alias("first"))
+    asked = cells.sparkSession.createDataFrame([(k, slot, sorted({p for a, _, c, p, _ in ends if (a, c) == (k, slot)})) for k, slot in sorted({(e[0], e[2]) for e in ends})], "k int, slot long, places array<long>")
+    thin = cells.select(F.col(base).alias("k"), F.floor(d * SLOTS).alias("slot"), d.alias("draw"), "cell_id").join(F.broadcast(asked), ["k", "slot"])
+    ranked = thin.withColumn("place", F.row_number().over(Window.partitionBy("k", "slot").orderBy("draw", "cell_id")).cast("long"))
+    at = {(r.k, r.slot, r.place): (r.draw, r.cell_id) for r in ranked.filter(F.array_contains("places", F.col("place"))).select("k", "slot", "place", "draw", "cell_id").collect()}
+    return [(k, to, *at[k, slot, place]) for k, to, slot, place, _ in ends]
 
 
 def allocate_random(cells: DataFrame, base: str, flows: DataFrame, seed: int = 42, counts: DataFrame | None = None) -> DataFrame:
@@ -147,8 +174,8 @@ def allocate_random(cells: DataFrame, base: str, flows: DataFrame, seed: int = 4
     or a join. Cells beyond all flows, or of no class, get 0.
     """
     cuts: dict[int, list] = {}
-    for r in cut_ends(cells, base, flows, seed, counts).select("from_code", "to_code", "last.draw", "last.cell_id").collect():
-        cuts.setdefault(r.from_code, []).append((r.draw, r.cell_id, r.to_code))
+    for k, to, x, cell in cut_ends(cells, base, flows, seed, counts):
+        cuts.setdefault(k, []).append((x, cell, to))
     d, out = F.col("__d"), F.lit(0)
     for k, ends in cuts.items():
         inner = F.lit(0)
@@ -164,26 +191,28 @@ def allocated_counts(cells: DataFrame, base: str, flows: DataFrame, counts: Data
     counts: `drawn_counts` of base and others. Whole slots go to the flow in which they lie; only the
     cells of slots in which a flow ends are read again, and ranked.
     """
-    own = Window.partitionBy(base)
-    by_slot = counts.groupBy(base, "slot").agg(F.sum("n").alias("m")).withColumn("upto", F.sum("m").over(own.orderBy("slot")))
-    cuts = flows.filter("flow > 0").select(F.col("from_code").alias(base), F.col("to_code").alias("allocated"), F.sum("flow").over(Window.partitionBy("from_code").orderBy("to_code")).alias("high"), "flow")
-    cuts = cuts.withColumn("low", F.col("high") - F.col("flow")).drop("flow")
-    met = by_slot.join(F.broadcast(cuts), (by_slot[base] == cuts[base]) & (F.col("upto") - F.col("m") < F.col("high")) & (F.col("upto") > F.col("low")), "left")
-    met = met.select(by_slot[base], "slot", "m", (F.col("upto") - F.col("m")).alias("start"), F.struct("allocated", "low", "high").alias("cut"))
-    met = met.groupBy(base, "slot").agg(F.first("m").alias("m"), F.first("start").alias("start"), F.collect_list("cut").alias("cuts"))
-    # A slot is whole if it has no flow, or lies within one.
-    only = F.col("cuts")[0]
-    whole = (F.size("cuts") == 1) & (only["allocated"].isNull() | ((only["low"] <= F.col("start")) & (only["high"] >= F.col("start") + F.col("m"))))
-    told = counts.join(met.filter(whole).select(base, "slot", only["allocated"].alias("allocated")), [base, "slot"])
-    told = told.select(F.coalesce("allocated", F.lit(0)).alias("allocated"), base, *others, "n")
-    split_slots = met.filter(~whole).select(base, "slot", "start", "cuts")
-    d = draw(F.col("cell_id"), seed)
-    thin = cells.select(base, *others, "cell_id", d.alias("__draw"), F.floor(d * SLOTS).alias("slot"))
-    nth = F.row_number().over(Window.partitionBy(base, "slot").orderBy("__draw", "cell_id")) + F.col("start")
-    ranked = thin.join(F.broadcast(split_slots), [base, "slot"]).withColumn("nth", nth)  # at most one slot for each of 81 flows
-    hit = F.filter("cuts", lambda c: (F.col("nth") > c["low"]) & (F.col("nth") <= c["high"]))
-    cut = ranked.select(F.coalesce(F.get(hit, F.lit(0))["allocated"], F.lit(0)).alias("allocated"), base, *others, F.lit(1).cast("long").alias("n"))
-    return told.unionByName(cut).groupBy("allocated", base, *others).agg(F.sum("n").alias("n"))
+    ends = _flow_ends(counts, base, flows)
+    parts = sorted({(k, slot) for k, _, slot, place, n in ends if place < n})
+    whole = F.lit(0)
+    for k, to, slot, *_ in reversed(ends):
+        whole = F.when((F.col(base) == k) & (F.col("slot") <= slot), to).otherwise(whole)
+    cut = F.lit(False)
+    for k, slot in parts:
+        cut = cut | ((F.col(base) == k) & (F.col("slot") == slot))
+    found = counts.filter(~F.coalesce(cut, F.lit(False))).select(whole.alias("allocated"), base, *others, "n")
+    if parts:
+        told = {(k, slot): [(place, to) for a, to, c, place, _ in ends if (a, c) == (k, slot)] for k, slot in parts}
+        # What is left of a slot goes to the flow that ends in a later one, or to none.
+        later = {(k, slot): next((to for a, to, c, *_ in ends if a == k and c > slot), 0) for k, slot in parts}
+        rows = [(k, slot, told[k, slot], later[k, slot]) for k, slot in parts]
+        asked = cells.sparkSession.createDataFrame(rows, "__k int, __at long, ends array<struct<place:long,to:int>>, later int")
+        d = draw(F.col("cell_id"), seed)
+        thin = cells.select(base, *others, "cell_id", d.alias("__draw"), F.floor(d * SLOTS).alias("slot"))
+        ranked = thin.join(F.broadcast(asked), (F.col(base) == F.col("__k")) & (F.col("slot") == F.col("__at")))
+        ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(base, "slot").orderBy("__draw", "cell_id")))
+        hit = F.get(F.filter("ends", lambda e: F.col("place") <= e["place"]), F.lit(0))["to"]
+        found = found.unionByName(ranked.select(F.coalesce(hit, "later").alias("allocated"), base, *others, F.lit(1).cast("long").alias("n")))
+    return found.groupBy("allocated", base, *others).agg(F.sum("n").alias("n"))
 
 
 def top_per_source(cells: DataFrame, source: str, score: str, quotas: DataFrame) -> DataFrame:
@@ -193,4 +222,6 @@ def top_per_source(cells: DataFrame, source: str, score: str, quotas: DataFrame)
     """
     take = {r.class_code: r["take"] for r in quotas.collect()}
     rated = cells.filter(F.col(source).isin(list(take))).withColumn("__score", F.col(score))
+    # Written once: scores may take windows, and they are read three times.
+    rated = scratch.written(rated, scratch.folder(cells.sparkSession, "scores"))
     return best(rated, F.col(source), take).select(*cells.columns)

@@ -502,6 +502,26 @@ def forest_importance(s, d):
     return s.createDataFrame(models.feature_importance(models.train_forest(rows, names, "label", trees=30, depth=8), names), "rank int, feature string, importance double")
 
 
+def class_accuracy_union(s, d):
+    """Per-class accuracy of the five models against the target epoch, told apart by name."""
+    g = cells(s, d)
+    truth = g.select("cell_id", "v_target")
+    judged = lambda end: crosstab.per_class_accuracy(_local(crosstab.crosstab(end.select("cell_id", "predicted").join(truth, "cell_id"), "v_target", "predicted")))
+    maps = {"CA-Markov": ca_markov_map, "CA-Markov suitability": suitability_map, "Logistic-CA": logistic_simulation, "RF-CA": forest_simulation}
+    reports = {"Markov baseline": crosstab.per_class_accuracy(confusion(s, d))} | {name: judged(f(s, d)) for name, f in maps.items()}
+    return report.tagged(reports).select("model", "class_code", "class_name", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1_score")])
+
+
+def out_of_bag_accuracy(s, d):
+    """The stratified sample judged by the trees that have not seen a row, plain and by the weights of pairs."""
+    rows = _model_sample(s, d)
+    weights = sampling.transition_weights(_drivers(s, d).filter(_known()), rows, "v_fit", "v_base")
+    sample, names = models.forest_features(sampling.with_weights(rows, weights, "v_fit", "v_base"), "v_fit")
+    sample = scratch.written(sample.select("cell_id", "label", "weight", "train_weight", *names), scratch.folder(s, "sample"))
+    voted = models.out_of_bag(sample, models.train_bagged(sample, names, "label", 10, 8, "train_weight"), "label")
+    return report.metrics_table(voted.filter("votes > 0"), "out_of_bag", "label", "predicted", "weight")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     class_counts, class_summary, transition_counts, transition_probabilities, transition_series, rounded_flows, markov_demand,
     nonspatial_allocation, confusion, accuracy, per_class_accuracy, row_percent, area_projection, max_demand_error, change_maps,
@@ -509,7 +529,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     distance_to_barren, preview, stratified_sample, capped_sample, sample_report, class_balanced_sample, transition_weights, score_step,
     score_plain_step, neighbour_all, weighted_metrics, rolling_validation, training_weights, clipped, suitability_simulation, model_comparison,
     history_union, score_forest_step, score_logistic_step, weighted_per_class, positions, transition_table, area_table, per_class_table, largest_changes, classes_first_seen, factor_average, cropped,
-    one_vs_rest, forest_simulation, logistic_simulation, ca_markov_simulation, ca_markov_map, suitability_map, pooled_simulation, pooled_map, logistic_coefficients, forest_importance)}
+    one_vs_rest, forest_simulation, logistic_simulation, ca_markov_simulation, ca_markov_map, suitability_map, pooled_simulation, pooled_map, logistic_coefficients, forest_importance, class_accuracy_union, out_of_bag_accuracy)}
 
 _CTES = {
     "g": GRID_SQL,

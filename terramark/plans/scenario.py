@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 
@@ -63,3 +64,16 @@ def windows(years: list[int]) -> list[tuple[int, int, int]]:
     """The rolling (fit, base, target) epochs of validation."""
     ordered = sorted(years)
     return list(zip(ordered, ordered[1:], ordered[2:]))
+
+
+def run_log(name: str, path: str) -> logging.Logger:
+    """A logger whose messages go to the console and, one a line with the time, to the end of a file of the driver."""
+    log = logging.getLogger(f"terramark.{name}")
+    log.setLevel(logging.INFO)
+    for old in list(log.handlers):
+        log.removeHandler(old)
+        old.close()
+    for handler in (logging.StreamHandler(), logging.FileHandler(path, encoding="utf-8")):
+        handler.setFormatter(logging.Formatter("%(asctime)s %(message)s", "%Y-%m-%d %H:%M:%S"))
+        log.addHandler(handler)
+    return log

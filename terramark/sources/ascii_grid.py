@@ -280,6 +280,23 @@ def write_ascii(cells: DataFrame, column: str, profile: Profile, path: str, bloc
     rows.write.format("asciigrid").mode("overwrite" if overwrite else "append").options(path=path, block_rows=block_rows, header=json.dumps(head.__dict__)).save()
 
 
+def unzipped(path: str, cache: str) -> str:
+    """The path of a .gz file's content in a cache folder, where it is put once; other files are used as they are."""
+    if not path.endswith(".gz"):
+        return path
+    at, name = store(path)
+    to, folder = store(cache)
+    target = f"{folder}/{name.rsplit('/', 1)[-1][:-3]}"
+    if to.get_file_info(target).type != fs.FileType.File:
+        to.create_dir(folder, recursive=True)
+        own = f"{folder}/_{uuid.uuid4().hex}"
+        with at.open_input_stream(name, compression="gzip") as f, to.open_output_stream(own) as out:
+            while data := f.read(1 << 20):
+                out.write(data)
+        to.move(own, target)
+    return f"{cache.rstrip('/')}/{target.rsplit('/', 1)[-1]}"
+
+
 def index_rows(spark: SparkSession, path: str, range_bytes: int = 64 << 20) -> list[list[int]]:
     """The index of a file: for each range of bytes, where its first whole line starts and which row that is.
 

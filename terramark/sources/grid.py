@@ -79,15 +79,15 @@ def _target_class(k: int, band: int) -> int:
     return 8 if band < 4 and k in (1, 4, 7) else 1 if 4 <= band < 6 and k in (2, 5) else 5 if band == 6 and k == 1 else k
 
 
-def _pick(digits: str, at: F.Column) -> F.Column:
-    """The digit at a position from 0: a lookup that is one literal in the plan."""
-    return F.substr(F.lit(digits), (at + 1).cast("int"), F.lit(1)).cast("int")
+def _pick(codes: list[int], at: F.Column) -> F.Column:
+    """The code at a position from 0: a lookup in an array that is one literal in the plan."""
+    return F.get(F.array(*[F.lit(k) for k in codes]), at.cast("int"))
 
 
 def _step(rule, before: str, draw: F.Column) -> F.Column:
     """The class that follows a class, by class and tens of a draw; from 90 on nothing changes."""
-    digits = "".join(str(rule(k, band)) for k in range(10) for band in range(10))
-    return _pick(digits, F.col(before) * 10 + F.least((draw - draw % 10) / 10, F.lit(9.0)))
+    codes = [rule(k, band) for k in range(10) for band in range(10)]
+    return _pick(codes, F.col(before) * 10 + F.least((draw - draw % 10) / 10, F.lit(9.0)))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Orders of fewer partitions than cores are dealt out by row before they become cells; windows
     along rows need no further shuffle then. Larger ones are used as they are read. Classes are
-    looked up in strings of digits, so that filters pushed below the projections stay small code.
+    looked up in literal arrays, so that filters pushed below the projections stay small code.
     """
     orders, cores = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("r"), F.col("o_custkey").alias("k")), spark.sparkContext.defaultParallelism
     if orders.rdd.getNumPartitions() < cores:
@@ -104,7 +104,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = lambda x: (x % 101) / F.lit(100.0)
     found = orders.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WIDTH - 1).cast("long"))))
     s = ((r - r % 6) / 6 * 131 + (c - c % 6) / 6 * 17).cast("long") % 100
-    found = found.withColumn("v_fit", _pick("".join(str(_fit_class(x)) for x in range(100)), s))
+    found = found.withColumn("v_fit", _pick([_fit_class(x) for x in range(100)], s))
     found = found.withColumn("v_base", _step(_base_class, "v_fit", (r * 7919 + c * 104729 + k * 31) % 1000))
     found = found.withColumn("v_target", _step(_target_class, "v_base", (r * 15485863 + c * 32452843 + k * 17 + 7) % 1000))
     return found.select(
