@@ -131,3 +131,27 @@ def test_unzipped_once_and_log(tmp_path):
         run_log("test", f"{tmp_path}/log").info("message %d", k)
     with open(f"{tmp_path}/log") as f:
         assert [x.strip().split(" ", 2)[2] for x in f] == ["message 0", "message 1"]
+
+
+def test_five_models_in_one_frame(spark, monkeypatch):
+    """Each model's frame equals the report of its own map; here the maps are made by rules, so that the test is short."""
+    for k, name in enumerate(("ca_markov_map", "suitability_map", "logistic_simulation", "forest_simulation")):
+        monkeypatch.setattr(catalog, name, lambda s, d, k=k: catalog.cells(s, d).select("cell_id", F.when(F.col("cell_id") % 5 == k, 1).otherwise(F.col("v_base")).alias("predicted")))
+    got = catalog.class_accuracy_union(spark, DATA).collect()
+    by_model = {m: {r.class_code: r for r in got if r.model == m} for m in {r.model for r in got}}
+    assert sorted(by_model) == ["CA-Markov", "CA-Markov suitability", "Logistic-CA", "Markov baseline", "RF-CA"] and all(len(x) == 9 for x in by_model.values())
+    want = {r.class_code: (r.user_accuracy, r.producer_accuracy, r.f1_score) for r in catalog.per_class_accuracy(spark, DATA).collect()}
+    assert {k: (r.precision, r.recall, r.f1_score) for k, r in by_model["Markov baseline"].items()} == want
+    g = catalog.cells(spark, DATA).select("cell_id", "v_base", "v_target").toPandas()
+    for n, model in enumerate(("CA-Markov", "CA-Markov suitability", "Logistic-CA", "RF-CA")):
+        p = g.v_base.where(g.cell_id % 5 != n, 1)
+        both = g.v_target.between(1, 9) & p.between(1, 9)
+        for k, r in by_model[model].items():
+            hit = ((g.v_target == k) & (p == k) & both).sum()
+            for value, of in ((r.precision, ((p == k) & both).sum()), (r.recall, ((g.v_target == k) & both).sum())):
+                assert abs(value - (hit / of if of else 0.0)) < 1e-6
+
+
+def test_out_of_bag_query(spark):
+    r = catalog.out_of_bag_accuracy(spark, DATA).first()
+    assert r.split == "out_of_bag" and 0.5 < float(r.overall_accuracy) < 1 and r.sample_count > 5000 and float(r.weighted_pixel_count) >= r.sample_count
