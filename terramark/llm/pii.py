@@ -6,24 +6,27 @@ fail their test are dropped without a second try. The patterns are written so th
 characters is entered once (possessive, started at its first character): long texts take linear
 time and no stack.
 
-The method adds spans of kind `term`. The values of base spans are the protected entities. From
-counts over all documents, a term's disclosure of an entity is the information that it gives
-about it as a share of the information of the entity itself: log(p(entity | term) / p(entity)) /
--log p(entity), which is 1 if the term never occurs without it. A term that occurs with an entity
-in at least `min_support` documents and discloses at least `disclosure` of it is a quasi
-identifier; in documents that hold the entity it becomes a span. `sanitised` generalises a term
-that is known with several entities to the name of its kind, and removes one that gives away a
-single entity.
-
-The search cuts exactly. Disclosure of at least t is the same as n_term <= n_both * (n_docs /
-n_entity) ** (1 - t), and a term's count within the documents that hold entities is a lower bound
-of n_term: pairs that fail already with it never reach the scan of all documents. Entities of the
-same documents have the same counts with every term, so they are one class, and a list of thousands
-of addresses that is copied isn't paired with its words address by address.
+The method adds spans of kind `term`. The values of base spans are the protected entities; all
+counts are of distinct texts, so copies of a text are no evidence. A term occurs with an entity where
+it lies wholly within CONTEXT code points of one of the entity's spans. Its disclosure is the
+information that it gives about the entity as a share of the entity's own:
+log(p(entity | term) / p(entity)) / -log p(entity). Most entities stand in one text, where the plain
+estimate n_both / n_term is 1 for every word that is rare; so p(entity | term) is estimated from
+below, as if the term had been seen `prior` more times without the entity. A term that occurs with
+an entity in at least `min_support` texts and discloses at least `disclosure` of it is a quasi
+identifier; it becomes a span wherever it stands in texts that hold the entity. `sanitised`
+generalises a term that discloses several entities of its text to the name of its kind, and removes
+one that gives away a single entity.
+
+The search cuts exactly. Disclosure of at least t is the same as
+n_term + prior <= n_both * (n_texts / n_entity) ** (1 - t), and a term's count within contexts is a lower
+bound of n_term: pairs that fail already with it never reach the scan of all documents. That scan
+sorts out other terms by a bitmap of BITS hashed bits before its shuffle; the join of the counts with
+the terms is exact. A list of thousands of addresses pairs each with the words around it alone.
 
 Defined cases: a null text counts as empty; documents without spans return empty strings and the
 digest of the empty string; rows with a null id have base spans alone, but count among a term's
-documents; rows that repeat an id are documents of their own; very long texts are searched whole;
+texts; rows that repeat an id are documents of their own; very long texts are searched whole;
 extra columns are ignored, whatever their names; an empty table gives none.
 """
 
@@ -43,12 +46,15 @@ PATTERNS = {
 }
 #: Only texts with such a place are searched at all.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
-MIN_SUPPORT, DISCLOSURE, TERM_LENGTH = 3, 0.8, (6, 40)
-#: Terms are broadcast up to this number of bytes; beyond it they are joined.
-BROADCAST_BYTES = 8 << 20
+MIN_SUPPORT, DISCLOSURE, PRIOR, CONTEXT = 1, 0.8, 2, 64
+#: Bits of the bitmap of terms: 2**21 rows of 64 bits at most are broadcast, whatever the input.
+BITS = 1 << 27
+#: Code points of the blocks in which pieces of a text are found.
+BLOCK = 256
+SALTS = 8
 TERM_SPLIT = r"[\x20\x09-\x0D]+"
 TERM = r"^\p{L}[\p{L}\p{M}'-]*$"
-#: Without bounds of length, words of letters and digits.
+#: Without bounds of length (the default), words of letters and digits.
 ANY_TERM = r"^[\p{L}\p{N}][\p{L}\p{M}\p{N}'-]*$"
 Bounds = tuple[int, int] | None
 
@@ -110,7 +116,7 @@ def _edges(bounds: Bounds) -> tuple[str, str]:
     return (r"\p{L}", r"\P{L}") if bounds else (r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]")
 
 
-def _terms(text: Column, bounds: Bounds = TERM_LENGTH) -> Column:
+def _terms(text: Column, bounds: Bounds = None) -> Column:
     around = _edges(bounds)[1]
     words = F.transform(F.split(text, TERM_SPLIT), lambda w: F.lower(F.regexp_replace(w, f"^{around}++|{around}++$", "")))
     if bounds is None:
@@ -118,60 +124,73 @@ def _terms(text: Column, bounds: Bounds = TERM_LENGTH) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w).between(*bounds) & w.rlike(TERM)))
 
 
-def _bounded(df: DataFrame, column: str) -> DataFrame:
-    """`df` broadcast if its `column` is small enough, else as it is."""
-    small = (df.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
-    return F.broadcast(df) if small else df
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
 
 
-def entity_classes(held: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(__row, entity, n_entity, n_same): the recurring entities of each document.
+def _piece(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end of a text in blocks: found among a few, not counted from its start."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.array_join(F.slice(blocks, first + 1, F.floor((F.greatest(end, start + 1) - 1) / BLOCK).cast("int") - first + 1), "")
+    return F.substring(some, start % BLOCK + 1, end - start)
+
+
+def contexts(text: Column, base: Column, bounds: Bounds = None, width: int = CONTEXT) -> Column:
+    """array<struct<entity, terms>>: the terms wholly within `width` code points of each span."""
+    def around(blocks: Column, s: Column) -> Column:
+        left = _piece(blocks, F.greatest(s["start"] - (width + 1), F.lit(0)), s["start"])
+        right = _piece(blocks, s["end"], s["end"] + (width + 1))
+        # A word that reaches beyond the width shows by its character there, and goes.
+        left = F.when(s["start"] > width, F.regexp_replace(left, r"^[^\x20\x09-\x0D]++", "")).otherwise(left)
+        right = F.when(F.length(right) > width, F.regexp_replace(right, r"[^\x20\x09-\x0D]++$", "")).otherwise(right)
+        return F.struct(s["value"].alias("entity"), _terms(F.concat_ws(" ", left, right), bounds).alias("terms"))
+
+    # The blocks are an element, so that they are made once and not for each span.
+    return F.transform(F.array(_blocks(text)), lambda blocks: F.transform(base, lambda s: around(blocks, s)))[0]
 
-    Entities of the same documents (their number and 128 bits of their keys' hashes agree) are one
-    row, named by the smallest of them; n_same says how many they are.
-    """
-    owned = held.select("__row", F.explode("base").alias("s")).select("__row", F.col("s.value").alias("entity")).distinct()
-    known = owned.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("__row")).alias("x"), F.bit_xor(F.xxhash64("__row", F.lit(1))).alias("y"))
-    classes = written(known.filter(F.col("n_entity") >= min_support).groupBy("n_entity", "x", "y")
-                      .agg(F.min("entity").alias("entity"), F.count("*").alias("n_same")).drop("x", "y"), "classes")
-    return owned.join(_bounded(classes, "entity"), "entity")
 
+def _hashed(df: DataFrame) -> DataFrame:
+    """`df` with its term's place in the bitmap: `word` and `bit`."""
+    place = F.pmod(F.xxhash64("term"), F.lit(BITS))
+    return df.withColumn("word", F.shiftright(place, 6)).withColumn("bit", (place % 64).cast("int"))
 
-def disclosing_terms(docs: DataFrame, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE, bounds: Bounds = TERM_LENGTH) -> DataFrame:
-    """(__row, term, n): the quasi identifiers of each document and of how many of its entities.
 
-    docs: __row, doc_id, text and base (the spans) of all documents.
+def disclosing_terms(docs: DataFrame, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE, bounds: Bounds = None, prior: float = PRIOR) -> DataFrame:
+    """(sha, term, n): the quasi identifiers of each text and of how many of its entities.
+
+    docs: doc_id, text, base (the spans) and sha (the text's digest) of all documents.
     """
-    n_docs = docs.count()
+    n_texts = docs.select("sha").distinct().count()
     held = docs.filter((F.size("base") > 0) & F.col("doc_id").isNotNull())
-    owners = written(entity_classes(held, min_support), "owners")
-    most = lambda n_both: n_both * F.pow(float(n_docs) / F.col("n_entity"), 1.0 - disclosure) * (1 + 1e-9)
-    limit = owners.agg(F.max(most(F.col("n_entity")))).first()[0] or 0.0
-    terms = held.join(owners.select("__row").distinct(), "__row", "left_semi").select("__row", F.explode(_terms(F.col("text"), bounds)).alias("term"))
-    rare = written(terms.groupBy("term").agg(F.count("*").alias("n_held")).filter(F.col("n_held").between(min_support, limit)), "rare")
-    own = written(terms.join(_bounded(rare, "term"), "term"), "own")
-    pairs = own.join(owners, "__row").filter(F.col("n_held") <= most(F.col("n_entity"))).groupBy("entity", "term").agg(
-        F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_held").alias("n_held"))
-    pairs = written(pairs.filter((F.col("n_both") >= min_support) & (F.col("n_held") <= most(F.col("n_both")))), "pairs")
-    wanted = written(pairs.select("term").distinct(), "terms")
-    every = docs.select(F.explode(_terms(F.col("text"), bounds)).alias("term"))
-    small = _bounded(wanted, "term")
-    if small is not wanted:  # few enough to sort out all other terms before the shuffle
-        every = every.join(small, "term", "left_semi")
-    counts = every.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
-    information = F.log(F.col("n_both") * float(n_docs) / (F.col("n_term") * F.col("n_entity")))
-    share = information / F.greatest(-F.log(F.col("n_entity") / float(n_docs)), F.lit(1e-12))
-    quasi = written(pairs.join(counts, "term").filter((share >= disclosure) & (F.col("n_entity") < n_docs)).select("entity", "term"), "quasi")
-    return own.join(owners, "__row").join(quasi, ["entity", "term"]).groupBy("__row", "term").agg(F.sum("n_same").alias("n"))
+    near = held.select("sha", F.explode(contexts(F.col("text"), F.col("base"), bounds)).alias("c"))
+    seen = written(near.select("sha", "c.entity", F.explode("c.terms").alias("term")).distinct(), "seen")
+    owned = written(held.select("sha", F.explode("base.value").alias("entity")).distinct(), "owned")
+    entities = owned.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") < n_texts)
+    around = seen.select("sha", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    most = F.col("n_both") * F.pow(float(n_texts) / F.col("n_entity"), 1.0 - disclosure) * (1 + 1e-9)
+    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support)
+    pairs = written(pairs.join(entities, "entity").join(around, "term").filter(F.col("n_near") + prior <= most), "pairs")
+    bitmap = written(_hashed(pairs.select("term").distinct()).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")), "bitmap")
+    every = _hashed(docs.select("sha", F.explode(_terms(F.col("text"), bounds)).alias("term"))).join(F.broadcast(bitmap), "word")
+    hits = written(every.filter("shiftrightunsigned(bits, bit) & 1 = 1").select("sha", "term").distinct(), "hits")
+    counts = hits.groupBy("term").agg(F.count("*").alias("n_term"))
+    quasi = written(pairs.join(counts, "term").filter(F.col("n_term") + prior <= most).select("entity", "term"), "quasi")
+    return hits.join(quasi, "term").join(owned, ["sha", "entity"]).groupBy("sha", "term").agg(F.count("*").alias("n"))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT,
-             disclosure: float = DISCLOSURE, bounds: Bounds = TERM_LENGTH) -> DataFrame:
+             disclosure: float = DISCLOSURE, bounds: Bounds = None, prior: float = PRIOR) -> DataFrame:
     """One row per document: doc_id, text, base and terms (arrays of spans; a term's `value` is the
-    action, `remove` or `generalise`). With bounds None no length is a bound, and terms may hold digits."""
-    found = written(base_spans(id_text(docs, id_col, text_col)).withColumn("__row", F.monotonically_increasing_id()), "spans")
-    own = disclosing_terms(found, min_support, disclosure, bounds).groupBy("__row").agg(
+    action, `remove` or `generalise`). `bounds` are the least and greatest length of a term of letters;
+    without them terms have any length and may hold digits."""
+    keys = {"__row": F.monotonically_increasing_id(), "sha": F.unhex(F.sha2("text", 256))}
+    found = written(base_spans(id_text(docs, id_col, text_col)).withColumns(keys), "spans")
+    own = disclosing_terms(found, min_support, disclosure, bounds, prior).groupBy("sha").agg(
         F.collect_list(F.struct("term", F.when(F.col("n") > 1, "generalise").otherwise("remove").alias("action"))).alias("own"))
+    # Copies of one text may be a third of all rows, so its terms go to SALTS tasks.
+    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = found.filter((F.size("base") > 0) & F.col("doc_id").isNotNull()).select("__row", "sha", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int").alias("salt"))
+    own = rows.join(own, ["sha", "salt"]).select("__row", "own")
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)")
     owning = written(found.filter(F.size("base") > 0).join(own, "__row", "left").withColumn("own", F.map_from_entries("own")), "owning")
     spans = owning.withColumn("terms", F.when(F.col("own").isNull(), none).otherwise(term_spans(F.col("text"), F.col("own"), bounds)))
@@ -199,7 +218,7 @@ def apart(base: str, terms: str) -> Column:
     return F.reverse(back)
 
 
-def term_spans(text: Column, actions: Column, bounds: Bounds = TERM_LENGTH) -> Column:
+def term_spans(text: Column, actions: Column, bounds: Bounds = None) -> Column:
     """Spans of the words whose stripped, lower-cased form is a key of `actions`, a column of its own
     (an expression would be built again for each word)."""
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)")
@@ -225,12 +244,8 @@ def kind_name(value: Column) -> Column:
             .when(value.rlike(r"^\p{Lu}"), "[name]").otherwise("[word]"))
 
 
-def with_clean_text(found: DataFrame, block: int = 256) -> DataFrame:
-    """find_pii's rows with `clean`: base spans as [kind], terms generalised or removed.
-
-    A text is taken apart into blocks of code points once: a piece is then found among a few
-    blocks, not by counting from the start of the text.
-    """
+def with_clean_text(found: DataFrame) -> DataFrame:
+    """find_pii's rows with `clean`: base spans as [kind], terms generalised or removed."""
     every = F.array_sort(F.concat(
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), s["kind"], F.lit("]")).alias("put"))),
         F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["value"] == "remove", "").alias("put")))))
@@ -238,15 +253,13 @@ def with_clean_text(found: DataFrame, block: int = 256) -> DataFrame:
     ends = F.aggregate("__every", F.expr("cast(array(0) as array<int>)"), lambda acc, s: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), s["end"]))))
 
     def piece(start: Column, end: Column) -> Column:
-        first = F.floor(start / block).cast("int")
-        some = F.array_join(F.slice("__blocks", first + 1, F.floor((F.greatest(end, start + 1) - 1) / block).cast("int") - first + 1), "")
-        return F.substring(some, start % block + 1, end - start)
+        return _piece(F.col("__blocks"), start, end)
 
     def put(s: Column, i: Column) -> Column:
         at = F.get("__ends", i)
         return F.when(s["start"] >= at, F.concat(piece(at, s["start"]), F.coalesce(s["put"], kind_name(piece(s["start"], s["end"]))))).otherwise("")
 
-    rows = found.withColumn("__every", every).withColumn("__blocks", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))
+    rows = found.withColumn("__every", every).withColumn("__blocks", _blocks(F.col("text")))
     rows = rows.withColumn("__ends", ends)
     rest = F.substring(F.col("text"), F.element_at("__ends", -1) + 1, F.length("text"))
     clean = F.concat(F.array_join(F.transform("__every", put), ""), rest)

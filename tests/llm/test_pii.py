@@ -28,10 +28,45 @@ def spans(text):
     return [(k, m.start(), m.end(), m[0]) for k, p in KINDS.items() for m in re.finditer(p, text or "") if passes(k, m[0])]
 
 
-def words(text):
-    for m in re.finditer(r"[^\x20\x09-\x0D]+", text or ""):
-        w = re.sub(r"^[^\W\d_]*?(?=[^\W\d_])", "", m[0])
-        yield m.start(), m[0]
+def terms_of(text):
+    """Stripped, lower-cased words that begin with a letter or digit and hold nothing but these, ' and -."""
+    out = set()
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text):
+        w = re.sub(r"^[\W_]+|[\W_]+$", "", w).lower()
+        if re.fullmatch(r"[^\W_](?:[^\W_]|['-])*", w):
+            out.add(w)
+    return out
+
+
+def context(text, start, end, width=64):
+    """The words wholly within `width` code points of a span: no word is taken that begins or ends beyond."""
+    parts = []
+    for lo, hi in ((max(0, start - width), start), (end, min(len(text), end + width))):
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", text[lo:hi]):
+            cut_left = lo < start and lo > 0 and m.start() == 0 and hi == start and not text[lo - 1].isspace()
+            cut_right = lo == end and lo + m.end() == hi < len(text) and not text[hi].isspace()
+            if not cut_left and not cut_right:
+                parts.append(m[0])
+    return terms_of(" ".join(parts))
+
+
+def brute_force(docs, prior=2, least=0.8):
+    """{(doc_id, term)} of (doc_id, text): quasi identifiers, by counts over distinct texts."""
+    texts = {(t or "") for _, t in docs}
+    held = {(t or ""): spans(t) for i, t in docs if i is not None and spans(t)}
+    having, n = Counter(w for t in texts for w in terms_of(t)), len(texts)
+    owners, both = defaultdict(set), defaultdict(set)
+    for t, found in held.items():
+        for _, a, b, v in found:
+            owners[v].add(t)
+            for w in context(t, a, b):
+                both[v, w].add(t)
+    want = set()
+    for (v, w), where in both.items():
+        n_e = len(owners[v])
+        if n_e < n and math.log(len(where) / (having[w] + prior) * n / n_e) / math.log(n / n_e) >= least - 1e-12:
+            want |= {(i, w) for i, t in docs if i is not None and (t or "") in owners[v] and w in terms_of(t)}
+    return want
 
 
 TEXTS = [
@@ -68,29 +103,47 @@ def test_terms_match_brute_force(spark):
     fill = "common ordinary sentences without anything special whatever"
     texts = [f"{fill} contact ann@x.org about Zeppelinfabrik, please {i}" for i in range(4)]
     texts += [f"{fill} bob@y.org builds submarines {i}" for i in range(4)] + [f"{fill} submarines everywhere {i}" for i in range(9)]
-    texts += [fill] * 30 + [None, ""]
-    docs = list(enumerate(texts))
-    frame = spark.createDataFrame([(i, t, "z") for i, t in docs] + [(None, "ann@x.org zeppelinfabrik", "z")], SCHEMA)
-    terms, entities = {}, defaultdict(set)
-    for i, t in [*docs, (None, "ann@x.org zeppelinfabrik")]:
-        terms[i] = {w.strip(",.").lower() for w in (t or "").split() if 6 <= len(w.strip(",.")) <= 40 and w.strip(",.").isalpha()}
-        for _, _, _, v in spans(t) if i is not None else ():
-            entities[v].add(i)
-    n, want = len(texts) + 1, set()
-    for e, held in entities.items():
-        for w in set.union(*(terms[i] for i in held)):
-            both, own = sum(w in terms[i] for i in held), sum(w in x for x in terms.values())
-            if len(held) >= 3 and both >= 3 and math.log(both * n / (own * len(held))) / -math.log(len(held) / n) >= pii.DISCLOSURE:
-                want |= {(i, w) for i in held if w in terms[i]}
-    found = pii.find_pii(frame)
+    texts += [f"{fill} about {i}" for i in range(400)] + [None, "", ""]
+    texts += ["Quirinus wrote to cat@z.org once"] * 3 + [f"far away Xanthippe {'word ' * 20}dog@z.org {'word ' * 20}Yggdrasil"]
+    docs = list(enumerate(texts)) + [(None, "ann@x.org zeppelinfabrik")]
+    want = brute_force(docs)
+    found = pii.find_pii(spark.createDataFrame([(i, t, "z") for i, t in docs], SCHEMA))
     got = {(r.doc_id, r.text[s.start:s.end].lower()) for r in found.collect() for s in r.terms}
-    assert got == want and (0, "zeppelinfabrik") in want and (4, "submarines") not in want
+    assert got == want and (0, "zeppelinfabrik") in want and (4, "builds") in want and (4, "submarines") not in want
+    one = texts.index("Quirinus wrote to cat@z.org once")
+    assert {(one, "quirinus"), (one + 2, "quirinus")} <= want and not any(w in ("xanthippe", "yggdrasil") for _, w in want)
     clean = {r.doc_id: r.clean for r in pii.sanitised(found).collect()}
-    assert clean[1] == f"{fill}  [email] about ,  1" and clean[20] == fill
+    assert clean[1] == f"{fill}  [email] about ,  1" and clean[20] == texts[20]
+
+
+def test_terms_of_documents_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = pii.find_pii(docs)
+    got = {(r.doc_id, r.text[s.start:s.end].lower()) for r in found.collect() for s in r.terms}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    # A term that overlaps a base span gives no span of its own.
+    base = {i: [(a, b) for _, a, b, _ in spans(t)] for i, t in rows}
+    free = {(i, w) for i, w in brute_force(rows) for t in [dict(rows)[i]] for m in re.finditer(r"[^\x20\x09-\x0D]+", t)
+            if terms_of(m[0]) == {w} and not any(m.start() < b and a < m.end() for a, b in base[i])}
+    assert got == free and got
+
+
+def test_planted_identifiers(spark):
+    """Names beside addresses, each in one or two texts, among words that occur everywhere."""
+    common = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    some = lambda seed, n: " ".join(common[(seed * 7919 + k * k * 31) % 200] for k in range(n))
+    texts, planted = [some(i, 60) for i in range(1500)], set()
+    for i in range(100):
+        for j in range(1 + i % 2):
+            planted.add((len(texts), f"surname{i}x"))
+            texts.append(f"{some(i + j, 20)} Surname{i}x, user{i}@mail.org {some(2 * i + j, 20)}")
+    found = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {(r.doc_id, r.text[s.start:s.end].lower()) for r in found.collect() for s in r.terms}
+    assert len(got & planted) / len(planted) >= 0.95 and len(got & planted) / len(got) >= 0.95
 
 
 def test_terms_of_several_entities_are_generalised(spark):
-    texts = [f"ann@x.org +49 30 1234567 Zeppelin k4711 note {i}" for i in range(3)] + ["note of nothing else"] * 60
+    texts = [f"ann@x.org +49 30 1234567 Zeppelin k4711 note {i}" for i in range(3)] + [f"note of nothing else {i}" for i in range(60)]
     found = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bounds=None)
     clean = {r.doc_id: r.clean for r in pii.sanitised(found).collect()}
     assert clean[0] == "[email] [phone] [name] [code] note 0" and clean[9] == texts[9]
@@ -103,7 +156,7 @@ def test_a_list_of_thousands_of_entities(spark):
     """A list in three copies: all its words are quasi identifiers of all its entities."""
     n = 1500
     entry = " ".join(f"name{i} user{i}@list.org" for i in range(n))
-    texts = [f"{entry} {i}" for i in range(3)] + ["plain words"] * 40
+    texts = [f"{entry} {i}" for i in range(3)] + [f"plain words {i}" for i in range(40)]
     rows = {r.doc_id: r for r in pii.digest(pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bounds=None)).collect()}
     assert len(rows) == 43
     assert all((rows[i].n_email, rows[i].terms_generalised) == (n, n) for i in range(3)) and rows[5].spans == ""
