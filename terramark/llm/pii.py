@@ -19,8 +19,9 @@ generalises a term that discloses several entities of its text to the name of it
 one that gives away a single entity.
 
 The search cuts exactly. Disclosure of at least t is the same as
-n_term + prior <= n_both * (n_texts / n_entity) ** (1 - t), and a term's count within contexts is a lower
-bound of n_term: pairs that fail already with it never reach the scan of all documents. That scan
+n_term + prior <= n_both * (n_texts / n_entity) ** (1 - t), and a term's count within the texts that hold
+entities is a lower bound of n_term: pairs that fail already with it never reach the scan of all
+documents. That scan
 sorts out other terms by a bitmap of BITS hashed bits before its shuffle; the join of the counts with
 the terms is exact. A list of thousands of addresses pairs each with the words around it alone.
 
@@ -156,26 +157,27 @@ def _hashed(df: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE, bounds: Bounds = None, prior: float = PRIOR) -> DataFrame:
-    """(sha, term, n): the quasi identifiers of each text and of how many of its entities.
+    """(key, term, n): the quasi identifiers of each text and of how many of its entities.
 
-    docs: doc_id, text, base (the spans) and sha (the text's digest) of all documents.
+    docs: doc_id, text, base (the spans) and key (the text's digest) of all documents.
     """
-    n_texts = docs.select("sha").distinct().count()
+    n_texts = docs.select("key").distinct().count()
     held = docs.filter((F.size("base") > 0) & F.col("doc_id").isNotNull())
-    near = held.select("sha", F.explode(contexts(F.col("text"), F.col("base"), bounds)).alias("c"))
-    seen = written(near.select("sha", "c.entity", F.explode("c.terms").alias("term")).distinct(), "seen")
-    owned = written(held.select("sha", F.explode("base.value").alias("entity")).distinct(), "owned")
+    near = held.select("key", F.explode(contexts(F.col("text"), F.col("base"), bounds)).alias("c"))
+    seen = written(near.select("key", "c.entity", F.explode("c.terms").alias("term")).distinct(), "seen")
+    owned = written(held.select("key", F.explode("base.value").alias("entity")).distinct(), "owned")
     entities = owned.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") < n_texts)
-    around = seen.select("sha", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    around = (held.select("key", F.explode(_terms(F.col("text"), bounds)).alias("term")).distinct()
+              .groupBy("term").agg(F.count("*").alias("n_held")))
     most = F.col("n_both") * F.pow(float(n_texts) / F.col("n_entity"), 1.0 - disclosure) * (1 + 1e-9)
     pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support)
-    pairs = written(pairs.join(entities, "entity").join(around, "term").filter(F.col("n_near") + prior <= most), "pairs")
+    pairs = written(pairs.join(entities, "entity").join(around, "term").filter(F.col("n_held") + prior <= most), "pairs")
     bitmap = written(_hashed(pairs.select("term").distinct()).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")), "bitmap")
-    every = _hashed(docs.select("sha", F.explode(_terms(F.col("text"), bounds)).alias("term"))).join(F.broadcast(bitmap), "word")
-    hits = written(every.filter("shiftrightunsigned(bits, bit) & 1 = 1").select("sha", "term").distinct(), "hits")
+    every = _hashed(docs.select("key", F.explode(_terms(F.col("text"), bounds)).alias("term"))).join(F.broadcast(bitmap), "word")
+    hits = written(every.filter("shiftrightunsigned(bits, bit) & 1 = 1").select("key", "term").distinct(), "hits")
     counts = hits.groupBy("term").agg(F.count("*").alias("n_term"))
     quasi = written(pairs.join(counts, "term").filter(F.col("n_term") + prior <= most).select("entity", "term"), "quasi")
-    return hits.join(quasi, "term").join(owned, ["sha", "entity"]).groupBy("sha", "term").agg(F.count("*").alias("n"))
+    return hits.join(quasi, "term").join(owned, ["key", "entity"]).groupBy("key", "term").agg(F.count("*").alias("n"))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT,
@@ -183,14 +185,14 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """One row per document: doc_id, text, base and terms (arrays of spans; a term's `value` is the
     action, `remove` or `generalise`). `bounds` are the least and greatest length of a term of letters;
     without them terms have any length and may hold digits."""
-    keys = {"__row": F.monotonically_increasing_id(), "sha": F.unhex(F.sha2("text", 256))}
+    keys = {"__row": F.monotonically_increasing_id(), "key": F.unhex(F.md5("text"))}
     found = written(base_spans(id_text(docs, id_col, text_col)).withColumns(keys), "spans")
-    own = disclosing_terms(found, min_support, disclosure, bounds, prior).groupBy("sha").agg(
+    own = disclosing_terms(found, min_support, disclosure, bounds, prior).groupBy("key").agg(
         F.collect_list(F.struct("term", F.when(F.col("n") > 1, "generalise").otherwise("remove").alias("action"))).alias("own"))
     # Copies of one text may be a third of all rows, so its terms go to SALTS tasks.
     own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = found.filter((F.size("base") > 0) & F.col("doc_id").isNotNull()).select("__row", "sha", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int").alias("salt"))
-    own = rows.join(own, ["sha", "salt"]).select("__row", "own")
+    rows = found.filter((F.size("base") > 0) & F.col("doc_id").isNotNull()).select("__row", "key", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int").alias("salt"))
+    own = rows.join(own, ["key", "salt"]).select("__row", "own")
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)")
     owning = written(found.filter(F.size("base") > 0).join(own, "__row", "left").withColumn("own", F.map_from_entries("own")), "owning")
     spans = owning.withColumn("terms", F.when(F.col("own").isNull(), none).otherwise(term_spans(F.col("text"), F.col("own"), bounds)))
