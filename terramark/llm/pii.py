@@ -20,10 +20,8 @@ one that gives away a single entity.
 
 The search cuts exactly. Disclosure of at least t is the same as
 n_term + prior <= n_both * (n_texts / n_entity) ** (1 - t), and a term's count within the texts that hold
-entities is a lower bound of n_term: pairs that fail already with it never reach the scan of all
-documents. That scan
-sorts out other terms by a bitmap of BITS hashed bits before its shuffle; the join of the counts with
-the terms is exact. A list of thousands of addresses pairs each with the words around it alone.
+entities is a lower bound of n_term: pairs that fail already with it never reach the scan of all documents. Each
+scan sorts out other terms by a bitmap of BITS hashed bits before its shuffle; the joins are exact. A list of thousands of addresses pairs each with the words around it alone.
 
 Defined cases: a null text counts as empty; documents without spans return empty strings and the
 digest of the empty string; rows with a null id have base spans alone, but count among a term's
@@ -150,10 +148,14 @@ def contexts(text: Column, base: Column, bounds: Bounds = None, width: int = CON
     return F.transform(F.array(_blocks(text)), lambda blocks: F.transform(base, lambda s: around(blocks, s)))[0]
 
 
-def _hashed(df: DataFrame) -> DataFrame:
-    """`df` with its term's place in the bitmap: `word` and `bit`."""
-    place = F.pmod(F.xxhash64("term"), F.lit(BITS))
-    return df.withColumn("word", F.shiftright(place, 6)).withColumn("bit", (place % 64).cast("int"))
+def _among(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of `df` whose term is one of those of `pairs`, and few others: no shuffle of `df`."""
+    def placed(df: DataFrame) -> DataFrame:
+        place = F.pmod(F.xxhash64("term"), F.lit(BITS))
+        return df.withColumn("word", F.shiftright(place, 6)).withColumn("bit", (place % 64).cast("int"))
+
+    bitmap = written(placed(pairs.select("term").distinct()).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")), "bitmap")
+    return placed(df).join(F.broadcast(bitmap), "word").filter("shiftrightunsigned(bits, bit) & 1 = 1").drop("word", "bit", "bits")
 
 
 def disclosing_terms(docs: DataFrame, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE, bounds: Bounds = None, prior: float = PRIOR) -> DataFrame:
@@ -167,17 +169,16 @@ def disclosing_terms(docs: DataFrame, min_support: int = MIN_SUPPORT, disclosure
     seen = written(near.select("key", "c.entity", F.explode("c.terms").alias("term")).distinct(), "seen")
     owned = written(held.select("key", F.explode("base.value").alias("entity")).distinct(), "owned")
     entities = owned.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") < n_texts)
-    around = (held.select("key", F.explode(_terms(F.col("text"), bounds)).alias("term")).distinct()
-              .groupBy("term").agg(F.count("*").alias("n_held")))
     most = F.col("n_both") * F.pow(float(n_texts) / F.col("n_entity"), 1.0 - disclosure) * (1 + 1e-9)
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support)
-    pairs = written(pairs.join(entities, "entity").join(around, "term").filter(F.col("n_held") + prior <= most), "pairs")
-    bitmap = written(_hashed(pairs.select("term").distinct()).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")), "bitmap")
-    every = _hashed(docs.select("key", F.explode(_terms(F.col("text"), bounds)).alias("term"))).join(F.broadcast(bitmap), "word")
-    hits = written(every.filter("shiftrightunsigned(bits, bit) & 1 = 1").select("key", "term").distinct(), "hits")
-    counts = hits.groupBy("term").agg(F.count("*").alias("n_term"))
-    quasi = written(pairs.join(counts, "term").filter(F.col("n_term") + prior <= most).select("entity", "term"), "quasi")
-    return hits.join(quasi, "term").join(owned, ["key", "entity"]).groupBy("key", "term").agg(F.count("*").alias("n"))
+    terms = lambda texts: texts.select("key", F.explode(_terms(F.col("text"), bounds)).alias("term"))
+    counted = lambda df, name: df.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias(name))
+    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support).join(entities, "entity")
+    # Counts within contexts, then within texts that hold entities, then over all: each is a lower bound of the next.
+    for name, texts in (("n_near", seen), ("n_held", held), ("n_term", docs)):
+        among = texts if texts is seen else _among(terms(texts), pairs)
+        pairs = written(pairs.join(counted(among, name), "term").filter(F.col(name) + prior <= most).select("entity", "term", "n_both", "n_entity"), name)
+    own = _among(terms(held), pairs).distinct()
+    return own.join(pairs.select("entity", "term"), "term").join(owned, ["key", "entity"]).groupBy("key", "term").agg(F.count("*").alias("n"))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT,
