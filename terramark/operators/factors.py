@@ -134,13 +134,14 @@ def distance(cells: DataFrame, burned: F.Column, pixel: float = 30.0, block_rows
     ends = rows.filter("at is not null").groupBy("c", "block").agg(F.min("at").alias("low"), F.max("at").alias("high"))
     column = Window.partitionBy("c").orderBy("block")
     # Blocks without a burned row need their neighbours' as well.
-    ends = rows.select("c", "block").distinct().join(ends, ["c", "block"], "left")
+    # Grids are guessed far smaller than they are, so Spark would broadcast one unasked.
+    ends = rows.select("c", "block").distinct().join(ends.hint("merge"), ["c", "block"], "left")
     ends = ends.select("c", "block", F.max("high").over(column.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
                        F.min("low").over(column.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
     up = Window.partitionBy("c", "block").orderBy("r")
     above = F.last("at", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0))
     below = F.first("at", ignorenulls=True).over(up.rowsBetween(0, Window.unboundedFollowing))
-    near = rows.select("r", "c", "block", above.alias("above"), below.alias("below")).join(ends, ["c", "block"])
+    near = rows.select("r", "c", "block", above.alias("above"), below.alias("below")).join(ends.hint("merge"), ["c", "block"])
     gap = F.least(F.col("r") - F.coalesce("above", "before"), F.coalesce("below", "after") - F.col("r"))
     width = (cells.agg(F.max("c")).first()[0] or 0) + 1
     wide = block_columns or max(BLOCK_COLUMNS, math.isqrt(width))
@@ -189,7 +190,7 @@ def distance(cells: DataFrame, burned: F.Column, pixel: float = 30.0, block_rows
         sent = rows.groupBy(*keys).applyInPandas(send, "rows long, part long, r long, c long, gap double, own boolean")
         rows = rows.unionByName(sent.withColumn("gap", F.round("gap")))
     found = rows.groupBy(*keys).applyInPandas(meet, "r long, c long, distance double")
-    return cells.join(found.withColumn("distance", F.nanvl("distance", F.lit(None).cast("double"))), ["r", "c"])
+    return cells.join(found.withColumn("distance", F.nanvl("distance", F.lit(None).cast("double"))).hint("merge"), ["r", "c"])
 
 
 def closeness(distance_column: str, decay: float) -> F.Column:
@@ -259,10 +260,19 @@ def ring_edges(rings: DataFrame, *keys: str) -> DataFrame:
 
 def crop(cells: DataFrame, inside: DataFrame, column: str) -> DataFrame:
     """`column` with 0 outside, cut to the rows and columns that `inside` (cell_id) reaches."""
-    marked = cells.join(inside.withColumn("__in", F.lit(True)), "cell_id", "left")
-    box = marked.filter("__in").agg(*[f(c).alias(f"__{n}_{c}") for c in "rc" for n, f in (("lo", F.min), ("hi", F.max))])
-    cut = marked.crossJoin(F.broadcast(box)).filter("r BETWEEN __lo_r AND __hi_r AND c BETWEEN __lo_c AND __hi_c")  # one row
-    return cut.withColumn(column, F.when(F.col("__in"), F.col(column)).otherwise(0)).select(*cells.columns)
+    marked = cells.join(inside.select("cell_id", F.lit(True).alias("__in")).hint("merge"), "cell_id", "left")
+    return _cut(marked.withColumn("__in", F.col("__in").isNotNull()), column).select(*cells.columns)
+
+
+def crop_polygons(cells: DataFrame, edges: DataFrame, column: str) -> DataFrame:
+    """`crop` to the cells whose centre lies in polygons: cells meet spans, of which there are few, where they are."""
+    return _cut(filled(cells, row_spans(edges), "__in"), column).select(*cells.columns)
+
+
+def _cut(marked: DataFrame, column: str) -> DataFrame:
+    box = marked.filter("__in").agg(*[f(c).alias(f"{n}_{c}") for c in "rc" for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    cut = marked.filter(F.col("r").between(box.lo_r, box.hi_r) & F.col("c").between(box.lo_c, box.hi_c))
+    return cut.withColumn(column, F.when(F.col("__in"), F.col(column)).otherwise(0))
 
 
 def resample(cells: DataFrame, source: DataFrame, scale: float, column: str) -> DataFrame:
@@ -272,8 +282,8 @@ def resample(cells: DataFrame, source: DataFrame, scale: float, column: str) ->
                                            ((1 - F.abs(y - F.floor(y) - a)) * (1 - F.abs(x - F.floor(x) - b))).alias("w")) for a in (0, 1) for b in (0, 1)]))
     asked = cells.select("cell_id", corners.alias("k")).select("cell_id", "k.*").filter("w > 0")
     known = source.select(F.col("r").alias("sr"), F.col("c").alias("sc"), F.col(column).alias("v")).filter("v is not null")
-    found = asked.join(known, ["sr", "sc"]).groupBy("cell_id").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias(column))
-    return cells.join(found, "cell_id", "left")
+    found = asked.join(known.hint("merge"), ["sr", "sc"]).groupBy("cell_id").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias(column))
+    return cells.join(found.hint("merge"), "cell_id", "left")
 
 
 def burn_lines(lines: DataFrame) -> DataFrame:
@@ -324,7 +334,7 @@ def vector_closeness(cells: DataFrame, features: DataFrame, decay: float, pixel:
     areas, others = features.filter("kind = 'polygon'"), features.filter("kind != 'polygon'")
     burned = burn_polygons(areas).unionByName(burn_lines(others)).distinct()
     burned = scratch.written(burned, scratch.folder(cells.sparkSession, "burned"))
-    met = cells.select("r", "c").join(burned.withColumn("__hit", F.lit(True)), ["r", "c"], "left")
+    met = cells.select("r", "c").join(burned.withColumn("__hit", F.lit(True)).hint("merge"), ["r", "c"], "left")
     if met.filter("__hit").isEmpty():
         return None
     return distance(met, F.col("__hit"), pixel).select("r", "c", closeness("distance", decay).alias(name))
@@ -340,5 +350,5 @@ def factor_set(cells: DataFrame, makers: dict[str, Callable[[], DataFrame | None
     for name, make in makers.items():
         found = tables.cached(cells.sparkSession, f"{folder}/{name}", make, skip=name in skip)
         if found is not None:
-            out = out.join(found.select("r", "c", name), ["r", "c"], "left")
+            out = out.join(found.select("r", "c", name).hint("merge"), ["r", "c"], "left")
     return out.select(*cells.columns, *[c for c in out.columns if c not in cells.columns])
