@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from terramark.operators import delta_grid, factors, focal
+from terramark.operators import delta_grid, factors, focal, sampling
 from terramark.plans import catalog
 from terramark.sources import grid
 
@@ -50,3 +50,30 @@ def test_an_automaton_shuffles_its_changes_alone(spark):
         assert len(re.findall(r"Exchange ", plan(now))) == 1 and "slope" not in "".join(exchanges(now))
     assert g.now(8).filter("changed_in = 1 AND current = 8").count() == 5
     assert g.now(8, start=0).filter("source = 1 AND current = 8").count() == 5
+
+
+def test_a_tile_is_shuffled_as_packed_cells(spark):
+    """A row for each tile that a task sees, in place of a row for each cell: by ranges of rows these are few."""
+    thin = catalog._thin(spark, DATA)
+    rows = focal.packed(thin, 5)
+    assert rows.count() <= 2 * (3 + thin.rdd.getNumPartitions())
+    found = rows.groupBy("__tr", "__tc").applyInArrow(lambda t: focal.unpacked(t).append_column("__tr", [t["__tr"].combine_chunks().slice(0, 1).to_pylist() * focal.unpacked(t).num_rows]), thin.schema.add("__own", "boolean").add("__tr", "long"))
+    asked = focal.tiled(thin, 5).select(*found.columns)
+    assert found.count() == asked.count() and not found.exceptAll(asked).count()
+    for name in ("neighbour_fraction", "same_class_support"):
+        assert "v_base" not in "".join(x for x in plan(catalog.QUERIES[name](spark, DATA)).splitlines() if "Exchange hash" in x)
+        assert re.search(r"(?s)Exchange hashpartitioning\(__tr.*MapInArrow", plan(catalog.QUERIES[name](spark, DATA)))
+
+
+def test_few_scores_are_written_for_a_small_share(spark, monkeypatch):
+    """Each task leaves out what its own rows exceed; ties, missing scores and large shares are as before."""
+    g = spark.range(40_000, numPartitions=4).selectExpr("id AS cell_id", "int(id % 3) AS k", "IF(id % 9973 = 0, NULL, (id * 7919 % 1000) / 1000D) AS score")
+    quotas = spark.sql("SELECT * FROM (VALUES (1, 50), (2, 7)) AS q(class_code, take)")
+    monkeypatch.setattr(sampling, "HELD", 3000)
+    rated = g.filter("k > 0").withColumn("__score", F.col("score"))
+    kept = sampling._foremost(rated, "k", {1: 50, 2: 7})
+    missing = rated.filter("score IS NULL").count()
+    assert kept.count() <= 4 * 57 + missing and kept.filter("score IS NULL").count() == missing
+    few = sorted(map(str, sampling.top_per_source(g, "k", "score", quotas).collect()))
+    monkeypatch.setattr(sampling, "HELD", 0)
+    assert len(few) == 57 and few == sorted(map(str, sampling.top_per_source(g, "k", "score", quotas).collect()))
