@@ -77,3 +77,15 @@ def test_few_scores_are_written_for_a_small_share(spark, monkeypatch):
     few = sorted(map(str, sampling.top_per_source(g, "k", "score", quotas).collect()))
     monkeypatch.setattr(sampling, "HELD", 0)
     assert len(few) == 57 and few == sorted(map(str, sampling.top_per_source(g, "k", "score", quotas).collect()))
+
+
+def test_a_mask_of_drivers_names_each_once(spark):
+    """A filter repeats a column's expression for each mention; beyond 8000 bytes the JVM does not compile the method (8426 before)."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # its plans show no code before they run
+    found = catalog._drivers(spark, DATA).filter(catalog._known()).filter("v_fit BETWEEN 1 AND 9 AND v_base BETWEEN 1 AND 9")
+    text = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenString(found._jdf.queryExecution().executedPlan())
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text))) < 8000
+    odd = spark.sql("SELECT * FROM (VALUES (1, 0D), (2, NULL), (3, double('NaN')), (4, -9999D), (5, -0D), (6, double('Infinity'))) AS t(i, x)")
+    assert [r.i for r in odd.filter(catalog.E.valid_drivers("x")).orderBy("i").collect()] == [1, 5, 6]
