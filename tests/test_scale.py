@@ -89,3 +89,9 @@ def test_a_mask_of_drivers_names_each_once(spark):
     assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text))) < 8000
     odd = spark.sql("SELECT * FROM (VALUES (1, 0D), (2, NULL), (3, double('NaN')), (4, -9999D), (5, -0D), (6, double('Infinity'))) AS t(i, x)")
     assert [r.i for r in odd.filter(catalog.E.valid_drivers("x")).orderBy("i").collect()] == [1, 5, 6]
+
+
+def test_a_sample_of_a_model_is_written_once(spark):
+    """Training reads it several times; neither the grid nor its neighbours are looked at again for that."""
+    found = plan(catalog._model_sample(spark, DATA))
+    assert "Join" not in found and "orders.parquet" not in found
