@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from terramark.llm import exact_dedup, near_copies, simhash
 
 
@@ -47,3 +49,47 @@ def test_repeated_ids_are_no_hindrance(spark):
     for stage in (near_copies, exact_dedup):
         got = sorted((r.text, r.doc_id is None, r.doc_id) for r in stage.deduplicated(rows(spark, texts)).collect())
         assert got == sorted([(a, False, 1), (b, False, 1), ("else", False, 2), ("other", True, None)])
+
+
+def edited(words, rng, at, name):
+    out = list(words)
+    for i in at:
+        out[i] = f"{name}{i}" if rng.random() < 0.7 else ""
+    return " ".join(w for w in out if w)
+
+
+@pytest.mark.parametrize(("with_base", "share"), [(True, 10), (False, 3)])
+def test_copies_changed_in_different_places_do_not_all_meet(spark, monkeypatch, with_base, share):
+    """A band of many copies that aren't near each other: the same components as by all pairs, from a part of these."""
+    rng, base = random.Random(11), [f"w{i}" for i in range(150)]
+    texts = [" ".join(base)] * with_base + [edited(base, rng, rng.sample(range(150), 2 if k % 3 == 0 else 7), f"k{k}x") for k in range(300)]
+    for k in range(40):  # far from the base, near each other
+        far = rng.sample(range(150), 8)
+        first = edited(base, random.Random(k), far, f"f{k}x")
+        texts += [first, first.replace(first.split()[75], f"g{k}")]
+    texts = list(enumerate(texts))
+    sets = {i: grams(t) for i, t in texts}
+    comp, asked = {i: i for i in sets}, []
+    near = [(i, j) for i in sets for j in sets if i < j and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    while True:
+        before = dict(comp)
+        for i, j in near:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+        if comp == before:
+            break
+    for name in ("likely", "similar"):
+        if hasattr(near_copies, name):
+            monkeypatch.setattr(near_copies, name, lambda pairs, *more, own=getattr(near_copies, name): (asked.append(pairs.distinct().count()), own(pairs, *more))[1])
+    found = {r.id: r.component for r in near_copies.groups(near_copies.keyed(rows(spark, texts))).collect()}
+    assert len(set(comp.values())) > 150
+    assert {frozenset(i for i in found if found[i] == k) for k in found.values()} == {frozenset(i for i in comp if comp[i] == k) for k in comp.values()}
+    assert max(asked) < len(texts) ** 2 / 2 / share
+
+
+def test_rows_that_may_be_asked_for_are_marked(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "WORDS_OF_BITS", 8)
+    own = spark.range(3000).selectExpr("id * 5 + shiftleft(id % 3, 33) AS __terramark_row", "id AS `a.b`")
+    keys = own.filter("`a.b` % 400 = 7").select("__terramark_row")
+    found = near_copies.marked(own, keys)
+    assert found.columns == ["__terramark_row", "a.b", "__marked"] and found.count() == 3000
+    assert found.filter("__marked").join(keys, "__terramark_row").count() == keys.count() == 8 and found.filter("__marked").count() < 1000
