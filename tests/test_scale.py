@@ -95,3 +95,15 @@ def test_a_sample_of_a_model_is_written_once(spark):
     """Training reads it several times; neither the grid nor its neighbours are looked at again for that."""
     found = plan(catalog._model_sample(spark, DATA))
     assert "Join" not in found and "orders.parquet" not in found
+
+
+def test_a_pass_for_the_best_rates_a_row_once(spark, monkeypatch):
+    """A filter below the score repeats its expression for each mention, and a model's score is most of a pass."""
+    seen, written = [], delta_grid.scratch.written
+    monkeypatch.setattr(delta_grid.scratch, "written", lambda df, path: seen.append(df) or written(df, path))
+    rated = spark.range(100).select(F.col("id").alias("cell_id"), (F.col("id") % 3).alias("current"), (F.sqrt("id") / 20).alias("__score"))
+    found = delta_grid.best(rated, F.when(F.col("current") < 2, F.col("current")), {0: 10, 1: 40})
+    assert sorted(r.cell_id for r in found.collect()) == sorted([*range(72, 100, 3), *range(1, 100, 3)])
+    filters = [x for x in plan(seen[0]).splitlines() if "Filter" in x]
+    assert sum(x.count("SQRT") for x in filters) == 1
+    assert delta_grid.best(rated, F.when(F.col("current") < 2, F.col("current")), {5: 3}).count() == 0
