@@ -78,6 +78,15 @@ def test_draws_of_trees_are_poisson(spark):
         assert abs(share[float(k)] - p) < 0.01
 
 
+def test_draws_of_trees_are_not_bound_to_a_sample(spark):
+    """A sample has the least draws of its cells; each tree still draws each row for itself."""
+    rows = spark.range(4_000_000).filter(E.draw(F.col("id"), 42) < 0.001)
+    n, *zeros = rows.agg(F.count("*"), *[F.avg((models.poisson_weight(F.col("id"), 42, t) == 0).cast("int")) for t in range(10)]).first()
+    assert 3000 < n < 5000 and all(abs(z - 0.3679) < 0.04 for z in zeros)
+    both = rows.agg(F.avg(((models.poisson_weight(F.col("id"), 42, 0) == 0) & (models.poisson_weight(F.col("id"), 42, 1) == 0)).cast("int"))).first()[0]
+    assert abs(both - 0.3679 ** 2) < 0.03
+
+
 def test_out_of_bag_is_near_to_held_out(spark):
     """On the test grid's sample, within 0.02 of the accuracy of rows that no tree was given."""
     rows = catalog._model_sample(spark, DATA)
