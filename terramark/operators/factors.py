@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import scratch, tables
-from .focal import BLOCK_ROWS, gradient
+from .focal import BLOCK_ROWS, dealt, gradient, places, unpacked
 
 
 #: Slots into which a range of values is cut, and values that one task may order.
@@ -129,7 +130,12 @@ def distance(cells: DataFrame, burned: F.Column, pixel: float = 30.0, block_rows
     block. Along rows it is the lower envelope of the parabolas of all columns. Rows are cut into
     blocks of columns: a block sends to each other block the parabolas of its own envelope that are
     lowest somewhere in it, so a group holds a few rows of one block and what was sent to it.
+
+    Grids of no more columns than a tile are dealt out once, as packed tiles of whole rows (`_narrow_distance`).
     """
+    width = (cells.agg(F.max("c")).first()[0] or 0) + 1
+    if width <= BLOCK_COLUMNS and (block_columns or width) >= width:
+        return _narrow_distance(cells, burned, pixel, block_rows)
     rows = cells.select("r", "c", F.floor(F.col("r") / block_rows).alias("block"), F.when(burned, F.col("r")).alias("at"))
     ends = rows.filter("at is not null").groupBy("c", "block").agg(F.min("at").alias("low"), F.max("at").alias("high"))
     column = Window.partitionBy("c").orderBy("block")
@@ -143,7 +149,6 @@ def distance(cells: DataFrame, burned: F.Column, pixel: float = 30.0, block_rows
     below = F.first("at", ignorenulls=True).over(up.rowsBetween(0, Window.unboundedFollowing))
     near = rows.select("r", "c", "block", above.alias("above"), below.alias("below")).join(ends.hint("merge"), ["c", "block"])
     gap = F.least(F.col("r") - F.coalesce("above", "before"), F.coalesce("below", "after") - F.col("r"))
-    width = (cells.agg(F.max("c")).first()[0] or 0) + 1
     wide = block_columns or max(BLOCK_COLUMNS, math.isqrt(width))
     rows_at_once = max(1, CELLS_AT_ONCE // min(wide, width))
     keys = ["rows", "part"]
@@ -193,6 +198,41 @@ def distance(cells: DataFrame, burned: F.Column, pixel: float = 30.0, block_rows
     return cells.join(found.withColumn("distance", F.nanvl("distance", F.lit(None).cast("double"))).hint("merge"), ["r", "c"])
 
 
+def _narrow_distance(cells: DataFrame, burned: F.Column, pixel: float, block_rows: int) -> DataFrame:
+    """`distance` where a block of whole rows fits a task: it gets the nearest burned rows beyond it, one number up and one down for
+    each of its columns. Along rows each cell looks one column further, left and right, until no block's cell can be nearer."""
+    some = cells.select("*", F.coalesce(burned, F.lit(False)).alias("__burned"))
+    at = F.when(F.col("__burned"), F.col("r"))
+    column = Window.partitionBy("c").orderBy("__tr")
+    ends = some.groupBy(F.floor(F.col("r") / block_rows).alias("__tr"), "c").agg(F.min(at).alias("low"), F.max(at).alias("high"))
+    ends = ends.select("__tr", "c", F.max("high").over(column.rowsBetween(Window.unboundedPreceding, -1)).cast("double").alias("before"),
+                       F.min("low").over(column.rowsBetween(1, Window.unboundedFollowing)).cast("double").alias("after"))
+    names = ["r", "c", *[x for x in cells.columns if x not in ("r", "c")]]
+
+    def work(pieces: pa.Table, beyond: pa.Table) -> pa.Table:
+        t = unpacked(pieces)
+        where, shape, top, left = places(t)
+        hit, near = t.column("__burned").to_numpy(), np.full(shape, -np.inf)
+        row = np.arange(top, top + shape[0], dtype=float)[:, None]
+        near.ravel()[where[hit]] = t.column("r").to_numpy()[hit]
+        below = np.where(np.isinf(near), np.inf, near)
+        for name, line, join in (("before", near[0], np.maximum), ("after", below[-1], np.minimum)):
+            known = beyond.filter(beyond.column(name).is_valid())
+            join.at(line, known.column("c").to_numpy() - left, known.column(name).to_numpy())
+        gap = np.minimum(row - np.maximum.accumulate(near), np.minimum.accumulate(below[::-1])[::-1] - row) ** 2
+        best = gap.copy()
+        for d in range(1, shape[1]):
+            if d * d >= best.max():
+                break
+            np.minimum(best[:, d:], gap[:, :-d] + d * d, out=best[:, d:])
+            np.minimum(best[:, :-d], gap[:, d:] + d * d, out=best[:, :-d])
+        found = np.sqrt(best.ravel()[where]) * pixel
+        return t.select(names).append_column("distance", pa.array(found, mask=np.isinf(found)))
+
+    schema = cells.select(*names).schema.add("distance", "double")
+    return dealt(some, 0, block_rows).groupBy("__tr").cogroup(ends.groupBy("__tr")).applyInArrow(work, schema)
+
+
 def closeness(distance_column: str, decay: float) -> F.Column:
     """exp(-d / decay); roads use 1500 m, water 1000 m."""
     return F.exp(-F.col(distance_column) / decay)

@@ -33,6 +33,14 @@ def test_neighbours_take_one_shuffle_of_few_columns(spark):
         assert "slope" not in plan(found) and "v_target" not in plan(found)
 
 
+def test_distances_move_packed_tiles_once(spark):
+    """Cells are shuffled as packed rows alone; next to them there are two numbers for each column and block of rows."""
+    found = plan(catalog.distance_to_barren(spark, DATA))
+    dealt = [x for x in found.splitlines() if re.search(r"Exchange hashpartitioning", x)]
+    assert not re.search(r"SortMergeJoin", found) and len([x for x in dealt if "(__tr" in x and "c#" not in x]) == 2
+    assert "FlatMapCoGroupsInArrow" in found and "MapInArrow" in found
+
+
 def test_cropping_to_polygons_moves_no_cells(spark):
     assert "Join [cell_id" not in plan(catalog.cropped(spark, DATA)) and not [x for x in exchanges(catalog.cropped(spark, DATA)) if "cell_id" in x]
 
