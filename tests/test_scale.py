@@ -33,6 +33,15 @@ def test_neighbours_take_one_shuffle_of_few_columns(spark):
         assert "slope" not in plan(found) and "v_target" not in plan(found)
 
 
+def test_only_cells_around_a_sample_are_shuffled(spark, monkeypatch):
+    """A bitmap keeps all other cells of the grid, here 30,000, where they are."""
+    seen, written = [], focal.scratch.written
+    monkeypatch.setattr(focal.scratch, "written", lambda df, path: seen.append(df) or written(df, path))
+    g = catalog.cells(spark, DATA)
+    found = focal.sampled_fractions(g, g.filter("cell_id % 6007 = 100"), "v_base", [8])
+    assert 4 * 9 < seen[0].count() <= 5 * 24 + 5 and found.count() == 5
+
+
 def test_distances_move_packed_tiles_once(spark):
     """Cells are shuffled as packed rows alone; next to them there are two numbers for each column and block of rows."""
     found = plan(catalog.distance_to_barren(spark, DATA))
